@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import matroska, sharding
+from . import matroska, packing, sharding, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_matroska": matroska.op1_matroska,
     "op6_virtual_slots": sharding.op6_virtual_slots,
+    "op8_minimum_bin_slack": packing.op8_minimum_bin_slack,
+    "op9_token_files": token_files.op9_token_files,
 }
 
 ORACLE_SQL: dict[str, str] = {}
