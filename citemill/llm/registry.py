@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import matroska, packing, sharding, token_files
+from . import fingerprints, language, matroska, packing, sharding, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_matroska": matroska.op1_matroska,
+    "op2_one_permutation": fingerprints.op2_one_permutation,
+    "op5_language_spans": language.op5_language_spans,
     "op6_virtual_slots": sharding.op6_virtual_slots,
     "op8_minimum_bin_slack": packing.op8_minimum_bin_slack,
     "op9_token_files": token_files.op9_token_files,
