@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, language, matroska, packing, sharding, token_files
+from . import fingerprints, language, matroska, packing, sentences, sharding, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_matroska": matroska.op1_matroska,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_virtual_slots": sharding.op6_virtual_slots,
     "op8_minimum_bin_slack": packing.op8_minimum_bin_slack,
     "op9_token_files": token_files.op9_token_files,
+    "op10_shared_prefix": sentences.op10_shared_prefix,
 }
 
 ORACLE_SQL: dict[str, str] = {}
