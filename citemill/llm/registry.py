@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, language, matroska, packing, sentences, sharding, token_files
+from . import fingerprints, language, matroska, packing, sentences, sharding, substrings, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_matroska": matroska.op1_matroska,
     "op2_one_permutation": fingerprints.op2_one_permutation,
+    "op4_super_kmers": substrings.op4_super_kmers,
     "op5_language_spans": language.op5_language_spans,
     "op6_virtual_slots": sharding.op6_virtual_slots,
     "op8_minimum_bin_slack": packing.op8_minimum_bin_slack,
@@ -18,4 +19,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_shared_prefix": sentences.op10_shared_prefix,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_super_kmers": substrings.OP4_SQL}
