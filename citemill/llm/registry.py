@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, language, matroska, packing, sentences, sharding, substrings, token_files
+from . import fingerprints, language, matroska, near_duplicates, packing, sentences, sharding, substrings, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_matroska": matroska.op1_matroska,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_super_kmers": substrings.op4_super_kmers,
     "op5_language_spans": language.op5_language_spans,
     "op6_virtual_slots": sharding.op6_virtual_slots,
+    "op7_bag_min_hash": near_duplicates.op7_bag_min_hash,
     "op8_minimum_bin_slack": packing.op8_minimum_bin_slack,
     "op9_token_files": token_files.op9_token_files,
     "op10_shared_prefix": sentences.op10_shared_prefix,
