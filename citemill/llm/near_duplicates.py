@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, session, settled, text_or_empty
+from .common import documents, session, settled, text_or_empty, unused
 from .substrings import NO_ID, PART, _mixed, _parts, _signed, run_hashes, word_hashes
 
 SHINGLE = 5
@@ -199,10 +199,11 @@ def near_duplicate_classes(df: DataFrame, key: str = "doc_id", text: str = "text
 
 def dedup_documents(df: DataFrame, key: str = "doc_id", text: str = "text", least: float = SIMILAR) -> DataFrame:
     """The rows of df whose key names their class, one row per key; rows without a key stay."""
-    kept = near_duplicate_classes(df, key, text, least).where("k = class_id").select("k")
-    keyed = df.withColumn("_k", F.col(key).cast("long"))
-    with_key = keyed.join(kept.withColumnRenamed("k", "_k"), "_k", "left_semi").dropDuplicates(["_k"])
-    return with_key.unionByName(keyed.where(F.col("_k").isNull())).select(*df.columns)
+    own = unused(df, "k")
+    kept = near_duplicate_classes(df, key, text, least).where("k = class_id").select(F.col("k").alias(own))
+    keyed = df.withColumn(own, F.col(key).cast("long"))
+    with_key = keyed.join(kept, own, "left_semi").dropDuplicates([own])
+    return with_key.unionByName(keyed.where(F.col(own).isNull())).select(*df.columns)
 
 
 def op7_bag_min_hash(spark: SparkSession, sf_dir: str) -> DataFrame:

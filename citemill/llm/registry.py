@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, language, matroska, near_duplicates, packing, sentences, sharding, substrings, token_files
+from . import fingerprints, language, licenses, matroska, near_duplicates, packing, sentences, sharding, substrings, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_matroska": matroska.op1_matroska,
     "op2_one_permutation": fingerprints.op2_one_permutation,
+    "op3_license_scan": licenses.op3_license_scan,
     "op4_super_kmers": substrings.op4_super_kmers,
     "op5_language_spans": language.op5_language_spans,
     "op6_virtual_slots": sharding.op6_virtual_slots,
@@ -20,4 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_shared_prefix": sentences.op10_shared_prefix,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_super_kmers": substrings.OP4_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op3_license_scan": licenses.OP3_SQL,
+    "op4_super_kmers": substrings.OP4_SQL,
+}
