@@ -107,9 +107,10 @@ class Encoder:
         self.chunk_words.add(flat, np.fromiter(map(len, found), np.int64))
         fresh, self.words.fresh = self.words.fresh, []
         apart = "\n" if self.kind == "byte" else " "
-        for i in range(0, len(fresh), 4096):
-            part = fresh[i : i + 4096]
-            groups = [part[j : j + 64] for j in range(0, len(part), 64)]
+        flats, sizes = [np.empty(0, np.uint32)], [np.empty(0, np.int64)]
+        for i in range(0, len(fresh), 8192):
+            part = fresh[i : i + 8192]
+            groups = [part[j : j + 256] for j in range(0, len(part), 256)]
             for group, e in zip(groups, self.tokenizer.encode_batch([apart.join(g) for g in groups], add_special_tokens=False), strict=True):
                 ids, of = np.array(e.ids, np.uint32), np.array(e.word_ids, np.int64)
                 if self.kind == "byte":  # every second pre-token is what sets them apart
@@ -117,10 +118,13 @@ class Encoder:
                 else:
                     whole = int(of.max(initial=-1)) == len(group) - 1
                 if whole and not any(w.isspace() for w in group):
-                    self.word_ids.add(ids, np.bincount(of, minlength=len(group)))
+                    flats.append(ids)
+                    sizes.append(np.bincount(of, minlength=len(group)))
                 else:
                     each = self._whole(group)
-                    self.word_ids.add(np.concatenate(each), np.array([len(x) for x in each]))
+                    flats += each
+                    sizes.append(np.array([len(x) for x in each]))
+        self.word_ids.add(np.concatenate(flats), np.concatenate(sizes))
 
     def encode(self, texts: list[str], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and len(texts) + 1 bounds; end: an id put after each text."""
