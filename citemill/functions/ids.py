@@ -23,15 +23,18 @@ def attributes(html) -> Column:
     return last_wins(pairs)
 
 
+def _let(value: Column, body) -> Column:
+    """body(value) with value computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def last_wins(pairs: Column) -> Column:
     """A map of (k, v) structs in which later ones replace earlier ones."""
-    kept = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.greatest(F.size(pairs), F.lit(1))), lambda q: q["k"] == p["k"]))
-    return F.map_from_entries(kept)
+    return F.map_from_entries(_let(pairs, lambda ps: F.filter(ps, lambda p, i: ~F.exists(F.slice(ps, i + 2, F.greatest(F.size(ps), F.lit(1))), lambda q: q["k"] == p["k"]))))
 
 
 def first_wins(pairs: Column) -> Column:
-    kept = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, 1, i), lambda q: q["k"] == p["k"]))
-    return F.map_from_entries(kept)
+    return F.map_from_entries(_let(pairs, lambda ps: F.filter(ps, lambda p, i: ~F.exists(F.slice(ps, 1, i), lambda q: q["k"] == p["k"]))))
 
 
 def normalised(attrs: Column) -> Column:
