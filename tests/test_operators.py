@@ -169,3 +169,20 @@ def test_cursor_scan_never_overlaps(parts):
     for at, match, _, _ in detect.scan_text(text, rules):
         assert at >= end and text[at : at + len(match)] == match
         end = at + len(match)
+
+
+def test_cli(spark, tmp_path, capsys):
+    from citemill import cli
+
+    assert cli.main(["--inputtext", "see C-1/10 & T-2/10", "--format", "xml", "--sort", "reference.desc"]) == 0
+    out = capsys.readouterr().out
+    assert out.startswith('<resultset size="2"><record number="1"><reference count="1">T-2/10')
+    assert cli.main(["--inputtext", "<p>see C-1/10</p>", "--format", "html", "--output", str(tmp_path / "o")]) == 0
+    assert '">C-1/10</a></p>' in spark.read.text(str(tmp_path / "o")).first()[0]
+    assert cli.options(cli.parser().parse_args(["--inputtext", "", "--types", "a,b"])).types == {"a", "b"}
+
+
+def test_scan_plan_stays_in_the_jvm(spark):
+    df = detect.scan(readers.from_text(spark, "C-1/10"), builtin.rule_set())
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
