@@ -62,35 +62,37 @@ def _least_per_bin(hashes: Column) -> Column:
     )
 
 
-def _order(i: Column) -> tuple[Column, Column]:
-    """Step and start of bin i's order: the t-th bin tried is (step * t + start) mod BINS, step being odd."""
-    h = F.xxhash64(i)
-    return h.bitwiseAND(BINS - 2).bitwiseOR(F.lit(1)), F.shiftright(h, 16).bitwiseAND(BINS - 1)
+def _orders() -> tuple[list[int], list[int], list[int]]:
+    """Step, start and inverse step of each bin's order: the t-th bin tried is (step * t + start) mod BINS, step being odd."""
+    steps, starts, x = [], [], 0x9E3779B97F4A7C15
+    for _ in range(BINS):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % (1 << 64)
+        x = (x ^ x >> 27) * 0x94D049BB133111EB % (1 << 64)
+        x ^= x >> 31
+        steps.append(x % BINS | 1)
+        starts.append((x >> 32) % BINS)
+        x = (x + 0x9E3779B97F4A7C15) % (1 << 64)
+    return steps, starts, [pow(s, -1, BINS) for s in steps]
 
 
 def _densified(bins: Column) -> Column:
     numbers = F.sequence(F.lit(0), F.lit(BINS - 1))
+    steps, starts, inverses = _orders()
+    tries = [F.lit([(s * t + a) % BINS for s, a in zip(steps, starts, strict=True)]) for t in range(PROBES)]
+    start, inverse = F.lit(starts), F.lit(inverses)
+    kept = F.transform(bins, lambda x: F.when(x.bitwiseAND(F.lit(_LOW)) != _LOW, x.bitwiseAND((1 << BITS) - 1).cast("int")))
 
     def dense(b: Column) -> Column:
-        def value(j: Column) -> Column:
-            x = F.get(b, j.cast("int"))
-            return F.when(x.bitwiseAND(F.lit(_LOW)) != _LOW, x.bitwiseAND((1 << BITS) - 1).cast("int"))
-
         def filled(full: Column) -> Column:
             def one(i: Column) -> Column:
-                step, start = _order(i)
-                tried = [value((step * t + start).bitwiseAND(BINS - 1)) for t in range(PROBES)]
-                inverse = step
-                for _ in range(3):  # each round doubles the exact low bits of the inverse modulo a power of two
-                    inverse = (inverse * (F.lit(2) - step * inverse)).bitwiseAND(BINS - 1)
-                turns = F.transform(full, lambda j: ((j - start) * inverse).bitwiseAND(BINS - 1) * BINS + j)
-                return F.coalesce(value(i), *tried, value(F.array_min(turns).bitwiseAND(BINS - 1)))
+                turns = F.transform(full, lambda j: ((j - F.get(start, i)) * F.get(inverse, i)).bitwiseAND(BINS - 1) * BINS + j)
+                return F.coalesce(F.get(b, i), *[F.get(b, F.get(t, i)) for t in tries], F.get(b, F.array_min(turns).bitwiseAND(BINS - 1)))
 
             return F.transform(numbers, one)
 
-        return _let(F.filter(numbers, lambda i: F.get(b, i).bitwiseAND(F.lit(_LOW)) != _LOW), filled)
+        return _let(F.filter(numbers, lambda i: F.get(b, i).isNotNull()), filled)
 
-    return _let(bins, dense)
+    return _let(kept, dense)
 
 
 def fingerprint(text: Column) -> Column:
