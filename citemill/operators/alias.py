@@ -11,8 +11,8 @@ from pyspark.sql.window import Window
 from ..functions.converters import text
 from ..functions.regex import delimited, quote
 from ..options import Alias, Aliases
-from ..plans.rules import AFTER, BEFORE
-from .detect import hits
+from ..plans.rules import AFTER, BEFORE, RuleSet
+from .detect import hits, mentions
 
 
 def tolerant(alias: str) -> str:
@@ -78,14 +78,14 @@ def difference(source, replacement) -> Column:
     return F.struct(F.substring(a, cut, F.length(a)).alias("source"), F.substring(b, cut, F.length(b)).alias("replacement"))
 
 
-def restored(mentions: DataFrame, moved: DataFrame, key: str = "doc_id") -> DataFrame:
+def restored(found: DataFrame, moved: DataFrame, key: str = "doc_id") -> DataFrame:
     """Mentions found in a replaced text, put back into the original one.
 
     A mention whose context holds a replaced alias gets the alias' own text; the first such alias counts. All positions shift by
     the differences of the aliases before. Aliases of a document are folded into one array, so the join is on the key alone.
     """
     per = moved.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("replaced_position", "position", "source", "replacement", "delta"))).alias("_a"))
-    both = mentions.join(per, key, "left").withColumn("_a", F.coalesce("_a", F.array().cast("array<struct<replaced_position:int,position:int,source:string,replacement:string,delta:int>>")))
+    both = found.join(per, key, "left").withColumn("_a", F.coalesce("_a", F.array().cast("array<struct<replaced_position:int,position:int,source:string,replacement:string,delta:int>>")))
     start = F.col("position") - F.greatest(F.instr(F.col("context"), F.col("match")) - 1, F.lit(0))
     inside = F.filter("_a", lambda x: (x["replaced_position"] >= start) & (x["replaced_position"] < start + F.length("context")))
     shift = F.aggregate(F.filter("_a", lambda x: x["replaced_position"] < F.col("position")), F.lit(0), lambda s, x: (s + x["delta"]).cast("int"))
@@ -101,6 +101,12 @@ def from_works(works: DataFrame, titles: DataFrame, language: str) -> DataFrame:
     return named.where(~F.col("label").rlike("^[0-9]+\\z")).groupBy("label").agg(F.max("celex").alias("celex"))
 
 
+def short_titles(titles: DataFrame, rules: RuleSet, within: int = 30, key: str = "celex", column: str = "title") -> DataFrame:
+    """The first reference in each full title, if it begins within its first characters."""
+    links = mentions(titles, rules, key, column).where(F.col("position") < within)
+    return links.groupBy(key).agg(F.min_by("match", "position").alias("title"))
+
+
 def layered(shared: DataFrame, local: DataFrame) -> DataFrame:
     """Alias tables united; a shared row replaces a local one of the same alias."""
     both = shared.withColumn("priority", F.lit(0)).unionByName(local.withColumn("priority", F.lit(1)))

@@ -283,6 +283,20 @@ def alias_restored(spark, sf_dir):
     return alias.restored(detect.mentions(changed, only("act")), moved).select("doc_id", "position", "match")
 
 
+@query(f"SELECT o_orderkey AS celex, {texts.ACT} AS title FROM orders WHERE o_orderkey % 2 = 0")
+def short_titles(spark, sf_dir):
+    """Titles that begin with an act, and titles that name one late."""
+    title = f"CASE WHEN o_orderkey % 2 = 0 THEN concat('Having regard to ', {texts.ACT}, ' on ', {texts.CASE}) ELSE concat('Having regard to the opinion of the Committee on ', {texts.ACT}) END AS title"
+    return alias.short_titles(table(spark, sf_dir, "orders").selectExpr("o_orderkey AS celex", title), builtin.rule_set())
+
+
+@query("SELECT p_partkey AS alias, concat('shared ', p_size) AS replacement, CAST(0 AS INTEGER) AS priority FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT p_partkey, concat('local ', p_size), 1 FROM part WHERE p_partkey % 3 <> 0")
+def alias_layers(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    shared = part.where("p_partkey % 3 = 0").selectExpr("p_partkey AS alias", "concat('shared ', p_size) AS replacement")
+    return alias.layered(shared, part.selectExpr("p_partkey AS alias", "concat('local ', p_size) AS replacement"))
+
+
 # ---- nodes
 
 _NODES = f"{_PARTS}, nodes AS (SELECT doc_id, match AS reference, count(*) AS count, CAST(min(position) AS INTEGER) AS position, min(rule_type) AS type FROM placed GROUP BY doc_id, match)"
