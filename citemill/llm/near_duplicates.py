@@ -7,9 +7,11 @@ A slot keeps its earliest point, so two bags agree in a slot with the probabilit
 unbiased at every weight. Points of a shingle come in order of time and end once they are later than all slots of the document.
 
 Links. Equal texts are collapsed first. Signatures are cut into bands; in each band's bucket all members are compared with the
-least one, exactly, by their whole bags; linked documents form components. Then pairs that share a bucket but not a component
-are compared as well (unless their sizes alone rule out the similarity), and components are joined anew. So every pair that
-shares a band is linked, joined by other links, or found too different; copies in one component are never paired off.
+least one, exactly, by their whole bags; linked documents form components. Buckets that hold several components stay open: their
+documents are compared across components, in blocks of bounded size by products of matrices, and components are joined anew.
+Left out of that without loss are documents with so many shingles of their own that no overlap can reach the similarity. So every
+pair that shares a band is linked, joined by other links, or found too different, and no pair of a bucket is ever a row but those
+with its least member.
 
 Defined results: a null text is the empty text, all empty texts are equal; texts of fewer than five words are one shingle of
 all their words; a document without an id is a class of its own (class_id null) and always stays; rows with one id are one
@@ -33,6 +35,9 @@ SHINGLE = 5
 SIMILAR = 0.8
 BANDS, ROWS = 28, 5  # a pair at 0.8 shares no band with a probability of 1.5e-5
 SLOTS = BANDS * ROWS
+#: Documents a block, and columns that are multiplied at once.
+BLOCK = 256
+SLICE = 2048
 
 _U = np.uint64
 
@@ -154,6 +159,88 @@ def verified(pairs: DataFrame, keyed: DataFrame, least: float = SIMILAR) -> Data
     return both.select("a", "b", "s", "t").mapInArrow(run, "a long, b long")
 
 
+def lone_shingles(open_: DataFrame, keyed: DataFrame) -> DataFrame:
+    """k, lone: of each document in open_ (k), the shingles that no other one there has, with their multiplicities."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [t.encode() for t in b.column(1).to_pylist()]
+            for a, z in _parts([len(t) for t in texts], PART):
+                text, shingle, weight = bags(texts[a:z])
+                yield pa.RecordBatch.from_arrays([pa.array(np.asarray(b.column(0))[a:z][text]), _signed(shingle), pa.array(weight.astype(np.int64))], names=["k", "shingle", "weight"])
+
+    rows = keyed.join(open_, "k").dropDuplicates(["k"]).select("k", "text").mapInArrow(run, "k long, shingle long, weight long")
+    alone = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("c"), F.min("k").alias("k"), F.sum("weight").alias("w")).where("c = 1")
+    return alone.groupBy("k").agg(F.sum("w").alias("lone"))
+
+
+def links_among(keys: list[int], roots: list[int], texts: list[str], least: float) -> list[tuple[int, int]]:
+    """Links that join all documents of different roots which are similar, no more than it takes; overlaps are products of
+    matrices with a row per document and a column per shingle and count (its first, its second occurrence), in slices."""
+    text, shingle, weight = bags([t.encode() for t in texts])
+    each = np.repeat(np.arange(len(text)), weight)
+    count = np.arange(len(each)) - np.repeat(np.cumsum(weight) - weight, weight)
+    _, column, often = np.unique(_mixed(shingle[each] + count.astype(np.uint64)), return_inverse=True, return_counts=True)
+    size = np.bincount(text, weights=weight, minlength=len(keys))
+    shared = often[column] > 1
+    row, column = text[each][shared], np.unique(column[shared], return_inverse=True)[1]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros((len(keys), len(keys)), np.float32)
+    for a in range(0, int(column.max(initial=-1)) + 1, SLICE):
+        lo, hi = np.searchsorted(column, (a, a + SLICE))
+        part = np.zeros((len(keys), SLICE), np.float32)
+        part[row[lo:hi], column[lo:hi] - a] = 1
+        both += part @ part.T
+    label = np.unique(np.array(roots), return_inverse=True)[1]
+    alike = (both >= least * (size[:, None] + size[None, :] - both)) & (label[:, None] < label[None, :])
+    one, two = np.nonzero(alike)
+    _, first = np.unique(label[one] * (label.max(initial=0) + 1) + label[two], return_index=True)
+    parent = list(range(int(label.max(initial=0)) + 1))
+
+    def top(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    out = []
+    for i in first.tolist():
+        a, b = top(int(label[one[i]])), top(int(label[two[i]]))
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+            out.append((keys[one[i]], keys[two[i]]))
+    return out
+
+
+def linked_in_blocks(together: DataFrame, keyed: DataFrame, least: float) -> DataFrame:
+    """a, b of together (k, root, b: the least document of a bucket of k): documents that buckets join, directly or not, are a
+    family; families are cut into blocks, and two blocks meet in one group of bounded size. No pair is a row."""
+    family = components(together.select(F.col("k").alias("a"), "b"))
+    own = together.select("k", "root").distinct().join(family.select(F.col("node").alias("k"), F.col("root").alias("f")), "k", "left").withColumn("f", F.coalesce("f", "k"))
+    cuts = own.groupBy("f").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(BLOCK))).cast("int").alias("cuts"))
+    mine = own.join(cuts, "f").withColumn("i", F.pmod(F.xxhash64("k"), F.col("cuts")).cast("int"))
+    met = mine.select("k", "root", "f", F.explode(F.expr("transform(sequence(0, cuts - 1), j -> struct(least(i, j) AS i, greatest(i, j) AS j))")).alias("g"))
+    rows = met.join(keyed.select("k", "text").dropDuplicates(["k"]), "k").select("f", "g.i", "g.j", "k", "root", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(group: list[tuple]) -> list[tuple[int, int]]:
+            return links_among([r[3] for r in group], [r[4] for r in group], [r[5] for r in group], least) if len(group) > 1 else []
+
+        group: list[tuple] = []
+        for b in batches:
+            links = []
+            for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if group and group[-1][:3] != r[:3]:
+                    links += done(group)
+                    group = []
+                group.append(r)
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
+        links = done(group)
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    return rows.repartition("f", "i", "j").sortWithinPartitions("f", "i", "j", "k").mapInArrow(run, "a long, b long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root (the least node of its component) by alternating large and small stars, until nothing changes."""
     links = settled(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
@@ -185,10 +272,13 @@ def near_duplicate_classes(df: DataFrame, key: str = "doc_id", text: str = "text
     roots = components(linked)
     placed = inside.where("members > 2").join(roots.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k")).select("band", "k", "n", "root")
     mixed = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band")
-    left = placed.join(mixed, "band")
-    right = left.select("band", F.col("k").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"))
-    across = left.join(right, "band").where(f"b < k and root != other and {alike}").select(F.col("k").alias("a"), "b").distinct().join(stars, ["a", "b"], "left_anti")
-    found = settled(verified(across, keyed, least))
+    open_ = settled(placed.join(mixed, "band"))
+    lone = lone_shingles(open_.select("k").distinct(), keyed)
+    # an overlap is at most what others share: o of n shingles are in no text with a similarity over o / n
+    left = open_.join(lone, "k", "left").withColumn("o", F.col("n") - F.coalesce("lone", F.lit(0))).where(f"o >= {least} * n").select("band", "k", "root")
+    still = left.groupBy("band").agg(F.min("k").alias("b"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
+    together = settled(left.join(still, "band").select("k", "root", "b"))
+    found = settled(linked_in_blocks(together, keyed, least))
     if found.take(1):
         roots = components(linked.union(found))
     # rows with one id and different texts are one document
