@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -52,6 +53,13 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return df.select(*columns) if columns else df
 
 
+def released(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop the shuffles and checkpoints of plans that are gone: it learns of them only when the driver
+    collects its garbage, and loops would pile them up till then."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: later steps start from files."""
     path = fresh_path(df.sparkSession, name)

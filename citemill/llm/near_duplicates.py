@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, session, settled, text_or_empty, unused
+from .common import documents, released, session, settled, text_or_empty, unused
 from .substrings import NO_ID, PART, _mixed, _parts, _signed, run_hashes, word_hashes
 
 SHINGLE = 5
@@ -244,16 +244,24 @@ def linked_in_blocks(together: DataFrame, keyed: DataFrame, least: float) -> Dat
 def components(edges: DataFrame) -> DataFrame:
     """node, root (the least node of its component) by alternating large and small stars, until nothing changes."""
     links = settled(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
+
+    def state_of(rows: DataFrame):
+        """Equal for equal sets of distinct rows."""
+        return rows.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
+
+    state = state_of(links)
     while True:
         both = links.union(links.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
         below = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(below, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(below).where("u != v").distinct()
-        new = settled(small)
-        if not new.exceptAll(links).take(1) and not links.exceptAll(new).take(1):
+        new, before = settled(small), state
+        state = state_of(new)
+        if state == before:
             return new.select(F.col("u").alias("node"), F.col("v").alias("root"))
         links = new
+        released(edges.sparkSession)
 
 
 def near_duplicate_classes(df: DataFrame, key: str = "doc_id", text: str = "text", least: float = SIMILAR) -> DataFrame:
@@ -269,6 +277,7 @@ def near_duplicate_classes(df: DataFrame, key: str = "doc_id", text: str = "text
     alike = f"least(n, m) >= {least} * greatest(n, m)"
     stars = settled(inside.where("k != centre").join(centres, "band").where(alike).select(F.col("k").alias("a"), F.col("centre").alias("b")).distinct())
     linked = settled(verified(stars, keyed, least))
+    released(df.sparkSession)
     roots = components(linked)
     placed = inside.where("members > 2").join(roots.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k")).select("band", "k", "n", "root")
     mixed = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band")
@@ -279,6 +288,7 @@ def near_duplicate_classes(df: DataFrame, key: str = "doc_id", text: str = "text
     still = left.groupBy("band").agg(F.min("k").alias("b"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
     together = settled(left.join(still, "band").select("k", "root", "b"))
     found = settled(linked_in_blocks(together, keyed, least))
+    released(df.sparkSession)
     if found.take(1):
         roots = components(linked.union(found))
     # rows with one id and different texts are one document
