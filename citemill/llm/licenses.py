@@ -18,11 +18,12 @@ the first by name; a file without any licence has nulls; an empty table gives an
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, text_or_empty
+from .common import documents, stored, text_or_empty
 
 LEAST = 0.6
 DIGITS = 6
@@ -115,6 +116,72 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least:
     return scored.groupBy("path").agg(best).select("path", F.col("b.line_no").alias("line_no"), F.col("b.template").alias("template"), (-F.col("b.s")).alias("score"))
 
 
+#: Words in so many lines of this many are sent to all workers: at most this many times the words of a mean line.
+COMMON = 1000
+
+
+def scan_all_words(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least: float = LEAST) -> DataFrame:
+    """As scan, with the document frequencies of all words counted over all lines."""
+    counts = term_counts(templates)
+    cut = lines(files)
+    idf = _frequencies(cut)
+    rows, strong = _template_shares(counts, idf, least)
+    few = stored(cut.where(F.arrays_overlap("words", F.array(*[F.lit(t) for t in sorted(strong)]))), "license-lines")
+    return _best(_scores(few, ["path", "line_no"], rows, idf, least))
+
+
+@dataclass(frozen=True)
+class Frequencies:
+    """Lines, and a table term, n: the lines that have the word."""
+
+    total: int
+    counts: DataFrame
+
+    def weight(self, n: int) -> float:
+        return math.log((self.total + 1) / (n + 1)) + 1
+
+    def weights(self) -> DataFrame:
+        return self.counts.select("term", "n", (F.log((F.lit(self.total) + 1) / (F.col("n") + 1)) + 1).alias("idf"))
+
+
+def _frequencies(cut: DataFrame) -> Frequencies:
+    counted = cut.select(F.explode(F.concat(F.array_distinct("words"), F.array(F.lit("")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    counts = stored(counted, "license-words")
+    total = counts.where("term = ''").agg(F.max("n").alias("n")).first().n or 0
+    return Frequencies(total, counts.where("term != ''"))
+
+
+def _template_shares(counts: dict[str, dict[str, int]], idf: Frequencies, least: float) -> tuple[list[tuple[str, str, float]], set[str]]:
+    """(template, term, share of the dot product per count in a line) and all strong words."""
+    vocabulary = sorted({t for c in counts.values() for t in c})
+    df = {r.term: r.n for r in idf.counts.where(F.col("term").isin(vocabulary)).collect()}  # a row for each word of the templates
+    rows, strong = [], set()
+    for name, c in counts.items():
+        weights = {t: k * idf.weight(df.get(t, 0)) for t, k in c.items()}
+        strong |= strong_words(weights, least)
+        length = math.sqrt(sum(w * w for w in weights.values()))
+        rows += [(name, t, w * idf.weight(df.get(t, 0)) / length) for t, w in weights.items()]
+    return rows, strong
+
+
+def _scores(few: DataFrame, keys: list[str], rows: list[tuple[str, str, float]], idf: Frequencies, least: float) -> DataFrame:
+    """keys, template, score from least on, of the vectors of few (keys, words)."""
+    shares = F.broadcast(few.sparkSession.createDataFrame(rows, "template string, term string, share double"))
+    terms = few.select(*keys, F.explode("words").alias("term")).groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"))
+    common = F.col("n") * COMMON >= idf.total
+    first = terms.join(F.broadcast(idf.weights().where(common).drop("n")), "term", "left")
+    rest = first.where("idf IS NULL").drop("idf").join(idf.weights().where(~common).drop("n"), "term")
+    weighed = first.where("idf IS NOT NULL").unionByName(rest)
+    length = weighed.groupBy(*keys).agg(F.sqrt(F.sum(F.pow(F.col("tf") * F.col("idf"), 2))).alias("length"))
+    dots = terms.join(shares, "term").groupBy(*keys, "template").agg(F.sum(F.col("tf") * F.col("share")).alias("dot"))
+    return dots.join(length, keys).withColumn("score", F.round(F.col("dot") / F.col("length"), DIGITS)).where(F.col("score") >= least)
+
+
+def _best(scored: DataFrame) -> DataFrame:
+    best = F.min(F.struct((-F.col("score")).alias("s"), "line_no", "template")).alias("b")
+    return scored.groupBy("path").agg(best).select("path", F.col("b.line_no").alias("line_no"), F.col("b.template").alias("template"), (-F.col("b.s")).alias("score"))
+
+
 def directory(path: Column) -> Column:
     """Without the last part; the root is the empty string."""
     return F.regexp_replace(path, "/?[^/]*$", "")
@@ -150,6 +217,13 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolved(paths, scan(files))
 
 
+def op3_license_scan_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With the frequencies of all words, which OP3_SQL does not count."""
+    docs = documents(spark, sf_dir, "doc_id", "text", "source")
+    files = docs.select(document_path().alias("path"), text_or_empty().alias("text"))
+    return resolved(docs.select("doc_id", document_path().alias("path")), scan_all_words(files))
+
+
 def _template_rows() -> str:
     return ", ".join(f"('{name}', '{t}', {k})" for name, c in term_counts(TEMPLATES).items() for t, k in c.items())
 

@@ -4,6 +4,7 @@ import hashlib
 import json
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -185,6 +186,28 @@ def test_licenses(spark):
     assert got["z/f.txt"] == ("GPL-3.0", "directory ") and got["n.txt"] == ("GPL-3.0", "directory ")
 
 
+def test_license_words_all_counted(spark):
+    """Brute force; words of no template that every line has must not weigh like rare ones."""
+    notice = "# Copyright 2021 Acme Corp. Licensed under the Apache License, Version 2.0"
+    rows = [(f"f{i}.txt", f"# copyright 2021 of the acme corp {i}\nplain line {i % 7} of the project") for i in range(300)] + [("n.py", notice), ("e.txt", ""), ("z.txt", None)]
+    tokens = lambda s: re.findall("[a-z0-9]+", s.lower())
+    vectors = {(p, k): Counter(tokens(x)) for p, t in rows for k, x in enumerate((t or "").split("\n")) if tokens(x)}
+    df = Counter(w for v in vectors.values() for w in v)
+    idf = lambda w: math.log((len(vectors) + 1) / (df[w] + 1)) + 1
+    size = lambda v: math.sqrt(sum((k * idf(w)) ** 2 for w, k in v.items()))
+    want = {}
+    for (p, k), v in vectors.items():
+        for name, t in licenses.term_counts(licenses.TEMPLATES).items():
+            score = round(sum(v[w] * n * idf(w) ** 2 for w, n in t.items()) / size(v) / size(t), licenses.DIGITS)
+            if score >= licenses.LEAST:
+                want[p] = min(want.get(p, (0, 0, "")), (-score, k, name))
+    files = spark.createDataFrame(rows, "path string, text string")
+    want = {p: (k, name, round(-s, 5)) for p, (s, k, name) in want.items()}
+    rounded = lambda found: {r.path: (r.line_no, r.template, round(r.score, 5)) for r in found.collect()}
+    assert rounded(licenses.scan_all_words(files)) == want and "n.py" in want
+    assert rounded(licenses.scan(files)) != want  # the SQL twin's weights
+
+
 def test_strong_words_lose_nothing():
     rng = random.Random(2)
     weights = {w: rng.random() * 5 for w in WORDS}
