@@ -17,11 +17,16 @@ the first by name; a file without any licence has nulls; an empty table gives an
 
 from __future__ import annotations
 
+import json
 import math
+import re
 from dataclasses import dataclass
+from functools import cache
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import documents, stored, text_or_empty
 
@@ -57,8 +62,6 @@ TEMPLATES = [
 
 def term_counts(templates: list[tuple[str, str]]) -> dict[str, dict[str, int]]:
     """Words and their counts by template name, name#i, i counting from 0."""
-    import re
-
     out: dict[str, dict[str, int]] = {}
     for i, (name, text) in enumerate(templates):
         counts = out.setdefault(f"{name}#{i:02d}", {})
@@ -120,14 +123,102 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least:
 COMMON = 1000
 
 
+# Headers and identifiers that TEMPLATES has not.
+WHOLE_TEMPLATES = [
+    *TEMPLATES,
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("MPL-2.0", "SPDX-License-Identifier: MPL-2.0"),
+    ("LGPL-3.0", "SPDX-License-Identifier: LGPL-3.0-or-later"),
+    ("AGPL-3.0", "SPDX-License-Identifier: AGPL-3.0-or-later"),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
+]
+COMMENT = r"^\s*(#|//|/?\*|--|;|%|<!--)"
+
+
+@cache
+def full_texts() -> dict[str, dict[str, int]]:
+    """Word counts of whole licences, by name, name#full."""
+    with open(Path(__file__).with_name("license_texts.json"), encoding="utf-8") as f:
+        return {f"{k}#full": v for k, v in json.load(f).items()}
+
+
+def scan_whole(files: DataFrame, templates: list[tuple[str, str]] = WHOLE_TEMPLATES, least: float = LEAST, license_file: str = LICENSE_FILE) -> DataFrame:
+    """As scan, with the document frequencies of all words counted over all lines, and of these vectors: lines, runs of lines with
+    words, runs of comment lines, windows as long as a template with one of its strong words in place, whole licence files."""
+    keys, counts = [c for c in files.columns if c != "text"], term_counts(templates)
+    idf = _frequencies(files.select(F.explode(F.split("text", "\n")).alias("line")).select(words(F.col("line")).alias("words")).where(F.size("words") > 0))
+    rows, strong = _template_shares(counts | full_texts(), idf, least)
+    short = [r for r in rows if r[0] in counts]
+    some = {t for name in counts for t in strong[name]}
+    any_strong = lambda c: F.arrays_overlap(c, F.array(*[F.lit(t) for t in sorted(some)]))
+    few = stored(files.where(any_strong(words(F.col("text")))), "license-files")
+    cut = few.select(*keys, F.posexplode(F.split("text", "\n")).alias("line_no", "line")).select(*keys, "line_no", F.col("line").rlike(COMMENT).alias("comment"), words(F.col("line")).alias("words"))
+    squares: dict[str, dict[str, float]] = {}
+    for name, t, share in short:
+        squares.setdefault(name, {})[t] = share * counts[name][t]  # count * idf^2 / length, times count
+    squares = {name: {t: x / sum(own.values()) for t, x in own.items()} for name, own in squares.items()}
+    held = _held(files.sparkSession, templates, strong, squares, least)
+    runs = _runs(cut, keys).where(any_strong("words")).crossJoin(held).where(_reaches("words")).select(*keys, "line_no", "unit", "words").dropDuplicates([*keys, "line_no", "unit"])
+    units = runs.unionByName(_windows(few, keys, held))
+    whole = files.where(F.regexp_extract("path", "([^/]*)$", 1).rlike(license_file))
+    whole = whole.select(*keys, F.lit(0).alias("line_no"), F.lit("file").alias("unit"), words(F.col("text")).alias("words")).where(F.size("words") > 0)
+    at = [*keys, "line_no", "unit"]
+    units = stored(units, "license-units")
+    return _best(_scores(units, at, short, idf, least).unionByName(_scores(whole, at, rows, idf, least)), keys)
+
+
+def _runs(cut: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, line_no (the first one), unit, words of lines, runs of lines with words and runs of comment lines of cut."""
+    out = cut.select(*keys, "line_no", F.lit("line").alias("unit"), "words").where(F.size("words") > 0)
+    w = Window.partitionBy(*keys).orderBy("line_no")
+    for unit, inside in (("run", F.size("words") > 0), ("comment", F.col("comment"))):
+        runs = cut.withColumn("_run", F.sum((~inside).cast("int")).over(w)).where(inside).groupBy(*keys, "_run")
+        got = runs.agg(F.min("line_no").alias("line_no"), F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "words"))), lambda x: x.words)).alias("words"), F.count(F.lit(1)).alias("_n"))
+        out = out.unionByName(got.where("_n > 1").select(*keys, "line_no", F.lit(unit).alias("unit"), "words").where(F.size("words") > 0))
+    return out
+
+
+def _held(spark: SparkSession, templates: list[tuple[str, str]], strong: dict[str, set[str]], squares: dict[str, dict[str, float]], least: float) -> DataFrame:
+    """A row for each template: its words, the strong ones with their places, the share of its squared length that each word has."""
+    out = []
+    for (name, text), at in zip(templates, term_counts(templates), strict=True):
+        own = re.findall("[a-z0-9]+", text.lower())
+        out.append((len(own), [(t, i) for i, t in enumerate(own) if t in strong[at]], list(squares[at].items()), (least * 0.999) ** 2))
+    return F.broadcast(spark.createDataFrame(out, "size int, anchors array<struct<term string, place int>>, squares array<struct<term string, part double>>, bound double"))
+
+
+def _reaches(terms: str) -> Column:
+    """Whether the words of the template among these span at least least of its length: else the cosine is below least."""
+    return F.expr(f"arrays_overlap({terms}, anchors.term)") & F.expr(f"aggregate(transform(array_intersect(squares.term, {terms}), t -> element_at(filter(squares, x -> x.term = t), 1).part), 0D, (a, x) -> a + x) >= bound")
+
+
+def _windows(few: DataFrame, keys: list[str], held: DataFrame) -> DataFrame:
+    """keys, line_no, unit, words of the windows of few's texts in which a strong word of a template stands where it stands there,
+    and which hold enough of its words."""
+    by_line = F.transform(F.split("text", "\n"), lambda x, i: F.transform(words(x), lambda t: F.struct(i.alias("line_no"), t.alias("term"))))
+    tokens = few.select(*keys, F.flatten(by_line).alias("tokens")).withColumn("terms", F.col("tokens.term"))
+    vocabulary = F.array(*[F.lit(r.term) for r in held.select(F.explode("squares.term").alias("term")).distinct().orderBy("term").collect()])
+    known = tokens.withColumn("known", F.array_intersect("terms", vocabulary))
+    near = known.crossJoin(held).where(F.expr("size(terms) >= size") & _reaches("known"))
+    starts = F.expr("""array_distinct(flatten(transform(filter(transform(terms, (t, i) -> struct(t, i)), y -> array_contains(anchors.term, y.t)),
+        y -> transform(filter(anchors, a -> a.term = y.t), a -> y.i - a.place))))""")
+    found = near.withColumn("starts", F.filter(starts, lambda s: (s >= 0) & (s + F.col("size") <= F.size("terms"))))
+    cut = F.transform("starts", lambda s: F.struct(F.get("tokens", s)["line_no"].alias("line_no"), F.concat_ws("+", s, F.col("size")).alias("unit"), F.slice("terms", s + 1, F.col("size")).alias("words")))
+    each = found.select(*keys, "anchors", "squares", "bound", F.explode(cut).alias("x")).select(*keys, "anchors", "squares", "bound", "x.*")
+    return each.where(_reaches("words")).select(*keys, "line_no", "unit", "words").dropDuplicates([*keys, "line_no", "unit"])
+
+
 def scan_all_words(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least: float = LEAST) -> DataFrame:
     """As scan, with the document frequencies of all words counted over all lines."""
-    counts = term_counts(templates)
     cut = lines(files)
     idf = _frequencies(cut)
-    rows, strong = _template_shares(counts, idf, least)
-    few = stored(cut.where(F.arrays_overlap("words", F.array(*[F.lit(t) for t in sorted(strong)]))), "license-lines")
-    return _best(_scores(few, ["path", "line_no"], rows, idf, least))
+    rows, strong = _template_shares(term_counts(templates), idf, least)
+    few = stored(cut.where(F.arrays_overlap("words", F.array(*[F.lit(t) for t in sorted(set().union(*strong.values()))]))), "license-lines")
+    return _best(_scores(few, ["path", "line_no"], rows, idf, least), ["path"])
 
 
 @dataclass(frozen=True)
@@ -151,14 +242,14 @@ def _frequencies(cut: DataFrame) -> Frequencies:
     return Frequencies(total, counts.where("term != ''"))
 
 
-def _template_shares(counts: dict[str, dict[str, int]], idf: Frequencies, least: float) -> tuple[list[tuple[str, str, float]], set[str]]:
-    """(template, term, share of the dot product per count in a line) and all strong words."""
+def _template_shares(counts: dict[str, dict[str, int]], idf: Frequencies, least: float) -> tuple[list[tuple[str, str, float]], dict[str, set[str]]]:
+    """(template, term, share of the dot product per count in a line) and the strong words by template."""
     vocabulary = sorted({t for c in counts.values() for t in c})
     df = {r.term: r.n for r in idf.counts.where(F.col("term").isin(vocabulary)).collect()}  # a row for each word of the templates
-    rows, strong = [], set()
+    rows, strong = [], {}
     for name, c in counts.items():
         weights = {t: k * idf.weight(df.get(t, 0)) for t, k in c.items()}
-        strong |= strong_words(weights, least)
+        strong[name] = strong_words(weights, least)
         length = math.sqrt(sum(w * w for w in weights.values()))
         rows += [(name, t, w * idf.weight(df.get(t, 0)) / length) for t, w in weights.items()]
     return rows, strong
@@ -177,9 +268,9 @@ def _scores(few: DataFrame, keys: list[str], rows: list[tuple[str, str, float]],
     return dots.join(length, keys).withColumn("score", F.round(F.col("dot") / F.col("length"), DIGITS)).where(F.col("score") >= least)
 
 
-def _best(scored: DataFrame) -> DataFrame:
+def _best(scored: DataFrame, keys: list[str]) -> DataFrame:
     best = F.min(F.struct((-F.col("score")).alias("s"), "line_no", "template")).alias("b")
-    return scored.groupBy("path").agg(best).select("path", F.col("b.line_no").alias("line_no"), F.col("b.template").alias("template"), (-F.col("b.s")).alias("score"))
+    return scored.groupBy(*keys).agg(best).select(*keys, F.col("b.line_no").alias("line_no"), F.col("b.template").alias("template"), (-F.col("b.s")).alias("score"))
 
 
 def directory(path: Column) -> Column:
@@ -218,10 +309,10 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_license_scan_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """With the frequencies of all words, which OP3_SQL does not count."""
+    """With the frequencies of all words and with vectors of more than lines, which OP3_SQL has not."""
     docs = documents(spark, sf_dir, "doc_id", "text", "source")
     files = docs.select(document_path().alias("path"), text_or_empty().alias("text"))
-    return resolved(docs.select("doc_id", document_path().alias("path")), scan_all_words(files))
+    return resolved(docs.select("doc_id", document_path().alias("path")), scan_whole(files))
 
 
 def _template_rows() -> str:

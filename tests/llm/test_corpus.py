@@ -208,6 +208,30 @@ def test_license_words_all_counted(spark):
     assert rounded(licenses.scan(files)) != want  # the SQL twin's weights
 
 
+def test_license_notices_beyond_lines(spark):
+    import textwrap
+
+    by = {f"{name}#{i:02d}": t for i, (name, t) in enumerate(licenses.WHOLE_TEMPLATES)}
+    rows, want = [(f"x{i}.txt", f"plain words of file number {i}\nand the second line") for i in range(100)], {}
+    for name, text in by.items():
+        for width in (40, 50, 60):
+            path = f"{name}/{width}.py"
+            rows.append((path, "import os\n# Copyright Acme\n" + "\n".join("# " + x for x in textwrap.wrap(text, width)) + "\ncode = 1"))
+            want[path] = name.split("#")[0]
+        rows.append((f"{name}/long.txt", "well " * 80 + text + " and so on" * 60))
+        want[f"{name}/long.txt"] = name.split("#")[0]
+    got = {r.path: r.template.split("#")[0] for r in licenses.scan_whole(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert got == want
+
+
+def test_license_files_whole(spark):
+    """A text with the word counts of a whole licence, one word a line."""
+    rows = [(f"{name}/{kind}", "\n".join(t for t, k in c.items() for _ in range(k))) for name, c in licenses.full_texts().items() for kind in ("LICENSE", "other.txt")]
+    got = {r.path: r.template for r in licenses.scan_whole(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert all(got[f"{name}/LICENSE"] == name for name in licenses.full_texts())
+    assert not any(t.endswith("#full") for p, t in got.items() if p.endswith("other.txt"))
+
+
 def test_strong_words_lose_nothing():
     rng = random.Random(2)
     weights = {w: rng.random() * 5 for w in WORDS}
