@@ -13,6 +13,7 @@ Dates are texts yyyy-mm-dd or DATEs. A missing row is status ``missing``; a tabl
 
 from __future__ import annotations
 
+import tempfile
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -101,11 +102,30 @@ def closure(edges: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
     return paths
 
 
-def last_repealing(repeals: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
-    """celex, repealed_by: acts at the end of a chain of repeals, that nothing repeals in turn."""
-    reach = closure(repeals.select(F.col("celex").alias("src"), F.col("repealed_by").alias("dst")), depth)
-    ends = reach.join(repeals.select(F.col("celex").alias("dst")).distinct(), "dst", "left_anti")
-    return ends.select(F.col("src").alias("celex"), F.col("dst").alias("repealed_by"))
+def _settled(df: DataFrame) -> DataFrame:
+    """Cuts the lineage by a reliable checkpoint, in spark.checkpoint.dir or, where that is unset, a local folder."""
+    spark = df.sparkSession
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="citemill-"))
+    return df.checkpoint(eager=True)
+
+
+def last_repealing(repeals: DataFrame) -> DataFrame:
+    """celex, repealed_by: acts at the end of a chain of repeals, that nothing repeals in turn.
+
+    Pointers jump: each act points to where the acts it points to point, so as many joins as the log of the longest chain reach all
+    ends, with one row per act where one act repeals another. No simple way is longer than the acts are many, which ends cycles.
+    """
+    edges = repeals.select("celex", "repealed_by").distinct()
+    repealed = edges.select(F.col("celex").alias("repealed_by"), F.lit(True).alias("open")).distinct()
+    at = _settled(edges.join(repealed, "repealed_by", "left").select("celex", "repealed_by", F.col("open").isNotNull().alias("open")))
+    for _ in range(repealed.count().bit_length()):
+        if not at.where("open").take(1):
+            break
+        to = at.select(F.col("celex").alias("repealed_by"), F.col("repealed_by").alias("to"), F.col("open").alias("to_open"))
+        jumped = at.where("open").join(to, "repealed_by").select("celex", F.col("to").alias("repealed_by"), F.col("to_open").alias("open"))
+        at = _settled(at.where("NOT open").unionByName(jumped).distinct())
+    return at.where("NOT open").select("celex", "repealed_by")
 
 
 # ---- metadata of acts

@@ -69,6 +69,12 @@ def last_repealing(spark, sf_dir):
     return works.last_repealing(edges)
 
 
+@query()
+def last_repealing_whole(spark, sf_dir):
+    """Over all orders; a recursive twin would hold every pair of each chain."""
+    return works.last_repealing(_sql(spark, sf_dir, "orders", "o_orderkey AS celex", "o_orderkey + 7 AS repealed_by"))
+
+
 @query("SELECT DISTINCT o_custkey AS id FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey < 12)")
 def existence_filter(spark, sf_dir):
     ids = _sql(spark, sf_dir, "orders", "o_custkey AS id").distinct()

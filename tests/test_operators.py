@@ -186,3 +186,31 @@ def test_scan_plan_stays_in_the_jvm(spark):
     df = detect.scan(readers.from_text(spark, "C-1/10"), builtin.rule_set())
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+def test_last_repealing_without_bound(spark):
+    """Chains of 1 to 100 links, forks, and cycles with and without a way out, against a search."""
+    edges = [(f"c{n}-{i}", f"c{n}-{i + 1}") for n in (1, 2, 31, 64, 100) for i in range(n)]
+    edges += [("f", "c100-0"), ("f", "c31-5"), ("x", "y"), ("y", "x"), ("p", "q"), ("q", "p"), ("q", "c64-0"), ("s", "s")]
+    onward, want = {}, set()
+    for a, b in edges:
+        onward.setdefault(a, []).append(b)
+    for a in onward:
+        seen, left = set(), [a]
+        while left:
+            for b in onward.get(left.pop(), []):
+                if b not in seen:
+                    seen.add(b)
+                    left.append(b)
+        want |= {(a, b) for b in seen if b not in onward}
+    got = works.last_repealing(spark.createDataFrame(edges, "celex string, repealed_by string")).collect()
+    assert len(got) == len(want) and set(map(tuple, got)) == want
+
+
+def test_last_repealing_of_all_orders(spark):
+    from citemill.plans import catalog
+
+    sf = "/root/testdata/sf0.001"
+    keys = {r[0] for r in spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey").collect()}
+    got = dict(map(tuple, catalog.QUERIES["last_repealing_whole"](spark, sf).collect()))
+    assert got.keys() == keys and all(v not in keys and (v - k) % 7 == 0 and all(x in keys for x in range(k, v, 7)) for k, v in got.items())
