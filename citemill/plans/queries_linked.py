@@ -61,6 +61,13 @@ def repeal_closure(spark, sf_dir):
     return works.closure(edges, 20)
 
 
+@query("""WITH RECURSIVE e AS (SELECT o_orderkey AS src, o_orderkey + 7 AS dst FROM orders), c AS (
+  SELECT src, dst, 1 AS depth FROM e UNION ALL SELECT c.src, e.dst, c.depth + 1 FROM c JOIN e ON c.dst = e.src WHERE c.depth < 20)
+SELECT src, dst, CAST(min(depth) AS INTEGER) AS depth FROM c GROUP BY src, dst""")
+def repeal_closure_whole(spark, sf_dir):
+    return works.closure(_sql(spark, sf_dir, "orders", "o_orderkey AS src", "o_orderkey + 7 AS dst"), 20)
+
+
 @query("""WITH RECURSIVE e AS (SELECT o_orderkey AS src, o_orderkey + 7 AS dst FROM orders WHERE o_orderkey < 100), c AS (
   SELECT src, dst, 1 AS depth FROM e UNION ALL SELECT c.src, e.dst, c.depth + 1 FROM c JOIN e ON c.dst = e.src WHERE c.depth < 30)
 SELECT DISTINCT src AS celex, dst AS repealed_by FROM c WHERE dst NOT IN (SELECT src FROM e)""")

@@ -214,3 +214,13 @@ def test_last_repealing_of_all_orders(spark):
     keys = {r[0] for r in spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey").collect()}
     got = dict(map(tuple, catalog.QUERIES["last_repealing_whole"](spark, sf).collect()))
     assert got.keys() == keys and all(v not in keys and (v - k) % 7 == 0 and all(x in keys for x in range(k, v, 7)) for k, v in got.items())
+
+
+def test_repeal_closure_of_all_orders(spark):
+    from citemill.plans import catalog
+
+    sf = "/root/testdata/sf0.001"
+    keys = {r[0] for r in spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey").collect()}
+    want = {(k, k + 7 * d, d) for k in keys for d in range(1, 21) if all(k + 7 * i in keys for i in range(d))}
+    got = set(map(tuple, catalog.QUERIES["repeal_closure_whole"](spark, sf).collect()))
+    assert got == want and {k for k, _, _ in got} == keys
