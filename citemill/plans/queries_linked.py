@@ -132,6 +132,12 @@ def corrections_list(spark, sf_dir):
     return works.corrections(ids, works.Catalogue(corrections=rows), "ENG")
 
 
+@query("SELECT concat('3', o_custkey) AS act, string_agg(concat('3', o_custkey, 'R(', o_orderkey, ')'), ',' ORDER BY concat('3', o_custkey, 'R(', o_orderkey, ')')) AS corrections FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer) GROUP BY o_custkey")
+def corrections_list_whole(spark, sf_dir):
+    rows = _sql(spark, sf_dir, "orders", "concat('3', o_custkey, 'R(', o_orderkey, ')') AS celex", "'ENG' AS published_lang")
+    return works.corrections(_sql(spark, sf_dir, "customer", "concat('3', c_custkey) AS celex"), works.Catalogue(corrections=rows), "ENG")
+
+
 @query("""WITH v AS (SELECT o_custkey AS celex, max(o_totalprice) AS title FROM orders GROUP BY 1)
 SELECT c_custkey AS celex, c_acctbal AS force, coalesce(title, c_nationkey) AS title, CASE WHEN title IS NOT NULL THEN c_custkey END AS original FROM customer LEFT JOIN v ON celex = c_custkey""")
 def pit_override(spark, sf_dir):

@@ -224,3 +224,14 @@ def test_repeal_closure_of_all_orders(spark):
     want = {(k, k + 7 * d, d) for k in keys for d in range(1, 21) if all(k + 7 * i in keys for i in range(d))}
     got = set(map(tuple, catalog.QUERIES["repeal_closure_whole"](spark, sf).collect()))
     assert got == want and {k for k, _, _ in got} == keys
+
+
+def test_corrections_of_all_customers(spark):
+    from citemill.plans import catalog
+
+    sf = "/root/testdata/sf0.01"
+    orders = {(r[0], r[1]) for r in spark.read.parquet(f"{sf}/orders.parquet").select("o_custkey", "o_orderkey").collect()}
+    known = {r[0] for r in spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey").collect()}
+    got = {r.act: r.corrections for r in catalog.QUERIES["corrections_list_whole"](spark, sf).collect()}
+    want = {f"3{c}": ",".join(sorted(f"3{c}R({k})" for x, k in orders if x == c)) for c in {x for x, _ in orders} & known}
+    assert got == want and max(known) > 200 and len(got) > 200
