@@ -3,13 +3,13 @@
 A word is a run of letters of one script. Its script leaves the languages that were seen in that script; each of these
 scores the word by the log-likelihood of its letter trigrams and of the word itself; Viterbi over the words with a penalty
 for every switch labels spans of one language. The document's language is the one with the most letters, its score their
-share.
+share of all letters. Words in a script that no language was seen in belong to none.
 
 Training counts features per language over a sample of labelled rows: all of them up to ``TRAIN_ROWS``, above that those
 whose hashed key lies below the bound that leaves as many. Counts are summed on the executors; the model has a fixed number
 of buckets per language.
 
-Defined results: a null text, or one without letters, is ``und`` with score 0 and no spans; rows without a label teach
+Defined results: a null text, or one without letters of a language, is ``und`` with score 0 and no spans; rows without a label teach
 nothing; a row without a key is held out; languages with equal letters rank by name; repeated rows get equal results; with
 no labelled row at all every text is ``und``; other columns are ignored, whatever their names.
 """
@@ -198,17 +198,20 @@ def identify(texts: list[str], model: Model) -> tuple[list[str], list[float], li
     if not len(model.languages):
         return [UND] * n, [0.0] * n, [[] for _ in texts]
     labels = viterbi(scores, w.bounds)
+    none = ~model.allowed[w.script].any(axis=1)
     text_of = np.repeat(np.arange(n), np.diff(w.bounds))
-    letters = np.bincount(text_of * k + labels, weights=w.letters, minlength=n * k).reshape(n, k)
-    total, top = letters.sum(axis=1), letters.argmax(axis=1)
+    letters = np.bincount(text_of * k + labels, weights=np.where(none, 0, w.letters), minlength=n * k).reshape(n, k)
+    total, known, top = np.bincount(text_of, weights=w.letters, minlength=n), letters.sum(axis=1), letters.argmax(axis=1)
     share = letters[np.arange(n), top] / np.maximum(total, 1)
-    turn = np.flatnonzero((np.diff(labels.astype(np.int16)) != 0) | (np.diff(text_of) != 0)) + 1 if len(labels) else np.empty(0, np.int64)
+    marks = np.where(none, -1, labels.astype(np.int16))
+    turn = np.flatnonzero((np.diff(marks) != 0) | (np.diff(text_of) != 0)) + 1 if len(labels) else np.empty(0, np.int64)
     first = np.concatenate([[0], turn]).astype(np.int64) if len(labels) else turn
     last = np.append(first[1:], len(labels)) - 1 if len(labels) else first
     spans: list[list[dict]] = [[] for _ in texts]
     for a, z in zip(first.tolist(), last.tolist(), strict=True):
-        spans[text_of[a]].append({"lang": model.languages[labels[a]], "start": int(w.at[a]), "end": int(w.at[z] + w.letters[z])})
-    return [model.languages[i] if s else UND for i, s in zip(top.tolist(), total.tolist(), strict=True)], share.tolist(), spans
+        if marks[a] >= 0:
+            spans[text_of[a]].append({"lang": model.languages[labels[a]], "start": int(w.at[a]), "end": int(w.at[z] + w.letters[z])})
+    return [model.languages[i] if s else UND for i, s in zip(top.tolist(), known.tolist(), strict=True)], share.tolist(), spans
 
 
 def train(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = TRAIN_ROWS) -> Model:

@@ -449,6 +449,18 @@ def test_components(spark):
     assert got == {i: root(i) for i in parent if root(i) != i}
 
 
+def test_scripts_of_no_language(spark):
+    """Unlabelled texts in a script that no labelled row has."""
+    rows = [(i, f"das kleine wasser und der berg {i} im garten", "de") for i in range(40)] + [(100 + i, f"the little water and the mountain {i} in a garden", "en") for i in range(40)]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    langs, scores, spans = language.identify(["日本語のテキスト", "Ελληνικά", "the garden 日本", "the little garden and the water", ""], model)
+    assert langs == ["und", "und", "en", "en", "und"]
+    assert scores == [0.0, 0.0, pytest.approx(9 / 11), 1.0, 0.0]
+    assert spans == [[], [], [{"lang": "en", "start": 0, "end": 10}], [{"lang": "en", "start": 0, "end": 31}], []]
+    docs = spark.createDataFrame([(*r, "s", len(r[1])) for r in [*rows, (900, "日本語のテキスト", None)]], SCHEMA)
+    assert 900 not in {r.doc_id for r in corpus_pipeline.identify_language(spark, docs, "").collect()}
+
+
 # ---- packing, token files, pieces
 
 
