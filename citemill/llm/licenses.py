@@ -74,10 +74,16 @@ def words(line: Column) -> Column:
     return F.array_remove(F.split(F.lower(line), "[^a-z0-9]+"), "")
 
 
+def file_keys(files: DataFrame) -> list[str]:
+    """path, and what tells files of one path apart, if given."""
+    return [c for c in ("path", "content") if c in files.columns]
+
+
 def lines(files: DataFrame) -> DataFrame:
-    """path, line_no, words of each line that has any."""
-    cut = files.select("path", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return cut.select("path", "line_no", words(F.col("line")).alias("words")).where(F.size("words") > 0)
+    """path (and content), line_no, words of each line that has any."""
+    keys = file_keys(files)
+    cut = files.select(*keys, F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return cut.select(*keys, "line_no", words(F.col("line")).alias("words")).where(F.size("words") > 0)
 
 
 def strong_words(weights: dict[str, float], least: float = LEAST) -> set[str]:
@@ -92,6 +98,7 @@ def strong_words(weights: dict[str, float], least: float = LEAST) -> set[str]:
 
 def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least: float = LEAST) -> DataFrame:
     """path, line_no, template, score of the best line of each file (path, text) that has one."""
+    keys = file_keys(files)
     spark, counts = files.sparkSession, term_counts(templates)
     vocabulary = sorted({t for c in counts.values() for t in c})
     cut = lines(files)
@@ -110,13 +117,12 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least:
     idfs = F.broadcast(spark.createDataFrame(sorted(idf.items()), "term string, idf double"))
     shares = F.broadcast(spark.createDataFrame(rows, "template string, term string, share double"))
     few = cut.where(F.arrays_overlap("words", F.array(*[F.lit(t) for t in sorted(strong)])))
-    terms = few.select("path", "line_no", F.explode("words").alias("term")).groupBy("path", "line_no", "term").agg(F.count(F.lit(1)).alias("tf"))
+    terms = few.select(*keys, "line_no", F.explode("words").alias("term")).groupBy(*keys, "line_no", "term").agg(F.count(F.lit(1)).alias("tf"))
     weighed = terms.join(idfs, "term", "left")
-    length = weighed.groupBy("path", "line_no").agg(F.sqrt(F.sum(F.when(F.col("idf").isNull(), F.col("tf") * other * other).otherwise(F.pow(F.col("tf") * F.col("idf"), 2)))).alias("length"))
-    dots = terms.join(shares, "term").groupBy("path", "line_no", "template").agg(F.sum(F.col("tf") * F.col("share")).alias("dot"))
-    scored = dots.join(length, ["path", "line_no"]).withColumn("score", F.round(F.col("dot") / F.col("length"), DIGITS)).where(F.col("score") >= least)
-    best = F.min(F.struct((-F.col("score")).alias("s"), "line_no", "template")).alias("b")
-    return scored.groupBy("path").agg(best).select("path", F.col("b.line_no").alias("line_no"), F.col("b.template").alias("template"), (-F.col("b.s")).alias("score"))
+    length = weighed.groupBy(*keys, "line_no").agg(F.sqrt(F.sum(F.when(F.col("idf").isNull(), F.col("tf") * other * other).otherwise(F.pow(F.col("tf") * F.col("idf"), 2)))).alias("length"))
+    dots = terms.join(shares, "term").groupBy(*keys, "line_no", "template").agg(F.sum(F.col("tf") * F.col("share")).alias("dot"))
+    scored = dots.join(length, [*keys, "line_no"]).withColumn("score", F.round(F.col("dot") / F.col("length"), DIGITS)).where(F.col("score") >= least)
+    return _best(scored, keys)
 
 
 #: Words in so many lines of this many are sent to all workers: at most this many times the words of a mean line.
@@ -149,7 +155,7 @@ def full_texts() -> dict[str, dict[str, int]]:
 def scan_whole(files: DataFrame, templates: list[tuple[str, str]] = WHOLE_TEMPLATES, least: float = LEAST, license_file: str = LICENSE_FILE) -> DataFrame:
     """As scan, with the document frequencies of all words counted over all lines, and of these vectors: lines, runs of lines with
     words, runs of comment lines, windows as long as a template with one of its strong words in place, whole licence files."""
-    keys, counts = [c for c in files.columns if c != "text"], term_counts(templates)
+    keys, counts = file_keys(files), term_counts(templates)
     idf = _frequencies(files.select(F.explode(F.split("text", "\n")).alias("line")).select(words(F.col("line")).alias("words")).where(F.size("words") > 0))
     rows, strong = _template_shares(counts | full_texts(), idf, least)
     short = [r for r in rows if r[0] in counts]
@@ -218,7 +224,7 @@ def scan_all_words(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATE
     idf = _frequencies(cut)
     rows, strong = _template_shares(term_counts(templates), idf, least)
     few = stored(cut.where(F.arrays_overlap("words", F.array(*[F.lit(t) for t in sorted(set().union(*strong.values()))]))), "license-lines")
-    return _best(_scores(few, ["path", "line_no"], rows, idf, least), ["path"])
+    return _best(_scores(few, [*file_keys(files), "line_no"], rows, idf, least), file_keys(files))
 
 
 @dataclass(frozen=True)
@@ -289,7 +295,7 @@ def resolved(files: DataFrame, found: DataFrame, license_file: str = LICENSE_FIL
     up = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
     ancestors = dirs.select("dir", F.posexplode(F.array_distinct(up)).alias("depth", "above"))
     nearest = ancestors.join(given, "above").groupBy("dir").agg(F.max(F.struct("depth", "above", "license")).alias("x"))
-    own = files.join(found, "path", "left").withColumn("dir", directory(F.col("path"))).join(nearest, "dir", "left")
+    own = files.join(found, [c for c in file_keys(found) if c in files.columns], "left").withColumn("dir", directory(F.col("path"))).join(nearest, "dir", "left")
     by = F.when(F.col("template").isNotNull(), F.lit("file")).when(F.col("x").isNotNull(), F.concat(F.lit("directory "), F.col("x.above")))
     return own.select(*files.columns, "line_no", "template", "score", by.alias("licensed_by"), F.coalesce(license_of, F.col("x.license")).alias("license"))
 
@@ -301,18 +307,21 @@ def document_path() -> Column:
     return F.concat_ws("/", F.coalesce(F.col("source"), F.lit("none")), part(1000), part(50), name)
 
 
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, path, content, text. Documents without an id share a path, and so do repeated ids; their text tells them apart."""
+    text = text_or_empty()
+    return documents(spark, sf_dir, "doc_id", "text", "source").select("doc_id", document_path().alias("path"), F.sha2(text, 256).alias("content"), text.alias("text"))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir, "doc_id", "text", "source")
-    files = docs.select(document_path().alias("path"), text_or_empty().alias("text"))
-    paths = docs.select("doc_id", document_path().alias("path"))
-    return resolved(paths, scan(files))
+    files = _files(spark, sf_dir)
+    return resolved(files.drop("text"), scan(files.drop("doc_id"))).drop("content")
 
 
 def op3_license_scan_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With the frequencies of all words and with vectors of more than lines, which OP3_SQL has not."""
-    docs = documents(spark, sf_dir, "doc_id", "text", "source")
-    files = docs.select(document_path().alias("path"), text_or_empty().alias("text"))
-    return resolved(docs.select("doc_id", document_path().alias("path")), scan_whole(files))
+    files = _files(spark, sf_dir)
+    return resolved(files.drop("text"), scan_whole(files.drop("doc_id"))).drop("content")
 
 
 def _template_rows() -> str:

@@ -232,6 +232,16 @@ def test_license_files_whole(spark):
     assert not any(t.endswith("#full") for p, t in got.items() if p.endswith("other.txt"))
 
 
+@pytest.mark.parametrize("name", ["op3_license_scan", "op3_license_scan_whole"])
+def test_license_files_of_one_path(spark, tmp_path, name):
+    """Texts without an id, and a repeated id: lines of different documents are no one line."""
+    rows = [(None, f"other words {i} stand here in this line of text number {i}", "en", "s", 1) for i in range(30)]
+    rows += [(None, "Licensed under CC BY 4.0", "en", "s", 1), (7, "Released under the MIT License.", "en", "s", 1), (7, "nothing", "en", "s", 1)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    got = Counter((r.doc_id, r.license, r.licensed_by) for r in registry.QUERIES[name](spark, str(tmp_path)).collect())
+    assert got == {(None, None, None): 30, (None, "CC-BY-4.0", "file"): 1, (7, "MIT", "file"): 1, (7, None, None): 1}
+
+
 def test_strong_words_lose_nothing():
     rng = random.Random(2)
     weights = {w: rng.random() * 5 for w in WORDS}
