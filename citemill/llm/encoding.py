@@ -1,9 +1,10 @@
 """Encoding by the tokenizers library, with each distinct pre-token encoded once per worker.
 
 Pre-tokens are encoded independently of each other by the models read here, so the ids of a text are the ids of its
-pre-tokens in order. Texts are split by the tokenizer's own pattern where all characters lie in a range in which the
-pattern means the same in both regex engines; any other text, and any tokenizer of another make-up, goes to the library whole.
-Strings of special tokens in a text are ordinary text.
+pre-tokens in order. Where all characters lie in a range in which the tokenizer's split pattern is known here, texts are cut
+into pre-tokens by the classes of their characters, many texts at once. Any other text, texts that hold the content of an added
+token, texts with very long pre-tokens, and any tokenizer of another make-up go to the library whole; so ids are the library's
+for every text.
 """
 
 from __future__ import annotations
@@ -11,22 +12,39 @@ from __future__ import annotations
 import json
 import os
 import re
+import unicodedata
+from functools import cache
 
 import numpy as np
-import regex
+import pyarrow as pa
 
 # The split patterns of the two tokenizer makes.
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Outside it, engines may differ in letters, white space or case.
-UNSURE = re.compile("[^\x00-\x1b\x20-\x84\x86-įı-ɏ]")
-#: A space between white space and white space or the end belongs to a longer run: cutting there would split it.
-LOOSE = re.compile(r"\s (?:\s|\Z)")
-#: Distinct chunks that a worker remembers; beyond it starts anew.
-REMEMBERED = 800_000
-
-
-class _Codes(dict):
+#: Outside it, a text goes to the library whole.
+UNSURE = re.compile("[^\x00-\x1b\x20-\x84\x86-\x9f\xa1-įı-ɏ]")
+LAST = 0x24F
+#: A character that no sure text has; it keeps texts and words apart.
+APART = "\x1f"
+#: Distinct pieces that a worker remembers (beyond it starts anew), and bytes of the longest.
+REMEMBERED = 400_000
+LONGEST = 256
+SPACE, LETTER, DIGIT, OTHER, BETWEEN = range(5)
+#: What may follow an apostrophe as one pre-token with it.
+CONTRACTED = (b"s", b"t", b"m", b"d", b"re", b"ve", b"ll")
+#: Bytes of text that are cut at once.
+PART = 4_000_000
+
+
+def byte_characters() -> dict[int, str]:
+    """The printable character that stands for each byte in byte-level vocabularies; APART becomes a space."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    out = {b: chr(b) for b in shown}
+    out |= {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in out)}
+    return out | {ord(APART): " "}
+
+
+class Codes(dict):
     """Piece to number; unseen pieces get the next number and wait in fresh."""
 
     def __init__(self) -> None:
@@ -38,26 +56,92 @@ class _Codes(dict):
         self.fresh.append(piece)
         return n
 
+    def taken(self) -> list[str]:
+        out, self.fresh = self.fresh, []
+        return out
+
 
-class _Runs:
-    """Arrays of numbers, one after the other, that grow at the end."""
+class Runs:
+    """Arrays of numbers, one after the other, that grow at the end; room doubles."""
 
     def __init__(self) -> None:
-        self.flat, self.at = np.empty(0, np.uint32), np.zeros(1, np.int64)
+        self._flat, self._ends, self.n = np.empty(1024, np.uint32), np.zeros(1024, np.int64), 0
 
     def add(self, flat: np.ndarray, sizes: np.ndarray) -> None:
-        self.flat = np.concatenate([self.flat, flat.astype(np.uint32)])
-        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(sizes, dtype=np.int64)])
+        held, m = int(self._ends[self.n]), len(sizes)
+        while len(self._flat) < held + len(flat):
+            self._flat = np.concatenate([self._flat, np.empty_like(self._flat)])
+        while len(self._ends) < self.n + m + 1:
+            self._ends = np.concatenate([self._ends, np.empty_like(self._ends)])
+        self._flat[held : held + len(flat)] = flat
+        self._ends[self.n + 1 : self.n + m + 1] = held + np.cumsum(sizes, dtype=np.int64)
+        self.n += m
 
     def of(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The runs with these numbers, joined, and the bounds of each."""
-        first, size = self.at[:-1][codes], np.diff(self.at)[codes]
+        first = self._ends[codes]
+        size = self._ends[codes + 1] - first
         ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
-        return self.flat[np.repeat(first - ends[:-1], size) + np.arange(ends[-1])], ends
+        return self._flat[np.repeat(first - ends[:-1], size) + np.arange(ends[-1])], ends
+
+
+@cache
+def _classes() -> np.ndarray:
+    """Class of each character up to LAST."""
+    out = np.full(LAST + 1, OTHER, np.uint8)
+    for c in range(LAST + 1):
+        x = chr(c)
+        out[c] = LETTER if x.isalpha() else DIGIT if unicodedata.category(x)[0] == "N" else SPACE if x.isspace() else OTHER
+    out[ord(APART)] = BETWEEN
+    return out
+
+
+def pre_token_starts(data: np.ndarray, kind: str) -> np.ndarray:
+    """The first byte of each pre-token of texts in UTF-8, every text followed by APART, which counts as one. With words,
+    white space is a piece of its own; with bytes, a space goes with what follows it."""
+    of = _classes()
+    cls = of[np.minimum(data, 127)]
+    lead = np.flatnonzero(data >= 0xC0)
+    cls[lead] = cls[lead + 1] = of[np.minimum((data[lead].astype(np.int64) & 31) << 6 | data[lead + 1] & 63, LAST)]
+    new = np.ones(len(data), bool)
+    new[1:] = (cls[1:] != cls[:-1]) | (cls[1:] == BETWEEN)
+    if kind == "byte":
+        solid = (cls != SPACE) & (cls != BETWEEN)
+        new[:-1] |= (cls[:-1] == SPACE) & solid[1:]  # the last of a run of white space stands alone or goes with what follows
+        new[1:] &= ~((data[:-1] == 32) & solid[1:])
+    else:
+        new |= cls == DIGIT
+        new[lead + 1] = False
+    marks = np.flatnonzero(new & (data == 39))
+    for end in CONTRACTED:
+        own = marks[marks + len(end) + 1 < len(data)]
+        for i, byte in enumerate(end, 1):
+            own = own[data[own + i] == byte]
+        new[own + 1] = False
+        new[own + len(end) + 1] = True
+    return np.flatnonzero(new)
+
+
+def distinct(data: np.ndarray, at: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """The distinct pieces of data (UTF-8) that begin at these bytes, and all pieces in order as places among them."""
+    edges = np.append(at, len(data)).astype(np.int64)
+    held = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(edges), pa.py_buffer(data)).dictionary_encode()
+    return held.dictionary.to_pylist(), np.asarray(held.indices)
+
+
+def parts(sizes: list[int], limit: int) -> list[tuple[int, int]]:
+    """Bounds of consecutive groups of about limit, one at least in each."""
+    out, a, held = [], 0, 0
+    for i, n in enumerate(sizes):
+        if held and held + n > limit:
+            out.append((a, i))
+            a, held = i, 0
+        held += n
+    return [*out, (a, len(sizes))] if a < len(sizes) else out
 
 
 class Encoder:
-    """Texts are cut at white space into chunks, chunks by the pattern into pre-tokens; both are remembered."""
+    """Distinct pieces are remembered with their ids."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -65,19 +149,23 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
-            self.kind = self._kind(json.load(f))
-        self.find = regex.compile(BYTE_PATTERN if self.kind == "byte" else WORD_PATTERN).findall
+            made = json.load(f)
+        self.kind = self._kind(made)
+        self.added = [x["content"] for x in made.get("added_tokens", [])]
+        if self.kind:  # the same model over words that are cut and mapped already
+            self.words_alone = Tokenizer.from_str(json.dumps(made | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "post_processor": None, "added_tokens": []}))
+        self.shown = byte_characters()
         self._reset()
 
     def _reset(self) -> None:
-        self.chunks, self.words = _Codes(), _Codes()
-        self.chunk_words, self.word_ids = _Runs(), _Runs()
+        self.codes, self.runs = Codes(), Runs()
 
     @staticmethod
     def _kind(made: dict) -> str | None:
-        norm, pre = made.get("normalizer"), made.get("pre_tokenizer") or {}
+        norm, pre, model = made.get("normalizer"), made.get("pre_tokenizer") or {}, made.get("model", {})
+        if model.get("type") != "BPE" or model.get("dropout"):
+            return None
         if not norm and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space"):
             return "byte"
         steps = [x.get("type") for x in (norm or {}).get("normalizers", [])]
@@ -89,70 +177,63 @@ class Encoder:
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def _cut(self, text: str) -> list[str]:
-        """Chunks that no pre-token crosses: with bytes each keeps the space before it; words have none."""
-        if self.kind == "word":
-            return text.lower().split()
-        if LOOSE.search(text):
-            return self.find(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
+    def _unsure(self, text: str, low: str) -> bool:
+        return self.kind is None or bool(UNSURE.search(text)) or any(x in text or x in low for x in self.added)
 
     def _learn(self) -> None:
-        fresh, self.chunks.fresh = self.chunks.fresh, []
-        if not fresh:
-            return
-        number, found = self.words.__getitem__, [self.find(c) for c in fresh]
-        flat = np.fromiter((number(w) for ws in found for w in ws), np.uint32)
-        self.chunk_words.add(flat, np.fromiter(map(len, found), np.int64))
-        fresh, self.words.fresh = self.words.fresh, []
-        apart = "\n" if self.kind == "byte" else " "
-        flats, sizes = [np.empty(0, np.uint32)], [np.empty(0, np.int64)]
+        fresh = self.codes.taken()
         for i in range(0, len(fresh), 8192):
-            part = fresh[i : i + 8192]
-            groups = [part[j : j + 256] for j in range(0, len(part), 256)]
-            for group, e in zip(groups, self.tokenizer.encode_batch([apart.join(g) for g in groups], add_special_tokens=False), strict=True):
-                ids, of = np.array(e.ids, np.uint32), np.array(e.word_ids, np.int64)
-                if self.kind == "byte":  # every second pre-token is what sets them apart
-                    ids, of, whole = ids[of % 2 == 0], of[of % 2 == 0] // 2, int(of.max(initial=-1)) == 2 * len(group) - 2
-                else:
-                    whole = int(of.max(initial=-1)) == len(group) - 1
-                if whole and not any(w.isspace() for w in group):
-                    flats.append(ids)
-                    sizes.append(np.bincount(of, minlength=len(group)))
-                else:
-                    each = self._whole(group)
-                    flats += each
-                    sizes.append(np.array([len(x) for x in each]))
-        self.word_ids.add(np.concatenate(flats), np.concatenate(sizes))
+            some = fresh[i : i + 8192]
+            real = [w for w in some if w != APART and not (self.kind == "word" and w.isspace())]
+            groups = [real[j : j + 256] for j in range(0, len(real), 256)]
+            shown = [APART.join(g).encode().decode("latin-1").translate(self.shown) for g in groups]
+            flats, sizes = [np.empty(0, np.uint32)], [np.empty(0, np.int64)]
+            for group, e in zip(groups, self.words_alone.encode_batch(shown, add_special_tokens=False), strict=True):
+                flats.append(np.array(e.ids, np.uint32))
+                sizes.append(np.bincount(np.array(e.word_ids, np.int64), minlength=len(group)))
+            size = np.concatenate(sizes)
+            if len(real) < len(some):
+                held = np.zeros(len(some), np.int64)
+                held[[w != APART and not (self.kind == "word" and w.isspace()) for w in some]] = size
+                size = held
+            self.runs.add(np.concatenate(flats), size)
 
     def encode(self, texts: list[str], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and len(texts) + 1 bounds; end: an id put after each text."""
-        if len(self.chunks) > REMEMBERED:
+        flats, sizes = [np.empty(0, np.uint32)], [np.zeros(1, np.int64)]
+        for a, z in parts([len(t) for t in texts], PART):
+            ids, bounds = self._part(texts[a:z], end)
+            flats.append(ids)
+            sizes.append(np.diff(bounds))
+        return np.concatenate(flats), np.cumsum(np.concatenate(sizes))
+
+    def _part(self, texts: list[str], end: int | None) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.codes) > REMEMBERED:
             self._reset()
-        spare: dict[int, np.ndarray] = {}
-        if odd := [i for i, t in enumerate(texts) if self.kind is None or UNSURE.search(t)]:
-            spare = dict(zip(odd, self._whole([texts[i] for i in odd]), strict=True))
-        codes: list[int] = []
-        counts, number = [], self.chunks.__getitem__
-        for i, t in enumerate(texts):
-            n = len(codes)
-            if i not in spare:
-                codes.extend(map(number, self._cut(t)))
-            counts.append(len(codes) - n)
+        own = texts if self.kind != "word" else [t.lower() for t in texts]
+        odd = {i for i, (t, low) in enumerate(zip(texts, own, strict=True)) if self._unsure(t, low)}
+        data, at = self._starts(own, odd)
+        if (long := at[:-1][np.diff(at) > LONGEST]).size:
+            ends = np.flatnonzero(data == ord(APART))
+            odd |= set(np.searchsorted(ends, long).tolist())
+            data, at = self._starts(own, odd)
+        pieces, codes = distinct(data, at)
+        numbers = np.fromiter(map(self.codes.__getitem__, pieces), np.int64, len(pieces))
         self._learn()
-        words, chunk_ends = self.chunk_words.of(np.array(codes, np.int64))
-        ids, word_ends = self.word_ids.of(words)
-        bounds = word_ends[chunk_ends[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]] if texts else np.zeros(1, np.int64)
-        if not spare and end is None:
-            return ids, bounds
-        parts, lengths = [], []
-        mark = np.array([] if end is None else [end], np.uint32)
-        for i in range(len(texts)):
-            own = spare[i] if i in spare else ids[bounds[i] : bounds[i + 1]]
-            parts += [own, mark]
-            lengths.append(len(own) + len(mark))
-        return (np.concatenate(parts) if parts else ids), np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+        ids, ends = self.runs.of(numbers[codes])
+        bounds = np.concatenate([[0], ends[np.flatnonzero(data[at] == ord(APART))]])
+        if odd:
+            spare = dict(zip(sorted(odd), self._whole([texts[i] for i in sorted(odd)]), strict=True))
+            runs = [spare[i] if i in spare else ids[a:z] for i, (a, z) in enumerate(zip(bounds[:-1], bounds[1:], strict=True))]
+            ids, bounds = np.concatenate(runs), np.concatenate([[0], np.cumsum([len(x) for x in runs])])
+        if end is not None:
+            ids, bounds = np.insert(ids, bounds[1:], np.uint32(end)), bounds + np.arange(len(bounds))
+        return ids, bounds
+
+    def _starts(self, texts: list[str], without: set[int]) -> tuple[np.ndarray, np.ndarray]:
+        held = [t + APART if i not in without else APART for i, t in enumerate(texts)]
+        data = np.frombuffer("".join(held).encode(), np.uint8)
+        return data, pre_token_starts(data, self.kind or "byte")
 
 
 _LOADED: dict[str, Encoder] = {}

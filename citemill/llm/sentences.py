@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, session, text_or_empty
-from .encoding import REMEMBERED, _Codes, _Runs
+from .encoding import REMEMBERED, Codes, Runs
 from .packing import tokenizer_path
 
 MARK = "▁"
@@ -87,7 +87,7 @@ class Pieces:
         raw = [self._raw(p, s, k) for p, s, k in pieces]
         self.raw = np.frombuffer(b"".join(raw), np.uint8)
         self.raw_at = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
-        self.codes, self.runs = _Codes(), _Runs()
+        self.codes, self.runs = Codes(), Runs()
 
     @classmethod
     def load(cls, path: str) -> Pieces:
@@ -227,7 +227,7 @@ class Pieces:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and len(texts) + 1 bounds."""
         if len(self.codes) > REMEMBERED:
-            self.codes, self.runs = _Codes(), _Runs()
+            self.codes, self.runs = Codes(), Runs()
         codes: list[int] = []
         counts, number = [0], self.codes.__getitem__
         for t in texts:
