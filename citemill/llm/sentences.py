@@ -1,8 +1,8 @@
 """SentencePiece encoding and decoding by a forward pass that words with common prefixes share.
 
-Distinct marked words (a run of marks and what follows it) are sorted; going through them in that order is a depth-first
-traversal of their trie, so the forward states of the prefix that a word shares with the one before are kept, and only the
-rest is computed.
+Distinct marked words (a run of marks and what follows it, cut again between characters that stand side by side in no piece)
+are sorted; going through them in that order is a depth-first traversal of their trie, so the forward states of the prefix that
+a word shares with the one before are kept, and only the rest is computed.
 
 With a unigram model a prefix's state is its best score and last piece (Viterbi). With a BPE model scores are merge ranks, and
 their best sum isn't what the model's merges give. There, a prefix's state is its only surviving path: the last piece of the
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, session, text_or_empty
-from .encoding import REMEMBERED, Codes, Runs
+from .encoding import APART, PART, REMEMBERED, Codes, Runs, distinct, parts
 from .packing import tokenizer_path
 
 MARK = "▁"
@@ -40,7 +40,7 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNKNOWN_PENALTY = 10.0
 REPLACED = " ⁇ "
 #: Pairs of pieces whose compatibility a worker remembers.
-PAIRS = 2_000_000
+PAIRS = 500_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -77,13 +77,21 @@ class Pieces:
         self.score = [s for _, s, _ in pieces]
         self.bytes = {int(p[1:-1], 16): i for i, (p, _, kind) in enumerate(pieces) if kind == BYTE}
         self.unknown = next((i for i, p in enumerate(pieces) if p[2] == UNKNOWN), 0)
-        self.longest = max(map(len, self.id_of), default=1)
         self.low = min((self.score[i] for i in self.id_of.values()), default=0.0) - UNKNOWN_PENALTY
-        self.ends: dict[str, list[int]] = {}  # lengths of the pieces that end in a character, the longest first
+        self.trie: dict = {}  # character to node; the piece that ends in a node stands under the empty string
+        self.joined = np.zeros((128, 128), bool)  # ASCII characters side by side in a piece, the mark being a space
         for p in self.id_of:
-            self.ends.setdefault(p[-1], []).append(len(p))
-        self.ends = {c: sorted(set(n), reverse=True) for c, n in self.ends.items()}
+            node = self.trie
+            for c in p:
+                node = node.setdefault(c, {})
+            node[""] = p
+            codes = [ord(c) for c in p.replace(MARK, " ")]
+            for x, y in zip(codes, codes[1:], strict=False):
+                if x < 128 and y < 128:
+                    self.joined[x, y] = True
+        self.marks_lead = not any(MARK in p.lstrip(MARK) for p in self.id_of)
         self.pairs: dict[tuple[str, str], bool] = {}
+        self.lone: dict[str, bool] = {}
         raw = [self._raw(p, s, k) for p, s, k in pieces]
         self.raw = np.frombuffer(b"".join(raw), np.uint8)
         self.raw_at = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
@@ -152,52 +160,61 @@ class Pieces:
         return got
 
     def segments(self, words: list[str]) -> Iterator[tuple[str, list[str]]]:
-        """(word, pieces) of sorted words. state[i] is (score, piece) of the first i characters, None where no path ends."""
-        state: list[tuple[float, str] | None] = [(0.0, "")]
-        before = ""
+        """(word, pieces) of sorted words. last[i] is the piece at the end of the path of the first i characters, None where no
+        path ends; score[i] its score; begun[i] the pieces that may go on there (start, node of their trie), the longest first."""
+        last: list[str | None] = [""]
+        score, begun, before = [0.0], [[]], ""
+        extend = self._best if self.model == UNIGRAM else self._survivor
         for word in words:
             shared = 0
-            for a, b in zip(before, word, strict=False):
-                if a != b:
+            for x, y in zip(before, word, strict=False):
+                if x != y:
                     break
                 shared += 1
-            del state[shared + 1 :]
-            for i in range(shared + 1, len(word) + 1):
-                state.append(self._best(word, i, state) if self.model == UNIGRAM else self._survivor(word, i, state))
+            del last[shared + 1 :], score[shared + 1 :], begun[shared + 1 :]
+            for i in range(shared, len(word)):
+                extend(word[i], i, last, score, begun)
             out, at = [], len(word)
             while at:
-                out.append(state[at][1])
+                out.append(last[at])
                 at -= len(out[-1])
             yield word, out[::-1]
             before = word
 
-    def _best(self, word: str, i: int, state: list) -> tuple[float, str] | None:
-        found = None
-        for n in self.ends.get(word[i - 1], ()):
-            if n <= i and state[i - n] is not None and (k := self.id_of.get(piece := word[i - n : i])) is not None:
-                score = state[i - n][0] + self.score[k]
-                if found is None or score > found[0]:
-                    found = (score, piece)
-        if word[i - 1] not in self.id_of and state[i - 1] is not None:
-            score = state[i - 1][0] + self.low
-            if found is None or score > found[0]:
-                found = (score, word[i - 1])
-        return found
-
-    def _survivor(self, word: str, i: int, state: list) -> tuple[float, str] | None:
-        for n in self.ends.get(word[i - 1], ()):
-            if 1 < n <= i and (last := state[i - n]) is not None and (piece := word[i - n : i]) in self.id_of:
-                if self._whole(piece) if i == n else self._apart(last[1], piece):
-                    return (0.0, piece)
-        last = state[i - 1]
-        return (0.0, word[i - 1]) if i == 1 or last is not None and self._apart(last[1], word[i - 1]) else None
-
-    def _whole(self, piece: str) -> bool:
-        return self._apart("", piece) if len(piece) == 1 else self._lone(piece)
+    def _best(self, c: str, i: int, last: list, score: list, begun: list) -> None:
+        found, top, still = None, 0.0, []
+        for j, node in [*begun[i], (i, self.trie)]:
+            if (node := node.get(c)) is not None:
+                still.append((j, node))
+                if (piece := node.get("")) is not None and last[j] is not None:
+                    total = score[j] + self.score[self.id_of[piece]]
+                    if found is None or total > top:
+                        found, top = piece, total
+        if c not in self.id_of and last[i] is not None and (found is None or score[i] + self.low > top):
+            found, top = c, score[i] + self.low
+        last.append(found)
+        score.append(top)
+        begun.append(still)
+
+    def _survivor(self, c: str, i: int, last: list, score: list, begun: list) -> None:
+        found, still = None, []
+        for j, node in begun[i]:
+            if (node := node.get(c)) is not None:
+                still.append((j, node))
+                if found is None and (piece := node.get("")) is not None and (end := last[j]) is not None:
+                    if self._apart(end, piece) if j else self._lone(piece):
+                        found = piece
+        if (node := self.trie.get(c)) is not None:
+            still.append((i, node))
+        if found is None and (not i or last[i] is not None and self._apart(last[i], c)):
+            found = c
+        last.append(found)
+        score.append(0.0)
+        begun.append(still)
 
     def _lone(self, piece: str) -> bool:
-        if (got := self.pairs.get((piece, ""))) is None:
-            got = self.pairs[piece, ""] = self.merged(piece) == [piece]
+        if (got := self.lone.get(piece)) is None:
+            got = self.lone[piece] = self.merged(piece) == [piece]
         return got
 
     def _ids(self, pieces: list[str]) -> list[int]:
@@ -224,22 +241,48 @@ class Pieces:
                 marks = 0
         return out + [MARK * marks] * (marks > 0)
 
+    def _cut(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Distinct words of texts without marks or APART, the words in order as places among them, len(texts) + 1 bounds."""
+        lead = " " if self.dummy else ""
+        data = np.frombuffer("".join([lead + t + APART if t else APART for t in texts]).encode(), np.uint8)
+        end = data == ord(APART)
+        new = end.copy()
+        new[:1] = True
+        new[1:] |= end[:-1]
+        plain = data < 128
+        new[1:] |= plain[1:] & plain[:-1] & ~self.joined[data[:-1] & 127, data[1:] & 127]
+        if self.marks_lead:
+            new[1:] |= (data[1:] == 32) & (data[:-1] != 32)
+        at = np.flatnonzero(new)
+        words, codes = distinct(data, at)
+        own = ~end[at]
+        return [w.replace(" ", MARK) if w != APART else "" for w in words], codes[own], np.concatenate([[0], np.cumsum(own)[~own] if len(at) else []]).astype(np.int64)
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and len(texts) + 1 bounds."""
+        flats, sizes = [np.empty(0, np.uint32)], [np.zeros(1, np.int64)]
+        for a, z in parts([len(t) for t in texts], PART):
+            ids, bounds = self._part(texts[a:z])
+            flats.append(ids)
+            sizes.append(np.diff(bounds))
+        return np.concatenate(flats), np.cumsum(np.concatenate(sizes))
+
+    def _part(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.codes) > REMEMBERED:
             self.codes, self.runs = Codes(), Runs()
-        codes: list[int] = []
-        counts, number = [0], self.codes.__getitem__
-        for t in texts:
-            codes.extend(map(number, self.marked(t)))
-            counts.append(len(codes))
-        fresh, self.codes.fresh = self.codes.fresh, []
-        if fresh:
+        odd = {i: self.marked(t) for i, t in enumerate(texts) if APART in t or MARK in t}
+        words, places, bounds = self._cut(["" if i in odd else t for i, t in enumerate(texts)])
+        number = self.codes.__getitem__
+        codes = np.fromiter(map(number, words), np.int64, len(words))[places]
+        if odd:
+            runs = [np.array([number(w) for w in odd[i]] if i in odd else codes[a:z], np.int64) for i, (a, z) in enumerate(zip(bounds[:-1], bounds[1:], strict=True))]
+            codes, bounds = np.concatenate(runs), np.concatenate([[0], np.cumsum([len(x) for x in runs])])
+        if fresh := self.codes.taken():
             ids = {w: self._ids(p) for w, p in self.segments(sorted(fresh))}
             own = [ids[w] for w in fresh]
             self.runs.add(np.fromiter((i for x in own for i in x), np.uint32), np.fromiter(map(len, own), np.int64))
-        flat, ends = self.runs.of(np.array(codes, np.int64))
-        return flat, ends[np.array(counts, np.int64)]
+        flat, ends = self.runs.of(codes)
+        return flat, ends[bounds]
 
     # ---- decoding
 
