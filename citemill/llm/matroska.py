@@ -11,16 +11,19 @@ so others may have any name. Everything is local to a row: no shuffle, and Pytho
 
 from __future__ import annotations
 
+import hashlib
 import json
-from collections.abc import Iterator
+import zlib
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, session, text_or_empty
 
 UNIT = 64
 RATE_PER_MS = 8  # samples of one byte
@@ -336,13 +339,15 @@ def payload_of(data: bytes, parsed: Parsed, track: int = 1) -> bytes:
 
 def features(payload: bytes, parsed: Parsed) -> str:
     """Canonical JSON: structure of the file, and level, spread and zero crossings of the samples read back."""
-    x = np.frombuffer(payload, np.uint8).astype(np.int64)
-    near = x - 128
-    kinds = [p[6] for p in parsed.packets]
+    x = np.frombuffer(payload, np.uint8)
+    levels, low = np.bincount(x, minlength=256), x < 128
+    value = np.arange(256)
+    kinds = Counter(p[6] for p in parsed.packets)
+    starts = {a - w for a in parsed.clusters for w in range(5, 13)}
     return json.dumps({
         "status": parsed.status, "codec": parsed.tracks[0]["codec"] if parsed.tracks else "", "clusters": len(parsed.clusters), "blocks": parsed.blocks, "packets": len(parsed.packets), "cues": len(parsed.cues),
-        "cues_hit": sum(c[2] in {a - w for a in parsed.clusters for w in range(5, 13)} for c in parsed.cues), "lacing": {k: kinds.count(k) for k in LACINGS if k in kinds}, "duration_ms": len(x) // RATE_PER_MS,
-        "sum": int(x.sum()), "energy": int((near * near).sum()), "crossings": int(((near[1:] < 0) != (near[:-1] < 0)).sum()), "peak": int(x.max()) if len(x) else 0,
+        "cues_hit": sum(c[2] in starts for c in parsed.cues), "lacing": {k: kinds[k] for k in LACINGS if k in kinds}, "duration_ms": len(x) // RATE_PER_MS,
+        "sum": int((levels * value).sum()), "energy": int((levels * (value - 128) ** 2).sum()), "crossings": int(np.count_nonzero(low[1:] != low[:-1])), "peak": int(levels.nonzero()[0].max(initial=0)),
     }, sort_keys=True, separators=(",", ":"))
 
 
@@ -353,69 +358,70 @@ _PACKET_ARROW = pa.struct([("track", pa.int64()), ("timestamp_ns", pa.int64()),
 _NAMES = [f.name for f in _PACKET_ARROW]
 
 
-def _in_parts(rows: Iterator[tuple[dict, int]], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Rows as Arrow batches of some megabytes."""
-    kept, held = [], 0
-    for row, n in rows:
-        kept.append(row)
-        held += n
-        if held >= OUT_BYTES:
+_CUE_ARROW = pa.struct([("time_ns", pa.int64()), ("track", pa.int64()), ("offset", pa.int64())])
+#: What can be asked of a stored file, with its types in SQL and Arrow; file, its packets, and the track's payload are given.
+FIELDS: dict[str, tuple[str, pa.DataType, Callable[[bytes, Parsed, bytes], object]]] = {
+    "media": ("binary", pa.binary(), lambda data, got, payload: data),
+    "status": ("string", pa.string(), lambda data, got, payload: got.status),
+    "payload": ("binary", pa.binary(), lambda data, got, payload: payload),
+    "feature": ("string", pa.string(), lambda data, got, payload: features(payload, got)),
+    "packets": (f"array<{PACKET}>", pa.list_(_PACKET_ARROW), lambda data, got, payload: [dict(zip(_NAMES, p, strict=True)) for p in got.packets]),
+    "cues": ("array<struct<time_ns:long,track:long,offset:long>>", pa.list_(_CUE_ARROW), lambda data, got, payload: [dict(zip(("time_ns", "track", "offset"), c, strict=True)) for c in got.cues]),
+    "n_packets": ("long", pa.int64(), lambda data, got, payload: len(got.packets)),
+    "payload_bytes": ("long", pa.int64(), lambda data, got, payload: len(payload)),
+    "payload_sha256": ("string", pa.string(), lambda data, got, payload: hashlib.sha256(payload).hexdigest()),
+    "tail_crc32": ("long", pa.int64(), lambda data, got, payload: zlib.crc32(payload[-UNIT:])),
+    "media_bytes": ("long", pa.int64(), lambda data, got, payload: len(data or b"")),
+    "media_sha256": ("string", pa.string(), lambda data, got, payload: hashlib.sha256(data or b"").hexdigest()),
+}
+OUTPUTS = ("media", "status", "payload", "feature", "packets", "cues")
+_LARGE = {"media": 1, "payload": 1, "packets": 2}  # bytes that a field takes for each byte of the file, about
+
+
+def _read(df: DataFrame, key: str, source: Column, track: int, fields: tuple[str, ...], stored: Callable[[bytes], bytes] | None) -> DataFrame:
+    """key, n_bytes (of the source) and the fields; stored makes the file of the source where that is not the file already."""
+    session(df.sparkSession)
+    schema = pa.schema([("key", pa.int64()), ("n_bytes", pa.int64()), *((f, FIELDS[f][1]) for f in fields)])
+    share = sum(_LARGE.get(f, 0) for f in fields)
+
+    def row(k: int | None, raw: bytes | None) -> tuple[dict, int]:
+        data = stored(raw) if stored else raw
+        got = parse(data)
+        payload = payload_of(data, got, track) if data else b""
+        return {"key": k, "n_bytes": len(raw or b""), **{f: FIELDS[f][2](data, got, payload) for f in fields}}, 256 + share * len(data or b"")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, held = [], 0
+        for b in batches:
+            for k, raw in zip(b.column(0), b.column(1), strict=True):
+                made, n = row(k.as_py(), raw.as_py())
+                kept.append(made)
+                held += n
+                if held >= OUT_BYTES:
+                    yield pa.RecordBatch.from_pylist(kept, schema)
+                    kept, held = [], 0
+        if kept:
             yield pa.RecordBatch.from_pylist(kept, schema)
-            kept, held = [], 0
-    if kept:
-        yield pa.RecordBatch.from_pylist(kept, schema)
 
+    ddl = "key long, n_bytes long" + "".join(f", {f} {FIELDS[f][0]}" for f in fields)
+    return df.select(F.col(key).cast("long").alias("key"), source.alias("source")).mapInArrow(run, ddl).withColumnRenamed("key", key)
 
-def mux_texts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_bytes, media: each text as UTF-8, padded, in a Matroska file."""
 
-    def run(batches):
-        schema = pa.schema([("key", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary())])
+def store_texts(df: DataFrame, key: str = "doc_id", text: str = "text", fields: tuple[str, ...] = OUTPUTS) -> DataFrame:
+    """key, n_bytes (of the text) and the fields: each text as UTF-8, padded, in a Matroska file that is read back, in one pass."""
+    return _read(df, key, F.encode(text_or_empty(text), "UTF-8"), 1, fields, lambda raw: mux(padded(raw)))
 
-        def rows():
-            for b in batches:
-                for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    media = mux(padded(t))
-                    yield {"key": k, "n_bytes": len(t), "media": media}, len(media)
 
-        yield from _in_parts(rows(), schema)
-
-    source = df.select(F.col(key).cast("long").alias("key"), F.encode(F.coalesce(F.col(text).cast("string"), F.lit("")), "UTF-8").alias("t"))
-    return source.mapInArrow(run, "key long, n_bytes long, media binary").withColumnRenamed("key", key)
-
-
-def media_table(df: DataFrame, key: str = "doc_id", media: str = "media", track: int = 1) -> DataFrame:
-    """The named columns and status, payload of the track, feature, packets, cues for each Matroska file."""
-    schema = pa.schema([("media", pa.binary()), ("key", pa.int64()), ("n_bytes", pa.int64()), ("status", pa.string()), ("payload", pa.binary()), ("feature", pa.string()), ("packets", pa.list_(_PACKET_ARROW)), ("cues", pa.list_(pa.struct([("time_ns", pa.int64()), ("track", pa.int64()), ("offset", pa.int64())])))])
-
-    def run(batches):
-        def rows():
-            for b in batches:
-                for k, n, data in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                    got = parse(data)
-                    payload = payload_of(data, got, track) if data else b""
-                    yield {
-                        "media": data, "key": k, "n_bytes": n, "status": got.status, "payload": payload, "feature": features(payload, got),
-                        "packets": [dict(zip(_NAMES, p, strict=True)) for p in got.packets], "cues": [dict(zip(("time_ns", "track", "offset"), c, strict=True)) for c in got.cues],
-                    }, 3 * len(data or b"")
-
-        yield from _in_parts(rows(), schema)
-
-    known = F.col("n_bytes").cast("long") if "n_bytes" in df.columns else F.lit(None).cast("long")
-    source = df.select(F.col(key).cast("long").alias("key"), known.alias("n_bytes"), F.col(media).alias("media"))
-    out = source.mapInArrow(run, f"media binary, key long, n_bytes long, status string, payload binary, feature string, packets array<{PACKET}>, cues array<struct<time_ns:long,track:long,offset:long>>")
-    return out.withColumnRenamed("key", key)
+def media_table(df: DataFrame, key: str = "doc_id", media: str = "media", track: int = 1, fields: tuple[str, ...] = OUTPUTS) -> DataFrame:
+    """key, n_bytes (of the file) and the fields of each Matroska file."""
+    return _read(df, key, F.col(media), track, fields, None)
 
 
 def packet_table(df: DataFrame, key: str = "doc_id", media: str = "media") -> DataFrame:
     """One row per frame: key, track, timestamp_ns, duration_ns, offset, size, keyframe, lacing, cluster, block, frame."""
-    return media_table(df, key, media).select(key, F.inline("packets"))
+    return media_table(df, key, media, fields=("packets",)).select(key, F.inline("packets"))
 
 
 def op1_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = media_table(mux_texts(documents(spark, sf_dir, "doc_id", "text")))
-    tail = F.expr(f"substring(payload, -{UNIT}, {UNIT})")
-    return rows.select(
-        "doc_id", "n_bytes", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(tail).alias("tail_crc32"),
-        F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature", "status", F.size("packets").cast("long").alias("n_packets"),
-    )
+    fields = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "status", "n_packets")
+    return store_texts(documents(spark, sf_dir, "doc_id", "text"), fields=fields)
