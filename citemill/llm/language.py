@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, session, text_or_empty
+from .encoding import parts
 
 #: Labelled rows that training uses at most (in expectation, by a hash of the key).
 TRAIN_ROWS = 20_000
@@ -34,8 +35,11 @@ TRIGRAMS = WORDS = 1 << 15
 SWITCH = 12.0
 #: Share of a language's letters from which on a script belongs to it.
 SCRIPT_SHARE = 0.005
-#: Letters whose features are held at once.
+#: Characters whose features are held at once, and characters times languages whose words are.
 PART = 500_000
+GROUP = 64_000_000
+#: Languages that a model may have: each has a fixed number of numbers, which go to the driver and to every worker.
+LANGUAGES = 255
 UND = "und"
 
 # Blocks of Unicode by script.
@@ -112,6 +116,19 @@ def words_of(texts: list[str]) -> Words:
     return Words(at - start, np.diff(np.append(first, len(own))), kind[at], bounds, own, first)
 
 
+def slices(texts: list[str], size: int = PART) -> Iterator[tuple[int, int, str]]:
+    """(text, first character, part): texts in parts of about size characters, cut where no word is."""
+    for i, t in enumerate(texts):
+        at = 0
+        while len(t) - at > size:
+            end = at + size
+            while end < len(t) and t[end].isalpha():
+                end += 1
+            yield i, at, t[at:end]
+            at = end
+        yield i, at, t[at:] if at else t
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ x >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15)
     return x ^ x >> np.uint64(29)
@@ -146,21 +163,32 @@ _NEVER = np.float32(-1e9)
 
 
 def word_scores(texts: list[str], model: Model) -> tuple[Words, np.ndarray]:
-    w = words_of(texts)
-    out = np.zeros((len(w.at), len(model.languages)), np.float32)
+    """The words of texts and the score of each in each language; features are made for one part of the texts at a time."""
+    size = max(1, PART * 8 // max(8, len(model.languages)))
+    cut = list(slices(texts, size))
+    at, letters, script, scores, per = [], [], [], [], np.zeros(len(texts), np.int64)
+    for a, z in parts([len(t) for _, _, t in cut], size):
+        w = words_of([t for _, _, t in cut[a:z]])
+        n = np.diff(w.bounds)
+        np.add.at(per, [i for i, _, _ in cut[a:z]], n)
+        at.append(w.at + np.repeat([start for _, start, _ in cut[a:z]], n))
+        letters.append(w.letters)
+        script.append(w.script)
+        scores.append(_scored(w, model))
+    none = np.empty(0, np.int64)
+    words = Words(np.concatenate([none, *at]), np.concatenate([none, *letters]), np.concatenate([none.astype(np.uint8), *script]), np.concatenate([[0], np.cumsum(per)]), none, none)
+    return words, np.concatenate([np.zeros((0, len(model.languages)), np.float32), *scores])
+
+
+def _scored(w: Words, model: Model) -> np.ndarray:
     if not len(w.at):
-        return w, out
+        return np.zeros((0, len(model.languages)), np.float32)
     tri, word = feature_ids(w)
-    cuts = np.searchsorted(w.first, np.arange(0, len(w.low) + PART, PART))
-    for a, z in zip(cuts[:-1], cuts[1:], strict=True):
-        if a < z:
-            lo, hi = w.first[a], w.first[z] if z < len(w.first) else len(w.low)
-            out[a:z] = np.add.reduceat(model.table[tri[lo:hi]], w.first[a:z] - lo, axis=0)
-    out += model.table[TRIGRAMS + word]
+    out = np.add.reduceat(model.table[tri], w.first, axis=0) + model.table[TRIGRAMS + word]
     fits = model.allowed[w.script]
     out[~fits & fits.any(axis=1, keepdims=True)] = _NEVER
     out[~fits.any(axis=1)] = 0
-    return w, out
+    return out
 
 
 def viterbi(scores: np.ndarray, bounds: np.ndarray, penalty: float = SWITCH) -> np.ndarray:
@@ -193,10 +221,19 @@ def viterbi(scores: np.ndarray, bounds: np.ndarray, penalty: float = SWITCH) ->
 
 
 def identify(texts: list[str], model: Model) -> tuple[list[str], list[float], list[list[dict]]]:
+    """Language, score and spans of each text."""
+    if not model.languages:
+        return [UND] * len(texts), [0.0] * len(texts), [[] for _ in texts]
+    out: tuple[list, list, list] = ([], [], [])
+    for a, z in parts([len(t) * len(model.languages) for t in texts], GROUP):
+        for column, got in zip(out, _identified(texts[a:z], model), strict=True):
+            column.extend(got)
+    return out
+
+
+def _identified(texts: list[str], model: Model) -> tuple[list[str], list[float], list[list[dict]]]:
     w, scores = word_scores(texts, model)
-    n, k = len(texts), max(1, len(model.languages))
-    if not len(model.languages):
-        return [UND] * n, [0.0] * n, [[] for _ in texts]
+    n, k = len(texts), len(model.languages)
     labels = viterbi(scores, w.bounds)
     none = ~model.allowed[w.script].any(axis=1)
     text_of = np.repeat(np.arange(n), np.diff(w.bounds))
@@ -218,7 +255,9 @@ def train(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     """Learns from the rows of df that have a label."""
     session(df.sparkSession)
     labelled = df.where(F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), text_or_empty(text).alias("t"), F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 30)).alias("h"))
-    n = labelled.count()
+    n, langs = labelled.agg(F.count(F.lit(1)), F.count_distinct("lang")).first()
+    if langs > LANGUAGES:
+        raise ValueError(f"{langs} languages; a model has {LANGUAGES} at most")
     if n > rows:
         labelled = labelled.where(F.col("h") < int(rows / n * (1 << 30)))
     schema = pa.schema([("lang", pa.string()), ("bucket", pa.int32()), ("n", pa.int64())])
@@ -229,8 +268,10 @@ def train(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
         for b in batches:
             langs, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             for x in sorted(set(langs)):
-                w = words_of([t for t, y in zip(texts, langs, strict=True) if y == x])
-                if len(w.at):
+                cut = [t for _, _, t in slices([t for t, y in zip(texts, langs, strict=True) if y == x])]
+                for w in (words_of(cut[a:z]) for a, z in parts([len(t) for t in cut], PART)):
+                    if not len(w.at):
+                        continue
                     tri, word = feature_ids(w)
                     got = np.bincount(tri, minlength=size) + np.bincount(TRIGRAMS + word, minlength=size) + np.bincount(TRIGRAMS + WORDS + w.script.astype(np.int64), weights=w.letters, minlength=size).astype(np.int64)
                     sums[x] = sums.get(x, 0) + got
@@ -245,10 +286,10 @@ def train(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     if langs:
         counts[np.asarray(got.column("bucket")), np.searchsorted(np.array(langs), np.asarray(got.column("lang").to_pylist()))] = np.asarray(got.column("n"))
     features, by_script = counts[: TRIGRAMS + WORDS], counts[TRIGRAMS + WORDS :]
-    parts = []
+    tables = []
     for block in (features[:TRIGRAMS], features[TRIGRAMS:]):
-        parts.append(np.log((block + 0.1) / (block.sum(axis=0, keepdims=True) + 0.1 * len(block))))
-    return Model(tuple(langs), np.concatenate(parts).astype(np.float32), by_script >= SCRIPT_SHARE * np.maximum(by_script.sum(axis=0, keepdims=True), 1))
+        tables.append(np.log((block + 0.1) / (block.sum(axis=0, keepdims=True) + 0.1 * len(block))))
+    return Model(tuple(langs), np.concatenate(tables).astype(np.float32), by_script >= SCRIPT_SHARE * np.maximum(by_script.sum(axis=0, keepdims=True), 1))
 
 
 def predict(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -256,16 +297,18 @@ def predict(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     spark = session(df.sparkSession)
     sent, keep = spark.sparkContext.broadcast(model), keep or []
     schema = pa.schema([("lang_pred", pa.string()), ("score", pa.float64()), ("spans", pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int64()), ("end", pa.int64())])))])
+    rest = [key, *(c for c in keep if c not in (key, text))]
+    first = [text] * (text in keep)  # the text travels once
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            langs, shares, spans = identify(b.column(0).to_pylist(), sent.value)
+            langs, shares, spans = identify([t or "" for t in b.column(0).to_pylist()], sent.value)
             made = [pa.array(x, f.type) for x, f in zip((langs, shares, spans), schema, strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], *made], names=[*b.schema.names[1:], *schema.names])
+            yield pa.RecordBatch.from_arrays([*b.columns[1 - len(first) :], *made], names=[*first, *rest, *schema.names])
 
-    source = df.select(text_or_empty(text).alias("_t"), key, *keep)
-    ddl = ", ".join(f"`{c}` {t}" for c, t in source.dtypes[1:]) + ", lang_pred string, score double, spans array<struct<lang:string,start:long,end:long>>"
-    return source.mapInArrow(run, ddl)
+    source = df.select(F.col(text).cast("string").alias(text), *rest)
+    ddl = ", ".join(f"`{c}` {t}" for c, t in source.dtypes[1 - len(first) :]) + ", lang_pred string, score double, spans array<struct<lang:string,start:long,end:long>>"
+    return source.mapInArrow(run, ddl).select(key, *keep, *schema.names)
 
 
 def held_out(key: str = "doc_id"):
