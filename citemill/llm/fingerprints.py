@@ -10,8 +10,8 @@ its least, and a bin whose first is the sentinel is empty.
 
 Defined results: a null text is the empty text; texts of fewer than five words are one shingle of all their words (empty text:
 the empty shingle), so two empty texts have likeness 1; words are split at ASCII white space and keep their case; equal texts
-have equal fingerprints; rows with equal doc_id follow each other by text; null doc_ids come last; a table of one row follows
-itself; an empty table gives an empty result; other columns are ignored, whatever their names.
+have equal fingerprints; rows with equal doc_id follow each other by text (where one doc_id or null makes up several runs of
+neighbours, by a hash of the text first); null doc_ids come last; a table of one row follows itself; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,9 +28,10 @@ BINS = 1 << BIN_BITS
 BITS = 8
 #: Steps of a bin's order that are tried one by one before all non-empty bins are compared.
 PROBES = 6
-#: Cells of equal width that doc_ids are counted in, and rows of a run of neighbours at least.
-CELLS = 65536
+#: Runs of neighbours that rows are dealt in at most, rows of a run in the mean at least, and bounds that are compared at once.
+RUNS = 65536
 RUN_ROWS = 256
+BLOCK = 256
 
 _LOW = (1 << 64 - BIN_BITS) - 1
 
@@ -118,34 +119,62 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     return rows.withColumn("bins", fingerprint(F.col("text"))).withColumn("fingerprint", packed(F.col("bins")))
 
 
+def _numbers(values: list, kind: str = "bigint") -> Column:
+    """An array that the optimiser folds into one literal; an expression for each number would be slow to plan."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
+
+
+def _bounds_below(bounds: list[int], key: Column, or_equal: bool = False) -> Column:
+    """The number of bounds (sorted) below key, or up to it: whole blocks first, then the bounds of one block."""
+    if not bounds:
+        return F.lit(0)
+    under = lambda x: x <= key if or_equal else x < key
+    whole = F.size(F.filter(_numbers(bounds[BLOCK - 1 :: BLOCK]), under)) if len(bounds) >= BLOCK else F.lit(0)
+    return _let(whole * BLOCK, lambda at: at + F.size(F.filter(F.slice(_numbers(bounds), at + 1, F.lit(BLOCK)), under)))
+
+
+def _quantiles(df: DataFrame, key: str, runs: int) -> list[int]:
+    """Bounds of about equal runs of the key's values; a value that makes up several runs stands there as often."""
+    shares = _numbers([i / runs for i in range(1, runs)], "double") if runs > 1 else None
+    found = df.agg(F.percentile_approx(F.col(key).cast("long"), shares, 4 * runs)).first()[0] if runs > 1 else None
+    return sorted(found or [])
+
+
 def with_next(df: DataFrame, columns: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
     """Adds the columns of the next row by descending key as next_<column>; the row after the last is the first.
 
-    Keys are counted in cells of equal width, and neighbouring cells form runs of some hundred rows or more. Rows are dealt out
-    by run, once; the first row of each run travels to the run above as well, where it follows the last one.
+    Quantiles of the key cut the rows into runs of neighbours; a key that makes up several runs, or null, is cut again by a hash
+    of the text. Rows are dealt out by run, once; the first row of each run travels to the run above as well, where it follows
+    the last one.
     """
-    lo, hi = df.agg(F.min(key), F.max(key)).first()
-    lo, hi = (0, 0) if lo is None else (lo, hi)
-    width = (hi - lo) // CELLS + 1
-    cell = F.coalesce(F.floor((F.col(key) - F.lit(lo)) / F.lit(width)).cast("int"), F.lit(0))
-    found = sorted(df.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"), F.max(key).alias("top")).collect())  # CELLS rows at most
-    least = max(RUN_ROWS, sum(r.n for r in found) // CELLS)
-    run_of, tops, held, run = [0] * (found[-1].cell + 1 if found else 1), [], 0, 0
-    at = 0
-    for r in found:
-        run_of[at : r.cell + 1] = [run] * (r.cell + 1 - at)
-        at, held = r.cell + 1, held + r.n
-        tops[run:] = [r.top]
-        if held >= least:
-            held, run = 0, run + 1
-    runs = max(1, len(tops))
-    numbers = F.lit(run_of)
-    first = F.col(key).eqNullSafe(F.element_at(F.array(*[F.lit(t).cast("long") for t in tops]) if tops else F.array(F.lit(None).cast("long")), F.col("_run") + 1))
-    above = F.when(F.col("_run") == runs - 1, 0).otherwise(F.col("_run") + 1)
-    home = F.struct(F.col("_run").alias("run"), F.lit(False).alias("guest"))
-    visit = F.struct(above.cast("int").alias("run"), F.lit(True).alias("guest"))
-    dealt = df.withColumn("_run", F.element_at(numbers, cell + 1)).withColumn("_to", F.explode(F.when(first, F.array(home, visit)).otherwise(F.array(home))))
-    down = Window.partitionBy("_to.run").orderBy(F.col("_to.guest"), F.col(key).desc_nulls_last(), F.col(text))
+    k = F.col(key)
+    n, known = df.agg(F.count(F.lit(1)), F.count(k)).first()
+    runs = min(RUNS, max(1, n // RUN_ROWS))
+    bounds, of_nulls = _quantiles(df, key, runs), (n - known) * runs // max(n, 1)
+    hot = of_nulls > 1 or len(set(bounds)) < len(bounds)
+
+    def part(m: Column) -> Column:
+        """The lower the hash, the higher the run of m."""
+        return m - 1 - F.shiftright((F.shiftright("_h", 33) + (1 << 30)) * m, 31)
+
+    below, upto = _bounds_below(bounds, k), _bounds_below(bounds, k, True)
+    run = below + F.when(upto - below > 1, part(upto - below)).otherwise(F.lit(0)) if hot else below
+    run = F.when(k.isNull(), part(F.lit(of_nulls)) if of_nulls else F.lit(0)).otherwise(run + of_nulls)
+    placed = df.withColumn("_h", F.xxhash64(text) if hot else F.lit(0).cast("long")).withColumn("_run", run.cast("int"))
+    top = F.max(F.struct(k.cast("long").alias("k"), F.bitwise_not("_h").alias("h")))
+    tops = {r["_run"]: r["top"] for r in placed.groupBy("_run").agg(top.alias("top")).collect()}  # a row for each run
+    order = sorted(tops) or [0]
+    above, all_runs = dict(zip(order, [*order[1:], order[0]], strict=True)), range(order[-1] + 1)
+
+    def of_run(value) -> Column:
+        return F.element_at(_numbers([value(tops[x]) if x in tops else 0 for x in all_runs]), F.col("_run") + 1)
+
+    null_top = of_run(lambda t: int(t["k"] is None)) == 1
+    first = F.when(k.isNull(), null_top).otherwise(~null_top & (k == of_run(lambda t: t["k"] or 0))) & (F.bitwise_not("_h") == of_run(lambda t: t["h"]))
+    up = F.element_at(_numbers([above.get(x, 0) for x in all_runs]), F.col("_run") + 1).cast("int")
+    home, visit = (F.struct(r.alias("run"), F.lit(guest).alias("guest")) for r, guest in ((F.col("_run"), False), (up, True)))
+    dealt = placed.withColumn("_to", F.explode(F.when(first, F.array(home, visit)).otherwise(F.array(home))))
+    down = Window.partitionBy("_to.run").orderBy(F.col("_to.guest"), k.desc_nulls_last(), F.col("_h"), F.col(text))
     return dealt.withColumn("_next", F.lead(F.struct(*columns)).over(down)).where(~F.col("_to.guest")).select(*df.columns, *[F.col(f"_next.{c}").alias(f"next_{c}") for c in columns])
 
 
