@@ -25,6 +25,7 @@ names.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,6 +44,7 @@ HOT = 20_000
 PART = 2_000_000
 SORTED = 4_000_000
 NO_ID = -(1 << 63)
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 _U = np.uint64
 
@@ -155,38 +157,38 @@ def occurrences(keyed: DataFrame, window: int) -> DataFrame:
 
 
 def _sent(keyed: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
-    """bucket, name, at, k, words: the packed strings that wanted (k, names, hot) asks of each document."""
+    """bucket, minimiser, name, windows, at, k, words: the packed strings that wanted (k, names, hot) asks of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("bucket", pa.int64()), ("name", pa.int64()), ("at", pa.int64()), ("k", pa.int64()), ("words", pa.binary())])
+        schema = pa.schema([*((c, pa.int64()) for c in ("bucket", "minimiser", "name", "windows", "at", "k")), ("words", pa.binary())])
         for b in batches:
             keys, texts, wants = np.asarray(b.column(0)), [t.encode() for t in b.column(1).to_pylist()], b.column(2).to_pylist()
             for a, z in _parts([len(t) for t in texts], PART):
                 hashes, bounds = word_hashes(texts[a:z])
                 text, start, count, least, name = super_kmers(hashes, bounds, window)
-                signed, rows = name.view(np.int64).tolist(), []
+                signed, marks, rows = name.view(np.int64).tolist(), least.view(np.int64).tolist(), []
                 edges = np.searchsorted(text, np.arange(z - a + 1))
                 for i in range(z - a):
-                    asked = {x["name"]: x["hot"] for x in wants[a + i]}
+                    asked = {(x["minimiser"], x["name"], x["windows"]): x["hot"] for x in wants[a + i]}
                     words = texts[a + i].split() if asked else []
                     for j in range(edges[i], edges[i + 1]):
-                        hot = asked.pop(signed[j], None)
+                        s, n = int(start[j]), int(count[j])
+                        hot = asked.pop((marks[j], signed[j], n), None)
                         if hot is None:
                             continue
-                        s, n = int(start[j]), int(count[j])
                         cuts = [(0, n, int(least[j]))]
                         if hot:
                             lo = int(bounds[i]) + s
                             second = sliding_min(run_hashes(_mixed(hashes[lo : lo + n + window - 1] ^ _STEP), SECOND), window - SECOND + 1)
                             turn = [0, *(np.flatnonzero(np.diff(second)) + 1).tolist(), n]
                             cuts = [(p, q, int(_mixed(second[p : p + 1] ^ least[j : j + 1])[0])) for p, q in zip(turn[:-1], turn[1:], strict=True)]
-                        rows += [(bucket, signed[j], p, int(keys[a + i]), b" ".join(words[s + p : s + q + window - 1])) for p, q, bucket in cuts]
+                        rows += [(bucket, marks[j], signed[j], n, p, int(keys[a + i]), b" ".join(words[s + p : s + q + window - 1])) for p, q, bucket in cuts]
                 if rows:
                     c = list(zip(*rows, strict=True))
-                    yield pa.RecordBatch.from_arrays([_signed(np.array(c[0], np.uint64)), *(pa.array(c[i], schema.field(i).type) for i in range(1, 5))], schema=schema)
+                    yield pa.RecordBatch.from_arrays([_signed(np.array(c[0], np.uint64)), *(pa.array(c[i], schema.field(i).type) for i in range(1, len(schema)))], schema=schema)
 
     joined = keyed.join(wanted, "k").select("k", "text", "names")
-    return joined.mapInArrow(run, "bucket long, name long, at long, k long, words binary")
+    return joined.mapInArrow(run, "bucket long, minimiser long, name long, windows long, at long, k long, words binary")
 
 
 def first_holders(strings: list[bytes], keys: np.ndarray, window: int = WINDOW) -> list[list[tuple[int, int, int]]]:
@@ -223,13 +225,13 @@ def first_holders(strings: list[bytes], keys: np.ndarray, window: int = WINDOW)
 
 
 def _answers(sent: DataFrame, window: int) -> DataFrame:
-    """name, first, last, holder: runs of a super-k-mer's windows and their least document."""
+    """minimiser, name, windows, first, last, holder: runs of a super-k-mer's windows and their least document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(rows: list[tuple]) -> pa.RecordBatch:
-            found = first_holders([r[4] for r in rows], np.array([r[3] for r in rows], np.int64), window)
-            flat = [(r[1], r[2] + a, r[2] + z, k) for r, runs in zip(rows, found, strict=True) for a, z, k in runs]
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*flat, strict=True)], names=["name", "first", "last", "holder"])
+            found = first_holders([r[6] for r in rows], np.array([r[5] for r in rows], np.int64), window)
+            flat = [(*r[1:4], r[4] + a, r[4] + z, k) for r, runs in zip(rows, found, strict=True) for a, z, k in runs]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*flat, strict=True)], names=["minimiser", "name", "windows", "first", "last", "holder"])
 
         rows, held, last = [], 0, None
         for b in batches:
@@ -239,28 +241,39 @@ def _answers(sent: DataFrame, window: int) -> DataFrame:
                     rows, held = [], 0
                 last = r[0]
                 rows.append(r)
-                held += len(r[4])
+                held += len(r[6])
         if rows:
             yield done(rows)
 
     dealt = sent.repartition("bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(run, "name long, first long, last long, holder long")
+    return dealt.mapInArrow(run, "minimiser long, name long, windows long, first long, last long, holder long")
 
 
 def covered_spans(keyed: DataFrame, window: int = WINDOW) -> DataFrame:
     """k, spans (row, first, last word) of the words that repeat an earlier document."""
     seen = occurrences(keyed, window)
-    names = seen.groupBy("minimiser", "name").agg(F.min("k").alias("k"), F.max("k").alias("top"))
+    own = ["minimiser", "name", "windows"]  # a name is a hash: two super-k-mers are one only if the others agree as well
+    names = seen.groupBy(*own).agg(F.min("k").alias("k"), F.max("k").alias("top"))
     shared = names.groupBy("minimiser").agg(F.min("k").alias("lo"), F.max("top").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi")
-    asked = names.join(shared, "minimiser").groupBy("k").agg(F.collect_list(F.struct("name", (F.col("n") > HOT).alias("hot"))).alias("names"))
+    asked = names.join(shared, "minimiser").groupBy("k").agg(F.collect_list(F.struct(*own, (F.col("n") > HOT).alias("hot"))).alias("names"))
     answers = _answers(_sent(keyed, asked, window), window)
-    back = seen.select("k", "row", "name", "start").join(answers, "name").where(F.col("holder") < F.col("k"))
+    back = seen.join(answers, own).where(F.col("holder") < F.col("k"))
     span = F.struct("row", (F.col("start") + F.col("first")).alias("first"), (F.col("start") + F.col("last") + window - 1).alias("last"))
     return back.groupBy("k").agg(F.collect_set(span).alias("spans"))
 
 
-def dedup_substrings(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, keep: list[str] | None = None) -> DataFrame:
-    """The key, the columns of keep, n_words, n_removed and kept (the words left, joined by one space)."""
+def without(text: bytes, gone: list[bool]) -> bytes:
+    """The text without these words and the white space behind them; all other bytes as they are."""
+    out, words = [], [m.span() for m in WORD.finditer(text)]
+    starts = [a for a, _ in words] + [len(text)]
+    out.append(text[: starts[0]])
+    out += [text[starts[i] : starts[i + 1]] for i, g in enumerate(gone[: len(words)]) if not g]
+    return b"".join(out)
+
+
+def dedup_substrings(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, keep: list[str] | None = None, layout: bool = False) -> DataFrame:
+    """The key, the columns of keep, n_words, n_removed and kept: the words left, joined by one space, or with layout the text
+    without the words removed, its white space as it was."""
     session(df.sparkSession)
     keep = keep or []
     base = df.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("k"), text_or_empty(text).alias("text"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(keep)])
@@ -279,8 +292,12 @@ def dedup_substrings(df: DataFrame, key: str = "doc_id", text: str = "text", win
                     if s["row"] == row:
                         gone[s["first"]] += 1
                         gone[s["last"]] -= 1
-                kept = words if not spans else [w for w, g in zip(words, np.cumsum(gone).tolist(), strict=False) if not g]
-                for column, value in zip(out, (len(words), len(words) - len(kept), b" ".join(kept).decode()), strict=True):
+                lost = (np.cumsum(gone[:-1]) > 0).tolist()
+                if layout:
+                    left = without(t.encode(), lost).decode() if any(lost) else t
+                else:
+                    left = b" ".join(w for w, g in zip(words, lost, strict=True) if not g).decode()
+                for column, value in zip(out, (len(words), sum(lost), left), strict=True):
                     column.append(value)
             made = [pa.array(c, kind) for c, (_, kind) in zip(out, fields, strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns[3:], *made], names=["k", *held, *(n for n, _ in fields)])
