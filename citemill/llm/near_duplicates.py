@@ -269,7 +269,8 @@ def near_duplicate_classes(df: DataFrame, key: str = "doc_id", text: str = "text
     session(df.sparkSession)
     keyed = df.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("k"), text_or_empty(text).alias("text"))
     signs = settled(signed_documents(keyed))
-    groups = signs.groupBy("digest").agg(F.min("k").alias("rep"), F.min("n").alias("n"), F.first("bands").alias("bands"))
+    # stored, so that below each side of the join with all documents is a plain shuffle, of which Spark splits hot digests
+    groups = settled(signs.groupBy("digest").agg(F.min("k").alias("rep"), F.min("n").alias("n"), F.first("bands").alias("bands")))
     members = groups.select(F.col("rep").alias("k"), "n", F.explode(F.array_distinct("bands")).alias("band"))
     buckets = members.groupBy("band").agg(F.min("k").alias("centre"), F.count(F.lit(1)).alias("members")).where("members > 1")
     inside = settled(members.join(buckets, "band").select("band", "k", "n", "centre", "members"))
