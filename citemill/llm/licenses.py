@@ -1,13 +1,15 @@
-"""License scans: sparse TF-IDF cosine of lines to notice templates, then inheritance from the nearest ancestor directory.
+"""License scans: sparse TF-IDF cosine of headers and licence files to templates, then inheritance from the nearest ancestor directory.
 
-Every line of every file is a vector of its words (runs of a-z and 0-9, lower case). Weights are term counts times inverse
-document frequencies, counted for the templates' words over all lines of the corpus; a word that no template has counts in a
-line's length as one that no other line has. A line takes the template of the highest cosine, from ``LEAST`` on.
+Vectors are made of lines, of runs of lines with words, of runs of comment lines (headers), of windows as long as a notice in which
+one of its strong words stands in its place (notices within long lines or across blocks), and of whole licence files. A vector
+counts words (runs of a-z and 0-9, lower case), weighed by inverse document frequencies of all words over all lines of the corpus.
+A vector takes the template of the highest cosine, from ``LEAST`` on; licence files are compared with whole licence texts too.
 
-Lines are narrowed without loss before any vector is made. The weakest words of a template span, together, less than LEAST of
-its length; so by the Cauchy-Schwarz inequality a line without any of its other, strong words has a cosine below LEAST.
+Vectors are narrowed without loss before they are weighed. The weakest words of a template span, together, less than LEAST of its
+length, so by the Cauchy-Schwarz inequality a vector without any of its other, strong words has a cosine below LEAST; and so has one
+whose words span less than LEAST of the template's length.
 
-A file's own licence is that of its best line. A file without one inherits from the licence file (by its name) in its own
+A file's own licence is that of its best vector. A file without one inherits from the licence file (by its name) in its own
 directory or the nearest above; directories, not files, are joined with their ancestors. SQL functions only.
 
 Defined results: a null text has no lines; a null path or directory part is ``none``; ties go to the first line, then to the
@@ -20,6 +22,7 @@ from __future__ import annotations
 import json
 import math
 import re
+from collections import Counter
 from dataclasses import dataclass
 from functools import cache
 from pathlib import Path
@@ -57,17 +60,26 @@ TEMPLATES = [
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
     ("MIT", "SPDX-License-Identifier: MIT"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-]
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("MPL-2.0", "SPDX-License-Identifier: MPL-2.0"),
+    ("LGPL-3.0", "SPDX-License-Identifier: LGPL-3.0-or-later"),
+    ("AGPL-3.0", "SPDX-License-Identifier: AGPL-3.0-or-later"),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
+]
+
+
+def named(templates: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """Templates by name#i, i counting from 0."""
+    return [(f"{name}#{i:02d}", text) for i, (name, text) in enumerate(templates)]
 
 
 def term_counts(templates: list[tuple[str, str]]) -> dict[str, dict[str, int]]:
-    """Words and their counts by template name, name#i, i counting from 0."""
-    out: dict[str, dict[str, int]] = {}
-    for i, (name, text) in enumerate(templates):
-        counts = out.setdefault(f"{name}#{i:02d}", {})
-        for w in re.findall("[a-z0-9]+", text.lower()):
-            counts[w] = counts.get(w, 0) + 1
-    return out
+    """Words and their counts by name#i."""
+    return {name: dict(Counter(re.findall("[a-z0-9]+", text.lower()))) for name, text in named(templates)}
 
 
 def words(line: Column) -> Column:
@@ -79,13 +91,6 @@ def file_keys(files: DataFrame) -> list[str]:
     return [c for c in ("path", "content") if c in files.columns]
 
 
-def lines(files: DataFrame) -> DataFrame:
-    """path (and content), line_no, words of each line that has any."""
-    keys = file_keys(files)
-    cut = files.select(*keys, F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return cut.select(*keys, "line_no", words(F.col("line")).alias("words")).where(F.size("words") > 0)
-
-
 def strong_words(weights: dict[str, float], least: float = LEAST) -> set[str]:
     """All words but the weakest, which span together less than least of the length."""
     total, spanned, out = sum(w * w for w in weights.values()), 0.0, set()
@@ -96,52 +101,10 @@ def strong_words(weights: dict[str, float], least: float = LEAST) -> set[str]:
     return out
 
 
-def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least: float = LEAST) -> DataFrame:
-    """path, line_no, template, score of the best line of each file (path, text) that has one."""
-    keys = file_keys(files)
-    spark, counts = files.sparkSession, term_counts(templates)
-    vocabulary = sorted({t for c in counts.values() for t in c})
-    cut = lines(files)
-    total = F.array(*[F.lit(t) for t in vocabulary])
-    seen = cut.select(F.explode(F.concat(F.array_intersect("words", total), F.array(F.lit("")))).alias("term"))
-    df = {r.term: r.n for r in seen.groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each word of the templates
-    n = df.pop("", 0)
-    idf = {t: math.log((n + 1) / (df.get(t, 0) + 1)) + 1 for t in vocabulary}
-    other = math.log(n + 1) + 1
-    rows, strong = [], set()
-    for name, c in counts.items():
-        weights = {t: k * idf[t] for t, k in c.items()}
-        strong |= strong_words(weights, least)
-        length = math.sqrt(sum(w * w for w in weights.values()))
-        rows += [(name, t, w * idf[t] / length) for t, w in weights.items()]
-    idfs = F.broadcast(spark.createDataFrame(sorted(idf.items()), "term string, idf double"))
-    shares = F.broadcast(spark.createDataFrame(rows, "template string, term string, share double"))
-    few = cut.where(F.arrays_overlap("words", F.array(*[F.lit(t) for t in sorted(strong)])))
-    terms = few.select(*keys, "line_no", F.explode("words").alias("term")).groupBy(*keys, "line_no", "term").agg(F.count(F.lit(1)).alias("tf"))
-    weighed = terms.join(idfs, "term", "left")
-    length = weighed.groupBy(*keys, "line_no").agg(F.sqrt(F.sum(F.when(F.col("idf").isNull(), F.col("tf") * other * other).otherwise(F.pow(F.col("tf") * F.col("idf"), 2)))).alias("length"))
-    dots = terms.join(shares, "term").groupBy(*keys, "line_no", "template").agg(F.sum(F.col("tf") * F.col("share")).alias("dot"))
-    scored = dots.join(length, [*keys, "line_no"]).withColumn("score", F.round(F.col("dot") / F.col("length"), DIGITS)).where(F.col("score") >= least)
-    return _best(scored, keys)
-
-
 #: Words in so many lines of this many are sent to all workers: at most this many times the words of a mean line.
 COMMON = 1000
 
 
-# Headers and identifiers that TEMPLATES has not.
-WHOLE_TEMPLATES = [
-    *TEMPLATES,
-    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
-    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
-    ("LGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
-    ("MPL-2.0", "SPDX-License-Identifier: MPL-2.0"),
-    ("LGPL-3.0", "SPDX-License-Identifier: LGPL-3.0-or-later"),
-    ("AGPL-3.0", "SPDX-License-Identifier: AGPL-3.0-or-later"),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
-]
 COMMENT = r"^\s*(#|//|/?\*|--|;|%|<!--)"
 
 
@@ -152,9 +115,8 @@ def full_texts() -> dict[str, dict[str, int]]:
         return {f"{k}#full": v for k, v in json.load(f).items()}
 
 
-def scan_whole(files: DataFrame, templates: list[tuple[str, str]] = WHOLE_TEMPLATES, least: float = LEAST, license_file: str = LICENSE_FILE) -> DataFrame:
-    """As scan, with the document frequencies of all words counted over all lines, and of these vectors: lines, runs of lines with
-    words, runs of comment lines, windows as long as a template with one of its strong words in place, whole licence files."""
+def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least: float = LEAST, license_file: str = LICENSE_FILE) -> DataFrame:
+    """path (and content), line_no, template, score of the best vector of each file (path, text) that has one."""
     keys, counts = file_keys(files), term_counts(templates)
     idf = _frequencies(files.select(F.explode(F.split("text", "\n")).alias("line")).select(words(F.col("line")).alias("words")).where(F.size("words") > 0))
     rows, strong = _template_shares(counts | full_texts(), idf, least)
@@ -218,15 +180,6 @@ def _windows(few: DataFrame, keys: list[str], held: DataFrame) -> DataFrame:
     return each.where(_reaches("words")).select(*keys, "line_no", "unit", "words").dropDuplicates([*keys, "line_no", "unit"])
 
 
-def scan_all_words(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least: float = LEAST) -> DataFrame:
-    """As scan, with the document frequencies of all words counted over all lines."""
-    cut = lines(files)
-    idf = _frequencies(cut)
-    rows, strong = _template_shares(term_counts(templates), idf, least)
-    few = stored(cut.where(F.arrays_overlap("words", F.array(*[F.lit(t) for t in sorted(set().union(*strong.values()))]))), "license-lines")
-    return _best(_scores(few, [*file_keys(files), "line_no"], rows, idf, least), file_keys(files))
-
-
 @dataclass(frozen=True)
 class Frequencies:
     """Lines, and a table term, n: the lines that have the word."""
@@ -287,7 +240,7 @@ def directory(path: Column) -> Column:
 def resolved(files: DataFrame, found: DataFrame, license_file: str = LICENSE_FILE) -> DataFrame:
     """The columns of files and line_no, template, score, licensed_by (own file, or the directory it comes from), license."""
     name = F.regexp_extract("path", "([^/]*)$", 1)
-    license_of = F.regexp_replace(F.col("template"), "#[0-9]+$", "")
+    license_of = F.regexp_replace(F.col("template"), "#[0-9a-z]+$", "")
     given = found.where(name.rlike(license_file)).select(directory(F.col("path")).alias("above"), F.struct((-F.col("score")).alias("s"), "path", license_of.alias("license")).alias("x"))
     given = given.groupBy("above").agg(F.min("x")["license"].alias("license"))
     dirs = files.select(directory(F.col("path")).alias("dir")).distinct()
@@ -318,50 +271,69 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolved(files.drop("text"), scan(files.drop("doc_id"))).drop("content")
 
 
-def op3_license_scan_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """With the frequencies of all words and with vectors of more than lines, which OP3_SQL has not."""
-    files = _files(spark, sf_dir)
-    return resolved(files.drop("text"), scan_whole(files.drop("doc_id"))).drop("content")
-
-
-def _template_rows() -> str:
-    return ", ".join(f"('{name}', '{t}', {k})" for name, c in term_counts(TEMPLATES).items() for t, k in c.items())
+def _sql_values() -> tuple[str, str]:
+    """Notices word by word, and the words of whole licences with their counts."""
+    notices = ", ".join(f"('{name}', {i}, '{t}')" for name, text in named(TEMPLATES) for i, t in enumerate(re.findall("[a-z0-9]+", text.lower())))
+    whole = ", ".join(f"('{name}', '{t}', {k})" for name, c in full_texts().items() for t, k in c.items())
+    return notices, whole
 
 
+_NOTICES, _WHOLE = _sql_values()
 OP3_SQL = f"""
-WITH template(template, term, tf) AS (VALUES {_template_rows()}), file AS (
-  SELECT doc_id, text, concat_ws('/', coalesce(source, 'none'), doc_id // 1000, doc_id // 50,
-    CASE WHEN doc_id // 50 * 50 = doc_id THEN 'LICENSE' ELSE doc_id || '.txt' END) AS path FROM documents
-), cut AS (
-  SELECT path, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM file
-), token AS (
-  SELECT path, line_no, regexp_extract_all(lower(line), '[a-z0-9]+') AS w FROM cut WHERE len(regexp_extract_all(lower(line), '[a-z0-9]+')) > 0
-), total AS (SELECT count(*) AS n FROM token),
-term AS (SELECT path, line_no, term, count(*) AS tf FROM (SELECT path, line_no, unnest(w) AS term FROM token) GROUP BY ALL),
-word AS (SELECT DISTINCT term FROM template),
-idf AS (
-  SELECT term, ln((n + 1) / (coalesce(df, 0) + 1)) + 1 AS idf FROM word CROSS JOIN total
-  LEFT JOIN (SELECT term, count(*) AS df FROM term GROUP BY term) USING (term)
+WITH place(template, i, term) AS (VALUES {_NOTICES}), whole(template, term, tf) AS (VALUES {_WHOLE}),
+template AS (SELECT template, term, count(*) AS tf, true AS notice FROM place GROUP BY ALL UNION ALL SELECT template, term, tf, false FROM whole),
+file AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256(coalesce(text, '')) AS content, concat_ws('/', coalesce(source, 'none'), coalesce(CAST(doc_id // 1000 AS VARCHAR), 'none'),
+    coalesce(CAST(doc_id // 50 AS VARCHAR), 'none'), CASE WHEN doc_id // 50 * 50 = doc_id THEN 'LICENSE' ELSE coalesce(CAST(doc_id AS VARCHAR), 'none') || '.txt' END) AS path FROM documents
+), own AS (SELECT DISTINCT path, content, text FROM file),
+cut AS (
+  SELECT path, content, line_no, regexp_matches(line, '^\\s*(#|//|/?\\*|--|;|%|<!--)') AS comment, regexp_extract_all(lower(line), '[a-z0-9]+') AS w
+  FROM (SELECT path, content, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM own)
+), total AS (SELECT count(*) AS n FROM (SELECT unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM file) WHERE regexp_matches(lower(line), '[a-z0-9]')),
+frequency AS (
+  SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(line), '[a-z0-9]+'))) AS term FROM (SELECT unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM file)) GROUP BY term
+), idf AS (
+  SELECT term, ln((n + 1) / (coalesce(df, 0) + 1)) + 1 AS idf FROM (SELECT term FROM frequency UNION SELECT term FROM template) LEFT JOIN frequency USING (term) CROSS JOIN total
 ), side AS (
-  SELECT template, term, tf * idf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY template)) AS share FROM template JOIN idf USING (term)
-), dot AS (SELECT path, line_no, template, sum(tf * share) AS dot FROM term JOIN side USING (term) GROUP BY ALL),
-length AS (
-  SELECT path, line_no, sqrt(sum(CASE WHEN idf IS NULL THEN tf * (ln(n + 1) + 1) * (ln(n + 1) + 1) ELSE tf * idf * tf * idf END)) AS length
-  FROM term CROSS JOIN total LEFT JOIN idf USING (term) GROUP BY ALL
-), scored AS (
-  SELECT path, line_no, template, round(dot / length, {DIGITS}) AS score FROM dot JOIN length USING (path, line_no)
+  SELECT template, term, notice, tf * idf AS weight, tf * idf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY template)) AS share FROM template JOIN idf USING (term)
+), strong AS (
+  SELECT template, term FROM side WHERE notice
+  QUALIFY sum(weight * weight) OVER (PARTITION BY template ORDER BY weight, term ROWS UNBOUNDED PRECEDING) >= pow({LEAST} * 0.999, 2) * sum(weight * weight) OVER (PARTITION BY template)
+), token AS (
+  SELECT path, content, line_no, term, row_number() OVER (PARTITION BY path, content ORDER BY line_no, k) - 1 AS i
+  FROM (SELECT path, content, line_no, unnest(w) AS term, generate_subscripts(w, 1) AS k FROM cut)
+), words AS (SELECT path, content, list(term ORDER BY i) AS w, list(line_no ORDER BY i) AS nos FROM token GROUP BY ALL),
+run AS (
+  SELECT *, sum(CASE WHEN len(w) = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY path, content ORDER BY line_no) AS filled,
+    sum(CASE WHEN comment THEN 0 ELSE 1 END) OVER (PARTITION BY path, content ORDER BY line_no) AS commented FROM cut
+), start AS (
+  SELECT DISTINCT path, content, token.i - place.i AS first, size FROM token JOIN place USING (term) JOIN strong USING (template, term)
+  JOIN (SELECT template, count(*) AS size FROM place GROUP BY template) USING (template)
+), unit AS (
+  SELECT path, content, line_no, w, true AS notice FROM cut
+  UNION ALL SELECT path, content, min(line_no), flatten(list(w ORDER BY line_no)), true FROM run WHERE len(w) > 0 GROUP BY path, content, filled HAVING count(*) > 1
+  UNION ALL SELECT path, content, min(line_no), flatten(list(w ORDER BY line_no)), true FROM run WHERE comment GROUP BY path, content, commented HAVING count(*) > 1
+  UNION ALL SELECT path, content, list_extract(nos, first + 1), list_slice(w, first + 1, first + size), true FROM start JOIN words USING (path, content) WHERE first >= 0 AND first + size <= len(w)
+  UNION ALL SELECT path, content, 0, w, false FROM words WHERE regexp_matches(path, '(?i)(^|/)(licen[cs]e|copying|unlicense|notice)([.-][a-z0-9.-]*)?$')
+), numbered AS (SELECT *, row_number() OVER () AS u FROM unit),
+term AS (SELECT u, term, count(*) AS tf FROM (SELECT u, unnest(w) AS term FROM numbered) GROUP BY ALL),
+length AS (SELECT u, sqrt(sum(tf * idf * tf * idf)) AS length FROM term JOIN idf USING (term) GROUP BY u),
+dot AS (SELECT u, template, side.notice AS notice, sum(tf * share) AS dot FROM term JOIN side USING (term) GROUP BY ALL),
+scored AS (
+  SELECT path, content, line_no, template, round(dot / length, {DIGITS}) AS score FROM dot JOIN length USING (u) JOIN numbered USING (u)
+  WHERE dot.notice OR NOT numbered.notice
 ), best AS (
-  SELECT * FROM scored WHERE score >= {LEAST} QUALIFY row_number() OVER (PARTITION BY path ORDER BY score DESC, line_no, template) = 1
+  SELECT * FROM scored WHERE score >= {LEAST} QUALIFY row_number() OVER (PARTITION BY path, content ORDER BY score DESC, line_no, template) = 1
 ), given AS (
-  SELECT regexp_replace(path, '/[^/]*$', '') AS above, regexp_replace(template, '#[0-9]+$', '') AS license
-  FROM best WHERE path LIKE '%/LICENSE'
+  SELECT regexp_replace(path, '/[^/]*$', '') AS above, regexp_replace(template, '#[0-9a-z]+$', '') AS license
+  FROM best WHERE path LIKE '%/LICENSE' QUALIFY row_number() OVER (PARTITION BY above ORDER BY score DESC, path, license) = 1
 ), up AS (
-  SELECT path, unnest([regexp_replace(path, '/[^/]*$', ''), regexp_replace(path, '(/[^/]*){{2}}$', ''), regexp_replace(path, '(/[^/]*){{3}}$', ''), '']) AS above FROM file
+  SELECT DISTINCT path, unnest([regexp_replace(path, '/[^/]*$', ''), regexp_replace(path, '(/[^/]*){{2}}$', ''), regexp_replace(path, '(/[^/]*){{3}}$', ''), '']) AS above FROM file
 ), near AS (
   SELECT path, above, license FROM up JOIN given USING (above) QUALIFY row_number() OVER (PARTITION BY path ORDER BY length(above) DESC) = 1
 )
 SELECT doc_id, path, CAST(line_no AS INTEGER) AS line_no, template, score,
   CASE WHEN template IS NOT NULL THEN 'file' WHEN near.above IS NOT NULL THEN 'directory ' || near.above END AS licensed_by,
-  coalesce(regexp_replace(template, '#[0-9]+$', ''), near.license) AS license
-FROM file LEFT JOIN best USING (path) LEFT JOIN near USING (path)
+  coalesce(regexp_replace(template, '#[0-9a-z]+$', ''), near.license) AS license
+FROM file LEFT JOIN best USING (path, content) LEFT JOIN near USING (path)
 """

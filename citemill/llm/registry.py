@@ -12,7 +12,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_matroska": matroska.op1_matroska,
     "op2_one_permutation": fingerprints.op2_one_permutation,
     "op3_license_scan": licenses.op3_license_scan,
-    "op3_license_scan_whole": licenses.op3_license_scan_whole,
     "op4_super_kmers": substrings.op4_super_kmers,
     "op5_language_spans": language.op5_language_spans,
     "op6_virtual_slots": sharding.op6_virtual_slots,
