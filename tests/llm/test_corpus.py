@@ -120,7 +120,7 @@ def test_media_round_trip(data, cut):
 
 
 def test_packet_table(spark, sf):
-    rows = matroska.packet_table(matroska.mux_texts(spark.read.parquet(f"{sf}/documents.parquet"))).where("doc_id = 19").orderBy("timestamp_ns").collect()
+    rows = matroska.packet_table(matroska.store_texts(spark.read.parquet(f"{sf}/documents.parquet"), fields=("media",))).where("doc_id = 19").orderBy("timestamp_ns").collect()
     assert [r.timestamp_ns for r in rows] == [i * 64_000_000 for i in range(len(rows))] and sum(r["size"] for r in rows) == 3008
 
 
@@ -171,6 +171,36 @@ def test_many_runs(spark):
     assert len(got) == 1000 and all(got[i] == f"t{i - 3 if i else 2997}" for i in got)
 
 
+def test_ids_far_apart_and_hot(spark, monkeypatch):
+    """Both ends of the range, an outlier, a doc_id that half of the rows have, and null: each row's next one by brute force."""
+    monkeypatch.setattr(fingerprints, "RUN_ROWS", 8)
+    monkeypatch.setattr(fingerprints, "BLOCK", 16)
+    rows = [(i, f"t{i}") for i in range(400)] + [(77, f"hot{i}") for i in range(900)] + [(None, f"none{i}") for i in range(300)] + [(-(1 << 63), "least"), (9 * 10**18, "far"), ((1 << 63) - 1, "most")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    hashes = {r.text: r.h for r in df.select("text", F.xxhash64("text").alias("h")).collect()}
+    order = [t for _, t in sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), hashes[r[1]]))]
+    made = fingerprints.with_next(df, ["text"])
+    assert {r.text: r.next_text for r in made.collect()} == dict(zip(order, [*order[1:], order[0]], strict=True))
+    sizes = [r["count"] for r in made.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == len(rows) and max(sizes) < 0.7 * len(rows)
+
+
+def test_bins(spark):
+    """Brute force: the least hash of each bin, the rest borrowed in the bin's own order."""
+    rng = random.Random(6)
+    texts = [words(rng, n) for n in (0, 3, 5, 30, 300, 2000)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    steps, starts, _ = fingerprints._orders()
+    for r in df.select(fingerprints.shingle_hashes(F.col("text")).alias("h"), fingerprints.fingerprint(F.col("text")).alias("f")).collect():
+        least = {}
+        for h in r.h:
+            b = (h >> 64 - fingerprints.BIN_BITS) + fingerprints.BINS // 2
+            least[b] = min(h, least.get(b, h))
+        for b in range(fingerprints.BINS):
+            own = b if b in least else next(j for t in range(fingerprints.BINS) if (j := (steps[b] * t + starts[b]) % fingerprints.BINS) in least)
+            assert r.f[b] == least[own] % 256
+
+
 # ---- licences
 
 
@@ -186,32 +216,62 @@ def test_licenses(spark):
     assert got["z/f.txt"] == ("GPL-3.0", "directory ") and got["n.txt"] == ("GPL-3.0", "directory ")
 
 
-def test_license_words_all_counted(spark):
-    """Brute force; words of no template that every line has must not weigh like rare ones."""
-    notice = "# Copyright 2021 Acme Corp. Licensed under the Apache License, Version 2.0"
-    rows = [(f"f{i}.txt", f"# copyright 2021 of the acme corp {i}\nplain line {i % 7} of the project") for i in range(300)] + [("n.py", notice), ("e.txt", ""), ("z.txt", None)]
-    tokens = lambda s: re.findall("[a-z0-9]+", s.lower())
-    vectors = {(p, k): Counter(tokens(x)) for p, t in rows for k, x in enumerate((t or "").split("\n")) if tokens(x)}
-    df = Counter(w for v in vectors.values() for w in v)
-    idf = lambda w: math.log((len(vectors) + 1) / (df[w] + 1)) + 1
+def brute_licenses(rows):
+    """Best (line, template, score) by path: all lines, runs, comment blocks, windows and licence files against all templates."""
+    tokens = lambda x: re.findall("[a-z0-9]+", x.lower())
+    cut = {p: [(k, x, tokens(x)) for k, x in enumerate((t or "").split("\n"))] for p, t in rows}
+    lines_ = [w for own in cut.values() for _, _, w in own if w]
+    df = Counter(w for v in lines_ for w in set(v))
+    idf = lambda w: math.log((len(lines_) + 1) / (df[w] + 1)) + 1
     size = lambda v: math.sqrt(sum((k * idf(w)) ** 2 for w, k in v.items()))
-    want = {}
-    for (p, k), v in vectors.items():
-        for name, t in licenses.term_counts(licenses.TEMPLATES).items():
-            score = round(sum(v[w] * n * idf(w) ** 2 for w, n in t.items()) / size(v) / size(t), licenses.DIGITS)
-            if score >= licenses.LEAST:
-                want[p] = min(want.get(p, (0, 0, "")), (-score, k, name))
-    files = spark.createDataFrame(rows, "path string, text string")
-    want = {p: (k, name, round(-s, 5)) for p, (s, k, name) in want.items()}
-    rounded = lambda found: {r.path: (r.line_no, r.template, round(r.score, 5)) for r in found.collect()}
-    assert rounded(licenses.scan_all_words(files)) == want and "n.py" in want
-    assert rounded(licenses.scan(files)) != want  # the SQL twin's weights
+    notices = dict(licenses.named(licenses.TEMPLATES))
+    strong = {n: licenses.strong_words({w: k * idf(w) for w, k in Counter(tokens(t)).items()}) for n, t in notices.items()}
+    out = {}
+    for p, own in cut.items():
+        units = [(k, w, False) for k, _, w in own]
+        for inside in (lambda x: bool(x[2]), lambda x: re.match(licenses.COMMENT, x[1])):
+            run = []
+            for x in [*own, (-1, "", [])]:
+                if inside(x):
+                    run.append(x)
+                else:
+                    units += [(run[0][0], sum((y[2] for y in run), []), False)] if len(run) > 1 else []
+                    run = []
+        flat = [(k, w) for k, _, ws in own for w in ws]
+        for n, t in notices.items():
+            for place, anchor in enumerate(tokens(t)):
+                if anchor in strong[n]:
+                    for i, (_, w) in enumerate(flat):
+                        first, last = i - place, i - place + len(tokens(t))
+                        if w == anchor and first >= 0 and last <= len(flat):
+                            units.append((flat[first][0], [x for _, x in flat[first:last]], False))
+        if re.match(licenses.LICENSE_FILE, p.split("/")[-1]):
+            units.append((0, [w for _, w in flat], True))
+        for k, w, whole in units:
+            for n, c in [*((n, Counter(tokens(t))) for n, t in notices.items()), *(licenses.full_texts().items() if whole else ())]:
+                v = Counter(w)
+                score = round(sum(v[x] * m * idf(x) ** 2 for x, m in c.items()) / size(v) / size(c), licenses.DIGITS) if w else 0
+                if score >= licenses.LEAST:
+                    out[p] = min(out.get(p, (0, 0, "")), (-score, k, n))
+    return {p: (k, n, round(-x, 5)) for p, (x, k, n) in out.items()}
+
+
+def test_licenses_by_brute_force(spark):
+    """Words that every line has must not weigh like rare ones; notices wrapped, within lines, and across blocks."""
+    notice = "# Copyright 2021 Acme Corp. Licensed under the Apache License, Version 2.0"
+    wrapped = "/*\n * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation, either version 3 of the License, or\n * (at your option) any later version.\n */\nint x;"
+    rows = [(f"f{i}.txt", f"# copyright 2021 of the acme corp {i}\nplain line {i % 7} of the project") for i in range(60)]
+    rows += [("n.py", notice), ("e.txt", ""), ("z.txt", None), ("w.c", wrapped), ("LICENSE", "MIT License\n\n" + licenses.TEMPLATES[-1][1].replace(", ", ",\n"))]
+    rows += [("long.txt", "some words before it " * 9 + "released under the MIT License. " + "and more behind " * 9), ("two.txt", "released under\n\nthe mit license")]
+    got = {r.path: (r.line_no, r.template, round(r.score, 5)) for r in licenses.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    want = brute_licenses(rows)
+    assert got == want and {"n.py", "w.c", "LICENSE", "long.txt", "two.txt"} <= set(want)
 
 
 def test_license_notices_beyond_lines(spark):
     import textwrap
 
-    by = {f"{name}#{i:02d}": t for i, (name, t) in enumerate(licenses.WHOLE_TEMPLATES)}
+    by = {f"{name}#{i:02d}": t for i, (name, t) in enumerate(licenses.TEMPLATES)}
     rows, want = [(f"x{i}.txt", f"plain words of file number {i}\nand the second line") for i in range(100)], {}
     for name, text in by.items():
         for width in (40, 50, 60):
@@ -220,25 +280,24 @@ def test_license_notices_beyond_lines(spark):
             want[path] = name.split("#")[0]
         rows.append((f"{name}/long.txt", "well " * 80 + text + " and so on" * 60))
         want[f"{name}/long.txt"] = name.split("#")[0]
-    got = {r.path: r.template.split("#")[0] for r in licenses.scan_whole(spark.createDataFrame(rows, "path string, text string")).collect()}
+    got = {r.path: r.template.split("#")[0] for r in licenses.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
     assert got == want
 
 
 def test_license_files_whole(spark):
     """A text with the word counts of a whole licence, one word a line."""
     rows = [(f"{name}/{kind}", "\n".join(t for t, k in c.items() for _ in range(k))) for name, c in licenses.full_texts().items() for kind in ("LICENSE", "other.txt")]
-    got = {r.path: r.template for r in licenses.scan_whole(spark.createDataFrame(rows, "path string, text string")).collect()}
+    got = {r.path: r.template for r in licenses.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
     assert all(got[f"{name}/LICENSE"] == name for name in licenses.full_texts())
     assert not any(t.endswith("#full") for p, t in got.items() if p.endswith("other.txt"))
 
 
-@pytest.mark.parametrize("name", ["op3_license_scan", "op3_license_scan_whole"])
-def test_license_files_of_one_path(spark, tmp_path, name):
+def test_license_files_of_one_path(spark, tmp_path):
     """Texts without an id, and a repeated id: lines of different documents are no one line."""
     rows = [(None, f"other words {i} stand here in this line of text number {i}", "en", "s", 1) for i in range(30)]
     rows += [(None, "Licensed under CC BY 4.0", "en", "s", 1), (7, "Released under the MIT License.", "en", "s", 1), (7, "nothing", "en", "s", 1)]
     spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
-    got = Counter((r.doc_id, r.license, r.licensed_by) for r in registry.QUERIES[name](spark, str(tmp_path)).collect())
+    got = Counter((r.doc_id, r.license, r.licensed_by) for r in registry.QUERIES["op3_license_scan"](spark, str(tmp_path)).collect())
     assert got == {(None, None, None): 30, (None, "CC-BY-4.0", "file"): 1, (7, "MIT", "file"): 1, (7, None, None): 1}
 
 
@@ -477,15 +536,15 @@ def test_scripts_of_no_language(spark):
 def tokenizer(name):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path(name))
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_encoder(name, texts, monkeypatch):
     rng = random.Random(7)
     odd = ["".join(rng.choice("ab 's\n\t  .,1é½\x85\xa0İ'") for _ in range(rng.randint(0, 25))) for _ in range(1500)]
+    bits = ["'", "'s", "'t", "'re", "'ve", "'ll", "'d", "'m", "s", "re", " ", "  ", "\n", "\r\n", "\x0b", "B", "à", "ß", "ǆ", "1", "23", "²", "ª", "×", "_", "-", "!!", "€", "日", "\x1f", "\x00", "<|endoftext|>", "<|STARTOFTEXT|>", "x" * 300]
+    odd += ["".join(rng.choice(bits) for _ in range(rng.randint(0, 14))) for _ in range(3000)]
     given_texts = [t or "" for t in texts.values()] + odd + [" ", "a\n \nb", "a   b ", "\n\n x", "’s it's'LL", "​"]
     library, own = tokenizer(name), encoding.Encoder(public_tokenizers.path(name))
     monkeypatch.setattr(encoding, "REMEMBERED", 500)
