@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citemill.llm import language, near_duplicates, packing, substrings
-from citemill.llm.common import stored
+from citemill.llm.common import stored, unused
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Share of letters that the predicted language must have.
@@ -29,11 +29,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes passages that stand in an earlier document; texts that lose nothing stay as they are, those that lose all go."""
-    done = substrings.dedup_substrings(docs, keep=["text", "lang", "source"])
+    """Removes passages that stand in an earlier document, and leaves line breaks and all else as they are; texts that lose all go."""
+    none = unused(docs, "no_text")
+    done = substrings.dedup_substrings(docs.withColumn(none, F.col("text").isNull()), keep=["lang", "source", none], layout=True)
     left = done.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
-    text = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.col("kept"))
-    return left.withColumn("text", text).withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
+    text = F.when(~F.col(none), F.col("kept"))
+    return left.withColumn("text", text).withColumn("n_chars", F.coalesce(F.char_length("text"), F.lit(0)).cast("long")).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
