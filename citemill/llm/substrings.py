@@ -157,10 +157,10 @@ def occurrences(keyed: DataFrame, window: int) -> DataFrame:
 
 
 def _sent(keyed: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
-    """bucket, minimiser, name, windows, at, k, words: the packed strings that wanted (k, names, hot) asks of each document."""
+    """bucket, minimiser, name, at, k, words: the packed strings that wanted (k, names, hot) asks of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([*((c, pa.int64()) for c in ("bucket", "minimiser", "name", "windows", "at", "k")), ("words", pa.binary())])
+        schema = pa.schema([*((c, pa.int64()) for c in ("bucket", "minimiser", "name", "at", "k")), ("words", pa.binary())])
         for b in batches:
             keys, texts, wants = np.asarray(b.column(0)), [t.encode() for t in b.column(1).to_pylist()], b.column(2).to_pylist()
             for a, z in _parts([len(t) for t in texts], PART):
@@ -169,26 +169,26 @@ def _sent(keyed: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
                 signed, marks, rows = name.view(np.int64).tolist(), least.view(np.int64).tolist(), []
                 edges = np.searchsorted(text, np.arange(z - a + 1))
                 for i in range(z - a):
-                    asked = {(x["minimiser"], x["name"], x["windows"]): x["hot"] for x in wants[a + i]}
+                    asked = {(x["minimiser"], x["name"]): x["hot"] for x in wants[a + i]}
                     words = texts[a + i].split() if asked else []
                     for j in range(edges[i], edges[i + 1]):
-                        s, n = int(start[j]), int(count[j])
-                        hot = asked.pop((marks[j], signed[j], n), None)
+                        hot = asked.pop((marks[j], signed[j]), None)
                         if hot is None:
                             continue
+                        s, n = int(start[j]), int(count[j])
                         cuts = [(0, n, int(least[j]))]
                         if hot:
                             lo = int(bounds[i]) + s
                             second = sliding_min(run_hashes(_mixed(hashes[lo : lo + n + window - 1] ^ _STEP), SECOND), window - SECOND + 1)
                             turn = [0, *(np.flatnonzero(np.diff(second)) + 1).tolist(), n]
                             cuts = [(p, q, int(_mixed(second[p : p + 1] ^ least[j : j + 1])[0])) for p, q in zip(turn[:-1], turn[1:], strict=True)]
-                        rows += [(bucket, marks[j], signed[j], n, p, int(keys[a + i]), b" ".join(words[s + p : s + q + window - 1])) for p, q, bucket in cuts]
+                        rows += [(bucket, marks[j], signed[j], p, int(keys[a + i]), b" ".join(words[s + p : s + q + window - 1])) for p, q, bucket in cuts]
                 if rows:
                     c = list(zip(*rows, strict=True))
                     yield pa.RecordBatch.from_arrays([_signed(np.array(c[0], np.uint64)), *(pa.array(c[i], schema.field(i).type) for i in range(1, len(schema)))], schema=schema)
 
     joined = keyed.join(wanted, "k").select("k", "text", "names")
-    return joined.mapInArrow(run, "bucket long, minimiser long, name long, windows long, at long, k long, words binary")
+    return joined.mapInArrow(run, "bucket long, minimiser long, name long, at long, k long, words binary")
 
 
 def first_holders(strings: list[bytes], keys: np.ndarray, window: int = WINDOW) -> list[list[tuple[int, int, int]]]:
@@ -225,13 +225,13 @@ def first_holders(strings: list[bytes], keys: np.ndarray, window: int = WINDOW)
 
 
 def _answers(sent: DataFrame, window: int) -> DataFrame:
-    """minimiser, name, windows, first, last, holder: runs of a super-k-mer's windows and their least document."""
+    """minimiser, name, first, last, holder: runs of a super-k-mer's windows and their least document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(rows: list[tuple]) -> pa.RecordBatch:
-            found = first_holders([r[6] for r in rows], np.array([r[5] for r in rows], np.int64), window)
-            flat = [(*r[1:4], r[4] + a, r[4] + z, k) for r, runs in zip(rows, found, strict=True) for a, z, k in runs]
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*flat, strict=True)], names=["minimiser", "name", "windows", "first", "last", "holder"])
+            found = first_holders([r[5] for r in rows], np.array([r[4] for r in rows], np.int64), window)
+            flat = [(*r[1:3], r[3] + a, r[3] + z, k) for r, runs in zip(rows, found, strict=True) for a, z, k in runs]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*flat, strict=True)], names=["minimiser", "name", "first", "last", "holder"])
 
         rows, held, last = [], 0, None
         for b in batches:
@@ -241,18 +241,18 @@ def _answers(sent: DataFrame, window: int) -> DataFrame:
                     rows, held = [], 0
                 last = r[0]
                 rows.append(r)
-                held += len(r[6])
+                held += len(r[5])
         if rows:
             yield done(rows)
 
     dealt = sent.repartition("bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(run, "minimiser long, name long, windows long, first long, last long, holder long")
+    return dealt.mapInArrow(run, "minimiser long, name long, first long, last long, holder long")
 
 
 def covered_spans(keyed: DataFrame, window: int = WINDOW) -> DataFrame:
     """k, spans (row, first, last word) of the words that repeat an earlier document."""
     seen = occurrences(keyed, window)
-    own = ["minimiser", "name", "windows"]  # a name is a hash: two super-k-mers are one only if the others agree as well
+    own = ["minimiser", "name"]  # a name is a hash of words and length: two super-k-mers are one only if their minimisers agree as well
     names = seen.groupBy(*own).agg(F.min("k").alias("k"), F.max("k").alias("top"))
     shared = names.groupBy("minimiser").agg(F.min("k").alias("lo"), F.max("top").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi")
     asked = names.join(shared, "minimiser").groupBy("k").agg(F.collect_list(F.struct(*own, (F.col("n") > HOT).alias("hot"))).alias("names"))
