@@ -29,7 +29,6 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import documents, stored, text_or_empty
 
@@ -86,11 +85,6 @@ def words(line: Column) -> Column:
     return F.array_remove(F.split(F.lower(line), "[^a-z0-9]+"), "")
 
 
-def file_keys(files: DataFrame) -> list[str]:
-    """path, and what tells files of one path apart, if given."""
-    return [c for c in ("path", "content") if c in files.columns]
-
-
 def strong_words(weights: dict[str, float], least: float = LEAST) -> set[str]:
     """All words but the weakest, which span together less than least of the length."""
     total, spanned, out = sum(w * w for w in weights.values()), 0.0, set()
@@ -115,69 +109,121 @@ def full_texts() -> dict[str, dict[str, int]]:
         return {f"{k}#full": v for k, v in json.load(f).items()}
 
 
+def _let(value: Column, body) -> Column:
+    """body(value) with value computed once, not wherever body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def keyed(files: DataFrame) -> DataFrame:
+    """Adds ``file``, 128 bits of path and text: it tells files of one path apart, and is shorter than both."""
+    if "file" in files.columns:
+        return files
+    return files.withColumn("file", F.unhex(F.md5(F.concat_ws("\x00", F.coalesce("path", F.lit("")), text_or_empty()))))
+
+
 def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least: float = LEAST, license_file: str = LICENSE_FILE) -> DataFrame:
-    """path (and content), line_no, template, score of the best vector of each file (path, text) that has one."""
-    keys, counts = file_keys(files), term_counts(templates)
+    """file, path, line_no, template, score of the best vector of each file (path, text) that has one.
+
+    Texts, and then the vectors made of them, are kept only if their words span enough of some template: all that is local to a
+    row. What is left is weighed by joins with the frequencies of its words.
+    """
+    keys, counts, files = ["file", "path"], term_counts(templates), keyed(files)
     idf = _frequencies(files.select(F.explode(F.split("text", "\n")).alias("line")).select(words(F.col("line")).alias("words")).where(F.size("words") > 0))
     rows, strong = _template_shares(counts | full_texts(), idf, least)
     short = [r for r in rows if r[0] in counts]
-    some = {t for name in counts for t in strong[name]}
-    any_strong = lambda c: F.arrays_overlap(c, F.array(*[F.lit(t) for t in sorted(some)]))
-    few = stored(files.where(any_strong(words(F.col("text")))), "license-files")
-    cut = few.select(*keys, F.posexplode(F.split("text", "\n")).alias("line_no", "line")).select(*keys, "line_no", F.col("line").rlike(COMMENT).alias("comment"), words(F.col("line")).alias("words"))
-    squares: dict[str, dict[str, float]] = {}
-    for name, t, share in short:
-        squares.setdefault(name, {})[t] = share * counts[name][t]  # count * idf^2 / length, times count
-    squares = {name: {t: x / sum(own.values()) for t, x in own.items()} for name, own in squares.items()}
-    held = _held(files.sparkSession, templates, strong, squares, least)
-    runs = _runs(cut, keys).where(any_strong("words")).crossJoin(held).where(_reaches("words")).select(*keys, "line_no", "unit", "words").dropDuplicates([*keys, "line_no", "unit"])
-    units = runs.unionByName(_windows(few, keys, held))
-    whole = files.where(F.regexp_extract("path", "([^/]*)$", 1).rlike(license_file))
-    whole = whole.select(*keys, F.lit(0).alias("line_no"), F.lit("file").alias("unit"), words(F.col("text")).alias("words")).where(F.size("words") > 0)
+    parts = _parts_of_length(rows, counts | full_texts())
+    held = _held(templates, strong, parts, least)
+    vocabulary = F.array(*[F.lit(t) for t in sorted({t for name in counts for t in parts[name]})])
+    anchors = F.array(*[F.lit(t) for t in sorted({t for name in counts for t in strong[name]})])
+
+    def reaching(terms: Column) -> Column:
+        """The words of the notices among these, null where they span enough of none."""
+        return _let(F.array_intersect(terms, vocabulary), lambda known: F.when(F.exists(held, lambda t: _reaches(t, known)), known))
+
+    known = F.when(F.arrays_overlap(words(F.col("text")), anchors), reaching(words(F.col("text"))))
+    few = stored(files.select(*keys, "text", known.alias("known")).where("known IS NOT NULL"), "license-files")
+    runs = few.select(*keys, F.explode(F.filter(_line_units(F.col("text")), lambda u: reaching(u["words"]).isNotNull())).alias("u"))
+    units = stored(runs.select(*keys, "u.line_no", "u.unit", "u.words").unionByName(_windows(few, keys, held)), "license-units")
+    whole = _whole_files(files.where(F.regexp_extract("path", "([^/]*)$", 1).rlike(license_file)), keys, parts, least)
     at = [*keys, "line_no", "unit"]
-    units = stored(units, "license-units")
     return _best(_scores(units, at, short, idf, least).unionByName(_scores(whole, at, rows, idf, least)), keys)
 
 
-def _runs(cut: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, line_no (the first one), unit, words of lines, runs of lines with words and runs of comment lines of cut."""
-    out = cut.select(*keys, "line_no", F.lit("line").alias("unit"), "words").where(F.size("words") > 0)
-    w = Window.partitionBy(*keys).orderBy("line_no")
-    for unit, inside in (("run", F.size("words") > 0), ("comment", F.col("comment"))):
-        runs = cut.withColumn("_run", F.sum((~inside).cast("int")).over(w)).where(inside).groupBy(*keys, "_run")
-        got = runs.agg(F.min("line_no").alias("line_no"), F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "words"))), lambda x: x.words)).alias("words"), F.count(F.lit(1)).alias("_n"))
-        out = out.unionByName(got.where("_n > 1").select(*keys, "line_no", F.lit(unit).alias("unit"), "words").where(F.size("words") > 0))
-    return out
+def _line_units(text: Column) -> Column:
+    """array<struct<line_no, unit, words>>: lines, runs of lines with words and runs of comment lines, by their first lines."""
+
+    def of(lines: Column) -> Column:
+        def unit(line_no: Column, name: str, terms: Column) -> Column:
+            return F.struct(line_no.alias("line_no"), F.lit(name).alias("unit"), terms.alias("words"))
+
+        def runs(name: str, inside) -> Column:
+            within = lambda i: F.coalesce(inside(F.get(lines, i)), F.lit(False))
+            number = F.transform(lines, lambda x: x["line_no"])
+            first = F.filter(number, lambda i: within(i) & ~within(i - 1))
+            last = F.filter(number, lambda i: within(i) & ~within(i + 1))
+            made = F.zip_with(first, last, lambda a, z: F.when(z > a, unit(a, name, F.flatten(F.transform(F.slice(lines, a + 1, z - a + 1), lambda x: x["words"])))))
+            return F.array_compact(made)
 
+        single = F.transform(lines, lambda x: unit(x["line_no"], "line", x["words"]))
+        every = F.concat(single, runs("run", lambda x: F.size(x["words"]) > 0), runs("comment", lambda x: x["comment"]))
+        return F.filter(every, lambda u: F.size(u["words"]) > 0)
 
-def _held(spark: SparkSession, templates: list[tuple[str, str]], strong: dict[str, set[str]], squares: dict[str, dict[str, float]], least: float) -> DataFrame:
-    """A row for each template: its words, the strong ones with their places, the share of its squared length that each word has."""
+    cut = F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("line_no"), x.rlike(COMMENT).alias("comment"), words(x).alias("words")))
+    return _let(cut, of)
+
+
+def _parts_of_length(rows: list[tuple[str, str, float]], counts: dict[str, dict[str, int]]) -> dict[str, dict[str, float]]:
+    """The share of a template's squared length that each of its words has, by template."""
+    out: dict[str, dict[str, float]] = {}
+    for name, t, share in rows:
+        out.setdefault(name, {})[t] = share * counts[name][t]  # count * idf^2 / length, times count
+    return {name: {t: x / sum(own.values()) for t, x in own.items()} for name, own in out.items()}
+
+
+def _held(templates: list[tuple[str, str]], strong: dict[str, set[str]], parts: dict[str, dict[str, float]], least: float) -> Column:
+    """A literal array with a struct for each template: its number of words, the strong ones with their places, the share of its
+    squared length that each word has, and how much of it a vector must span."""
     out = []
-    for (name, text), at in zip(templates, term_counts(templates), strict=True):
+    for name, text in named(templates):
         own = re.findall("[a-z0-9]+", text.lower())
-        out.append((len(own), [(t, i) for i, t in enumerate(own) if t in strong[at]], list(squares[at].items()), (least * 0.999) ** 2))
-    return F.broadcast(spark.createDataFrame(out, "size int, anchors array<struct<term string, place int>>, squares array<struct<term string, part double>>, bound double"))
+        anchors = [F.struct(F.lit(t).alias("term"), F.lit(i).alias("place")) for i, t in enumerate(own) if t in strong[name]]
+        squares = [F.struct(F.lit(t).alias("term"), F.lit(x).alias("part")) for t, x in parts[name].items()]
+        out.append(F.struct(F.lit(len(own)).alias("size"), F.array(*anchors).alias("anchors"), F.array(*squares).alias("squares"), F.lit((least * 0.999) ** 2).alias("bound")))
+    return F.array(*out)
 
 
-def _reaches(terms: str) -> Column:
+def _reaches(template: Column, terms: Column) -> Column:
     """Whether the words of the template among these span at least least of its length: else the cosine is below least."""
-    return F.expr(f"arrays_overlap({terms}, anchors.term)") & F.expr(f"aggregate(transform(array_intersect(squares.term, {terms}), t -> element_at(filter(squares, x -> x.term = t), 1).part), 0D, (a, x) -> a + x) >= bound")
+    matched = F.filter(template["squares"], lambda x: F.array_contains(terms, x["term"]))
+    return F.aggregate(matched, F.lit(0.0), lambda a, x: a + x["part"]) >= template["bound"]
 
 
-def _windows(few: DataFrame, keys: list[str], held: DataFrame) -> DataFrame:
+def _windows(few: DataFrame, keys: list[str], held: Column) -> DataFrame:
     """keys, line_no, unit, words of the windows of few's texts in which a strong word of a template stands where it stands there,
     and which hold enough of its words."""
     by_line = F.transform(F.split("text", "\n"), lambda x, i: F.transform(words(x), lambda t: F.struct(i.alias("line_no"), t.alias("term"))))
-    tokens = few.select(*keys, F.flatten(by_line).alias("tokens")).withColumn("terms", F.col("tokens.term"))
-    vocabulary = F.array(*[F.lit(r.term) for r in held.select(F.explode("squares.term").alias("term")).distinct().orderBy("term").collect()])
-    known = tokens.withColumn("known", F.array_intersect("terms", vocabulary))
-    near = known.crossJoin(held).where(F.expr("size(terms) >= size") & _reaches("known"))
-    starts = F.expr("""array_distinct(flatten(transform(filter(transform(terms, (t, i) -> struct(t, i)), y -> array_contains(anchors.term, y.t)),
-        y -> transform(filter(anchors, a -> a.term = y.t), a -> y.i - a.place))))""")
-    found = near.withColumn("starts", F.filter(starts, lambda s: (s >= 0) & (s + F.col("size") <= F.size("terms"))))
-    cut = F.transform("starts", lambda s: F.struct(F.get("tokens", s)["line_no"].alias("line_no"), F.concat_ws("+", s, F.col("size")).alias("unit"), F.slice("terms", s + 1, F.col("size")).alias("words")))
-    each = found.select(*keys, "anchors", "squares", "bound", F.explode(cut).alias("x")).select(*keys, "anchors", "squares", "bound", "x.*")
-    return each.where(_reaches("words")).select(*keys, "line_no", "unit", "words").dropDuplicates([*keys, "line_no", "unit"])
+    tokens = few.select(*keys, "known", F.flatten(by_line).alias("tokens"))
+    fitting = F.filter(held, lambda t: (F.size("tokens") >= t["size"]) & _reaches(t, F.col("known")))
+    near = tokens.withColumn("t", F.explode(fitting)).withColumn("terms", F.col("tokens.term"))
+    starts = F.expr("""array_distinct(flatten(transform(filter(transform(terms, (t, i) -> struct(t, i)), y -> array_contains(t.anchors.term, y.t)),
+        y -> transform(filter(t.anchors, a -> a.term = y.t), a -> y.i - a.place))))""")
+    found = near.withColumn("starts", F.filter(starts, lambda s: (s >= 0) & (s + F.col("t.size") <= F.size("terms"))))
+    cut = F.transform("starts", lambda s: F.struct(F.get("tokens", s)["line_no"].alias("line_no"), F.concat_ws("+", s, F.col("t.size")).alias("unit"), F.slice("terms", s + 1, F.col("t.size")).alias("words")))
+    kept = F.filter(cut, lambda u: _reaches(F.col("t"), u["words"]))
+    return found.select(*keys, F.explode(kept).alias("x")).select(*keys, "x.*").dropDuplicates([*keys, "line_no", "unit"])
+
+
+def _whole_files(files: DataFrame, keys: list[str], parts: dict[str, dict[str, float]], least: float) -> DataFrame:
+    """keys, line_no, unit, words of the files whose words span enough of some template, whole licences included."""
+    whole = files.select(*keys, F.lit(0).alias("line_no"), F.lit("file").alias("unit"), words(F.col("text")).alias("words"))
+    table = F.broadcast(files.sparkSession.createDataFrame([(name, t, x) for name, own in parts.items() for t, x in own.items()], "template string, term string, part double"))
+    spans = whole.select("file", F.explode(F.array_distinct("words")).alias("term")).join(table, "term").groupBy("file", "template").agg(F.sum("part").alias("part"))
+    reaching = spans.where(F.col("part") >= (least * 0.999) ** 2).select("file").distinct()
+    return stored(whole.join(reaching, "file", "left_semi"), "license-whole")
+
+
+#: Words in so many lines of this many are sent to all workers: at most this many times the words of a mean line.
+COMMON = 1000
 
 
 @dataclass(frozen=True)
@@ -239,16 +285,17 @@ def directory(path: Column) -> Column:
 
 def resolved(files: DataFrame, found: DataFrame, license_file: str = LICENSE_FILE) -> DataFrame:
     """The columns of files and line_no, template, score, licensed_by (own file, or the directory it comes from), license."""
-    name = F.regexp_extract("path", "([^/]*)$", 1)
+    on = "file" if "file" in files.columns else "path"
     license_of = F.regexp_replace(F.col("template"), "#[0-9a-z]+$", "")
-    given = found.where(name.rlike(license_file)).select(directory(F.col("path")).alias("above"), F.struct((-F.col("score")).alias("s"), "path", license_of.alias("license")).alias("x"))
+    best = found.select("path", "template", "score").where(F.regexp_extract("path", "([^/]*)$", 1).rlike(license_file))
+    given = best.select(directory(F.col("path")).alias("above"), F.struct((-F.col("score")).alias("s"), "path", license_of.alias("license")).alias("x"))
     given = given.groupBy("above").agg(F.min("x")["license"].alias("license"))
     dirs = files.select(directory(F.col("path")).alias("dir")).distinct()
     parts = F.split("dir", "/")
     up = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
     ancestors = dirs.select("dir", F.posexplode(F.array_distinct(up)).alias("depth", "above"))
     nearest = ancestors.join(given, "above").groupBy("dir").agg(F.max(F.struct("depth", "above", "license")).alias("x"))
-    own = files.join(found, [c for c in file_keys(found) if c in files.columns], "left").withColumn("dir", directory(F.col("path"))).join(nearest, "dir", "left")
+    own = files.join(found.select(on, "line_no", "template", "score"), on, "left").withColumn("dir", directory(F.col("path"))).join(nearest, "dir", "left")
     by = F.when(F.col("template").isNotNull(), F.lit("file")).when(F.col("x").isNotNull(), F.concat(F.lit("directory "), F.col("x.above")))
     return own.select(*files.columns, "line_no", "template", "score", by.alias("licensed_by"), F.coalesce(license_of, F.col("x.license")).alias("license"))
 
@@ -260,15 +307,10 @@ def document_path() -> Column:
     return F.concat_ws("/", F.coalesce(F.col("source"), F.lit("none")), part(1000), part(50), name)
 
 
-def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, path, content, text. Documents without an id share a path, and so do repeated ids; their text tells them apart."""
-    text = text_or_empty()
-    return documents(spark, sf_dir, "doc_id", "text", "source").select("doc_id", document_path().alias("path"), F.sha2(text, 256).alias("content"), text.alias("text"))
-
-
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = _files(spark, sf_dir)
-    return resolved(files.drop("text"), scan(files.drop("doc_id"))).drop("content")
+    """Documents without an id share a path, and so do repeated ids; their text tells them apart."""
+    files = keyed(documents(spark, sf_dir, "doc_id", "text", "source").select("doc_id", document_path().alias("path"), text_or_empty().alias("text")))
+    return resolved(files.drop("text"), scan(files.drop("doc_id"))).drop("file")
 
 
 def _sql_values() -> tuple[str, str]:
