@@ -252,7 +252,8 @@ def components(edges: DataFrame) -> DataFrame:
     state = state_of(links)
     while True:
         both = links.union(links.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # stored, so that each side of the join is a plain shuffle and Spark can split a node with very many links
+        least = settled(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
         below = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(below, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(below).where("u != v").distinct()
