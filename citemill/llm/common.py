@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 
@@ -15,9 +16,12 @@ ARROW_BYTES = 16 * 1024 * 1024
 
 
 def session(spark: SparkSession) -> SparkSession:
-    """Bounds Arrow batches by rows and bytes, so that a run of long texts can't fill a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    """Bounds Arrow batches by rows and bytes, so that a run of long texts can't fill a worker. Plans read these settings when they
+    run, so they stay for the session; a tighter bound that the caller has set stays as it is."""
+    for name, most in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
+        now = re.fullmatch("([0-9]+)b?", spark.conf.get(f"spark.sql.execution.arrow.{name}"))
+        if not now or not 0 < int(now[1]) <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
     return spark
 
 

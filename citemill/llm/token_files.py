@@ -79,6 +79,8 @@ def write_tokens(df: DataFrame, folder: str, path: str, dtype: str | None = None
         outs[".idx"].write(np.array([at], "<u8").tobytes())
         for x, f in outs.items():
             f.close()
+            if fs.get_file_info(f"{root}/{name}{x}").type != pafs.FileType.NotFound:  # of an attempt that was lost afterwards
+                fs.delete_file(f"{root}/{name}{x}")
             fs.move(f"{root}/.{name}.{mark}{x}", f"{root}/{name}{x}")
         yield pa.RecordBatch.from_pydict({"shard": [name], "n_docs": [docs], "n_tokens": [at]})
 
