@@ -358,6 +358,47 @@ def test_hot_minimisers(spark, monkeypatch):
     assert {r.doc_id: (r.n_words, r.n_removed, hashlib.sha256(r.kept.encode()).hexdigest()) for r in got} == want
 
 
+@pytest.mark.parametrize(("limit", "hot"), [(100, 10**9), (3000, 10**9), (100, 2)])
+def test_large_buckets(spark, monkeypatch, limit, hot):
+    """Buckets too large for memory are grouped by the words of their windows."""
+    rng = random.Random(10)
+    line = words(rng, 62)
+    texts = {i: words(rng, rng.randint(0, 60)) + " " + line + " " + words(rng, rng.randint(0, 60)) for i in range(60)}
+    texts |= {100 + i: "same " * 120 + words(rng, 3) for i in range(3)}
+    monkeypatch.setattr(substrings, "BUCKET", limit)
+    monkeypatch.setattr(substrings, "HOT", hot)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = substrings.dedup_substrings(df).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, hashlib.sha256(r.kept.encode()).hexdigest()) for r in got} == brute_substrings(texts)
+
+
+def test_names_of_several_minimisers(spark, monkeypatch):
+    """Names that collide between minimisers are told apart: here few are left, none of which collide under one minimiser."""
+    whole, kept = substrings.super_kmers, np.uint64(63 << 3)
+
+    def few_names(*args):
+        text, start, count, least, name = whole(*args)
+        return text, start, count, least, name & kept
+
+    rng = random.Random(12)
+    line = words(rng, 90)
+    texts = {i: words(rng, 90) + " " + (line if i % 2 else "") for i in range(30)}
+    names = whole(*substrings.word_hashes([t.encode() for t in texts.values()]))
+    real = set(zip(names[3].tolist(), names[4].tolist(), strict=True))
+    assert len({(m, n & int(kept)) for m, n in real}) == len(real) > 1.3 * len({n & int(kept) for _, n in real})
+    monkeypatch.setattr(substrings, "super_kmers", few_names)
+    got = substrings.dedup_substrings(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, hashlib.sha256(r.kept.encode()).hexdigest()) for r in got} == brute_substrings(texts)
+
+
+def test_layout_stays(spark):
+    rng = random.Random(13)
+    line = words(rng, 60)
+    rows = [(1, f"one\n{line}\ntwo"), (2, f"  head\n\n{line}\n\ttail \n"), (3, None), (4, " \n")]
+    got = {r.doc_id: r.kept for r in substrings.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string"), layout=True).collect()}
+    assert got == {1: rows[0][1], 2: "  head\n\ntail \n", 3: "", 4: " \n"}
+
+
 def test_first_holders():
     rng = random.Random(4)
     strings = [" ".join(rng.choice("ab") for _ in range(rng.randint(7, 30))).encode() for _ in range(30)]
@@ -394,6 +435,32 @@ def test_held_out_accuracy(spark):
     assert np.mean([r.lang == r.lang_pred for r in rows]) > 0.97
 
 
+def test_equal_languages_rank_by_name(spark):
+    model = language.train(spark.createDataFrame([(1, "same words here", "xx"), (2, "same words here", "aa")], "doc_id long, text string, lang string"))
+    assert language.identify(["same words"], model)[0] == ["aa"]
+
+
+def test_parts_of_long_texts(spark, monkeypatch):
+    """Cutting texts for memory changes nothing."""
+    rng = random.Random(14)
+    rows = [(i, words(rng, 50), "en") for i in range(20)] + [(50 + i, "das kleine Wasser und der große Fluß im Garten", "de") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(df)
+    sample = [words(rng, 3000) + " das Wasser und der Fluß " * 40, "", "x" * 5000, "12 " * 3000, words(rng, 10)]
+    whole = language.identify(sample, model)
+    monkeypatch.setattr(language, "PART", 100)
+    monkeypatch.setattr(language, "GROUP", 1000)
+    assert language.identify(sample, model) == whole and len(whole[2][0]) == 2
+    cut = language.train(df)
+    assert cut.languages == model.languages and np.array_equal(cut.table, model.table)
+
+
+def test_too_many_languages(spark):
+    rows = [(i, "text", f"l{i}") for i in range(language.LANGUAGES + 1)]
+    with pytest.raises(ValueError):
+        language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+
+
 def test_viterbi():
     rng = np.random.default_rng(0)
     sizes = [0, 1, 7, 3, 12]
@@ -422,6 +489,28 @@ def test_sharding(spark, sf, texts):
     assert all(sorted(x) == list(range(len(x))) for x in per.values()) and set(per) <= set(range(40))
 
 
+def test_sharding_of_documents(spark):
+    """Checksums, sizes, and the law: shards of near equal bytes; the larger table has more rows than shards by far."""
+    sf = "/root/testdata/sf0.01"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    total, places = Counter(), defaultdict(list)
+    for r in registry.QUERIES["op6_virtual_slots"](spark, sf).collect():
+        data = (texts[r.doc_id] or "").encode()
+        assert (r.text_crc32, r["size"], r.grown_shard) == (zlib.crc32(data), len(data) + 16, None)
+        total[r.shard] += r["size"]
+        places[r.shard].append(r.slot)
+    assert len(total) == 40 and max(total.values()) - min(total.values()) < 0.005 * sum(total.values()) / 40
+    assert all(sorted(x) == list(range(len(x))) for x in places.values())
+
+
+def test_repeated_rows_get_places(spark, tmp_path):
+    spark.createDataFrame([(7, "same", None, None, 4)] * 5 + [(None, "none", None, None, 4)] * 3, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    got = defaultdict(list)
+    for r in registry.QUERIES["op6_virtual_slots"](spark, str(tmp_path)).collect():
+        got[r.shard].append(r.slot)
+    assert sorted(len(x) for x in got.values()) == [3, 5] and all(sorted(x) == list(range(len(x))) for x in got.values())
+
+
 def test_slot_maps(spark):
     rng = random.Random(1)
     load = [rng.randint(0, 1000) for _ in range(sharding.SLOTS)]
@@ -474,6 +563,36 @@ def test_near_duplicates(spark, sf, texts):
     assert Counter(r.doc_id for r in kept.collect()) == Counter([None, *[i for i, c in brute_classes(texts).items() if i == c]])
 
 
+def test_near_duplicates_of_all_documents(spark):
+    """The classes of a whole table against all of its pairs: overlaps are summed up by shared shingles."""
+    sf = "/root/testdata/sf0.01"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    bags, holders = {}, defaultdict(list)
+    for i, t in texts.items():
+        w = (t or "").encode().split()
+        bags[i] = Counter(tuple(w[j : j + 5]) for j in range(len(w) - 4)) if len(w) >= 5 else Counter([tuple(w)])
+        for x, n in bags[i].items():
+            holders[x].append((i, n))
+    both = Counter()
+    for own in holders.values():
+        for k, (i, n) in enumerate(own):
+            for j, m in own[k + 1 :]:
+                both[i, j] += min(n, m)
+    parent, size = {i: i for i in texts}, {i: sum(b.values()) for i, b in bags.items()}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    pairs = [p for p, n in both.items() if n >= 0.8 * (size[p[0]] + size[p[1]] - n)]
+    for i, j in pairs:
+        a, b = root(i), root(j)
+        parent[max(a, b)] = min(a, b)
+    got = {r.doc_id: r.class_id for r in registry.QUERIES["op7_bag_min_hash"](spark, sf).collect()}
+    assert len(pairs) > 50 and got == {i: root(i) for i in texts}
+
+
 def test_edits_of_one_text(spark):
     rng = random.Random(8)
     base = words(rng, 200).split()
@@ -605,7 +724,7 @@ def test_plan(counts):
         for s in range((r.last - r.first) // r.per):
             fill[r.sequence + s] += r.per * r.length
     assert used == Counter(counts) and max(fill.values(), default=0) <= 64
-    assert len(fill) <= 1.25 * sum(n * c for n, c in counts.items()) / 64 + sum(c for n, c in counts.items() if n > 32) + 1
+    assert len(fill) <= 2 * sum(n * c for n, c in counts.items()) / 64 + 1  # two sequences hold more than one's capacity together
 
 
 def test_token_files(spark, sf, texts):
@@ -627,6 +746,25 @@ def test_token_files_with_ids(spark):
     assert len(shards) > 1 and all(len(r.ids) == r.n_tokens and r.ids[-1] == 1 for r in rows) and len(rows) == 50
 
 
+def test_ids_beyond_16_bits(spark):
+    df = spark.createDataFrame([(1, "one"), (2, None)], "doc_id long, text string")
+    path, folder = public_tokenizers.path("word_bpe_49k.json"), fresh_path(spark, "tokens")
+    token_files.write_tokens(df, folder, path, end_id=70_000)
+    assert [r.ids[-1] for r in token_files.read_tokens(spark, folder, with_ids=True).collect()] == [70_000, 70_000]
+    assert token_files.narrowest(path) == "<u2"
+    with pytest.raises(Exception, match="does not fit"):
+        token_files.write_tokens(df, fresh_path(spark, "tokens"), path, dtype="<u2", end_id=70_000)
+
+
+def test_rows_of_one_key_are_dealt(spark):
+    df = spark.createDataFrame([(None, f"text number {i}") for i in range(400)], "doc_id long, text string")
+    folder = fresh_path(spark, "tokens")
+    shards = token_files.write_tokens(df, folder, public_tokenizers.path("word_bpe_49k.json"), shards=6)
+    assert len(shards) > 3 and sum(s["n_docs"] for s in shards) == 400
+    rows = sorted((r.start, r.n_tokens) for r in token_files.read_tokens(spark, folder).collect())
+    assert all(a + n == b for (a, n), (b, _) in zip(rows, rows[1:], strict=False))
+
+
 def test_pieces_equal_the_library(spark, sf, texts):
     import sentencepiece
 
