@@ -12,7 +12,7 @@ from ..functions.converters import text
 from ..functions.regex import delimited, quote
 from ..options import Alias, Aliases
 from ..plans.rules import AFTER, BEFORE, RuleSet
-from .detect import hits, mentions
+from .detect import clean, hits, mentions
 
 
 def tolerant(alias: str) -> str:
@@ -29,13 +29,13 @@ def _sorted(aliases: Aliases) -> list[Alias]:
 
 def found(c, aliases: Aliases) -> Column:
     """Hits of the aliases, the longest first at each place; rule is the number in that order."""
-    parts = [re.sub(r"\((?!\?)", "(?:", delimited(a.alias)[0].replace("(?iu)", "")) if a.is_regex else tolerant(a.alias) for a in _sorted(aliases)]
+    parts = [re.sub(r"\((?!\?)", "(?:", _body(a)) if a.is_regex else tolerant(a.alias) for a in _sorted(aliases)]
     return hits(c, parts)
 
 
 def replaced(c, aliases: Aliases) -> Column:
     """The text with every alias replaced; a pattern's groups may stand in its replacement as {{ $n }}."""
-    out = text(c)
+    out = clean(c)
     plain = [a for a in _sorted(aliases) if not a.is_regex]
     if plain:
         known = F.create_map(*[F.lit(x) for a in plain for x in (_folded(a.alias), a.replacement)])
@@ -45,8 +45,25 @@ def replaced(c, aliases: Aliases) -> Column:
         out = F.array_join(done, "")
     for a in _sorted(aliases):
         if a.is_regex:
-            by = re.sub(r"\{\{\s*\$(\d+)\s*\}\}", r"$\1", a.replacement)
-            out = F.regexp_replace(out, f"(?iu){BEFORE}(?:{delimited(a.alias)[0].replace('(?iu)', '')}){AFTER}", by)
+            out = F.regexp_replace(out, f"(?iu){BEFORE}(?:{_body(a)}){AFTER}", _by(a))
+    return out
+
+
+def _body(a: Alias) -> str:
+    return delimited(a.alias)[0].replace("(?iu)", "")
+
+
+def _by(a: Alias) -> str:
+    """A pattern's replacement, its {{ $n }} as the engine writes them."""
+    return re.sub(r"\{\{\s*\$(\d+)\s*\}\}", r"$\1", a.replacement)
+
+
+def _rendered(aliases: list[Alias], rule: Column, source: Column) -> Column:
+    """What a hit is replaced by."""
+    out = F.element_at(F.array(*[F.lit(a.replacement) for a in aliases]), rule + 1)
+    for k, a in enumerate(aliases):
+        if a.is_regex:
+            out = F.when(rule == k, F.regexp_replace(source, f"(?iu){_body(a)}", _by(a))).otherwise(out)
     return out
 
 
@@ -62,7 +79,7 @@ def folded(c: Column) -> Column:
 def offsets(df: DataFrame, aliases: Aliases, key: str = "doc_id", column: str = "text") -> DataFrame:
     """key, position in the text, source, replacement, delta (of lengths), replaced_position (in the text that results)."""
     ordered = _sorted(aliases)
-    by = F.element_at(F.array(*[F.lit(a.replacement) for a in ordered]), F.col("h.rule") + 1)
+    by = _rendered(ordered, F.col("h.rule"), F.col("h.match"))
     each = df.select(key, F.explode(found(F.col(column), aliases)).alias("h")).select(key, "h.position", F.col("h.match").alias("source"), by.alias("replacement"))
     delta = each.withColumn("delta", F.length("source") - F.length("replacement"))
     before = Window.partitionBy(key).orderBy("position").rowsBetween(Window.unboundedPreceding, -1)

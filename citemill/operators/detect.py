@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -74,17 +75,21 @@ def needs_cursor(rules: RuleSet, title_form: bool) -> bool:
     return title_form or any(c.skip for c in rules.rules)
 
 
-def _python(pattern: str) -> str:
-    return pattern.replace(r"\z", r"\Z").replace("(?iu)", "(?i)")
+@lru_cache(maxsize=64)
+def _patterns(rules: tuple[Compiled, ...], title_form: bool) -> tuple:
+    """The pattern of all rules, and each rule's own ones by name; compiled once per worker, not once per text."""
+    import regex
+
+    def compiled(pattern: str):
+        return regex.compile(pattern.replace(r"\z", r"\Z").replace("(?iu)", "(?i)"))
+
+    parts = [full_pattern(c, title_form and bool(c.rule.views)) for c in rules]
+    return compiled(global_pattern(parts)), [{k: compiled("(?iu)" + p) for k in ("pattern", "trim", "skip", "strict") if (p := getattr(c, k))} for c in rules]
 
 
 def scan_text(value: str, rules: list[Compiled], strict: frozenset[str] = frozenset(), title_form: bool = False, limit: int = 255) -> list[tuple[int, str, int, str]]:
     """(position, match, rule, title) by a cursor: after each candidate trim, skip (back to one past its start), strict, title."""
-    import regex
-
-    parts = [full_pattern(c, title_form and bool(c.rule.views)) for c in rules]
-    pattern = regex.compile(_python(global_pattern(parts)))
-    own = [{k: regex.compile("(?i)" + _python(p)) for k in ("trim", "skip", "strict") if (p := getattr(c, k))} for c in rules]
+    pattern, own = _patterns(tuple(rules), title_form)
     out, at = [], 0
     while m := pattern.search(value, at):
         if m.end() == m.start():
@@ -95,7 +100,7 @@ def scan_text(value: str, rules: list[Compiled], strict: frozenset[str] = frozen
         if title_form and match.startswith("["):
             inner = match[1:-1]
             reference, _, title = inner.partition("|")
-            if len(reference) > limit or len(title) > limit or (title and regex.fullmatch("(?i)" + _python(rules[k].pattern), reference) is None):
+            if len(reference) > limit or len(title) > limit or (title and own[k]["pattern"].fullmatch(reference) is None):
                 at = m.start() + 1
                 continue
             match = reference
@@ -127,13 +132,31 @@ def scan(df: DataFrame, rules: RuleSet, column: str = "text", options: Options |
         for test in guards.values():
             any_open = test(F.col(column)) if any_open is None else any_open | test(F.col(column))
         df = df.where(any_open)
-    if needs_cursor(chosen, title_form) if cursor is None else cursor:
+    if cursor:
         return _cursor_scan(df, chosen, column, keep, o, title_form)
+    if cursor is None and needs_cursor(chosen, title_form):
+        moved = cursor_moves(chosen, F.col(column), title_form)
+        return _plain_scan(df.where(~moved), chosen, column, keep, o).unionByName(_cursor_scan(df.where(moved), chosen, column, keep, o, title_form))
+    return _plain_scan(df, chosen, column, keep, o)
+
+
+def cursor_moves(rules: RuleSet, c: Column, title_form: bool) -> Column:
+    """Whether a text can hold a candidate that moves the cursor back: one of a rule with a skip pattern, or a bracket where the
+    title form is on (forced rules need one there). All other texts give the same by the plain scan."""
+    parts = [full_pattern(r) for r in rules.rules if r.skip]
+    if title_form and any(r.rule.forced for r in rules.rules):
+        return F.lit(True)
+    out = F.contains(text(c), F.lit("[")) if title_form else F.lit(False)
+    return out | clean(c).rlike(global_pattern(parts)) if parts else out
+
+
+def _plain_scan(df: DataFrame, chosen: RuleSet, column: str, keep: list[str], o: Options) -> DataFrame:
     found = df.select(*keep, F.explode(hits(F.col(column), [full_pattern(c) for c in chosen.rules])).alias("_hit"))
     out = found.select(*keep, "_hit.position", "_hit.match", "_hit.rule", F.lit("").alias("title"))
     for k, c in enumerate(chosen.rules):
         if c.trim:
-            out = out.withColumn("match", F.when(F.col("rule") == k, F.regexp_replace("match", f"(?iu){c.trim}", "")).otherwise(F.col("match")))
+            first = F.regexp_replace("match", rf"(?iu)\A((?s:.*?))(?:{c.trim})", "$1")
+            out = out.withColumn("match", F.when(F.col("rule") == k, first).otherwise(F.col("match")))
         if c.strict and {c.rule.type, c.rule.base_type} & o.strict:
             out = out.where((F.col("rule") != k) | F.col("match").rlike(f"(?iu){c.strict}"))
     return out
@@ -178,7 +201,15 @@ def all_captures(rules: RuleSet, rule: Column, match: Column) -> Column:
 
 def rendered(rules: RuleSet, rule: Column, groups: Column) -> Column:
     """The alternatives of a match: its rule's views, in order, whose conditions hold and whose text isn't empty. Attributes that
-    a view renders can be named by those after it. groups: a column of captures, not an expression, as templates name it often."""
+    a view renders can be named by those after it.
+
+    All views of all rules are one expression. It is evaluated as the body of a lambda function, outside the generated code of the
+    stage, which would grow beyond what the JVM compiles and take the whole stage with it."""
+    one = F.transform(F.array(F.struct(rule.alias("rule"), groups.alias("groups"))), lambda x: _rendered(rules, x["rule"], x["groups"]))
+    return F.element_at(one, 1)
+
+
+def _rendered(rules: RuleSet, rule: Column, groups: Column) -> Column:
     out = F.array().cast("array<struct<target:string,base_target:string,order:int,common:boolean,group_target:string,title:string,view:string>>")
     for k, c in reversed(list(enumerate(rules.rules))):
         before, views = F.lit(""), []
