@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import converters as C
+from .regex import quote
 
 # ---- escaping and folding
 
@@ -54,7 +57,13 @@ def filled(template, name: str, value) -> Column:
     default = F.regexp_extract(t, r"\{\{\s*" + name + r"\s*(?:\|([^}]*?))?\s*\}\}", 1)
     chosen = F.when(C.text(value) != "", C.text(value)).otherwise(default)
     parts = F.split(t, r"\{\{\s*" + name + r"\s*(?:\|[^}]*)?\}\}", -1)
-    return F.aggregate(F.slice(parts, 2, 1_000_000), F.element_at(parts, 1), lambda a, x: F.concat(a, chosen, x))
+    return F.aggregate(F.slice(parts, 2, F.size(parts)), F.element_at(parts, 1), lambda a, x: F.concat(a, chosen, x))
+
+
+def intersect(a: Column, b: Column) -> Column:
+    """What the longer array shares with the other, in its order and as often as it stands there."""
+    inside = lambda x, y: F.filter(x, lambda e: F.array_contains(y, e))
+    return F.when(F.size(b) > F.size(a), inside(b, a)).otherwise(inside(a, b))
 
 
 # ---- the official journal
@@ -69,30 +78,26 @@ OJ_AFTER_DATE = {"BG": "г.", "LV": ".", "HU": "."}
 OJ_PAGE = {"DE": "S. {}", "BG": "стр. {}", "CS": "s. {}", "DA": "s. {}", "ET": "lk {}", "EL": "σ. {}", "GA": "lgh. {}", "HR": "str. {}", "IT": "pagg. {}", "LV": "{}. lpp.", "HU": "{} o.", "NL": "blz. {}", "PL": "str. {}", "SK": "s. {}", "SL": "str. {}", "FI": "s. {}", "SV": "s. {}"}
 OJ_DATE = {"LT": "{2} {1} {0}", "HU": "{2}.{1}.{0}"}
 
-_OJ = r"(?i)OJ ([A-Z-]+) "
-_OJ_DAY = r", ([0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})"
-OJ_FORMS = {
-    "paged": _OJ + r"([0-9]+[A-Z]*)" + _OJ_DAY + r", p\. ([0-9]+)-([0-9]+)",
-    "act": _OJ + r"([0-9]{4})/([0-9]+[A-Z]*)" + _OJ_DAY,
-    "plain": _OJ + r"([0-9]+[A-Z]*)" + _OJ_DAY,
-}
-
-
 def oj_parsed(label) -> Column:
-    """Struct of form, part, prefix, year, number, date, first and last page; null where no form fits (paged, act, plain)."""
-    t = C.text(label)
-    got = lambda form, i: F.regexp_extract(t, OJ_FORMS[form], i)
-    none = F.lit(None).cast("string")
-
-    def made(form, part, prefix, yr, no, day, first, last):
-        return F.struct(F.lit(form).alias("form"), part.alias("part"), prefix.alias("prefix"), yr.alias("year"), no.alias("number"), day.alias("date"), first.alias("first_page"), last.alias("last_page"))
-
-    act_part = got("act", 1)
-    return (
-        F.when(t.rlike(OJ_FORMS["paged"]), made("paged", got("paged", 1), none, none, got("paged", 2), got("paged", 3), got("paged", 4), got("paged", 5)))
-        .when(t.rlike(OJ_FORMS["act"]), made("act", act_part, F.when(act_part == "C", "C/").otherwise(""), got("act", 2), got("act", 3), got("act", 4), none, none))
-        .when(t.rlike(OJ_FORMS["plain"]), made("plain", got("plain", 1), none, none, got("plain", 2), got("plain", 3), none, none))
-    )
+    """Struct of form, part, prefix, year, number, date, first and last page; null where no form fits (paged, act, plain).
+
+    A label is read by its comma parts: series and number (or year/number of an act), day, pages.
+    """
+    rest = F.regexp_extract(C.text(label), "(?i)OJ ([A-Z-]+ [0-9].*)", 1)
+    parts = F.split(rest, ", ")
+    at = lambda i: F.coalesce(F.get(parts, F.lit(i)), F.lit(""))
+    series, place = (F.coalesce(F.get(F.split(at(0), " "), F.lit(i)), F.lit("")) for i in (0, 1))
+    issue = F.element_at(F.split(place, "/"), -1)
+    of_year = F.when(place.contains("/"), F.substring_index(place, "/", 1))
+    day = F.regexp_extract(at(1), r"^[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}", 0)
+    pages = F.regexp_extract(F.when(at(1) == day, at(2)), "(?i)^p\\. ([0-9]+-[0-9]+)", 1)
+    form = F.when(of_year.isNotNull(), "act").when(F.coalesce(pages, F.lit("")) != "", "paged").otherwise("plain")
+    sound = issue.rlike("(?i)^[0-9]+[A-Z]*\\z") & (day != "") & F.coalesce(of_year.rlike("^[0-9]{4}\\z"), F.lit(True)) & ~at(0).rlike(" .* ")
+    page = lambda i: F.when(form == "paged", F.get(F.split(pages, "-"), F.lit(i)))
+    prefix = F.when(of_year.isNotNull(), F.when(series == "C", "C/").otherwise(""))
+    made = (form, series, prefix, of_year, issue, day, page(0), page(1))
+    names = ("form", "part", "prefix", "year", "number", "date", "first_page", "last_page")
+    return F.when(sound, F.struct(*[c.alias(n) for c, n in zip(made, names, strict=True)]))
 
 
 def oj_translated(label, code: str) -> Column:
@@ -184,61 +189,127 @@ def joined_cases(labels, connector: str = "and") -> Column:
     return F.when(n <= 1, F.array_join(labels, "")).otherwise(F.concat(head, F.lit(f" {connector} "), F.element_at(labels, -1)))
 
 
-#: Court names at the start of a case title, by language, and what is taken off with them.
-CASE_TITLE_HEADS = {
-    "EN": r"(?i)^(?:Judgment|Order|Opinion) of the [^.#]*?(?:Court|Tribunal)[^.#]*[.#]\s*",
-    "FR": r"(?i)^(?:Arrêt|Ordonnance|Avis) (?:de la|du) [^.#]*?(?:Cour|Tribunal)[^.#]*[.#]\s*",
-    "DE": r"(?i)^(?:Urteil|Beschluss|Gutachten) des [^.#]*?(?:Gerichtshofs?|Gerichts?)[^.#]*[.#]\s*",
-}
+# How the languages begin the title of a judgment, up to its date: {d}, {m} and {y} stand for day, month and year, a
+# space for any white space, groups for the court.
+CASE_TITLES = {
+    "EN": "^Judgment of(.*?) {d} {m} {y}", "FR": "^Arrêt(.*?) du {d} {m} {y}", "DE": r"^Urteil(.*?) vom {d}\.? {m} {y}", "ES": "^Sentencia(.*?) de {d} de {m} de {y}", "PT": "^Acórdão(.*?) de {d} de {m} de {y}",
+    "NL": "^Arrest(.*?) van {d} {m} {y}", "IT": "^Sentenza(.*?) del(?:l’| ){d} {m} {y}", "DA": r"^(.*?) dom(?= )(.*?) af {d}\.? {m} {y}", "CS": r"^Rozsudek(.*?) ze dne {d}\.? {m} {y}",
+    "HR": r"^Presuda(.*?) od {d}\.? {m} {y}", "SL": r"^Sodba(.*?) z dne {d}\.? {m} {y}", "SK": r"^Rozsudok(.*?) zo? {d}\.? {m} {y}", "ET": r"^(?:(.*?) )?(?:Kohtu)?otsus(.*?), {d}\.(?:{d}\.| {m} ){y}",
+    "FI": r"^(.*?)tuomio(.*?) {d}(?:\.{d}\.| päivänä {m} ){y}", "SV": r"^(.*?) dom(?= )(.*?) (?:av )?den {d}\.? {m} {y}",
+    "LV": r"^(.*?)(?:spriedums(.*?) {y}\. gada {d}\.\s?{m}\.|{y}\. gada {d}\.\s?{m}\.? spriedums)", "LT": r"^{y} m\. {m} {d} d\.(.*?) sprendimas", "MT": "^Sentenza(.*?) ta[dlst]-{d} ta[’'] {m} {y}",
+    "PL": r"^Wyrok(.*?) z dnia {d}\.? {m} {y}", "RO": "^Hotărârea(.*?) din(?: data de)? {d} {m} {y}", "BG": "^Решение(.*?) от {d} {m} {y}", "EL": r"^Απόφαση(.*?) της {d}(?:\p{{L}}{{1,7}})? {m} {y}",
+    "HU": r"^(.*?){y}\. {m} {d}-i ítélete?",
+}
+# Two other Hungarian forms, as court, date and (in the first) year, and what they are rewritten to.
+HUNGARIAN = ((r"A (?:Bíróság|Törvényszék) (.+? [0-9]+)\.-i ítélete?: ([0-9]{4})\.?", "$2. $1-i ítélet"), (r"A (?:Bíróság|Törvényszék) ítélete?,? (?:\(.+?\), )?([0-9]{4}\.? .+? [0-9]+\.?)", "$1-i ítélet"))
 
 
-def case_title(title, code: str = "EN") -> Column:
-    """A case title without the court's name, its first letter in upper case."""
-    return C.ucfirst(F.regexp_replace(C.text(title), CASE_TITLE_HEADS.get(code, r"\A(?!)"), ""))
+def first_replaced(c: Column, pattern: str, by: str) -> Column:
+    """The first hit of a pattern replaced; the pattern's groups are $1 and on in by."""
+    shifted = re.sub(r"\$(\d)", lambda m: f"${int(m[1]) + 1}", by)
+    return F.regexp_replace(c, rf"\A((?s:.*?))(?:{pattern})", "$1" + shifted)
+
+
+def _without(c: Column, part: Column) -> Column:
+    """A text without the first occurrence of a part."""
+    at = F.instr(c, part)
+    cut = F.concat(F.substring(c, F.lit(1), at - 1), F.substring(c, at + F.length(part), F.length(c)))
+    return F.when((part != "") & (at > 0), cut).otherwise(c)
 
 
-FOOTNOTE_NOISE = [r"(?i)\bText with EEA relevance\b\.?", r"\(\s*\)", r"#+", r"\s{2,}"]
+def case_title(title, code: str = "EN") -> Column:
+    """A judgment's title without the court, its first letter in upper case; titles in other languages stay."""
+    t = C.text(title)
+    if code not in CASE_TITLES:
+        return t
+    if code == "HU":
+        for pattern, by in HUNGARIAN:
+            t = first_replaced(t, "(?iu)" + pattern.replace(" ", r"\s"), by)
+        t = F.regexp_replace(t, r"(?iu)\sítélete,", " ítélet,")
+    pattern = "(?iu)" + CASE_TITLES[code].format(d="[0-9]{1,2}", m=r"\p{L}+", y="[0-9]{4}").replace(" ", r"\s")
+    groups = [F.regexp_extract(t, pattern, i) for i in range(1, 1 + len(re.findall(r"\((?!\?)", pattern)))]
+    for g in groups:
+        t = _without(t, g)
+    return C.ucfirst(F.regexp_replace(t, r"^\s+|\s+\z", ""))
+
+
+# What titles say of a recast, and of their relevance for the EEA, by language.
+RECAST = {
+    "BG": "преработен текст", "ES": "versión refundida", "CS": "přepracované znění", "DA": "omarbejdning", "DE": "Neufassung", "ET": "uuesti sõnastatud", "EL": "αναδιατύπωση", "EN": "recast", "FR": "refonte",
+    "HR": "preinaka", "IT": "rifusione", "LV": "pārstrādāta redakcija", "LT": "nauja redakcija", "HU": "átdolgozás", "MT": "riformulazzjoni", "NL": "herschikking", "PL": "przekształcenie", "PT": "reformulação",
+    "RO": "reformare", "SK": "prepracované znenie", "SL": "prenovitev", "FI": "uudelleenlaadittu", "SV": "omarbetning",
+}
+EEA_TEXTS = {
+    "BG": "Текст от значение за ЕИП", "ES": "Texto pertinente a efectos del EEE", "CS": "Text s významem pro EHP", "DA": "EØS-relevant tekst", "DE": "Text von Bedeutung für den EWR", "ET": "EMPs kohaldatav tekst",
+    "EL": "Κείμενο που παρουσιάζει ενδιαφέρον για τον ΕΟΧ", "EN": "Text with EEA relevance", "FR": "Texte présentant de l'intérêt pour l'EEE", "HR": "Tekst značajan za EGP", "IT": "Testo rilevante ai fini del SEE",
+    "LV": "Dokuments attiecas uz EEZ", "LT": "Tekstas svarbus EEE", "HU": "EGT-vonatkozású szöveg", "MT": "Test b'rilevanza għaż-ŻEE", "NL": "Voor de EER relevante tekst", "PL": "Tekst mający znaczenie dla EOG",
+    "PT": "Texto relevante para efeitos do EEE", "RO": "Text cu relevanță pentru SEE", "SK": "Text s významom pre EHP", "SL": "Besedilo velja za EGP", "FI": "ETA:n kannalta merkityksellinen teksti", "SV": "Text av betydelse för EES",
+}
+# Leftovers of what was taken out and their replacements, in this order; only the first of each is replaced.
+LEFTOVERS = (("<i></i>,", ","), (". )", ")"), (".).", ")"), (", ,", ","), ("  .", "."), (" .", "."), (" , ", ", "), (". (", " ("), ("( ", "("), (" )", ")"))
 
 
-def footnote_text(s) -> Column:
-    """A title cleaned for a footnote."""
+def footnote_text(s, tidy_only: bool = False) -> Column:
+    """A title cleaned for a footnote: without notes on recasts and the EEA in any language (unless tidy_only), leftovers tidied."""
     out = C.text(s)
-    for p in FOOTNOTE_NOISE:
-        out = F.regexp_replace(out, p, " ")
-    return C.trim(F.regexp_replace(out, r"\s+([.,;])", "$1"))
+    if not tidy_only:
+        for code, eea in EEA_TEXTS.items():
+            gap = "" if code == "SV" else r"\s?"
+            out = F.regexp_replace(out, rf"\({RECAST[code]}\)|\(?{eea}\.?{gap}\)?", "")
+    for leftover, by in LEFTOVERS:
+        out = first_replaced(out, quote(leftover), by)
+    out = F.replace(out, F.lit(" n. o "), F.lit(" n.º "))
+    return F.regexp_replace(out, "[\u00a0\u202F ]{2,}", " ")
 
 
 # ---- fragments of citations
 
+# Codes of the parts of an act and their labels, heads whose numbers may be a list, and what may follow a head.
+FRAGMENT_LABELS = {"A": "art.", "P": "par.", ".": "par.", "L": "al.", "PT": "pnt.", "TIT": "tit.", "N": "par.", "C": "rct."}
+FRAGMENT_LISTS = r"^(?:[NP]\s?[0-9\-\s.]+|C(?:\s?[0-9]{1,6}(?:\s-\s[0-9]{1,6})?){1,4})\z"
+FRAGMENT_PATHS = r"^(?:A( [P.])?( L)?|P( L)?|N( A)?( P)?( L)?( PT)?|L|TIT)\z"
+
 
 def fragment(s, celex=None) -> Column:
-    """A02P1LB as art. 2 par. 1 pnt. b, and the other forms; a fragment of no form stays."""
-    t, act = C.text(s), F.substring(C.text(celex), 1, 1).isin("1", "2", "3")
-
-    def listed(ref: Column, dash: str) -> Column:
-        numbers = F.split(F.trim(F.regexp_replace(ref, dash, "-")), " ")
-        return F.array_join(F.transform(numbers, lambda n: F.when(F.substring(n, 1, 1) == "0", F.substring(n, F.lit(2), F.length(n))).otherwise(n)), ", ")
-
-    def part(pattern: str, i: int, label: str, number: bool = True) -> Column:
-        got = F.regexp_extract(t, pattern, i)
-        return F.when(got != "", F.concat(F.lit(label), got.try_cast("int").cast("string") if number else got)).otherwise("")
-
-    lists = r"^(?:N|P)\s?([0-9\-\s.]+)\z"
-    para = r"^P([0-9]+)(?:L([0-9]+))?\z"
-    annex = r"^N([0-9]*)(?:A([0-9]+))?(?:P([0-9]+))?(?:L([0-9]+))?(?:PT([0-9]+))?\z"
-    recital = r"^C((?:\s?[0-9]{1,6}(?:\s-\s[0-9]{1,6})?){1,4})\z"
-    article = r"^A([0-9]+(?:BIS)?)(?:(?:P|\.)([0-9]+))?(?:L([0-9]+|[A-Z]))?"
-    no = F.regexp_extract(t, article, 1)
-    line = F.regexp_extract(t, article, 3)
-    below = F.when(line.rlike("^[0-9]+\\z"), F.concat(F.lit(" al. "), line)).when(line != "", F.concat(F.lit(" pnt. "), F.lower(line))).otherwise("")
-    first = F.regexp_extract(t, annex, 1)
-    return (
-        F.when(t.rlike(lists), F.concat(F.when(t.startswith("N") & act, "anx. ").otherwise("par. "), listed(F.regexp_extract(t, lists, 1), r"\s?-\s?")))
-        .when(t.rlike(para), F.concat(F.lit("par. "), F.regexp_extract(t, para, 1), part(para, 2, " al. ")))
-        .when(t.rlike(annex), F.concat(F.when(act, "anx. ").otherwise("par. "), F.when(first == "", "1").otherwise(first), part(annex, 2, " art. "), part(annex, 3, " par. "), part(annex, 4, " al. "), part(annex, 5, " pnt. ")))
-        .when(t.rlike(recital), F.concat(F.lit("rct. "), listed(F.regexp_extract(t, recital, 1), r"\s-\s")))
-        .when(t.rlike(article), F.concat(F.lit("art. "), F.when(F.substring(no, 1, 1) == "0", F.substring(no, F.lit(2), F.length(no))).otherwise(no), part(article, 2, " par. "), below))
-        .when(t.rlike(r"^L([0-9]+)\z"), F.concat(F.lit("al. "), F.substring(t, F.lit(2), F.length(t))))
-        .when(t.rlike(r"^TIT([0-9]+)\z"), F.concat(F.lit("tit. "), F.substring(t, F.lit(4), F.length(t))))
-        .otherwise(t)
-    )
+    """A02P1LB as art. 2 par. 1 pnt. b, and the other forms; a fragment of no form stays.
+
+    A fragment is cut into pairs of a code and a number (or one letter, for lines of an article); each pair is looked up by its code.
+    An article's pairs are read as far as they make sense, all others must fill the fragment.
+    """
+    t = C.text(s)
+    head = F.substring(t, 1, 1)
+    annexes = F.substring(C.text(celex), 1, 1).isin("1", "2", "3")  # acts number annexes where other texts number paragraphs
+    label = lambda code: F.when((code == "N") & annexes, "anx.").otherwise(F.element_at(labels, code))
+    labels = F.create_map(*[F.lit(x) for pair in FRAGMENT_LABELS.items() for x in pair])
+    short = lambda n: F.regexp_replace(n, "^0", "")
+
+    gap = F.when(head == "C", F.regexp_replace(t, r"\s-\s", "-")).otherwise(F.regexp_replace(t, r"\s?-\s?", "-"))
+    numbers = F.split(F.trim(F.substring(gap, F.lit(2), F.length(gap))), " ")
+    listed = F.concat(label(head), F.lit(" "), F.array_join(F.transform(numbers, short), ", "))
+
+    pairs = F.regexp_extract_all(t, F.lit(r"\G(?:(?:TIT|PT|[ANPLC.])[0-9]*(?:(?<=^A[0-9]{1,9})BIS)?(?:(?<=L)[A-Z])?)"), F.lit(0))
+    code = lambda p: F.regexp_extract(p, r"^(?:TIT|PT|.)", 0)
+    value = lambda p: F.regexp_replace(p, r"^(?:TIT|PT|.)", "")
+    codes = lambda ps: F.array_join(F.transform(ps, code), " ")
+    numbered = lambda p: value(p).rlike("^[0-9]+(BIS)?\\z")
+    letter = lambda p: value(p).rlike("^[A-Z]\\z")
+
+    def first_pair(p: Column) -> Column:
+        n = F.when(head == "A", short(value(p))).when((head == "N") & (value(p) == ""), "1").otherwise(value(p))
+        return F.concat(label(code(p)), F.lit(" "), n)
+
+    def lower_pair(p: Column) -> Column:
+        plain = F.concat(F.element_at(labels, code(p)), F.lit(" "), F.when((head == "A") & (code(p) == "L"), value(p)).otherwise(value(p).try_cast("int").cast("string")))
+        return F.when(letter(p), F.concat(F.lit("pnt. "), F.lower(value(p)))).otherwise(plain)
+
+    def shown(ps: Column) -> Column:
+        return F.array_join(F.transform(ps, lambda p, i: F.when(i == 0, first_pair(p)).otherwise(lower_pair(p))), " ")
+
+    def sound(ps: Column) -> Column:
+        fits = F.forall(F.slice(ps, 2, F.greatest(F.size(ps) - 1, F.lit(0))), lambda p: numbered(p) | letter(p) & (head == "A"))
+        return codes(ps).rlike(FRAGMENT_PATHS) & fits & (numbered(F.get(ps, F.lit(0))) | (head == "N"))
+
+    longest = F.filter(F.array(*[F.slice(pairs, 1, n) for n in (3, 2, 1)]), sound)
+    article = F.when(F.size(longest) > 0, shown(F.get(longest, F.lit(0)))).otherwise(t)
+    path = F.when((F.array_join(pairs, "") == t) & sound(pairs), shown(pairs)).otherwise(t)
+    return F.when(t.rlike(FRAGMENT_LISTS), listed).when(F.size(pairs) == 0, t).when(head == "A", article).otherwise(path)

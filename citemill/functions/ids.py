@@ -37,6 +37,12 @@ def first_wins(pairs: Column) -> Column:
     return F.map_from_entries(_let(pairs, lambda ps: F.filter(ps, lambda p, i: ~F.exists(F.slice(ps, 1, i), lambda q: q["k"] == p["k"]))))
 
 
+def merged(left: Column, right: Column) -> Column:
+    """The entries of two maps; of a name in both the right one's value."""
+    pairs = lambda m: F.transform(F.map_entries(m), lambda e: F.struct(e["key"].alias("k"), e["value"].alias("v")))
+    return last_wins(F.concat(pairs(left), pairs(right)))
+
+
 def normalised(attrs: Column) -> Column:
     """Names without data-ref- or data-."""
     return F.transform_keys(attrs, lambda k, v: F.regexp_replace(k, "^data-(?:ref-)?", ""))
