@@ -84,13 +84,15 @@ def text_nodes(df: DataFrame, key: str, column: str = "html") -> DataFrame:
     return df.select(F.col(key).alias("k"), column).mapInArrow(run, f"k {kind}, node int, offset int, text string, path string").withColumnRenamed("k", key)
 
 
-def linked_text(c, links: Column) -> Column:
-    """A plain text with links: links is array<struct<position, match, href, attrs>>, sorted and without overlaps; done by position."""
+def linked_text(c, links: Column, initial: bool = False) -> Column:
+    """A plain text with links: links is array<struct<position, match, href, attrs>>, sorted and without overlaps; done by position.
+    With initial each link carries its text, so that ``unlinked`` finds it."""
     t = text(c)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(a: Column, x: Column) -> Column:
-        href = F.concat(F.lit('<a href="'), xml_escape(x["href"]), F.lit('">'), xml_escape(x["match"]), F.lit("</a>"))
+        own = F.concat(F.lit('" data-initial="'), xml_escape(x["match"])) if initial else F.lit("")
+        href = F.concat(F.lit('<a href="'), xml_escape(x["href"]), own, F.lit('">'), xml_escape(x["match"]), F.lit("</a>"))
         before = F.substring(t, a["at"] + 1, x["position"] - a["at"])
         return F.struct((x["position"] + F.length(x["match"])).alias("at"), F.concat(a["out"], xml_escape(before), href).alias("out"))
 
@@ -123,6 +125,12 @@ def linked_html(df: DataFrame, key: str, column: str = "html", links: str = "lin
     return df.select(F.col(key).alias("k"), column, links).mapInArrow(run, f"k {kind}, html string").withColumnRenamed("k", key)
 
 
+def unlinked(c) -> Column:
+    """A page with the links that were put in taken out again: an element that carries its first text in data-initial becomes that
+    text, other links stay."""
+    return F.regexp_replace(text(c), r'(?is)<a\b[^>]*\bdata-initial="([^"]*)"[^>]*>.*?</a>', "$1")
+
+
 def sanitised(source: str) -> str:
     """The text of a page, white space folded."""
     return re.sub(r"\s+", " ", " ".join(unescape(raw) for _, raw, path, _ in _Texts(source).nodes if not NOT_TEXT & set(path.split("/")))).strip()

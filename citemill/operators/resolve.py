@@ -126,6 +126,24 @@ def joined_judgments(mentions: DataFrame, joined: DataFrame) -> DataFrame:
     return mentions.join(joined, "label", "left").select("key", F.col("main").alias("value"), F.col("main").isNotNull().alias("kept"))
 
 
+def base_url(column, name: str = "ELI_BASE_URL", url: str = "") -> Column:
+    """The marker of a site's address filled with the run's own, or with nothing."""
+    return F.regexp_replace(text(column), r"\{\{\s*" + name + r"\s*(?:\|[^}]*)?\}\}", url.replace("\\", "\\\\").replace("$", "\\$"))
+
+
+def existing_journals(mentions: DataFrame, known: DataFrame) -> DataFrame:
+    """mentions(key, oj, uriserv) whose journal is known and has a document at their address: an equi-join on the journal, then one
+    test of the address per pair; celex of the document where it has one."""
+    pairs = mentions.join(known.select("oj", F.col("celex").alias("_celex"), F.col("url").alias("_url")), "oj").where(F.contains("_url", F.col("uriserv")))
+    return pairs.groupBy(*mentions.columns).agg(F.min("_celex").alias("celex"))
+
+
+def existing_council(mentions: DataFrame, known: DataFrame) -> DataFrame:
+    """mentions(key, consil) whose Council document is known; ids there carry their kind in front."""
+    ids = known.where(F.col("id").startswith("consil:")).select(F.substring("id", F.lit(8), F.length("id")).alias("consil")).distinct()
+    return mentions.join(ids, "consil", "left_semi")
+
+
 def existing_targets(mentions: DataFrame, known: DataFrame | None, kind: str = "celex") -> DataFrame:
     """Alternatives whose id isn't known go; if the lookup failed (None), only those marked as active go.
 

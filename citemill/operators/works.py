@@ -3,27 +3,29 @@
 Tables (columns beyond these are allowed):
   works(celex, eli, ecli, oj, type, author, number, year, date, date_force, date_validity, force, published)
   expressions(celex, lang, title, seq)          consolidations(celex, consolidated, eli, date)
-  repeals(celex, repealed_by)                   citations(source, target, fragment_source, fragment_target)
-  bases(celex, basis)                           dossiers(proc, celex, date, title, lang, seq)
+  repeals(celex, repealed_by[, date])           citations(source, target, fragment_source, fragment_target)
+  bases(celex, basis)                           dossiers(proc, celex, date, title, lang, seq[, adopted, published])
   subjects(celex, kind, label, lang)            corrections(celex, published_lang)
-  journal(oj, celex)                            joined(main, labels)
+  journal(oj, celex[, label, url, date])        joined(main, labels)
   act_text(celex, eli, lang, html)
 Dates are texts yyyy-mm-dd or DATEs. A missing row is status ``missing``; a table that isn't given is ``failed``.
 """
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.helpers import fragment
 
 CITATION_LIMIT = 501
-MAX_DEPTH = 30
+# The lines on the state of a procedure.
+COMPLETED, ONGOING = "✔ Completed", "↻ Ongoing"
 
 
 @dataclass(frozen=True)
@@ -91,22 +93,39 @@ def eli_as_of(requested: DataFrame, known: DataFrame, column: str = "eli") -> Da
     return both.withColumn("held", F.when(F.col(column).endswith("/oj"), newest).otherwise(F.coalesce(fit, newest))).drop("_root", "_k")
 
 
-def closure(edges: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
-    """src, dst, depth (the least) of everything reachable, by doubling paths: as many joins as the depth has bits. Cycles end,
-    since only the shortest way to a node is kept."""
+def closure(edges: DataFrame, depth: int | None = None) -> DataFrame:
+    """src, dst, depth (the least) of everything reachable, within a depth if one is given, by doubling paths: as many joins as the
+    longest way has bits. Cycles end, since only the shortest way to a node is kept."""
     paths = edges.select("src", "dst").distinct().withColumn("depth", F.lit(1))
-    for _ in range((depth - 1).bit_length()):
+    rounds = itertools.count() if depth is None else range((depth - 1).bit_length())
+    n = None
+    for _ in rounds:
         more = paths.join(paths.select(F.col("src").alias("dst"), F.col("dst").alias("end"), F.col("depth").alias("more")), "dst")
-        longer = more.where(f"depth + more <= {depth}").select("src", F.col("end").alias("dst"), (F.col("depth") + F.col("more")).alias("depth"))
+        within = F.lit(True) if depth is None else F.col("depth") + F.col("more") <= depth
+        longer = more.where(within).select("src", F.col("end").alias("dst"), (F.col("depth") + F.col("more")).alias("depth"))
         paths = paths.unionByName(longer).groupBy("src", "dst").agg(F.min("depth").alias("depth"))
+        if depth is None:
+            paths = _settled(paths)
+            if (now := paths.count()) == n:
+                break
+            n = now
     return paths
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where that is unset, the context's own folder or, with a local master, a new one."""
+    context = spark.sparkContext._jsc.sc()
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not context.getCheckpointDir().isDefined():
+        if not folder and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        spark.sparkContext.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="citemill-"))
+    return folder or context.getCheckpointDir().get()
+
+
 def _settled(df: DataFrame) -> DataFrame:
-    """Cuts the lineage by a reliable checkpoint, in spark.checkpoint.dir or, where that is unset, a local folder."""
-    spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="citemill-"))
+    """Cuts the lineage by a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -135,33 +154,81 @@ def _wanted(ids: DataFrame, id_column: str) -> DataFrame:
     return ids.select(F.col(id_column)).distinct()
 
 
+def unpublished(works: DataFrame, journal: DataFrame) -> DataFrame:
+    """Works that no issue of the journal holds: acts that are published one by one."""
+    return works.join(journal.select("celex").distinct(), "celex", "left_anti")
+
+
+def reached(repeals: DataFrame, ids: DataFrame, rounds: int = 8) -> DataFrame:
+    """The repeals that the ids can lead to, found step by step; where that takes too many steps, all of them."""
+    edges = repeals.select("celex", "repealed_by").distinct()
+    front = _settled(edges.join(_wanted(ids, "celex"), "celex", "left_semi"))
+    held = front
+    for _ in range(rounds):
+        found = edges.join(front.select(F.col("repealed_by").alias("celex")).distinct(), "celex", "left_semi")
+        front = _settled(found.join(held.select("celex").distinct(), "celex", "left_anti"))
+        if not front.take(1):
+            return held
+        held = held.unionByName(front)
+    return edges
+
+
+def _with_titles(out: DataFrame, c: Catalogue, language: str) -> DataFrame:
+    """base_title, title (with the ECLI below it) and lang."""
+    named = out.join(in_language(c.expressions, ["celex"], [language, "ENG", "FRA"]).select("celex", F.col("title").alias("base_title"), "lang"), "celex", "left")
+    below = F.concat(F.lit("\nECLI identifier: "), F.col("ecli")) if "ecli" in out.columns else F.lit(None).cast("string")
+    return named.withColumn("title", F.concat("base_title", F.coalesce(below, F.lit(""))))
+
+
+def _with_journal(out: DataFrame, c: Catalogue) -> DataFrame:
+    """oj_id, oj (its label), oj_url, oj_date of the issue; of several the first by id."""
+    given = [x for x in ("label", "url", "date") if x in c.journal.columns]
+    issue = F.min(F.struct("oj", *given)).alias("_j")
+    own = c.journal.join(_wanted(out, "celex"), "celex", "left_semi").groupBy("celex").agg(issue)
+    return out.join(own.select("celex", F.col("_j.oj").alias("oj_id"), *[F.col(f"_j.{x}").alias({"label": "oj", "url": "oj_url", "date": "oj_date"}[x]) for x in given]), "celex", "left")
+
+
+def _with_repeals(out: DataFrame, c: Catalogue, ids: DataFrame, at: str | None) -> DataFrame:
+    """The act that repeals an act itself, the last one of the chain, and the ELIs of both."""
+    repeals = c.repeals.where(F.col("date") < F.lit(at)) if at and "date" in c.repeals.columns else c.repeals
+    near = reached(repeals, ids)
+    direct = near.groupBy("celex").agg(F.max("repealed_by").alias("repeal"))
+    last = last_repealing(near).groupBy("celex").agg(F.max("repealed_by").alias("repealed_by"))
+    out = out.join(direct, "celex", "left").join(last, "celex", "left")
+    for act, eli in (("repeal", "repeal_eli"), ("repealed_by", "last_repeal_eli")):
+        elis = c.works.groupBy(F.col("celex").alias(act)).agg(F.max("eli").alias(eli))
+        out = out.join(elis, act, "left")
+    return out
+
+
 def celex_metadata(ids: DataFrame, c: Catalogue, language: str, at: str | None = None) -> DataFrame:
-    """One row per id: the work, title, first and last day of validity, the latest consolidation (of a day), the last repealing act,
-    the dossier; status ok or missing."""
+    """One row per id: the work, titles, first and last day of validity, the journal, the latest consolidation (before a day), the
+    repealing act and the last one of its chain with their ELIs, the dossier and its title; status ok or missing."""
     works = c.works.join(_wanted(ids, "celex"), "celex", "left_semi")
-    if at:
-        works = works.where((F.col("date") <= F.lit(at)) | F.col("date").isNull())
     grouping = [x for x in works.columns if x not in ("date_force", "date_validity")]
     works = works.groupBy(*grouping).agg(F.min("date_force").alias("date_force"), F.max("date_validity").alias("date_validity"))
     out = _wanted(ids, "celex").join(works, "celex", "left").withColumn("status", F.when(F.col("date").isNull() & F.col("eli").isNull(), "missing").otherwise("ok"))
     if c.expressions is not None:
-        out = out.join(in_language(c.expressions, ["celex"], [language, "ENG", "FRA"]).select("celex", "title", "lang"), "celex", "left")
+        out = _with_titles(out, c, language)
+    if c.journal is not None:
+        out = _with_journal(out.drop("oj"), c)
     if c.consolidations is not None:
-        held = c.consolidations if not at else c.consolidations.where(F.col("date") <= F.lit(at))
+        held = c.consolidations if not at else c.consolidations.where(F.col("date") < F.lit(at))
         newest = latest(held, "celex", "date").groupBy("celex").agg(F.max("consolidated").alias("consolidated"), F.max("eli").alias("consolidated_eli"), F.max("date").alias("consolidated_date"))
         out = out.join(newest, "celex", "left")
     if c.repeals is not None:
-        out = out.join(last_repealing(c.repeals).groupBy("celex").agg(F.max("repealed_by").alias("repealed_by")), "celex", "left")
+        out = _with_repeals(out, c, ids, at)
     if c.dossiers is not None:
-        out = out.join(c.dossiers.groupBy("celex").agg(F.min("proc").alias("proc")), "celex", "left")
+        dossier = F.min(F.struct("proc", F.col("title").alias("dossier_title"))).alias("_d")
+        out = out.join(c.dossiers.groupBy("celex").agg(dossier).select("celex", "_d.*"), "celex", "left")
     return out
 
 
 def oj_metadata(ids: DataFrame, c: Catalogue, language: str) -> DataFrame:
     """As celex_metadata, by OJ label; the same work may be known under both."""
     found = c.journal.join(_wanted(ids, "oj"), "oj", "left_semi")
-    meta = celex_metadata(found, Catalogue(**{**c.__dict__, "dossiers": None}), language)
-    return _wanted(ids, "oj").join(found.join(meta.drop("oj"), "celex"), "oj", "left")
+    meta = celex_metadata(found, Catalogue(**{**c.__dict__, "dossiers": None, "journal": None}), language)
+    return _wanted(ids, "oj").join(found.join(meta.drop(*[x for x in found.columns if x != "celex"]), "celex"), "oj", "left")
 
 
 def eli_metadata(ids: DataFrame, c: Catalogue, language: str) -> DataFrame:
@@ -188,9 +255,15 @@ def ecli_metadata(ids: DataFrame, c: Catalogue, language: str) -> DataFrame:
 
 
 def procedures(ids: DataFrame, c: Catalogue, language: str) -> DataFrame:
-    """The latest work of each dossier with its title: requested language, English, French; of repeats the last."""
+    """The latest work of each dossier with its title: requested language, English, French; of repeats the last. Where the dossiers
+    say whether they are adopted, the title ends with a line on that."""
     own = c.dossiers.join(_wanted(ids, "proc"), "proc", "left_semi")
-    return in_language(latest(own, "proc", "date"), ["proc"], [language, "ENG", "FRA"])
+    found = in_language(latest(own, "proc", "date"), ["proc"], [language, "ENG", "FRA"])
+    if "adopted" not in found.columns:
+        return found
+    act = F.concat(F.lit(" (Adopted act: "), F.replace(F.col("published"), F.lit("celex:"), F.lit("")), F.lit(")")) if "published" in found.columns else F.lit(None).cast("string")
+    line = F.when(F.col("adopted").cast("string") == "1", F.concat(F.lit(COMPLETED), F.coalesce(act, F.lit("")))).otherwise(ONGOING)
+    return found.withColumn("title", F.concat(F.replace("title", F.lit("&#13;\n"), F.lit(" ")), F.lit("\n"), line))
 
 
 council_documents = procedures

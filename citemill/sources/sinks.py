@@ -17,19 +17,39 @@ def _attr(name: str, value: Column) -> Column:
     return F.concat(F.lit(f' {name}="'), xml_escape(value), F.lit('"'))
 
 
-def record_xml(number, count, reference, type_, label, positions) -> Column:
-    """One <record> of a result set; positions is an array."""
-    matches = F.array_join(F.transform(positions, lambda p: F.concat(F.lit('<match position="'), p.cast("string"), F.lit('"/>'))), "")
-    head = F.concat(F.lit("<record"), _attr("number", number), F.lit("><reference"), _attr("count", count), F.lit(">"), xml_escape(reference), F.lit("</reference>"))
-    return F.concat(head, F.lit("<type>"), xml_escape(type_), F.lit("</type><libelle>"), xml_escape(label), F.lit("</libelle><matches>"), matches, F.lit("</matches></record>"))
+def _element(name: str, inner: Column, **attrs: Column) -> Column:
+    return F.concat(F.lit(f"<{name}"), *[_attr(k, v) for k, v in attrs.items()], F.lit(">"), inner, F.lit(f"</{name}>"))
+
+
+def _joined(items: Column, form) -> Column:
+    return F.array_join(F.transform(items, form), "")
+
+
+def record_xml(number, count, reference, type_, label, matches, urls=None) -> Column:
+    """One <record> of a result set. matches: array<struct<position, context, match, views array<struct<target, view>>>>; urls:
+    array<struct<position, target, href>>, left out where there are none."""
+
+    def view(v: Column) -> Column:
+        return _element("view", F.concat(F.lit("<![CDATA["), F.replace(v["view"], F.lit("]]>"), F.lit("]]]]><![CDATA[>")), F.lit("]]>")), target=v["target"])
+
+    def match(m: Column) -> Column:
+        return _element("match", _joined(m["views"], view), position=m["position"], context=m["context"], reference=m["match"])
+
+    def url(u: Column) -> Column:
+        return _element("url", xml_escape(u["href"]), position=u["position"], target=u["target"])
+
+    parts = [_element("reference", xml_escape(reference), count=count), _element("type", xml_escape(type_)), _element("libelle", xml_escape(label)), _element("matches", _joined(matches, match))]
+    if urls is not None:
+        parts.append(F.when(F.size(urls) > 0, _element("urls", _joined(urls, url))).otherwise(""))
+    return _element("record", F.concat(*parts), number=number)
 
 
 def result_xml(nodes: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, xml: a result set per document."""
-    each = nodes.select(key, "number", record_xml(F.col("number"), F.col("count"), F.col("reference"), F.col("type"), F.col("label"), F.col("positions")).alias("r"))
+    """key, xml: a result set per document, of nodes with number, count, reference, type, label, matches and, where given, links."""
+    urls = F.col("links") if "links" in nodes.columns else None
+    each = nodes.select(key, "number", record_xml(F.col("number"), F.col("count"), F.col("reference"), F.col("type"), F.col("label"), F.col("matches"), urls).alias("r"))
     per = each.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(F.struct("number", "r"))).alias("l"))
-    body = F.array_join(F.transform("l", lambda x: x["r"]), "")
-    return per.select(key, F.concat(F.lit('<resultset size="'), F.col("n").cast("string"), F.lit('">'), body, F.lit("</resultset>")).alias("xml"))
+    return per.select(key, _element("resultset", _joined(F.col("l"), lambda x: x["r"]), size=F.col("n")).alias("xml"))
 
 
 def decorated(attrs: Column, linked: Column) -> Column:
@@ -37,6 +57,12 @@ def decorated(attrs: Column, linked: Column) -> Column:
     return F.map_concat(attrs, F.transform_keys(linked, lambda k, v: F.concat(k, F.lit("-ld"))))
 
 
+def write_named(results: DataFrame, folder: str, extension: str) -> None:
+    """Writes results(name, value) to a folder, one partition directory per file name; each keeps the name of its input."""
+    named = results.select(F.concat("name", F.lit(f".{extension}")).alias("file"), F.coalesce("value", F.lit("")).alias("value"))
+    named.repartition("file").write.mode("errorifexists").partitionBy("file").text(folder)
+
+
 def write(df: DataFrame, form: str, path: str) -> None:
     """form: json (lines), text (one column), parquet."""
     getattr(df.write.mode("errorifexists"), form)(path)
