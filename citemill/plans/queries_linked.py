@@ -53,32 +53,18 @@ def asof_consolidation(spark, sf_dir):
     return works.as_of(requests, versions, "act", "at", "day").select("event_id", "as_of_day", "as_of_version")
 
 
-@query("""WITH RECURSIVE e AS (SELECT o_orderkey AS src, o_orderkey + 7 AS dst FROM orders WHERE o_orderkey < 700), c AS (
-  SELECT src, dst, 1 AS depth FROM e UNION ALL SELECT c.src, e.dst, c.depth + 1 FROM c JOIN e ON c.dst = e.src WHERE c.depth < 20)
-SELECT src, dst, CAST(min(depth) AS INTEGER) AS depth FROM c GROUP BY src, dst""")
-def repeal_closure(spark, sf_dir):
-    edges = table(spark, sf_dir, "orders").where("o_orderkey < 700").selectExpr("o_orderkey AS src", "o_orderkey + 7 AS dst")
-    return works.closure(edges, 20)
-
-
 @query("""WITH RECURSIVE e AS (SELECT o_orderkey AS src, o_orderkey + 7 AS dst FROM orders), c AS (
   SELECT src, dst, 1 AS depth FROM e UNION ALL SELECT c.src, e.dst, c.depth + 1 FROM c JOIN e ON c.dst = e.src WHERE c.depth < 20)
 SELECT src, dst, CAST(min(depth) AS INTEGER) AS depth FROM c GROUP BY src, dst""")
-def repeal_closure_whole(spark, sf_dir):
+def repeal_closure(spark, sf_dir):
+    """Everything up to 20 repeals away, of all orders."""
     return works.closure(_sql(spark, sf_dir, "orders", "o_orderkey AS src", "o_orderkey + 7 AS dst"), 20)
 
 
-@query("""WITH RECURSIVE e AS (SELECT o_orderkey AS src, o_orderkey + 7 AS dst FROM orders WHERE o_orderkey < 100), c AS (
-  SELECT src, dst, 1 AS depth FROM e UNION ALL SELECT c.src, e.dst, c.depth + 1 FROM c JOIN e ON c.dst = e.src WHERE c.depth < 30)
-SELECT DISTINCT src AS celex, dst AS repealed_by FROM c WHERE dst NOT IN (SELECT src FROM e)""")
+@query("""WITH e AS (SELECT DISTINCT o_orderkey + 7 AS dst FROM orders WHERE o_orderkey + 7 NOT IN (SELECT o_orderkey FROM orders))
+SELECT o_orderkey AS celex, min(dst) AS repealed_by FROM orders JOIN e ON dst % 7 = o_orderkey % 7 AND dst > o_orderkey GROUP BY o_orderkey""")
 def last_repealing(spark, sf_dir):
-    edges = table(spark, sf_dir, "orders").where("o_orderkey < 100").selectExpr("o_orderkey AS celex", "o_orderkey + 7 AS repealed_by")
-    return works.last_repealing(edges)
-
-
-@query()
-def last_repealing_whole(spark, sf_dir):
-    """Over all orders; a recursive twin would hold every pair of each chain."""
+    """The end of each order's chain of steps of 7, however long; in SQL, the next number of the chain that is no order."""
     return works.last_repealing(_sql(spark, sf_dir, "orders", "o_orderkey AS celex", "o_orderkey + 7 AS repealed_by"))
 
 
@@ -125,15 +111,8 @@ def bases_of(spark, sf_dir):
     return works.bases_of(_citations(spark, sf_dir), "12")
 
 
-@query("SELECT concat('3', o_custkey) AS act, string_agg(concat('3', o_custkey, 'R(', o_orderkey, ')'), ',' ORDER BY concat('3', o_custkey, 'R(', o_orderkey, ')')) AS corrections FROM orders WHERE o_custkey < 200 GROUP BY o_custkey")
-def corrections_list(spark, sf_dir):
-    rows = _sql(spark, sf_dir, "orders", "concat('3', o_custkey, 'R(', o_orderkey, ')') AS celex", "'ENG' AS published_lang")
-    ids = table(spark, sf_dir, "customer").where("c_custkey < 200").selectExpr("concat('3', c_custkey) AS celex")
-    return works.corrections(ids, works.Catalogue(corrections=rows), "ENG")
-
-
 @query("SELECT concat('3', o_custkey) AS act, string_agg(concat('3', o_custkey, 'R(', o_orderkey, ')'), ',' ORDER BY concat('3', o_custkey, 'R(', o_orderkey, ')')) AS corrections FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer) GROUP BY o_custkey")
-def corrections_list_whole(spark, sf_dir):
+def corrections_list(spark, sf_dir):
     rows = _sql(spark, sf_dir, "orders", "concat('3', o_custkey, 'R(', o_orderkey, ')') AS celex", "'ENG' AS published_lang")
     return works.corrections(_sql(spark, sf_dir, "customer", "concat('3', c_custkey) AS celex"), works.Catalogue(corrections=rows), "ENG")
 
@@ -146,9 +125,13 @@ def pit_override(spark, sf_dir):
     return works.point_in_time(base, versions)
 
 
-@query("SELECT o_custkey AS celex, min(o_orderdate) AS date_force, max(o_orderdate) AS date_validity FROM orders GROUP BY o_custkey")
+@query("""SELECT concat('', c_custkey) AS celex, min(CAST(o_orderdate AS DATE)) AS date_force, max(CAST(o_orderdate AS DATE)) AS date_validity, CASE WHEN count(o_custkey) > 0 THEN 'ok' ELSE 'missing' END AS status
+FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey""")
 def min_max_force(spark, sf_dir):
-    return table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("celex")).agg(F.min("o_orderdate").alias("date_force"), F.max("o_orderdate").alias("date_validity"))
+    """Metadata of works that have several days of force and validity."""
+    rows = _sql(spark, sf_dir, "orders", "concat('', o_custkey) AS celex", "concat('eli/', o_custkey) AS eli", "cast(NULL AS date) AS date", "cast(o_orderdate AS date) AS date_force", "cast(o_orderdate AS date) AS date_validity")
+    asked = _sql(spark, sf_dir, "customer", "concat('', c_custkey) AS celex")
+    return works.celex_metadata(asked, works.Catalogue(works=rows), "ENG").select("celex", "date_force", "date_validity", "status")
 
 
 @query("SELECT concat('C-', o_orderkey + 1, '/11') AS label, concat('6', o_orderkey) AS main FROM orders UNION ALL SELECT concat('C-', o_orderkey + 2, '/11'), concat('6', o_orderkey) FROM orders")

@@ -118,11 +118,10 @@ def number_functions(spark, sf_dir):
     return _part(spark, sf_dir, d=C.dec(F.col("p_size")), s=C.sum_(F.col("p_size"), F.col("p_partkey")), num=C.is_numeric(F.col("p_size")), word=C.is_numeric(F.col("p_name")))
 
 
-@query("SELECT p_partkey, CAST(p_size % 14 AS VARCHAR) AS num, CASE p_size % 14 WHEN 1 THEN '1' WHEN 5 THEN '5' WHEN 12 THEN '12' ELSE '' END AS m FROM part WHERE p_size % 14 > 0")
+@query("SELECT p_partkey, CAST(p_size % 14 AS VARCHAR) AS num, CASE p_size % 14 WHEN 1 THEN '1' WHEN 5 THEN '5' WHEN 12 THEN '12' ELSE '' END AS m FROM part")
 def months(spark, sf_dir):
     n = F.col("p_size") % 14
-    rows = table(spark, sf_dir, "part").where(n > 0)
-    return rows.select("p_partkey", C.month(n).alias("num"), C.month(F.when(n == 1, "January").when(n == 5, "MAY").when(n == 12, "december").otherwise("none")).alias("m"))
+    return table(spark, sf_dir, "part").select("p_partkey", C.month(n).alias("num"), C.month(F.when(n == 1, "January").when(n == 5, "MAY").when(n == 12, "december").otherwise("none")).alias("m"))
 
 
 @query("SELECT p_partkey, (p_size >= 58 OR p_size <= 0) AND p_size >= 10 AS two, p_size + 1970 <= 2000 AS four FROM part")
@@ -228,18 +227,26 @@ def html_has_tags(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", H.has_tags(F.col("html")).alias("page"), H.has_tags(F.lit("a < b")).alias("plain"))
 
 
-@query()
+_TEXT_NODES = r"""WITH s AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->|<!DOCTYPE[^>]*>', '<x>', 'g'), '(?is)<a\b.*?</a>', '<x>', 'g') AS h FROM pages),
+n AS (SELECT page_id, unnest(regexp_extract_all(concat('>', h, '<'), '>([^<]+)<', 1)) AS raw FROM s),
+t AS (SELECT page_id, replace(replace(replace(replace(replace(raw, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&nbsp;', chr(160)), '&amp;', '&') AS text FROM n WHERE regexp_matches(raw, '\S'))
+SELECT page_id, text, count(*) AS n FROM t GROUP BY ALL"""
+
+
+@query(_TEXT_NODES)
 def html_text_nodes(spark, sf_dir):
-    return html.text_nodes(table(spark, sf_dir, "pages"), "page_id")
+    found = html.text_nodes(table(spark, sf_dir, "pages"), "page_id")
+    return found.groupBy("page_id", "text").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(r"""SELECT page_id, regexp_replace(html, '<p>([^<\s&]+)', '<p><a href="http://example.org/">\1</a>', 'g') AS html FROM pages""")
 def html_linked(spark, sf_dir):
-    """A link on the first free run of text of each page."""
+    """A link on the first word of each paragraph, by its place in the source."""
     pages = table(spark, sf_dir, "pages").select("page_id", "html")
-    first = html.text_nodes(pages, "page_id").where(F.length("text") > 3).groupBy("page_id").agg(F.min_by(F.struct("offset", "text"), "node").alias("n"))
-    link = F.array(F.struct(F.col("n.offset").alias("position"), F.substring("n.text", 1, 3).alias("match"), F.lit("http://example.org/").alias("href")))
-    return html.linked_html(pages.join(first, "page_id").withColumn("links", link), "page_id")
+    found = html.text_nodes(pages, "page_id").join(pages, "page_id").where(F.expr("substring(html, offset - 2, 3)") == "<p>")
+    word = F.regexp_extract("text", r"^[^<\s&]+", 0)
+    links = found.where(word != "").groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct(F.col("offset").alias("position"), word.alias("match"), F.lit("http://example.org/").alias("href")))).alias("links"))
+    return html.linked_html(pages.join(links, "page_id", "left"), "page_id")
 
 
 @query("SELECT page_id, length(regexp_extract(html, '(?is)^(.*?<body[^>]*>)', 1)) AS head FROM pages")
@@ -254,12 +261,43 @@ def linked_text(spark, sf_dir):
     return rows.select("doc_id", html.linked_text(F.col("text"), link).alias("t"))
 
 
-@query()
+_RESULT = f"""WITH base AS (SELECT o_orderkey AS doc_id, {texts.CASE} AS a, {texts.JOURNAL} AS b, {texts.COURT} AS c, {texts.ACT} AS d FROM orders),
+placed AS (
+  SELECT doc_id, 'case' AS type, a AS match, 8 AS position FROM base
+  UNION ALL SELECT doc_id, 'oj', b, 13 + length(a) FROM base UNION ALL SELECT doc_id, 'case', c, 18 + length(a) + length(b) FROM base
+  UNION ALL SELECT doc_id, 'act', d, 22 + length(a) + length(b) + length(c) FROM base UNION ALL SELECT doc_id, 'case', a, 29 + length(a) + length(b) + length(c) + length(d) FROM base
+), parsed AS (
+  SELECT *, concat('6', CASE WHEN CAST(right(match, 2) AS INTEGER) <= 57 THEN '20' ELSE '19' END, right(match, 2), left(match, 1), 'J', lpad(regexp_extract(match, '-([0-9]+)/', 1), 4, '0')) AS court,
+    regexp_extract(match, 'L ([0-9]+),', 1) AS issue, right(match, 4) AS issued, regexp_extract(match, '([0-9]{{4}})/', 1) AS y, regexp_extract(match, '/([0-9]+)$', 1) AS no
+  FROM (SELECT doc_id, type, match, position, CASE type WHEN 'case' THEN match ELSE 'C-1/10' END AS m FROM placed)
+), viewed AS (
+  SELECT doc_id, type, match, position, CASE type WHEN 'case' THEN concat('<a data-celex="', court, '" href="https://eur-lex.europa.eu/legal-content/EN/TXT/?uri=CELEX:', court, '">')
+    WHEN 'oj' THEN concat('<a data-oj="JO_L_', issued, '_', lpad(issue, 3, '0'), '" href="https://eur-lex.europa.eu/oj/L/', issued, '/', issue, '">')
+    ELSE concat('<a data-celex="3', y, 'R', lpad(no, 4, '0'), '" href="http://data.europa.eu/eli/reg/', y, '/', no, '/oj">') END AS view FROM parsed
+), node AS (
+  SELECT doc_id, match AS reference, type, CASE type WHEN 'case' THEN 'Case' WHEN 'oj' THEN 'Official Journal' ELSE 'Act' END AS label, count(*) AS count, min(position) AS position, list_sort(list(position)) AS positions,
+    any_value(regexp_extract(view, 'href="([^"]+)"', 1)) AS url, any_value(view) AS view FROM viewed GROUP BY doc_id, match, type
+), numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY position, reference) AS number FROM node)
+""".replace("CASE WHEN CAST(right(match, 2) AS INTEGER) <= 57", "CASE WHEN CAST(right(m, 2) AS INTEGER) <= 57")
+
+
+@query(
+    _RESULT
+    + """, record AS (
+  SELECT doc_id, number, concat('<record number="', number, '"><reference count="', count, '">', reference, '</reference><type>', type, '</type><libelle>', label, '</libelle><matches>',
+    array_to_string(list_transform(positions, lambda p: concat('<match position="', p, '" context="', reference, '" reference="', reference, '"><view target="eurlex"><![CDATA[', view, ']]></view></match>')), ''),
+    '</matches><urls><url position="', positions[-1], '" target="eurlex">', url, '</url></urls></record>') AS r FROM numbered
+) SELECT doc_id, concat('<resultset size="', count(*), '">', string_agg(r, '' ORDER BY number), '</resultset>') AS xml FROM record GROUP BY doc_id"""
+)
 def nodes_xml(spark, sf_dir):
-    return sinks.result_xml(nodes.numbered(nodes.grouped(order_mentions(spark, sf_dir))))
+    return sinks.result_xml(nodes.numbered(nodes.grouped(order_mentions(spark, sf_dir), detail=True)))
 
 
-@query()
+@query(
+    _RESULT
+    + """SELECT doc_id, CAST(number AS INTEGER) AS number, concat('{', chr(10), '  "number" : ', number, ',', chr(10), '  "count" : ', count, ',', chr(10), '  "reference" : "', reference, '",', chr(10), '  "type" : "', type, '",', chr(10), '  "label" : "', label, '",', chr(10),
+  '  "urls" : [ "', url, '" ],', chr(10), '  "positions" : [ ', array_to_string(positions, ', '), ' ]', chr(10), '}') AS json FROM numbered"""
+)
 def nodes_json(spark, sf_dir):
     found = nodes.numbered(nodes.grouped(order_mentions(spark, sf_dir)))
     return found.select("doc_id", "number", sinks.json_of(F.struct("number", "count", "reference", "type", "label", "urls", "positions")).alias("json"))

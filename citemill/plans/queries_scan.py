@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ids
-from ..operators import alias, detect, lists, nodes
+from ..operators import alias, detect, lists, nodes, works
 from ..options import Aliases, Options
 from ..sources.readers import table
+from ..streaming import extract
 from . import builtin, texts
 from .rules import Rule, RuleSet, View, compile_rules
 
@@ -63,6 +64,16 @@ def scan_case_refs(spark, sf_dir):
     return detect.scan(order_texts(spark, sf_dir), only("case")).groupBy("match").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(f"WITH {_PARTS} SELECT match, rule_type, min(CAST(o_orderdate AS DATE)) AS first_day, count(*) AS n FROM placed JOIN orders ON o_orderkey = doc_id GROUP BY match, rule_type")
+def stream_mentions(spark, sf_dir):
+    """Mentions of a stream of documents with the day of each, drained and summed up."""
+    schema = table(spark, sf_dir, "orders").schema
+    orders = spark.readStream.schema(schema).parquet(f"{sf_dir}/order[s].parquet")  # a pattern: a stream of one plain path wants a folder
+    docs = orders.selectExpr("o_orderkey AS doc_id", f"{texts.TEXT} AS text", "cast(o_orderdate AS date) AS day")
+    found = extract.extract(docs, builtin.rule_set(), event_time="day").select("day", "match", "rule_type")
+    return extract.drained(found, works.shared_folder(spark)).groupBy("match", "rule_type").agg(F.min("day").alias("first_day"), F.count(F.lit(1)).alias("n"))
+
+
 @query(f"WITH {_PARTS} SELECT doc_id, CAST(position AS INTEGER) AS position, match, rule_type FROM placed")
 def scan_positions(spark, sf_dir):
     return order_mentions(spark, sf_dir).select("doc_id", "position", "match", "rule_type")
@@ -77,10 +88,15 @@ def multi_rule_priority(spark, sf_dir):
     return detect.scan(order_texts(spark, sf_dir), rules).select("doc_id", "position", "match", "rule")
 
 
-@query("SELECT doc_id, regexp_matches(text, '(?i)licen[sc]e') AS license, contains(text, '@') AS mail, regexp_matches(text, '[0-9]{1,3}(\\.[0-9]{1,3}){3}') AS ip FROM documents")
+_GUARDS = {"license": "licen[sc]es?", "mail": "@[a-z0-9-]+", "ip": "[0-9]{1,3}(?:\\.[0-9]{1,3}){3}"}
+
+
+@query("SELECT doc_id, " + ", ".join(f"regexp_matches(text, '(?i)({g})([^\\p{{L}}]|$)') AS {n}" for n, g in _GUARDS.items()) + " FROM documents")
 def guard_prefilter(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", F.col("text").rlike("(?i)licen[sc]e").alias("license"), F.col("text").contains("@").alias("mail"), F.col("text").rlike("[0-9]{1,3}(\\.[0-9]{1,3}){3}").alias("ip"))
+    """The types whose guard opens, by the guards of a rule set."""
+    rules = compile_rules([Rule(type=n, pattern=g, guard_pattern=g, views=(View("page", "$0"),)) for n, g in _GUARDS.items()])
+    opened = detect.guarded(table(spark, sf_dir, "documents").select("doc_id", "text"), rules)
+    return opened.select("doc_id", *[F.array_contains("open_types", n).alias(n) for n in _GUARDS])
 
 
 def _documents_scan(spark, sf_dir, pattern: str, guard: str) -> DataFrame:
@@ -106,10 +122,11 @@ def scan_email(spark, sf_dir):
     return _documents_scan(spark, sf_dir, _MAIL, "[^@]@[A-Za-z0-9.-]+")
 
 
-@query("SELECT line, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) WHERE regexp_matches(line, '(?i)licen[sc]e') GROUP BY line")
+@query("SELECT doc_id, match, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?i)[^\\r\\n\\x0B\\f]*licen[sc]e[^\\r\\n\\x0B\\f]*')) AS match FROM documents) GROUP BY ALL")
 def scan_license_lines(spark, sf_dir):
-    lines = table(spark, sf_dir, "documents").select(F.explode(F.split("text", "\n")).alias("line"))
-    return lines.where(F.col("line").rlike("(?i)licen[sc]e")).groupBy("line").agg(F.count(F.lit(1)).alias("n"))
+    """Whole lines that name a licence, by the scan."""
+    rules = simple("[^\\r\\n\\x0B\\f]*licen[sc]e[^\\r\\n\\x0B\\f]*", guard_pattern="licen[sc]e[^\\r\\n]*")
+    return detect.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), rules).groupBy("doc_id", "match").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""SELECT p_partkey AS doc_id, CAST(CASE p_partkey % 4 WHEN 0 THEN 4 ELSE 0 END AS INTEGER) AS position, 'C-1/10' AS match FROM part WHERE p_partkey % 4 <> 1
@@ -163,14 +180,21 @@ def _views(spark) -> DataFrame:
     return spark.createDataFrame(_VIEWS, "type string, target string, environment string")
 
 
+def _left(spark, options: Options) -> DataFrame:
+    """The views that a run with these options scans for."""
+    rules = [Rule(type=r, pattern="x", views=tuple(View(t, "$0", environments=(e,)) for x, t, e in _VIEWS if x == r)) for r in ("act", "case", "oj")]
+    kept = compile_rules(rules).scannable(options)
+    return spark.createDataFrame([(c.rule.type, v.target, v.environments[0]) for c in kept.rules for v in c.rule.views], "type string, target string, environment string")
+
+
 @query(f"WITH {_VIEW_SQL} SELECT type, target, environment FROM views WHERE environment IN ('*', 'court') AND target IN ('eurlex', 'curia', 'table')")
 def env_target_filter(spark, sf_dir):
-    return _views(spark).where(F.arrays_overlap(F.array("environment"), F.array(F.lit("*"), F.lit("court"))) & F.col("target").isin("eurlex", "curia", "table"))
+    return _left(spark, Options(environments=frozenset({"court"}), targets=frozenset({"eurlex", "curia", "table"})))
 
 
 @query(f"WITH {_VIEW_SQL} SELECT type, target FROM views WHERE NOT contains(target, 'eurlex')")
 def exclude_target(spark, sf_dir):
-    return _views(spark).where(~F.col("target").contains("eurlex")).select("type", "target")
+    return _left(spark, Options(excluded_targets=("eurlex",))).select("type", "target")
 
 
 @query(f"WITH {_VIEW_SQL} SELECT type, list_sort(list(DISTINCT target)) AS targets, list_sort(list(DISTINCT environment)) AS environments FROM views GROUP BY type")
@@ -232,15 +256,23 @@ def list_inverted(spark, sf_dir):
     return _lists(spark, sf_dir).select("doc_id", "parent", "item", lists.carried_back(F.get("groups", F.lit(5)), ["doc_id", "parent"], "item").alias("number"))
 
 
-@query(f"""WITH {_LISTS}, n AS (SELECT doc_id, line, match, unnest([0, 1, 2]) AS item FROM lists)
-SELECT doc_id, line AS parent, CAST(item AS INTEGER) AS item, concat('Directive ', '2015/', regexp_extract(match, '2015/([0-9]+)', 1), ' article ', line + item) AS reference FROM n""")
+_NESTED = "concat(CASE o_custkey % 4 WHEN 0 THEN concat('articles ', n, ', ', n + 1, ' and ', n + 2) WHEN 1 THEN concat('article ', n, '(1), (2) and (3)') WHEN 2 THEN concat('article ', n, '(12) and ', n + 1) ELSE concat('article ', n, '(a) and (b)') END, ' of Directive (EU) 2015/', o_orderkey % 900 + 1)"
+_NESTED_ITEM = "(?:articles? ([0-9]+)(?:\\(([0-9]+|[a-z])\\))?|\\(([0-9]+|[a-z])\\)|([0-9]+))(?: of (Directive) \\(EU\\) ([0-9]{4})/([0-9]+))?"
+
+
+@query("""WITH l AS (SELECT o_orderkey AS doc_id, o_custkey % 4 AS form, o_custkey % 7 + 1 AS n, o_orderkey % 900 + 1 AS no FROM orders),
+e AS (SELECT *, unnest(CASE WHEN form < 2 THEN [0, 1, 2] ELSE [0, 1] END) AS item FROM l)
+SELECT doc_id, CAST(item AS INTEGER) AS item, concat('Directive 2015/', no, ' article ', CASE WHEN form IN (0, 2) THEN n + item ELSE n END,
+  CASE form WHEN 0 THEN '' WHEN 1 THEN concat('(', item + 1, ')') WHEN 2 THEN CASE item WHEN 0 THEN '(12)' ELSE '' END ELSE CASE item WHEN 0 THEN '(a)' ELSE '(b)' END END) AS reference FROM e""")
 def list_resolved(spark, sf_dir):
-    """Lists folded to one row each, completed, and unfolded: the same as the two windows together."""
-    slots = lists.Slots(prefix=(3,), shared=(4, 5), identifiers=(2,), variables=(2,))
-    per = _lists(spark, sf_dir).groupBy("doc_id", "parent").agg(F.sort_array(F.collect_list(F.struct("item", "groups"))).alias("l"))
+    """Articles, paragraphs and points in brackets: lists folded to one row each, completed, and unfolded."""
+    rows = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS doc_id", "0 AS position", "o_custkey", "o_orderkey", "o_custkey % 7 + 1 AS n").selectExpr("doc_id", "position", f"{_NESTED} AS match")
+    slots = lists.Slots(prefix=(5,), shared=(6, 7), identifiers=(1, 2, 3, 4), core=(1,), variables=(3, 4))
+    per = lists.items(rows, _NESTED_ITEM, 7).groupBy("doc_id", "parent").agg(F.sort_array(F.collect_list(F.struct("item", "groups"))).alias("l"))
     done = lists.resolved(per.select("doc_id", "parent", F.transform("l", lambda x: x["groups"]).alias("groups")), slots)
-    each = done.select("doc_id", "parent", F.posexplode("groups").alias("item", "g"))
-    return each.select("doc_id", "parent", "item", F.concat(F.col("g")[3], F.lit(" "), F.col("g")[4], F.lit("/"), F.col("g")[5], F.lit(" article "), F.col("g")[2]).alias("reference"))
+    each = done.select("doc_id", F.posexplode("groups").alias("item", "g"))
+    level = F.coalesce(F.concat(F.lit("("), F.get("g", F.lit(2)), F.lit(")")), F.lit(""))
+    return each.select("doc_id", "item", F.concat(F.col("g")[5], F.lit(" "), F.col("g")[6], F.lit("/"), F.col("g")[7], F.lit(" article "), F.col("g")[1], level).alias("reference"))
 
 
 @query(f"WITH {_PARTS} SELECT doc_id, match AS context, list_sort(list(CAST(position AS INTEGER))) AS positions FROM placed GROUP BY doc_id, match")
