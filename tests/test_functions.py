@@ -39,6 +39,12 @@ CASES = [
     (lambda: C.number_ext(L("12nd")), "12"),
     (lambda: C.number_ext(L("12α")), "12a"),
     (lambda: C.number_ext(L("12 bis")), "12a"),
+    (lambda: C.number_ext(L("12A")), "12A"),
+    (lambda: C.number_ext(L("12А")), "12a"),  # Cyrillic
+    (lambda: C.number_ext(L("12.o-AB")), "12ab"),
+    (lambda: C.number_ext(L("12.o"), "ENG"), "12o"),
+    (lambda: C.number_ext(L("12-F"), "ENG"), "12a"),
+    (lambda: C.number_ext(L("007")), "7"),
     (lambda: C.number_ext(L("second")), "2"),
     (lambda: C.number_ext(L("what")), "1"),
     (lambda: C.pad(L("12345"), "0", 3), "12345"),
@@ -137,3 +143,47 @@ def test_attributes(spark):
     attrs = ids.normalised(ids.attributes(F.lit(html)))
     row = spark.range(1).select(attrs, ids.celex_ids(attrs), ids.urls(F.lit(html)), ids.unsuffixed(attrs)).first()
     assert row[0] == {"celex-1": "2", "celex-0": "3"} and row[1] == ["3", "2"] and row[2] == ["u"] and list(row[3]) == ["celex"]
+
+
+@pytest.mark.parametrize(
+    ("code", "title", "want"),
+    [
+        ("EN", "Judgment of the Court (Fifth Chamber) of 14 December 2000. # Italian Republic v Commission", "Judgment of 14 December 2000. # Italian Republic v Commission"),
+        ("FR", "Arrêt du Tribunal (quatrième chambre) du 11 décembre 2013", "Arrêt du 11 décembre 2013"),
+        ("DE", "Urteil des Gerichts (Vierte Kammer) vom 11. Dezember 2013", "Urteil vom 11. Dezember 2013"),
+        ("ES", "Sentencia del Tribunal General (Sala Cuarta) de 11 de diciembre de 2013", "Sentencia de 11 de diciembre de 2013"),
+        ("PT", "Acórdão do Tribunal de Justiça (Primeira Secção) de 29 de outubro de 2015", "Acórdão de 29 de outubro de 2015"),
+        ("NL", "Arrest van het Gerecht (Vierde kamer) van 11 december 2013", "Arrest van 11 december 2013"),
+        ("IT", "Sentenza del Tribunale (Quarta Sezione) dell’11 dicembre 2013", "Sentenza dell’11 dicembre 2013"),
+        ("DA", "Domstolens dom (Første Afdeling) af 29. oktober 2015", "Dom af 29. oktober 2015"),
+        ("CS", "Rozsudek Soudního dvora (prvního senátu) ze dne 29. října 2015", "Rozsudek ze dne 29. října 2015"),
+        ("HR", "Presuda Suda (prvo vijeće) od 29. listopada 2015", "Presuda od 29. listopada 2015"),
+        ("SL", "Sodba Sodišča (prvi senat) z dne 29. oktobra 2015", "Sodba z dne 29. oktobra 2015"),
+        ("SK", "Rozsudok Súdneho dvora (prvá komora) z 29. októbra 2015", "Rozsudok z 29. októbra 2015"),
+        ("ET", "Euroopa Kohtu otsus (esimene koda), 29.10.2015", "Otsus, 29.10.2015"),
+        ("ET", "Kohtuotsus, Euroopa Kohus, 12. juuli 2005", "Kohtuotsus, 12. juuli 2005"),
+        ("FI", "Unionin tuomioistuimen tuomio (ensimmäinen jaosto) 29.10.2015", "Tuomio 29.10.2015"),
+        ("SV", "Personaldomstolens dom av den 30 januari 2013, Wahlström/Frontex", "Dom av den 30 januari 2013, Wahlström/Frontex"),
+        ("LV", "Tiesas spriedums (pirmā palāta) 2015. gada 29. oktobrī.", "Spriedums 2015. gada 29. oktobrī."),
+        ("LV", "Vispārējās tiesas 2013. gada 15. janvāra spriedums Spānija/Komisija", "2013. gada 15. janvāra spriedums Spānija/Komisija"),
+        ("LT", "2015 m. spalio 29 d. Teisingumo Teismo (pirmoji kolegija) sprendimas.", "2015 m. spalio 29 d. sprendimas."),
+        ("MT", "Sentenza tal-Qorti tal-Ġustizzja (L-Ewwel Awla) tad-29 ta’ Ottubru 2015.", "Sentenza tad-29 ta’ Ottubru 2015."),
+        ("PL", "Wyrok Trybunału (pierwsza izba) z dnia 29 października 2015", "Wyrok z dnia 29 października 2015"),
+        ("RO", "Hotărârea Tribunalului (Camera a patra) din 11 decembrie 2013", "Hotărârea din 11 decembrie 2013"),
+        ("BG", "Решение на Съда (първи състав) от 29 октомври 2015 г", "Решение от 29 октомври 2015 г"),
+        ("EL", "Απόφαση του Δικαστηρίου (τμήμα μείζονος συνθέσεως) της 19ης Ιανουαρίου 2010.", "Απόφαση της 19ης Ιανουαρίου 2010."),
+        ("HU", "A Törvényszék 2013. január 15-i ítélete, Spanyolország kontra Bizottság", "2013. január 15-i ítélet, Spanyolország kontra Bizottság"),
+        ("HU", "A Bíróság január 15.-i ítélete: 2013.", "2013. január 15-i ítélet"),
+        ("XX", "stays (as it is) of 1 May 2000", "stays (as it is) of 1 May 2000"),
+    ],
+)
+def test_case_titles(spark, code, title, want):
+    assert spark.range(1).select(H.case_title(F.lit(title), code)).first()[0] == want
+
+
+def test_footnotes(spark):
+    done = lambda s, **k: spark.range(1).select(H.footnote_text(F.lit(s), **k)).first()[0]
+    for code, eea in H.EEA_TEXTS.items():
+        assert done(f"Act ({H.RECAST[code]})({eea}).") == "Act."
+    assert done("a . ) b ( c ) . ( d , , e  f") == "a) b (c ) ( d, e f"  # only the first of each
+    assert done("Act (recast) .", tidy_only=True) == "Act (recast)."
