@@ -130,7 +130,6 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least:
     keys, counts, files = ["file", "path"], term_counts(templates), keyed(files)
     idf = _frequencies(files.select(F.explode(F.split("text", "\n")).alias("line")).select(words(F.col("line")).alias("words")).where(F.size("words") > 0))
     rows, strong = _template_shares(counts | full_texts(), idf, least)
-    short = [r for r in rows if r[0] in counts]
     parts = _parts_of_length(rows, counts | full_texts())
     held = _held(templates, strong, parts, least)
     vocabulary = F.array(*[F.lit(t) for t in sorted({t for name in counts for t in parts[name]})])
@@ -143,10 +142,11 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least:
     known = F.when(F.arrays_overlap(words(F.col("text")), anchors), reaching(words(F.col("text"))))
     few = stored(files.select(*keys, "text", known.alias("known")).where("known IS NOT NULL"), "license-files")
     runs = few.select(*keys, F.explode(F.filter(_line_units(F.col("text")), lambda u: reaching(u["words"]).isNotNull())).alias("u"))
-    units = stored(runs.select(*keys, "u.line_no", "u.unit", "u.words").unionByName(_windows(few, keys, held)), "license-units")
     whole = _whole_files(files.where(F.regexp_extract("path", "([^/]*)$", 1).rlike(license_file)), keys, parts, least)
-    at = [*keys, "line_no", "unit"]
-    return _best(_scores(units, at, short, idf, least).unionByName(_scores(whole, at, rows, idf, least)), keys)
+    units = runs.select(*keys, "u.line_no", "u.unit", "u.words").unionByName(_windows(few, keys, held)).unionByName(whole)
+    vectors = stored(units.withColumn("v", F.monotonically_increasing_id()), "license-vectors")
+    scored = vectors.select("v", *keys, "line_no").join(_scores(vectors, rows, set(counts), idf, least), "v")
+    return stored(_best(scored, keys), "license-found")
 
 
 def _line_units(text: Column) -> Column:
@@ -219,7 +219,7 @@ def _whole_files(files: DataFrame, keys: list[str], parts: dict[str, dict[str, f
     table = F.broadcast(files.sparkSession.createDataFrame([(name, t, x) for name, own in parts.items() for t, x in own.items()], "template string, term string, part double"))
     spans = whole.select("file", F.explode(F.array_distinct("words")).alias("term")).join(table, "term").groupBy("file", "template").agg(F.sum("part").alias("part"))
     reaching = spans.where(F.col("part") >= (least * 0.999) ** 2).select("file").distinct()
-    return stored(whole.join(reaching, "file", "left_semi"), "license-whole")
+    return whole.join(reaching, "file", "left_semi")
 
 
 #: Words in so many lines of this many are sent to all workers: at most this many times the words of a mean line.
@@ -260,17 +260,23 @@ def _template_shares(counts: dict[str, dict[str, int]], idf: Frequencies, least:
     return rows, strong
 
 
-def _scores(few: DataFrame, keys: list[str], rows: list[tuple[str, str, float]], idf: Frequencies, least: float) -> DataFrame:
-    """keys, template, score from least on, of the vectors of few (keys, words)."""
-    shares = F.broadcast(few.sparkSession.createDataFrame(rows, "template string, term string, share double"))
-    terms = few.select(*keys, F.explode("words").alias("term")).groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"))
+def _scores(vectors: DataFrame, rows: list[tuple[str, str, float]], notices: set[str], idf: Frequencies, least: float) -> DataFrame:
+    """v, template, score from least on, of vectors (v, unit, words): whole files against all templates, others against notices.
+
+    Of the frequencies, which grow with the words of the corpus, only those of the vectors' words are carried on.
+    """
+    table = [(name, t, x, name in notices) for name, t, x in rows]
+    shares = F.broadcast(vectors.sparkSession.createDataFrame(table, "template string, term string, share double, notice boolean"))
+    each = vectors.select("v", (F.col("unit") == "file").alias("whole"), F.explode("words").alias("term"))
+    terms = stored(each.groupBy("v", "whole", "term").agg(F.count(F.lit(1)).alias("tf")), "license-terms")
+    weights = stored(idf.weights().join(terms.select("term").distinct(), "term", "left_semi"), "license-weights")
     common = F.col("n") * COMMON >= idf.total
-    first = terms.join(F.broadcast(idf.weights().where(common).drop("n")), "term", "left")
-    rest = first.where("idf IS NULL").drop("idf").join(idf.weights().where(~common).drop("n"), "term")
+    first = terms.join(F.broadcast(weights.where(common).drop("n")), "term", "left")
+    rest = first.where("idf IS NULL").drop("idf").join(weights.where(~common).drop("n"), "term")
     weighed = first.where("idf IS NOT NULL").unionByName(rest)
-    length = weighed.groupBy(*keys).agg(F.sqrt(F.sum(F.pow(F.col("tf") * F.col("idf"), 2))).alias("length"))
-    dots = terms.join(shares, "term").groupBy(*keys, "template").agg(F.sum(F.col("tf") * F.col("share")).alias("dot"))
-    return dots.join(length, keys).withColumn("score", F.round(F.col("dot") / F.col("length"), DIGITS)).where(F.col("score") >= least)
+    length = weighed.groupBy("v").agg(F.sqrt(F.sum(F.pow(F.col("tf") * F.col("idf"), 2))).alias("length"))
+    dots = terms.join(shares, "term").where("whole OR notice").groupBy("v", "template").agg(F.sum(F.col("tf") * F.col("share")).alias("dot"))
+    return dots.join(length, "v").select("v", "template", F.round(F.col("dot") / F.col("length"), DIGITS).alias("score")).where(F.col("score") >= least)
 
 
 def _best(scored: DataFrame, keys: list[str]) -> DataFrame:
