@@ -225,7 +225,12 @@ def _rendered(rules: RuleSet, rule: Column, groups: Column) -> Column:
 
 
 def any_view(rules: RuleSet, rule: Column, groups: Column) -> Column:
-    """Whether some view of the match is shown and not empty."""
+    """Whether some view of the match is shown and not empty; evaluated as ``rendered`` is, with the captures made once."""
+    one = F.transform(F.array(F.struct(rule.alias("rule"), groups.alias("groups"))), lambda x: _any_view(rules, x["rule"], x["groups"]))
+    return F.element_at(one, 1)
+
+
+def _any_view(rules: RuleSet, rule: Column, groups: Column) -> Column:
     out = F.lit(True)
     for k, c in enumerate(rules.rules):
         sure = any(not v.condition and re.sub(r"\{\{.*?\}\}|\$\d+", "", v.template, flags=re.S).strip() for v in c.rule.views)

@@ -347,9 +347,10 @@ def treaty_or_title(spark, sf_dir):
     return works.short_titles(rows, titles, F.col("treaty")).select("celex", "short_title")
 
 
-@query("SELECT concat('', c_custkey) AS celex FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT concat('', c_custkey) AS celex FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)")
 def unpublished(spark, sf_dir):
-    journal = _sql(spark, sf_dir, "orders", "concat('JO', o_orderkey) AS oj", "concat('', o_custkey) AS celex")
+    """Acts that no issue holds; issues are made of the dearest orders alone, so that there are some."""
+    journal = table(spark, sf_dir, "orders").where("o_totalprice > 400000").selectExpr("concat('JO', o_orderkey) AS oj", "concat('', o_custkey) AS celex")
     return works.unpublished(_sql(spark, sf_dir, "customer", "concat('', c_custkey) AS celex"), journal)
 
 

@@ -74,9 +74,10 @@ def existence_filter(spark, sf_dir):
     return works.existing(ids, table(spark, sf_dir, "customer").where("c_nationkey < 12").selectExpr("c_custkey AS id"), "id")
 
 
-@query("SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)")
 def missing_ids(spark, sf_dir):
-    return works.missing(_sql(spark, sf_dir, "customer", "c_custkey AS id"), _sql(spark, sf_dir, "orders", "o_custkey AS id"), "id")
+    known = table(spark, sf_dir, "orders").where("o_totalprice > 400000").selectExpr("o_custkey AS id")
+    return works.missing(_sql(spark, sf_dir, "customer", "c_custkey AS id"), known, "id")
 
 
 @query("""SELECT source, lang, doc_id FROM documents WHERE lang IN ('de', 'en', 'fr')
