@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, session, settled, text_or_empty
+from .common import documents, session, text_or_empty
 
 WINDOW = 50
 MINIMISER = 8
@@ -43,8 +43,6 @@ HOT = 20_000
 #: Bytes of text whose words are hashed at once, and bytes of packed strings that are sorted at once.
 PART = 2_000_000
 SORTED = 4_000_000
-#: Bytes of one bucket that are sorted in memory; the windows of a larger one are grouped by their words instead.
-BUCKET = 16_000_000
 NO_ID = -(1 << 63)
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -227,57 +225,28 @@ def first_holders(strings: list[bytes], keys: np.ndarray, window: int = WINDOW)
 
 
 def _answers(sent: DataFrame, window: int) -> DataFrame:
-    """minimiser, name, first, last, holder: runs of a super-k-mer's windows and their least document.
-
-    Buckets are sorted in memory, small ones together. A bucket that is too large for that gives its windows one by one; their
-    least documents come from a grouping by the words themselves, which sums up before it shuffles.
-    """
+    """minimiser, name, first, last, holder: runs of a super-k-mer's windows and their least document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([*((c, pa.int64()) for c in ("minimiser", "name", "first", "last", "holder")), ("window", pa.binary())])
-
         def done(rows: list[tuple]) -> pa.RecordBatch:
             found = first_holders([r[5] for r in rows], np.array([r[4] for r in rows], np.int64), window)
-            flat = [(*r[1:3], r[3] + a, r[3] + z, k, None) for r, runs in zip(rows, found, strict=True) for a, z, k in runs]
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*flat, strict=True), schema, strict=True)], schema=schema)
-
-        def apart(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-            for a, z in _parts([len(r[5]) for r in rows], SORTED // window):
-                flat = []
-                for r in rows[a:z]:
-                    words = r[5].split(b" ")
-                    flat += [(*r[1:3], r[3] + i, r[3] + i + 1, r[4], b" ".join(words[i : i + window])) for i in range(len(words) - window + 1)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*flat, strict=True), schema, strict=True)], schema=schema)
-
-        rows, held, last, first, own, large = [], 0, None, 0, 0, False
+            flat = [(*r[1:3], r[3] + a, r[3] + z, k) for r, runs in zip(rows, found, strict=True) for a, z, k in runs]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*flat, strict=True)], names=["minimiser", "name", "first", "last", "holder"])
+
+        rows, held, last = [], 0, None
         for b in batches:
             for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if r[0] != last:
-                    if large:
-                        yield from apart(rows)
-                    elif held > SORTED:
-                        yield done(rows)
-                    if large or held > SORTED:
-                        rows, held = [], 0
-                    last, first, own, large = r[0], len(rows), 0, False
+                if r[0] != last and held > SORTED:
+                    yield done(rows)
+                    rows, held = [], 0
+                last = r[0]
                 rows.append(r)
                 held += len(r[5])
-                own += len(r[5])
-                if own > BUCKET:
-                    if first:
-                        yield done(rows[:first])
-                    yield from apart(rows[first:])
-                    rows, held, first, own, large = [], 0, 0, 0, True
         if rows:
-            yield from apart(rows) if large else [done(rows)]
+            yield done(rows)
 
     dealt = sent.repartition("bucket").sortWithinPartitions("bucket")
-    found = settled(dealt.mapInArrow(run, "minimiser long, name long, first long, last long, holder long, window binary"))
-    sure, open_ = found.where("window IS NULL").drop("window"), found.where("window IS NOT NULL")
-    if not open_.take(1):
-        return sure
-    least = settled(open_.groupBy("window").agg(F.min("holder").alias("holder")))
-    return sure.unionByName(open_.drop("holder").join(least, "window").drop("window"))
+    return dealt.mapInArrow(run, "minimiser long, name long, first long, last long, holder long")
 
 
 def covered_spans(keyed: DataFrame, window: int = WINDOW) -> DataFrame:
