@@ -270,10 +270,10 @@ def near_duplicate_classes(df: DataFrame, key: str = "doc_id", text: str = "text
     session(df.sparkSession)
     keyed = df.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("k"), text_or_empty(text).alias("text"))
     signs = settled(signed_documents(keyed))
-    # stored, so that below each side of the join with all documents is a plain shuffle, of which Spark splits hot digests
+    # groups and buckets are stored, so that below each side of a join is a plain shuffle and Spark can split hot texts and bands
     groups = settled(signs.groupBy("digest").agg(F.min("k").alias("rep"), F.min("n").alias("n"), F.first("bands").alias("bands")))
     members = groups.select(F.col("rep").alias("k"), "n", F.explode(F.array_distinct("bands")).alias("band"))
-    buckets = members.groupBy("band").agg(F.min("k").alias("centre"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    buckets = settled(members.groupBy("band").agg(F.min("k").alias("centre"), F.count(F.lit(1)).alias("members")).where("members > 1"))
     inside = settled(members.join(buckets, "band").select("band", "k", "n", "centre", "members"))
     centres = inside.where("k = centre").select("band", F.col("n").alias("m"))
     alike = f"least(n, m) >= {least} * greatest(n, m)"
@@ -302,7 +302,8 @@ def near_duplicate_classes(df: DataFrame, key: str = "doc_id", text: str = "text
 def dedup_documents(df: DataFrame, key: str = "doc_id", text: str = "text", least: float = SIMILAR) -> DataFrame:
     """The rows of df whose key names their class, one row per key; rows without a key stay."""
     own = unused(df, "k")
-    kept = near_duplicate_classes(df, key, text, least).where("k = class_id").select(F.col("k").alias(own))
+    kept = settled(near_duplicate_classes(df, key, text, least).where("k = class_id").select(F.col("k").alias(own)))
+    released(df.sparkSession)
     keyed = df.withColumn(own, F.col(key).cast("long"))
     with_key = keyed.join(kept, own, "left_semi").dropDuplicates([own])
     return with_key.unionByName(keyed.where(F.col(own).isNull())).select(*df.columns)
