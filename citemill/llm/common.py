@@ -6,13 +6,18 @@ import gc
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Upper bounds of one Arrow batch that Python sees; both hold at every input size.
-ARROW_ROWS = 2000
-ARROW_BYTES = 16 * 1024 * 1024
+#: Upper bounds of one Arrow batch that crosses between the JVM and Python (both keep buffers of that size, outside the heap),
+#: and of the batches that Python puts together where that pays; all hold at every input size.
+ARROW_ROWS = 500
+ARROW_BYTES = 2 * 1024 * 1024
+GATHERED_ROWS = 2000
+GATHERED_BYTES = 8 * 1024 * 1024
 
 
 def session(spark: SparkSession) -> SparkSession:
@@ -25,6 +30,25 @@ def session(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def gathered(batches: Iterator[pa.RecordBatch], rows: int = GATHERED_ROWS, size: int = GATHERED_BYTES) -> Iterator[pa.RecordBatch]:
+    """Consecutive batches joined, until they have so many rows or bytes."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.num_rows for x in held) >= rows or sum(x.nbytes for x in held) >= size:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+def sliced(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about ARROW_ROWS and ARROW_BYTES at most."""
+    step = max(1, min(ARROW_ROWS, batch.num_rows * ARROW_BYTES // max(1, batch.nbytes)))
+    for i in range(0, batch.num_rows, step):
+        yield batch.slice(i, step)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, the one that the context has, or
     with a local master a new one. On a cluster there must be one: a machine's own folder is not seen by the others."""

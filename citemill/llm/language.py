@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, session, text_or_empty
+from .common import documents, gathered, session, sliced, text_or_empty
 from .encoding import parts
 
 #: Labelled rows that training uses at most (in expectation, by a hash of the key).
@@ -265,7 +265,7 @@ def train(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for b in batches:
+        for b in gathered(batches):
             langs, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             for x in sorted(set(langs)):
                 cut = [t for _, _, t in slices([t for t, y in zip(texts, langs, strict=True) if y == x])]
@@ -301,10 +301,10 @@ def predict(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     first = [text] * (text in keep)  # the text travels once
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in gathered(batches):
             langs, shares, spans = identify([t or "" for t in b.column(0).to_pylist()], sent.value)
             made = [pa.array(x, f.type) for x, f in zip((langs, shares, spans), schema, strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns[1 - len(first) :], *made], names=[*first, *rest, *schema.names])
+            yield from sliced(pa.RecordBatch.from_arrays([*b.columns[1 - len(first) :], *made], names=[*first, *rest, *schema.names]))
 
     source = df.select(F.col(text).cast("string").alias(text), *rest)
     ddl = ", ".join(f"`{c}` {t}" for c, t in source.dtypes[1 - len(first) :]) + ", lang_pred string, score double, spans array<struct<lang:string,start:long,end:long>>"

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import documents, session, settled, text_or_empty
+from .common import documents, gathered, session, settled, text_or_empty
 from .encoding import encoder
 
 CAPACITY = 1024
@@ -100,7 +100,7 @@ def pieces(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", ca
     schema = pa.schema([("key", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())] + [("ids", pa.list_(pa.int32()))] * with_ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in gathered(batches):
             keys = b.column(0).to_pylist()
             ids, bounds = encoder(path).encode(b.column(1).to_pylist(), end=end_id)
             ids = ids.astype("<u4")

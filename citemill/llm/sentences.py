@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, session, text_or_empty
+from .common import documents, gathered, session, sliced, text_or_empty
 from .encoding import APART, PART, REMEMBERED, Codes, Runs, distinct, parts
 from .packing import tokenizer_path
 
@@ -316,10 +316,10 @@ def encode(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") ->
     schema = pa.schema([("key", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in gathered(batches):
             flat, bounds = pieces(path).encode(b.column(1).to_pylist())
             ids = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([b.column(0), ids.cast(schema.field("ids").type)], schema=schema)
+            yield from sliced(pa.RecordBatch.from_arrays([b.column(0), ids.cast(schema.field("ids").type)], schema=schema))
 
     return df.select(F.col(key).cast("long").alias("key"), text_or_empty(text).alias("t")).mapInArrow(run, "key long, ids array<int>").withColumnRenamed("key", key)
 

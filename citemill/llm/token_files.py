@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, fresh_path, session, text_or_empty
+from .common import documents, fresh_path, gathered, session, text_or_empty
 from .encoding import encoder, parts
 from .packing import tokenizer_path
 
@@ -62,7 +62,7 @@ def write_tokens(df: DataFrame, folder: str, path: str, dtype: str | None = None
         fs, root = _place(folder)
         fs.create_dir(root, recursive=True)
         name, mark, outs, at, docs = f"shard-{TaskContext.get().partitionId():06d}", uuid.uuid4().hex, None, 0, 0
-        for b in batches:
+        for b in gathered(batches):
             if not b.num_rows:
                 continue
             if outs is None:
