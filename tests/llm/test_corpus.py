@@ -358,20 +358,6 @@ def test_hot_minimisers(spark, monkeypatch):
     assert {r.doc_id: (r.n_words, r.n_removed, hashlib.sha256(r.kept.encode()).hexdigest()) for r in got} == want
 
 
-@pytest.mark.parametrize(("limit", "hot"), [(100, 10**9), (3000, 10**9), (100, 2)])
-def test_large_buckets(spark, monkeypatch, limit, hot):
-    """Buckets too large for memory are grouped by the words of their windows."""
-    rng = random.Random(10)
-    line = words(rng, 62)
-    texts = {i: words(rng, rng.randint(0, 60)) + " " + line + " " + words(rng, rng.randint(0, 60)) for i in range(60)}
-    texts |= {100 + i: "same " * 120 + words(rng, 3) for i in range(3)}
-    monkeypatch.setattr(substrings, "BUCKET", limit)
-    monkeypatch.setattr(substrings, "HOT", hot)
-    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    got = substrings.dedup_substrings(df).collect()
-    assert {r.doc_id: (r.n_words, r.n_removed, hashlib.sha256(r.kept.encode()).hexdigest()) for r in got} == brute_substrings(texts)
-
-
 def test_names_of_several_minimisers(spark, monkeypatch):
     """Names that collide between minimisers are told apart: here few are left, none of which collide under one minimiser."""
     whole, kept = substrings.super_kmers, np.uint64(63 << 3)
@@ -440,6 +426,20 @@ def test_equal_languages_rank_by_name(spark):
     assert language.identify(["same words"], model)[0] == ["aa"]
 
 
+def test_gathered_and_sliced_batches():
+    import pyarrow as pa
+
+    from citemill.llm import common
+
+    rng = random.Random(15)
+    parts = [pa.RecordBatch.from_pydict({"i": list(range(k, k + n)), "t": ["x" * rng.randint(0, 9000) for _ in range(n)]}, pa.schema([("i", pa.int64()), ("t", pa.string())])) for k, n in ((0, 700), (700, 0), (700, 900), (1600, 900), (2500, 3))]
+    joined = list(common.gathered(iter(parts)))
+    assert [b.num_rows for b in joined][0] >= 1600 and [i for b in joined for i in b.column(0).to_pylist()] == list(range(2503))
+    cut = [x for b in joined for x in common.sliced(b)]
+    assert [i for b in cut for i in b.column(0).to_pylist()] == list(range(2503)) and max(b.num_rows for b in cut) <= common.ARROW_ROWS and max(b.nbytes for b in cut) < 2 * common.ARROW_BYTES
+    assert list(common.gathered(iter([]))) == []
+
+
 def test_parts_of_long_texts(spark, monkeypatch):
     """Cutting texts for memory changes nothing."""
     rng = random.Random(14)
