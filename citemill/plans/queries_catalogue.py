@@ -120,7 +120,7 @@ def rule_compilation(spark, sf_dir):
 
 
 @query("""SELECT o_orderkey AS doc_id, CAST(4 AS INTEGER) AS position, concat('Article 5/', o_custkey) AS match, [concat('Article 5/', o_custkey), '5', concat('', o_custkey), concat('', o_custkey)] AS groups FROM orders
-UNION ALL SELECT o_orderkey, 4 + length(concat('Article 5/', o_custkey)) + 1, 'x1', ['x1', '1', NULL, NULL] FROM orders""")
+UNION ALL SELECT o_orderkey, CAST(5 + length(concat('Article 5/', o_custkey)) AS INTEGER), 'x1', ['x1', '1', NULL, NULL] FROM orders""")
 def several_groups(spark, sf_dir):
     """Rules with several groups, nested ones too, beside each other: each match keeps its own rule's captures."""
     xml = r"<rules><rule type='two' order='1'><pattern>Article\s(\d+)/((\d+))</pattern><view target='p'>$0</view></rule><rule type='one' order='2'><pattern>x(\d)</pattern><view target='p'>$0</view></rule></rules>"
