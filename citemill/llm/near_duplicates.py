@@ -282,7 +282,7 @@ def near_duplicate_classes(df: DataFrame, key: str = "doc_id", text: str = "text
     released(df.sparkSession)
     roots = components(linked)
     placed = inside.where("members > 2").join(roots.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k")).select("band", "k", "n", "root")
-    mixed = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band")
+    mixed = settled(placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band"))
     open_ = settled(placed.join(mixed, "band"))
     lone = lone_shingles(open_.select("k").distinct(), keyed)
     # an overlap is at most what others share: o of n shingles are in no text with a similarity over o / n
