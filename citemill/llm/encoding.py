@@ -153,6 +153,7 @@ class Encoder:
             made = json.load(f)
         self.kind = self._kind(made)
         self.added = [x["content"] for x in made.get("added_tokens", [])]
+        self.words_alone = self.tokenizer
         if self.kind:  # the same model over words that are cut and mapped already
             self.words_alone = Tokenizer.from_str(json.dumps(made | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "post_processor": None, "added_tokens": []}))
         self.shown = byte_characters()

@@ -674,6 +674,16 @@ def test_encoder(name, texts, monkeypatch):
             assert ids[at[i] : at[i + 1]].tolist() == library.encode(t, add_special_tokens=False).ids + [7], t
 
 
+def test_other_tokenizers_take_texts_whole(tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    made = Tokenizer(models.WordLevel({"a": 0, "b": 1, "c": 2, "?": 3}, unk_token="?"))
+    made.pre_tokenizer = pre_tokenizers.Whitespace()
+    made.save(str(tmp_path / "words.json"))
+    ids, at = encoding.Encoder(str(tmp_path / "words.json")).encode(["a b\x1fc", "", "c d"], end=9)
+    assert [ids[x:y].tolist() for x, y in zip(at[:-1], at[1:], strict=True)] == [made.encode("a b\x1fc").ids + [9], [9], [2, 3, 9]]
+
+
 def test_packing(spark, sf, texts):
     rows = registry.QUERIES["op8_minimum_bin_slack"](spark, sf).collect()
     library, per = tokenizer("byte_bpe_50k.json"), defaultdict(list)
