@@ -421,6 +421,22 @@ def note_anchors(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", html.without_note_anchors(F.replace("html", F.lit("<b>"), F.lit('note <a href="#n1"> (12) </a> <b>'))).alias("html"))
 
 
+_ACT = """concat('<div id="art_', n, '"><p class="title">Article ', n, '</p><div id="', lpad(n, 3, '0'), '.001">1. First ', o_custkey, '</div><div id="', lpad(n, 3, '0'), '.002">2. Second <table><tr><td>(a)</td><td>point ', o_orderkey, '</td></tr></table></div></div><div id="anx_I"><p>Annex ', o_custkey, '</p></div><p>Article 99</p><p>Last ', o_orderkey, '.</p>')"""
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN concat(lpad(concat('', o_custkey % 40 + 1), 3, '0'), '.001') WHEN 1 THEN concat(lpad(concat('', o_custkey % 40 + 1), 3, '0'), '.002') WHEN 2 THEN 'anx_I' WHEN 3 THEN concat('art_', o_custkey % 40 + 1) END AS id,
+CASE o_orderkey % 6 WHEN 0 THEN concat('1. First ', o_custkey) WHEN 1 THEN concat('(a)point ', o_orderkey) WHEN 2 THEN concat('Annex ', o_custkey) WHEN 4 THEN concat('Last ', o_orderkey, '.') END AS content,
+CASE o_orderkey % 6 WHEN 3 THEN 'paragraph.not.found' WHEN 5 THEN 'subdivision.not.found' END AS error, CAST(2 AS INTEGER) AS n_parts FROM orders""")
+def act_parts(spark, sf_dir):
+    """Paragraphs, points and annexes by their ids, an article by its heading, and parts that an act doesn't have."""
+    rows = _sql(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "concat('', o_custkey % 40 + 1) AS n")
+    part = """named_struct('annex', CASE WHEN o_orderkey % 6 = 2 THEN 'I' END, 'recital', '', 'article', CASE o_orderkey % 6 WHEN 2 THEN '' WHEN 4 THEN '99' WHEN 5 THEN '88' ELSE n END,
+        'paragraph', CASE o_orderkey % 6 WHEN 0 THEN '1' WHEN 1 THEN '2' WHEN 3 THEN '9' ELSE '' END, 'point', CASE WHEN o_orderkey % 6 = 1 THEN 'A' ELSE '' END)"""
+    acts = rows.selectExpr("o_orderkey", f"{_ACT} AS html", f"{part} AS part", "'32016R0679' AS celex")
+    got = html.act_parts(acts, "o_orderkey")
+    return got.select("o_orderkey", "id", F.when(F.col("error").isNull(), F.col("content")).alias("content"), "error", F.size("subdivisions").alias("n_parts"))
+
+
 @query("SELECT o_orderkey, 'b' AS a, concat('{\"title\":\"t', o_custkey, '\"}') AS ld FROM orders")
 def decorated(spark, sf_dir):
     made = sinks.decorated(F.create_map(F.lit("data-a"), F.lit("b")), F.create_map(F.lit("data-celex"), F.to_json(F.struct(F.expr("concat('t', o_custkey)").alias("title")))))
