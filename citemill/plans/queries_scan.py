@@ -74,6 +74,17 @@ def stream_mentions(spark, sf_dir):
     return extract.drained(found, works.shared_folder(spark)).groupBy("match", "rule_type").agg(F.min("day").alias("first_day"), F.count(F.lit(1)).alias("n"))
 
 
+@query("""WITH h AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, count(*) AS n, (SELECT max(ts) FROM events) AS newest FROM events GROUP BY ALL)
+SELECT strftime(start, '%Y-%m-%d %H') AS hour, 'case' AS rule_type, n FROM h WHERE start + INTERVAL 1 HOUR <= newest - INTERVAL 10 MINUTE""")
+def stream_windows(spark, sf_dir):
+    """References of a stream counted by hour of event time; hours that the watermark has not passed are still open."""
+    events = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/event[s].parquet")
+    docs = events.selectExpr("event_id AS doc_id", "concat('see C-', event_id % 99 + 1, '/10') AS text", "cast(ts AS timestamp) AS ts")
+    counts = extract.reference_counts(extract.extract(docs, only("case"), event_time="ts"), "ts", width="1 hour")
+    done = extract.drained(counts, works.shared_folder(spark))
+    return done.select(F.date_format("w.start", "yyyy-MM-dd HH").alias("hour"), "rule_type", "n")
+
+
 @query(f"WITH {_PARTS} SELECT doc_id, CAST(position AS INTEGER) AS position, match, rule_type FROM placed")
 def scan_positions(spark, sf_dir):
     return order_mentions(spark, sf_dir).select("doc_id", "position", "match", "rule_type")
