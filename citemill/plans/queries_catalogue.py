@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from ..functions import converters as C
 from ..functions import helpers as H
 from ..functions import ids
+from ..functions.regex import SPACE
 from ..operators import alias, detect, html, nodes, resolve, works
 from ..options import Aliases, Options
 from ..sources import readers, sinks
 from ..sources.readers import table
-from .rules import compile_rules, rules_from_xml
+from .rules import compile_rules, full_pattern, rules_from_xml
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -107,16 +108,20 @@ _RULES = r"""<rules>
 </rules>"""
 
 
-@query("""SELECT language, type, guard, CAST(groups AS INTEGER) AS groups, CAST(views AS INTEGER) AS views, scanned FROM (VALUES ('EN', 'first', 'x', 1, 2, TRUE), ('EN', 'second', '', 3, 1, TRUE), ('EN', 'helper', '', 0, 1, FALSE),
-('EN', 'special', '', 0, 1, FALSE), ('DE', 'first', 'x', 1, 2, TRUE), ('DE', 'second', '', 3, 1, TRUE), ('DE', 'helper', '', 0, 1, FALSE), ('DE', 'special', '', 0, 1, FALSE)) t(language, type, guard, groups, views, scanned)""")
+@query(r"""SELECT language, type, CAST(place AS INTEGER) AS place, guard, CAST(groups AS INTEGER) AS groups, CAST(views AS INTEGER) AS views, scanned, replace(pattern, 'WORD', CASE language WHEN 'DE' THEN 'Artikel' ELSE 'Article' END) AS pattern, titled
+FROM (VALUES ('EN'), ('DE')) l(language) CROSS JOIN (VALUES ('first', 1000, 'x', 1, 2, TRUE, 'x(?=(?:\d+))(?:a|b)(c)', ''), ('second', 2000, '', 3, 1, TRUE, 'WORD[ ]((?:(?:\d+)))/((\d+))', ''),
+('helper', 4000, '', 0, 1, FALSE, 'h', '(?:\[h\|[^\]\[|]+\]|(?:\[h\]|h))'), ('special', 5000, '', 0, 1, FALSE, 's', '(?:\[s\|[^\]\[|]+\]|\[s\])')) t(type, place, guard, groups, views, scanned, pattern, titled)""")
 def rule_compilation(spark, sf_dir):
-    """Rules read from XML and compiled for two languages: macros, groups, faulty rules left out, which ones a plain run scans for."""
+    """Rules read from XML and compiled for two languages: macros by language and kind, comments gone, groups, orders, faulty rules left
+    out, the title form, and which rules a plain run scans for. The class of white space is shown as a space."""
     out = []
     for language in ("EN", "DE"):
         made = compile_rules(rules_from_xml(_RULES), language)
         chosen = {c.rule.type for c in made.scannable(Options(special_rules=False)).rules}
-        out += [(language, c.rule.type, c.guard, c.groups, len(c.rule.views), c.rule.type in chosen) for c in made.rules]
-    return spark.createDataFrame(out, "language string, type string, guard string, groups int, views int, scanned boolean")
+        for c in made.rules:
+            titled = full_pattern(c, title_form=True) if c.rule.type in ("helper", "special") else ""
+            out.append((language, c.rule.type, c.rule.order, c.guard, c.groups, len(c.rule.views), c.rule.type in chosen, c.pattern.replace(SPACE, " "), titled))
+    return spark.createDataFrame(out, "language string, type string, place int, guard string, groups int, views int, scanned boolean, pattern string, titled string")
 
 
 @query("""SELECT o_orderkey AS doc_id, CAST(4 AS INTEGER) AS position, concat('Article 5/', o_custkey) AS match, [concat('Article 5/', o_custkey), '5', concat('', o_custkey), concat('', o_custkey)] AS groups FROM orders
