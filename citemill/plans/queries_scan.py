@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import ids
 from ..operators import alias, detect, lists, nodes, works
 from ..options import Aliases, Options
-from ..sources.readers import table
+from ..sources.readers import spread, table
 from ..streaming import extract
 from . import builtin, texts
 from .rules import Rule, RuleSet, View, compile_rules
@@ -30,8 +30,7 @@ def query(sql: str | None = None):
 
 
 def order_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders")
-    return orders.selectExpr("o_orderkey AS doc_id", f"{texts.TEXT} AS text")
+    return spread(table(spark, sf_dir, "orders")).selectExpr("o_orderkey AS doc_id", f"{texts.TEXT} AS text")
 
 
 def only(*types: str) -> RuleSet:
@@ -243,7 +242,7 @@ _LIST_ITEM = "(?:(articles?) )?([0-9]+)(?: of (Directive) \\(EU\\) ([0-9]{4})/([
 
 
 def _lists(spark, sf_dir) -> DataFrame:
-    rows = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS doc_id", "CAST(o_custkey % 7 + 1 AS INT) AS line", f"{texts.ARTICLES} AS match")
+    rows = spread(table(spark, sf_dir, "orders")).selectExpr("o_orderkey AS doc_id", "CAST(o_custkey % 7 + 1 AS INT) AS line", f"{texts.ARTICLES} AS match")
     return lists.items(rows.withColumn("position", F.col("line")), _LIST_ITEM, 5)
 
 
@@ -277,7 +276,7 @@ SELECT doc_id, CAST(item AS INTEGER) AS item, concat('Directive 2015/', no, ' ar
   CASE form WHEN 0 THEN '' WHEN 1 THEN concat('(', item + 1, ')') WHEN 2 THEN CASE item WHEN 0 THEN '(12)' ELSE '' END ELSE CASE item WHEN 0 THEN '(a)' ELSE '(b)' END END) AS reference FROM e""")
 def list_resolved(spark, sf_dir):
     """Articles, paragraphs and points in brackets: lists folded to one row each, completed, and unfolded."""
-    rows = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS doc_id", "0 AS position", "o_custkey", "o_orderkey", "o_custkey % 7 + 1 AS n").selectExpr("doc_id", "position", f"{_NESTED} AS match")
+    rows = spread(table(spark, sf_dir, "orders")).selectExpr("o_orderkey AS doc_id", "0 AS position", "o_custkey", "o_orderkey", "o_custkey % 7 + 1 AS n").selectExpr("doc_id", "position", f"{_NESTED} AS match")
     slots = lists.Slots(prefix=(5,), shared=(6, 7), identifiers=(1, 2, 3, 4), core=(1,), variables=(3, 4))
     per = lists.items(rows, _NESTED_ITEM, 7).groupBy("doc_id", "parent").agg(F.sort_array(F.collect_list(F.struct("item", "groups"))).alias("l"))
     done = lists.resolved(per.select("doc_id", "parent", F.transform("l", lambda x: x["groups"]).alias("groups")), slots)
@@ -299,7 +298,7 @@ _ALIAS_TEXT = "concat('Article ', o_custkey % 9 + 1, ' of GDPR and the Data Act,
 
 
 def _alias_docs(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "orders").selectExpr("o_orderkey AS doc_id", f"{_ALIAS_TEXT} AS text")
+    return spread(table(spark, sf_dir, "orders")).selectExpr("o_orderkey AS doc_id", f"{_ALIAS_TEXT} AS text")
 
 
 @query(f"SELECT o_orderkey AS doc_id, replace(replace({_ALIAS_TEXT}, 'GDPR', 'Regulation (EU) 2016/679'), 'Data Act', 'Regulation (EU) 2023/2854') AS text FROM orders")
