@@ -286,7 +286,7 @@ def near_duplicate_classes(df: DataFrame, key: str = "doc_id", text: str = "text
     open_ = settled(placed.join(mixed, "band"))
     lone = lone_shingles(open_.select("k").distinct(), keyed)
     # an overlap is at most what others share: o of n shingles are in no text with a similarity over o / n
-    left = open_.join(lone, "k", "left").withColumn("o", F.col("n") - F.coalesce("lone", F.lit(0))).where(f"o >= {least} * n").select("band", "k", "root")
+    left = settled(open_.join(lone, "k", "left").withColumn("o", F.col("n") - F.coalesce("lone", F.lit(0))).where(f"o >= {least} * n").select("band", "k", "root"))
     still = settled(left.groupBy("band").agg(F.min("k").alias("b"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi"))
     together = settled(left.join(still, "band").select("k", "root", "b"))
     found = settled(linked_in_blocks(together, keyed, least))
