@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fill_middle, fingerprints, language, licenses, matroska, near_duplicates, packing, sentences, sharding, substrings, token_files
+from . import conversations, fill_middle, fingerprints, language, licenses, matroska, near_duplicates, packing, sentences, sharding, substrings, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_matroska": matroska.op1_matroska,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_files": token_files.op9_token_files,
     "op10_shared_prefix": sentences.op10_shared_prefix,
     "op12_fill_middle": fill_middle.op12_fill_middle,
+    "op13_structure_repair": conversations.op13_structure_repair,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -63,6 +63,7 @@ def sf(tmp_path_factory, docs):
 def empty(spark, tmp_path_factory):
     folder = tmp_path_factory.mktemp("none")
     spark.createDataFrame([], SCHEMA).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([], "conv_id long, turn long, role string, text string").write.parquet(f"{folder}/conversations.parquet")
     return str(folder)
 
 
