@@ -238,7 +238,7 @@ def _identified(texts: list[str], model: Model) -> tuple[list[str], list[float],
     none = ~model.allowed[w.script].any(axis=1)
     text_of = np.repeat(np.arange(n), np.diff(w.bounds))
     letters = np.bincount(text_of * k + labels, weights=np.where(none, 0, w.letters), minlength=n * k).reshape(n, k)
-    total, known, top = np.bincount(text_of, weights=w.letters, minlength=n), letters.sum(axis=1), letters.argmax(axis=1)
+    total, top = np.bincount(text_of, weights=w.letters, minlength=n), letters.argmax(axis=1)
     share = letters[np.arange(n), top] / np.maximum(total, 1)
     marks = np.where(none, -1, labels.astype(np.int16))
     turn = np.flatnonzero((np.diff(marks) != 0) | (np.diff(text_of) != 0)) + 1 if len(labels) else np.empty(0, np.int64)
@@ -248,18 +248,19 @@ def _identified(texts: list[str], model: Model) -> tuple[list[str], list[float],
     for a, z in zip(first.tolist(), last.tolist(), strict=True):
         if marks[a] >= 0:
             spans[text_of[a]].append({"lang": model.languages[labels[a]], "start": int(w.at[a]), "end": int(w.at[z] + w.letters[z])})
-    return [model.languages[i] if s else UND for i, s in zip(top.tolist(), known.tolist(), strict=True)], share.tolist(), spans
+    return [model.languages[i] if s else UND for i, s in zip(top.tolist(), total.tolist(), strict=True)], share.tolist(), spans
 
 
 def train(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = TRAIN_ROWS) -> Model:
     """Learns from the rows of df that have a label."""
     session(df.sparkSession)
-    labelled = df.where(F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), text_or_empty(text).alias("t"), F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 30)).alias("h"))
+    labelled = df.where(F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), text_or_empty(text).alias("t"), F.xxhash64(F.col(key).cast("string"), text_or_empty(text)).alias("h"))
     n, langs = labelled.agg(F.count(F.lit(1)), F.count_distinct("lang")).first()
     if langs > LANGUAGES:
         raise ValueError(f"{langs} languages; a model has {LANGUAGES} at most")
     if n > rows:
-        labelled = labelled.where(F.col("h") < int(rows / n * (1 << 30)))
+        labelled = labelled.where(F.pmod("h", F.lit(1 << 30)) < int(rows / n * (1 << 30)))
+    labelled = labelled.groupBy("lang", "h").agg(F.first("t").alias("t"))  # a row that repeats counts once, and can't fill the sample
     schema = pa.schema([("lang", pa.string()), ("bucket", pa.int32()), ("n", pa.int64())])
     size = TRIGRAMS + WORDS + len(SCRIPTS) + 1
 

@@ -35,8 +35,8 @@ SHINGLE = 5
 SIMILAR = 0.8
 BANDS, ROWS = 28, 5  # a pair at 0.8 shares no band with a probability of 1.5e-5
 SLOTS = BANDS * ROWS
-#: Documents a block, and columns that are multiplied at once.
-BLOCK = 256
+#: Documents and shingles a block, and columns that are multiplied at once.
+BLOCK, BLOCK_SHINGLES = 256, 1 << 20
 SLICE = 2048
 
 _U = np.uint64
@@ -186,12 +186,12 @@ def links_among(keys: list[int], roots: list[int], texts: list[str], least: floa
     row, column = text[each][shared], np.unique(column[shared], return_inverse=True)[1]
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
-    both = np.zeros((len(keys), len(keys)), np.float32)
+    both = np.zeros((len(keys), len(keys)), np.int64)
     for a in range(0, int(column.max(initial=-1)) + 1, SLICE):
         lo, hi = np.searchsorted(column, (a, a + SLICE))
         part = np.zeros((len(keys), SLICE), np.float32)
         part[row[lo:hi], column[lo:hi] - a] = 1
-        both += part @ part.T
+        both += (part @ part.T).astype(np.int64)  # of SLICE ones at most, so exact
     label = np.unique(np.array(roots), return_inverse=True)[1]
     alike = (both >= least * (size[:, None] + size[None, :] - both)) & (label[:, None] < label[None, :])
     one, two = np.nonzero(alike)
@@ -213,11 +213,12 @@ def links_among(keys: list[int], roots: list[int], texts: list[str], least: floa
 
 
 def linked_in_blocks(together: DataFrame, keyed: DataFrame, least: float) -> DataFrame:
-    """a, b of together (k, root, b: the least document of a bucket of k): documents that buckets join, directly or not, are a
+    """a, b of together (k, root, n, b: the least document of a bucket of k): documents that buckets join, directly or not, are a
     family; families are cut into blocks, and two blocks meet in one group of bounded size. No pair is a row."""
     family = components(together.select(F.col("k").alias("a"), "b"))
-    own = together.select("k", "root").distinct().join(family.select(F.col("node").alias("k"), F.col("root").alias("f")), "k", "left").withColumn("f", F.coalesce("f", "k"))
-    cuts = own.groupBy("f").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(BLOCK))).cast("int").alias("cuts"))
+    own = together.select("k", "root", "n").distinct().join(family.select(F.col("node").alias("k"), F.col("root").alias("f")), "k", "left").withColumn("f", F.coalesce("f", "k"))
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(float(BLOCK))), F.ceil(F.sum("n") / F.lit(float(BLOCK_SHINGLES))))
+    cuts = own.groupBy("f").agg(blocks.cast("int").alias("cuts"))
     mine = own.join(cuts, "f").withColumn("i", F.pmod(F.xxhash64("k"), F.col("cuts")).cast("int"))
     met = mine.select("k", "root", "f", F.explode(F.expr("transform(sequence(0, cuts - 1), j -> struct(least(i, j) AS i, greatest(i, j) AS j))")).alias("g"))
     rows = met.join(keyed.select("k", "text").dropDuplicates(["k"]), "k").select("f", "g.i", "g.j", "k", "root", "text")
@@ -286,9 +287,9 @@ def near_duplicate_classes(df: DataFrame, key: str = "doc_id", text: str = "text
     open_ = settled(placed.join(mixed, "band"))
     lone = lone_shingles(open_.select("k").distinct(), keyed)
     # an overlap is at most what others share: o of n shingles are in no text with a similarity over o / n
-    left = settled(open_.join(lone, "k", "left").withColumn("o", F.col("n") - F.coalesce("lone", F.lit(0))).where(f"o >= {least} * n").select("band", "k", "root"))
+    left = settled(open_.join(lone, "k", "left").withColumn("o", F.col("n") - F.coalesce("lone", F.lit(0))).where(f"o >= {least} * n").select("band", "k", "root", "n"))
     still = settled(left.groupBy("band").agg(F.min("k").alias("b"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi"))
-    together = settled(left.join(still, "band").select("k", "root", "b"))
+    together = settled(left.join(still, "band").select("k", "root", "n", "b"))
     found = settled(linked_in_blocks(together, keyed, least))
     released(df.sparkSession)
     if found.take(1):

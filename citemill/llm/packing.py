@@ -5,9 +5,9 @@ histogram of lengths: at most ``capacity`` numbers, whatever the corpus. Per bin
 bitset subset-sum dynamic program over the lengths that are left finds the fullest feasible combination; the combination is
 removed as often as the counts allow, which stands for that many bins. Ranks within a length then lead each piece to its bin.
 
-Defined results: a null or empty text is one piece that holds the end id; pieces of equal length are ordered by doc_id
-(nulls first), piece, start and checksum; repeated rows are packed like any; an empty table gives no pieces; other columns
-are ignored, whatever their names. The ranking is dealt by length and a salt of the key, so a length that holds a third of
+Defined results: a null or empty text is one piece that holds the end id; which pieces of equal length share a sequence depends
+on their places in the stored table; repeated rows are packed like any; an empty table gives no pieces; other columns are
+ignored, whatever their names. The ranking is dealt by length and place, so a length, an id or a null id that holds a third of
 all pieces is ranked in many tasks.
 """
 
@@ -119,8 +119,8 @@ def pieces(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", ca
 
 
 def packed(parts: DataFrame, key: str = "doc_id", capacity: int = CAPACITY) -> DataFrame:
-    """Adds sequence_id and offset to pieces. The pieces are read three times: hand over a stored table."""
-    salt = F.pmod(F.xxhash64(key, "piece"), F.lit(SALTS)).cast("int")
+    """Adds sequence_id and offset to pieces. The pieces are read three times, and their places must stay: hand over a stored table."""
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")  # no key, so none can be hot
     salted = parts.withColumn("_salt", salt)
     counts = salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)

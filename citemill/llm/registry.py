@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import conversations, fill_middle, fingerprints, language, licenses, matroska, near_duplicates, packing, sentences, sharding, substrings, token_files
+from . import conversations, fill_middle, fingerprints, language, licenses, matroska, near_duplicates, packing, sentences, set_join, sharding, substrings, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_matroska": matroska.op1_matroska,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minimum_bin_slack": packing.op8_minimum_bin_slack,
     "op9_token_files": token_files.op9_token_files,
     "op10_shared_prefix": sentences.op10_shared_prefix,
+    "op11_set_join": set_join.op11_set_join,
     "op12_fill_middle": fill_middle.op12_fill_middle,
     "op13_structure_repair": conversations.op13_structure_repair,
 }
@@ -26,5 +27,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op3_license_scan": licenses.OP3_SQL,
     "op4_super_kmers": substrings.OP4_SQL,
+    "op11_set_join": set_join.OP11_SQL,
     "op12_fill_middle": fill_middle.OP12_SQL,
 }

@@ -6,8 +6,8 @@ edits the map and gives it the next version; records never hash anew, so only th
 
 Law held here: ``bytes``, the shards' sizes are near equal.
 
-Defined results: a null key hashes to one slot of its own like any value; a null text has no bytes; rows that repeat
-share a slot and get different places (ties by checksum, then size); an empty table gives an empty result; columns
+Defined results: records without a key are dealt over all slots by their place in the input; a null text has no bytes; rows
+that repeat a key share a slot and get different places (ties by checksum, then size); an empty table gives an empty result; columns
 besides key and text are ignored, whatever their names.
 """
 
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import documents, fresh_path, text_or_empty
+from .common import documents, fresh_path, settled, text_or_empty
 
 SLOTS = 8192
 ROW_OVERHEAD = 16
@@ -116,14 +116,16 @@ def load_map(spark: SparkSession, path: str, version: int) -> SlotMap:
 
 
 def slotted(df: DataFrame, key: str = "doc_id", text: str = "text", slots: int = SLOTS) -> DataFrame:
-    """key, size (UTF-8 bytes plus 16), text_crc32, vslot."""
+    """key, size (UTF-8 bytes plus 16), text_crc32, vslot; stored, so that a record without a key keeps the slot that it was dealt."""
     body = text_or_empty(text)
-    return df.select(
+    spread = F.when(F.col(key).isNotNull(), F.xxhash64(key)).otherwise(F.xxhash64(F.monotonically_increasing_id()))
+    found = df.select(
         F.col(key),
         (F.octet_length(body).cast("long") + ROW_OVERHEAD).alias("size"),
         F.crc32(body).alias("text_crc32"),
-        F.pmod(F.xxhash64(F.col(key)), F.lit(slots)).cast("int").alias("vslot"),
+        F.pmod(spread, F.lit(slots)).cast("int").alias("vslot"),
     )
+    return settled(found)
 
 
 def slot_loads(rows: DataFrame, slots: int = SLOTS) -> tuple[list[int], list[int]]:

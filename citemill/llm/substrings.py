@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
@@ -55,27 +56,34 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ x >> _U(31)
 
 
-_BYTE = _mixed(np.arange(1, 257, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
 _BASE, _STEP = _U(0xD6E8FEB86659FD93), _U(0xA0761D6478BD642F)
-_BACK = _U(pow(int(_STEP), -1, 1 << 64))
+#: Bytes of the longest word that is hashed in blocks; the first bytes of a block that holds so many.
+LONG_WORD = 256
+_LEFT = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of each word, and the texts' bounds among the words. White space is 0x20 and 0x09 to 0x0D."""
-    data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
-    ends = np.cumsum([len(t) + 1 for t in texts])
+    """A 64-bit hash of each word, and the texts' bounds among the words. White space is 0x20 and 0x09 to 0x0D. Words are taken in
+    blocks of eight bytes, each mixed into the state of those before; very long words are left to BLAKE2b."""
+    joined = b"\n".join([*texts, bytes(8)])
+    data = np.frombuffer(joined, np.uint8)[:-8]
     blank = (data == 32) | (data - np.uint8(9) < 5)
-    ink = np.flatnonzero(~blank)
-    if not len(ink):
-        return np.empty(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
-    new = np.empty(len(ink), bool)
-    new[0], new[1:] = True, np.diff(ink) > 1
-    first = np.flatnonzero(new)
-    size = np.diff(np.append(first, len(ink)))
-    place = np.arange(len(ink)) - np.repeat(first, size)
-    powers = np.cumprod(np.full(int(size.max()), _BASE, np.uint64))
-    hashes = _mixed(np.add.reduceat(_BYTE[data[ink]] * powers[place], first))
-    return hashes, np.concatenate([[0], np.searchsorted(ink[first], ends)]).astype(np.int64)
+    edges = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+    if len(data) and not blank[0]:
+        edges = np.concatenate([[0], edges])
+    start, end = edges[::2], edges[1::2]
+    size = end - start
+    eight = np.ndarray(max(0, len(joined) - 7), "<u8", joined, strides=(1,))
+    hashes, open_ = _mixed(size.astype(np.uint64) * _STEP), np.flatnonzero(size <= LONG_WORD)
+    for at in range(0, LONG_WORD, 8):
+        open_ = open_[size[open_] > at]
+        if not len(open_):
+            break
+        block = eight[start[open_] + at] & _LEFT[np.minimum(size[open_] - at, 8)]
+        hashes[open_] = _mixed((hashes[open_] ^ block) * _BASE + _STEP)
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        hashes[i] = int.from_bytes(blake2b(joined[start[i] : end[i]], digest_size=8).digest(), "little")
+    return hashes, np.concatenate([[0], np.searchsorted(start, np.cumsum([len(t) + 1 for t in texts]))]).astype(np.int64)
 
 
 def run_hashes(x: np.ndarray, n: int) -> np.ndarray:
@@ -118,12 +126,20 @@ def super_kmers(hashes: np.ndarray, bounds: np.ndarray, window: int = WINDOW, si
         return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
     of = np.cumsum(new)[inside] - 1
     count = np.bincount(of)
-    powers = np.cumprod(np.concatenate([[_U(1)], np.full(len(hashes), _STEP, np.uint64)]))
-    back = np.cumprod(np.concatenate([[_U(1)], np.full(len(hashes), _BACK, np.uint64)]))
-    sums = np.concatenate([[_U(0)], np.cumsum(hashes * powers[:-1], dtype=np.uint64)])
-    end = start + count + window - 1
-    name = _mixed((sums[end] - sums[start]) * back[start] + end.astype(np.uint64) - start.astype(np.uint64))
-    return text[start], start - bounds[text[start]], count, least[start], name
+    return text[start], start - bounds[text[start]], count, least[start], range_hashes(hashes, start, count + window - 1)
+
+
+def range_hashes(hashes: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A hash of each range of hashes: of its size and of its first and last 2**k hashes, which together cover it."""
+    out, level = np.zeros(len(start), np.uint64), np.frexp(size)[1] - 1
+    done, k = hashes, 0
+    while True:
+        own = np.flatnonzero(level == k)
+        a, z = done[start[own]], done[start[own] + size[own] - (1 << k)]
+        out[own] = _mixed((_mixed(a * _BASE + z) ^ size[own].astype(np.uint64)) * _STEP)
+        if k >= level.max(initial=0):
+            return out
+        done, k = _mixed(done[: -(1 << k)] * _STEP + _mixed(done[1 << k :] + _BASE)), k + 1
 
 
 def _parts(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
@@ -157,7 +173,7 @@ def occurrences(keyed: DataFrame, window: int) -> DataFrame:
 
 
 def _sent(keyed: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
-    """bucket, minimiser, name, at, k, words: the packed strings that wanted (k, names, hot) asks of each document."""
+    """bucket, minimiser, name, at, k, words: the packed strings that wanted (k, row, names) asks of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([*((c, pa.int64()) for c in ("bucket", "minimiser", "name", "at", "k")), ("words", pa.binary())])
@@ -187,7 +203,7 @@ def _sent(keyed: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
                     c = list(zip(*rows, strict=True))
                     yield pa.RecordBatch.from_arrays([_signed(np.array(c[0], np.uint64)), *(pa.array(c[i], schema.field(i).type) for i in range(1, len(schema)))], schema=schema)
 
-    joined = keyed.join(wanted, "k").select("k", "text", "names")
+    joined = keyed.join(wanted, ["k", "row"]).select("k", "text", "names")
     return joined.mapInArrow(run, "bucket long, minimiser long, name long, at long, k long, words binary")
 
 
@@ -236,30 +252,32 @@ def _answers(sent: DataFrame, window: int) -> DataFrame:
         rows, held, last = [], 0, None
         for b in batches:
             for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if r[0] != last and held > SORTED:
+                if last and r[0] != last[0] and held > SORTED:
                     yield done(rows)
                     rows, held = [], 0
-                last = r[0]
-                rows.append(r)
-                held += len(r[5])
+                if r[:4] != last:  # repeated rows send the same string
+                    last = r[:4]
+                    rows.append(r)
+                    held += len(r[5])
         if rows:
             yield done(rows)
 
-    dealt = sent.repartition("bucket").sortWithinPartitions("bucket")
+    dealt = sent.repartition("bucket").sortWithinPartitions("bucket", "minimiser", "name", "at")
     return dealt.mapInArrow(run, "minimiser long, name long, first long, last long, holder long")
 
 
 def covered_spans(keyed: DataFrame, window: int = WINDOW) -> DataFrame:
-    """k, spans (row, first, last word) of the words that repeat an earlier document."""
+    """k, row, spans (first, last word) of the words that repeat an earlier document."""
     seen = occurrences(keyed, window)
     own = ["minimiser", "name"]  # a name is a hash of words and length: two super-k-mers are one only if their minimisers agree as well
-    names = seen.groupBy(*own).agg(F.min("k").alias("k"), F.max("k").alias("top"))
+    names = seen.groupBy(*own).agg(F.min(F.struct("k", "row")).alias("x"), F.max("k").alias("top")).select(*own, "x.k", "x.row", "top")
     shared = names.groupBy("minimiser").agg(F.min("k").alias("lo"), F.max("top").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi")
-    asked = names.join(shared, "minimiser").groupBy("k").agg(F.collect_list(F.struct(*own, (F.col("n") > HOT).alias("hot"))).alias("names"))
+    # by text, not by id alone: rows that share an id may be very many
+    asked = names.join(shared, "minimiser").groupBy("k", "row").agg(F.collect_list(F.struct(*own, (F.col("n") > HOT).alias("hot"))).alias("names"))
     answers = _answers(_sent(keyed, asked, window), window)
     back = seen.join(answers, own).where(F.col("holder") < F.col("k"))
-    span = F.struct("row", (F.col("start") + F.col("first")).alias("first"), (F.col("start") + F.col("last") + window - 1).alias("last"))
-    return back.groupBy("k").agg(F.collect_set(span).alias("spans"))
+    span = F.struct((F.col("start") + F.col("first")).alias("first"), (F.col("start") + F.col("last") + window - 1).alias("last"))
+    return back.groupBy("k", "row").agg(F.collect_set(span).alias("spans"))
 
 
 def without(text: bytes, gone: list[bool]) -> bytes:
@@ -279,19 +297,18 @@ def dedup_substrings(df: DataFrame, key: str = "doc_id", text: str = "text", win
     base = df.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("k"), text_or_empty(text).alias("text"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(keep)])
     keyed = base.select("k", F.xxhash64("text").alias("row"), "text")
     held = [f"_{i}" for i in range(len(keep))]
-    joined = base.join(covered_spans(keyed, window), "k", "left").select("text", F.xxhash64("text").alias("row"), "spans", "k", *held)
+    joined = base.withColumn("row", F.xxhash64("text")).join(covered_spans(keyed, window), ["k", "row"], "left").select("text", "spans", "k", *held)
     fields = [("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[list] = [[], [], []]
-            for t, row, spans in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            for t, spans in zip(*(b.column(i).to_pylist() for i in range(2)), strict=True):
                 words = t.encode().split()
                 gone = np.zeros(len(words) + 1, np.int64)
                 for s in spans or ():
-                    if s["row"] == row:
-                        gone[s["first"]] += 1
-                        gone[s["last"]] -= 1
+                    gone[s["first"]] += 1
+                    gone[s["last"]] -= 1
                 lost = (np.cumsum(gone[:-1]) > 0).tolist()
                 if layout:
                     left = without(t.encode(), lost).decode() if any(lost) else t
@@ -300,9 +317,9 @@ def dedup_substrings(df: DataFrame, key: str = "doc_id", text: str = "text", win
                 for column, value in zip(out, (len(words), sum(lost), left), strict=True):
                     column.append(value)
             made = [pa.array(c, kind) for c, (_, kind) in zip(out, fields, strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns[3:], *made], names=["k", *held, *(n for n, _ in fields)])
+            yield pa.RecordBatch.from_arrays([*b.columns[2:], *made], names=["k", *held, *(n for n, _ in fields)])
 
-    ddl = ", ".join(f"`{c}` {t}" for c, t in joined.dtypes[3:]) + ", n_words long, n_removed long, kept string"
+    ddl = ", ".join(f"`{c}` {t}" for c, t in joined.dtypes[2:]) + ", n_words long, n_removed long, kept string"
     done = joined.mapInArrow(run, ddl)
     return done.select(F.when(F.col("k") != NO_ID, F.col("k")).alias(key), *[F.col(h).alias(c) for h, c in zip(held, keep, strict=True)], "n_words", "n_removed", "kept")
 
