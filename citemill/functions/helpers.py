@@ -189,50 +189,12 @@ def joined_cases(labels, connector: str = "and") -> Column:
     return F.when(n <= 1, F.array_join(labels, "")).otherwise(F.concat(head, F.lit(f" {connector} "), F.element_at(labels, -1)))
 
 
-# How the languages begin the title of a judgment, up to its date: {d}, {m} and {y} stand for day, month and year, a
-# space for any white space, groups for the court.
-CASE_TITLES = {
-    "EN": "^Judgment of(.*?) {d} {m} {y}", "FR": "^Arrêt(.*?) du {d} {m} {y}", "DE": r"^Urteil(.*?) vom {d}\.? {m} {y}", "ES": "^Sentencia(.*?) de {d} de {m} de {y}", "PT": "^Acórdão(.*?) de {d} de {m} de {y}",
-    "NL": "^Arrest(.*?) van {d} {m} {y}", "IT": "^Sentenza(.*?) del(?:l’| ){d} {m} {y}", "DA": r"^(.*?) dom(?= )(.*?) af {d}\.? {m} {y}", "CS": r"^Rozsudek(.*?) ze dne {d}\.? {m} {y}",
-    "HR": r"^Presuda(.*?) od {d}\.? {m} {y}", "SL": r"^Sodba(.*?) z dne {d}\.? {m} {y}", "SK": r"^Rozsudok(.*?) zo? {d}\.? {m} {y}", "ET": r"^(?:(.*?) )?(?:Kohtu)?otsus(.*?), {d}\.(?:{d}\.| {m} ){y}",
-    "FI": r"^(.*?)tuomio(.*?) {d}(?:\.{d}\.| päivänä {m} ){y}", "SV": r"^(.*?) dom(?= )(.*?) (?:av )?den {d}\.? {m} {y}",
-    "LV": r"^(.*?)(?:spriedums(.*?) {y}\. gada {d}\.\s?{m}\.|{y}\. gada {d}\.\s?{m}\.? spriedums)", "LT": r"^{y} m\. {m} {d} d\.(.*?) sprendimas", "MT": "^Sentenza(.*?) ta[dlst]-{d} ta[’'] {m} {y}",
-    "PL": r"^Wyrok(.*?) z dnia {d}\.? {m} {y}", "RO": "^Hotărârea(.*?) din(?: data de)? {d} {m} {y}", "BG": "^Решение(.*?) от {d} {m} {y}", "EL": r"^Απόφαση(.*?) της {d}(?:\p{{L}}{{1,7}})? {m} {y}",
-    "HU": r"^(.*?){y}\. {m} {d}-i ítélete?",
-}
-# Two other Hungarian forms, as court, date and (in the first) year, and what they are rewritten to.
-HUNGARIAN = ((r"A (?:Bíróság|Törvényszék) (.+? [0-9]+)\.-i ítélete?: ([0-9]{4})\.?", "$2. $1-i ítélet"), (r"A (?:Bíróság|Törvényszék) ítélete?,? (?:\(.+?\), )?([0-9]{4}\.? .+? [0-9]+\.?)", "$1-i ítélet"))
-
-
 def first_replaced(c: Column, pattern: str, by: str) -> Column:
     """The first hit of a pattern replaced; the pattern's groups are $1 and on in by."""
     shifted = re.sub(r"\$(\d)", lambda m: f"${int(m[1]) + 1}", by)
     return F.regexp_replace(c, rf"\A((?s:.*?))(?:{pattern})", "$1" + shifted)
 
 
-def _without(c: Column, part: Column) -> Column:
-    """A text without the first occurrence of a part."""
-    at = F.instr(c, part)
-    cut = F.concat(F.substring(c, F.lit(1), at - 1), F.substring(c, at + F.length(part), F.length(c)))
-    return F.when((part != "") & (at > 0), cut).otherwise(c)
-
-
-def case_title(title, code: str = "EN") -> Column:
-    """A judgment's title without the court, its first letter in upper case; titles in other languages stay."""
-    t = C.text(title)
-    if code not in CASE_TITLES:
-        return t
-    if code == "HU":
-        for pattern, by in HUNGARIAN:
-            t = first_replaced(t, "(?iu)" + pattern.replace(" ", r"\s"), by)
-        t = F.regexp_replace(t, r"(?iu)\sítélete,", " ítélet,")
-    pattern = "(?iu)" + CASE_TITLES[code].format(d="[0-9]{1,2}", m=r"\p{L}+", y="[0-9]{4}").replace(" ", r"\s")
-    groups = [F.regexp_extract(t, pattern, i) for i in range(1, 1 + len(re.findall(r"\((?!\?)", pattern)))]
-    for g in groups:
-        t = _without(t, g)
-    return C.ucfirst(F.regexp_replace(t, r"^\s+|\s+\z", ""))
-
-
 # What titles say of a recast, and of their relevance for the EEA, by language.
 RECAST = {
     "BG": "преработен текст", "ES": "versión refundida", "CS": "přepracované znění", "DA": "omarbejdning", "DE": "Neufassung", "ET": "uuesti sõnastatud", "EL": "αναδιατύπωση", "EN": "recast", "FR": "refonte",
@@ -264,9 +226,8 @@ def footnote_text(s, tidy_only: bool = False) -> Column:
 
 # ---- fragments of citations
 
-# Codes of the parts of an act and their labels, heads whose numbers may be a list, and what may follow a head.
+# Codes of the parts of an act and their labels, and what may follow a head.
 FRAGMENT_LABELS = {"A": "art.", "P": "par.", ".": "par.", "L": "al.", "PT": "pnt.", "TIT": "tit.", "N": "par.", "C": "rct."}
-FRAGMENT_LISTS = r"^(?:[NP]\s?[0-9\-\s.]+|C(?:\s?[0-9]{1,6}(?:\s-\s[0-9]{1,6})?){1,4})\z"
 FRAGMENT_PATHS = r"^(?:A( [P.])?( L)?|P( L)?|N( A)?( P)?( L)?( PT)?|L|TIT)\z"
 
 
@@ -287,6 +248,16 @@ def fragment(s, celex=None) -> Column:
     numbers = F.split(F.trim(F.substring(gap, F.lit(2), F.length(gap))), " ")
     listed = F.concat(label(head), F.lit(" "), F.array_join(F.transform(numbers, short), ", "))
 
+    rest = F.substring(t, F.lit(2), F.length(t))
+    marks = (F.length(rest) > 0) & (F.translate(rest, "0123456789-. \t\n\x0b\f\r", "") == "")
+    words = F.split(F.regexp_replace(rest, r"\A\s", ""), r"\s")
+    digits = lambda i: F.coalesce(F.get(words, i).rlike(r"\A[0-9]+\z"), F.lit(False))
+    between = lambda i: (F.get(words, i) == "-") & digits(i - 1) & digits(i + 1) & ~F.coalesce(F.get(words, i - 2) == "-", F.lit(False))
+    places = F.sequence(F.lit(0), F.size(words) - 1)
+    # a recital has four numbers or ranges at most, of six digits each
+    held = F.aggregate(F.filter(places, lambda i: digits(i) & ~F.coalesce(F.get(words, i - 1) == "-", F.lit(False))), F.lit(0), lambda n, i: n + F.ceil(F.length(F.get(words, i)) / 6).cast("int"))
+    is_list = head.isin("N", "P") & marks | (head == "C") & F.forall(places, lambda i: digits(i) | between(i)) & (held <= 4)
+
     pairs = F.regexp_extract_all(t, F.lit(r"\G(?:(?:TIT|PT|[ANPLC.])[0-9]*(?:(?<=^A[0-9]{1,9})BIS)?(?:(?<=L)[A-Z])?)"), F.lit(0))
     code = lambda p: F.regexp_extract(p, r"^(?:TIT|PT|.)", 0)
     value = lambda p: F.regexp_replace(p, r"^(?:TIT|PT|.)", "")
@@ -312,4 +283,4 @@ def fragment(s, celex=None) -> Column:
     longest = F.filter(F.array(*[F.slice(pairs, 1, n) for n in (3, 2, 1)]), sound)
     article = F.when(F.size(longest) > 0, shown(F.get(longest, F.lit(0)))).otherwise(t)
     path = F.when((F.array_join(pairs, "") == t) & sound(pairs), shown(pairs)).otherwise(t)
-    return F.when(t.rlike(FRAGMENT_LISTS), listed).when(F.size(pairs) == 0, t).when(head == "A", article).otherwise(path)
+    return F.when(is_list, listed).when(F.size(pairs) == 0, t).when(head == "A", article).otherwise(path)

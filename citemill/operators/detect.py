@@ -7,28 +7,43 @@ skip pattern or the title form move the cursor back, which a single replacement
 
 from __future__ import annotations
 
+import math
 import re
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Iterator, Sequence
+from dataclasses import replace
+from functools import lru_cache, reduce
+from itertools import product
+from operator import and_, or_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ids
+from ..functions.bind import let
 from ..functions.converters import text
-from ..options import Options
+from ..options import Optimizer, Options
 from ..plans.rules import AFTER, BEFORE, Compiled, RuleSet, full_pattern
 from ..plans.templates import Scope, condition, template
+from ..sources.batches import bounded
 
 START, STOP, NEXT = "\x01", "\x02", "\x03"
 HIT = "array<struct<position:int,match:string,rule:int>>"
+#: Patterns that are compiled ahead, one for each way in which guards and probes can fall out; beyond that a text's pattern is put
+#: together from its rules', and compiled anew where it differs from that of the text before.
+VARIANTS = 16
+#: A pattern that matches nothing.
+NOTHING = "(?!)"
+
+
+def _frame(bounded: bool = True) -> tuple[str, str]:
+    return rf"(?iu)(?![\r\n\x0B\f]){BEFORE if bounded else ''}(?:", rf"){AFTER if bounded else ''}"
 
 
 def global_pattern(patterns: list[str], bounded: bool = True) -> str:
     """Leftmost match; where several rules match, the first in the list. No match starts at a line break."""
     body = "|".join(f"({p})" for p in patterns)
-    return rf"(?iu)(?![\r\n\x0B\f]){BEFORE if bounded else ''}(?:{body}){AFTER if bounded else ''}"
+    return body.join(_frame(bounded))
 
 
 def clean(c) -> Column:
@@ -36,11 +51,23 @@ def clean(c) -> Column:
     return F.translate(text(c), START + STOP + NEXT, "   ")
 
 
+def marked(c, pattern: Column | str, k: int) -> Column:
+    """The text with each match put between sentinels, cut into the groups of its k rules."""
+    by = START + NEXT.join(f"${i}" for i in range(1, k + 1)) + STOP
+    return F.regexp_replace(clean(c), F.lit(pattern) if isinstance(pattern, str) else pattern, F.lit(by))
+
+
 def hits(c, patterns: list[str], bounded: bool = True) -> Column:
     """All matches: position from 0, text, number of the rule from 0."""
-    k = len(patterns)
-    marked = F.regexp_replace(clean(c), global_pattern(patterns, bounded), START + NEXT.join(f"${i}" for i in range(1, k + 1)) + STOP)
-    parts = F.split(marked, START, -1)
+    return _hits_of(marked(c, global_pattern(patterns, bounded), len(patterns)))
+
+
+def _hits_of(marked_text: Column) -> Column:
+    return let(F.split(marked_text, START, -1), lambda parts: F.filter(_placed(parts), lambda h: h["match"] != ""))
+
+
+def _placed(parts: Column) -> Column:
+    """The hits in the pieces of a marked text, with their places."""
     start = F.struct(F.length(F.element_at(parts, 1)).cast("int").alias("at"), F.array().cast(HIT).alias("out"))
 
     def step(a: Column, piece: Column) -> Column:
@@ -52,13 +79,12 @@ def hits(c, patterns: list[str], bounded: bool = True) -> Column:
         width = F.length(match) + F.length(piece) - F.length(F.substring_index(piece, STOP, 1)) - 1
         return F.struct((a["at"] + width).cast("int").alias("at"), F.concat(a["out"], F.array(hit)).alias("out"))
 
-    found = F.aggregate(F.slice(parts, 2, F.size(parts)), start, step, lambda a: a["out"])
-    return F.filter(found, lambda h: h["match"] != "")
+    return F.aggregate(F.slice(parts, 2, F.size(parts)), start, step, lambda a: a["out"])
 
 
 def guard_columns(rules: RuleSet) -> dict[str, Column]:
     """Types behind a guard, joined, to whether the guard occurs (at the end of a word)."""
-    return {",".join(types): (lambda c, p=guard: text(c).rlike(rf"(?iu)(?:{p})(?![\p{{L}}])")) for guard, types in rules.guards().items()}  # type: ignore[misc]
+    return {",".join(types): (lambda c, p=guard: _occurs(c, p)) for guard, types in rules.guards().items()}  # type: ignore[misc]
 
 
 def guarded(df: DataFrame, rules: RuleSet, column: str = "text") -> DataFrame:
@@ -71,6 +97,88 @@ def guarded(df: DataFrame, rules: RuleSet, column: str = "text") -> DataFrame:
     return df.withColumn("open_types", F.concat(*parts))
 
 
+class Narrowing:
+    """What guards and probes leave of the rules for each text.
+
+    A guard that doesn't occur in a text closes the rules of its types there; of each group of optimizers the first whose probe
+    doesn't occur rewrites the patterns. A text's variant is an array: 0 or 1 for each guard (open), a choice for each group.
+    """
+
+    def __init__(self, rules: RuleSet, optimizers: tuple[tuple[Optimizer, ...], ...] = (), guards: bool = True) -> None:
+        self.rules = rules.rules
+        self.guards = [(guard, frozenset(types)) for guard, types in rules.guards().items()] if guards else []
+        self.groups = [g for g in optimizers if any(o.search in c.pattern for o in g for c in self.rules)]
+        self.sizes = [2] * len(self.guards) + [len(g) + 1 for g in self.groups]
+        self.count = math.prod(self.sizes)
+
+    def variant(self, c: Column) -> Column:
+        """The text's variant."""
+        digits = [F.when(_occurs(c, guard), 1).otherwise(0) for guard, _ in self.guards]
+        for group in self.groups:
+            digit = F.lit(0)
+            for i, o in reversed(list(enumerate(group, 1))):
+                digit = F.when(~text(c).rlike(f"(?iu){o.probe}"), i).otherwise(digit)
+            digits.append(digit)
+        return F.array(*digits).cast("array<int>")
+
+    def rewritten(self, pattern: str, choices: list[int]) -> str:
+        for group, choice in zip(self.groups, choices, strict=True):
+            if choice:
+                pattern = pattern.replace(group[choice - 1].search, group[choice - 1].replacement)
+        return pattern
+
+    def left(self, digits: Sequence[int]) -> dict[int, Compiled]:
+        """The rules that are open, by their number, with the patterns of the variant."""
+        closed = frozenset().union(*[types for (_, types), digit in zip(self.guards, digits, strict=False) if not digit])
+        choices = list(digits[len(self.guards) :])
+        return {k: replace(c, pattern=self.rewritten(c.pattern, choices)) for k, c in enumerate(self.rules) if c.rule.type not in closed}
+
+    def marked(self, c: Column, variant: Column) -> Column:
+        """The text with the matches of the rules that are open for it between sentinels."""
+        k = len(self.rules)
+        if self.count <= VARIANTS:
+            out = None
+            for digits in product(*map(range, self.sizes)):
+                left = self.left(digits)
+                one = marked(c, global_pattern([full_pattern(left[i]) if i in left else NOTHING for i in range(k)]), k) if left else clean(c)
+                same = reduce(and_, [self._digit(variant, i) == d for i, d in enumerate(digits)], F.lit(True))
+                out = one if self.count == 1 else F.when(same, one) if out is None else out.when(same, one)
+            return out
+        start, end = _frame()
+        return F.when(self._any_open(variant), marked(c, F.concat(F.lit(start), F.concat_ws("|", *[self._part(i, variant) for i in range(k)]), F.lit(end)), k)).otherwise(clean(c))
+
+    def _digit(self, variant: Column, place: int) -> Column:
+        return F.get(variant, F.lit(place))
+
+    def _open(self, variant: Column, i: int) -> Column:
+        out = F.lit(True)
+        for place, (_, types) in enumerate(self.guards):
+            if self.rules[i].rule.type in types:
+                out = out & (self._digit(variant, place) == 1)
+        return out
+
+    def _any_open(self, variant: Column) -> Column:
+        return reduce(or_, [self._open(variant, i) for i in range(len(self.rules))])
+
+    def _part(self, i: int, variant: Column) -> Column:
+        """The rule's part of the text's pattern: as many literals as the optimizers that touch it have choices."""
+        c, out = self.rules[i], None
+        touching = [g for g, group in enumerate(self.groups) if any(o.search in c.pattern for o in group)]
+        for chosen in product(*[range(len(self.groups[g]) + 1) for g in touching]):
+            choices = [0] * len(self.groups)
+            same = F.lit(True)
+            for g, digit in zip(touching, chosen, strict=True):
+                choices[g] = digit
+                same = same & (self._digit(variant, len(self.guards) + g) == digit)
+            one = F.lit(f"({full_pattern(replace(c, pattern=self.rewritten(c.pattern, choices)))})")
+            out = one if not touching else F.when(same, one) if out is None else out.when(same, one)
+        return F.when(self._open(variant, i), out).otherwise(f"({NOTHING})")
+
+
+def _occurs(c: Column, guard: str) -> Column:
+    return text(c).rlike(rf"(?iu)(?:{guard})(?![\p{{L}}])")
+
+
 def needs_cursor(rules: RuleSet, title_form: bool) -> bool:
     return title_form or any(c.skip for c in rules.rules)
 
@@ -87,7 +195,7 @@ def _patterns(rules: tuple[Compiled, ...], title_form: bool) -> tuple:
     return compiled(global_pattern(parts)), [{k: compiled("(?iu)" + p) for k in ("pattern", "trim", "skip", "strict") if (p := getattr(c, k))} for c in rules]
 
 
-def scan_text(value: str, rules: list[Compiled], strict: frozenset[str] = frozenset(), title_form: bool = False, limit: int = 255) -> list[tuple[int, str, int, str]]:
+def scan_text(value: str, rules: Sequence[Compiled], strict: frozenset[str] = frozenset(), title_form: bool = False, limit: int = 255) -> list[tuple[int, str, int, str]]:
     """(position, match, rule, title) by a cursor: after each candidate trim, skip (back to one past its start), strict, title."""
     pattern, own = _patterns(tuple(rules), title_form)
     out, at = [], 0
@@ -119,25 +227,23 @@ def scan_text(value: str, rules: list[Compiled], strict: frozenset[str] = frozen
 def scan(df: DataFrame, rules: RuleSet, column: str = "text", options: Options | None = None, title_form: bool = False, cursor: bool | None = None) -> DataFrame:
     """The columns of df without the text, and position, match, rule (number in the set), title; one row per match.
 
-    Texts whose guards all miss are dropped before the pattern runs.
+    A text is scanned for the rules whose guards it passes, and dropped where there are none.
     """
     o = options or Options()
     chosen = rules.scannable(o)
     keep = [c for c in df.columns if c != column]
     if not chosen.rules:
         return df.select(*keep, F.lit(0).alias("position"), F.lit("").alias("match"), F.lit(0).alias("rule"), F.lit("").alias("title")).where("false")
-    guards = guard_columns(chosen)
-    if guards and all(c.guard for c in chosen.rules):
-        any_open = None
-        for test in guards.values():
-            any_open = test(F.col(column)) if any_open is None else any_open | test(F.col(column))
-        df = df.where(any_open)
+    alone = len(chosen.guards()) == 1 and all(c.guard for c in chosen.rules)  # one guard before all: texts go or stay as a whole
+    if alone:
+        df = df.where(_occurs(F.col(column), chosen.rules[0].guard))
+    narrowed = Narrowing(chosen, o.optimizers, guards=not alone)
     if cursor:
-        return _cursor_scan(df, chosen, column, keep, o, title_form)
+        return _cursor_scan(df, narrowed, column, keep, o, title_form)
     if cursor is None and needs_cursor(chosen, title_form):
         moved = cursor_moves(chosen, F.col(column), title_form)
-        return _plain_scan(df.where(~moved), chosen, column, keep, o).unionByName(_cursor_scan(df.where(moved), chosen, column, keep, o, title_form))
-    return _plain_scan(df, chosen, column, keep, o)
+        return _plain_scan(df.where(~moved), narrowed, column, keep, o).unionByName(_cursor_scan(df.where(moved), narrowed, column, keep, o, title_form))
+    return _plain_scan(df, narrowed, column, keep, o)
 
 
 def cursor_moves(rules: RuleSet, c: Column, title_form: bool) -> Column:
@@ -150,10 +256,14 @@ def cursor_moves(rules: RuleSet, c: Column, title_form: bool) -> Column:
     return out | clean(c).rlike(global_pattern(parts)) if parts else out
 
 
-def _plain_scan(df: DataFrame, chosen: RuleSet, column: str, keep: list[str], o: Options) -> DataFrame:
-    found = df.select(*keep, F.explode(hits(F.col(column), [full_pattern(c) for c in chosen.rules])).alias("_hit"))
+def _plain_scan(df: DataFrame, narrowed: Narrowing, column: str, keep: list[str], o: Options) -> DataFrame:
+    own = [*df.columns, "variant"]
+    while own[-1].lower() in {c.lower() for c in df.columns}:
+        own[-1] = "_" + own[-1]
+    dealt = df.withColumn(own[-1], narrowed.variant(F.col(column))) if narrowed.count > 1 else df
+    found = dealt.select(*keep, F.explode(_hits_of(narrowed.marked(F.col(column), F.col(own[-1]) if narrowed.count > 1 else F.lit(0)))).alias("_hit"))
     out = found.select(*keep, "_hit.position", "_hit.match", "_hit.rule", F.lit("").alias("title"))
-    for k, c in enumerate(chosen.rules):
+    for k, c in enumerate(narrowed.rules):
         if c.trim:
             first = F.regexp_replace("match", rf"(?iu)\A((?s:.*?))(?:{c.trim})", "$1")
             out = out.withColumn("match", F.when(F.col("rule") == k, first).otherwise(F.col("match")))
@@ -162,23 +272,28 @@ def _plain_scan(df: DataFrame, chosen: RuleSet, column: str, keep: list[str], o:
     return out
 
 
-def _cursor_scan(df: DataFrame, chosen: RuleSet, column: str, keep: list[str], o: Options, title_form: bool) -> DataFrame:
-    rules, strict, limit = list(chosen.rules), o.strict, o.reference_limit
+def _cursor_scan(df: DataFrame, narrowed: Narrowing, column: str, keep: list[str], o: Options, title_form: bool) -> DataFrame:
+    strict, limit = o.strict, o.reference_limit
     types = dict(df.dtypes)
     schema = ", ".join(f"`{c}` {types[c]}" for c in keep) + ", position int, match string, rule int, title string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left: dict[tuple[int, ...], tuple[list[int], tuple[Compiled, ...]]] = {}  # of each variant that occurs here
         for b in batches:
             row, found = [], []
-            for i, t in enumerate(b.column(len(keep)).to_pylist()):
-                got = scan_text(t or "", rules, strict, title_form, limit)
+            for i, (t, v) in enumerate(zip(b.column(len(keep)).to_pylist(), b.column(len(keep) + 1).to_pylist(), strict=True)):
+                if (key := tuple(v)) not in left:
+                    open_ = narrowed.left(key)
+                    left[key] = (list(open_), tuple(open_.values()))
+                numbers, rules = left[key]
+                got = [(p, m, numbers[k], title) for p, m, k, title in scan_text(t or "", rules, strict, title_form, limit)] if rules else []
                 found += got
                 row += [i] * len(got)
             taken = [b.column(j).take(pa.array(row, pa.int64())) for j in range(len(keep))]
             made = [pa.array([f[0] for f in found], pa.int32()), pa.array([f[1] for f in found], pa.string()), pa.array([f[2] for f in found], pa.int32()), pa.array([f[3] for f in found], pa.string())]
             yield pa.RecordBatch.from_arrays(taken + made, names=[*keep, "position", "match", "rule", "title"])
 
-    return df.select(*keep, column).mapInArrow(run, schema)
+    return bounded(df.select(*keep, column, narrowed.variant(F.col(column)).alias("_variant"))).mapInArrow(run, schema)
 
 
 def captures(match: Column, pattern: str, groups: int) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.converters import text
 from ..functions.helpers import xml_escape
+from ..sources.batches import bounded
 
 # Elements that have no end tag.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
@@ -81,7 +82,7 @@ def text_nodes(df: DataFrame, key: str, column: str = "html") -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["k", "node", "offset", "text", "path"])
 
     kind = dict(df.dtypes)[key]
-    return df.select(F.col(key).alias("k"), column).mapInArrow(run, f"k {kind}, node int, offset int, text string, path string").withColumnRenamed("k", key)
+    return bounded(df.select(F.col(key).alias("k"), column)).mapInArrow(run, f"k {kind}, node int, offset int, text string, path string").withColumnRenamed("k", key)
 
 
 def linked_text(c, links: Column, initial: bool = False) -> Column:
@@ -122,7 +123,7 @@ def linked_html(df: DataFrame, key: str, column: str = "html", links: str = "lin
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(done, pa.string())], names=["k", "html"])
 
     kind = dict(df.dtypes)[key]
-    return df.select(F.col(key).alias("k"), column, links).mapInArrow(run, f"k {kind}, html string").withColumnRenamed("k", key)
+    return bounded(df.select(F.col(key).alias("k"), column, links)).mapInArrow(run, f"k {kind}, html string").withColumnRenamed("k", key)
 
 
 def unlinked(c) -> Column:
@@ -336,4 +337,4 @@ def act_parts(df: DataFrame, key: str, column: str = "html", part: str = "part",
             yield pa.RecordBatch.from_arrays([b.column(0), *made], names=["k", "id", "header", "content", "subdivisions", "error"])
 
     own = dict(df.dtypes)[key]
-    return df.select(F.col(key).alias("k"), column, F.col(part).cast(PART).alias("p"), celex).mapInArrow(run, f"k {own}, {FOUND}").withColumnRenamed("k", key)
+    return bounded(df.select(F.col(key).alias("k"), column, F.col(part).cast(PART).alias("p"), celex)).mapInArrow(run, f"k {own}, {FOUND}").withColumnRenamed("k", key)

@@ -11,6 +11,15 @@ ADVANCED_MODES = frozenset({"handoc", "cis"})
 ALL = "*"
 
 
+@dataclass(frozen=True)
+class Optimizer:
+    """A part of patterns that is replaced by a cheaper one for texts in which the probe (a pattern) doesn't occur."""
+
+    probe: str
+    search: str
+    replacement: str
+
+
 @dataclass(frozen=True)
 class Options:
     language: str = "ENG"
@@ -29,6 +38,7 @@ class Options:
     reference_limit: int = 255
     title_limit: int = 255
     scan: str = "raw"  # or "text": only what stands between tags
+    optimizers: tuple[tuple[Optimizer, ...], ...] = ()  # of each group, the first whose probe misses is applied to a text
 
     def with_modes(self, *modes: str) -> Options:
         """Linked-data modes; "all" leaves the advanced ones out."""

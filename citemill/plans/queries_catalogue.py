@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 from ..functions import converters as C
 from ..functions import helpers as H
-from ..functions import ids
+from ..functions import ids, titles
 from ..functions.regex import SPACE
 from ..operators import alias, detect, html, nodes, resolve, works
 from ..options import Aliases, Options
 from ..sources import readers, sinks
 from ..sources.readers import table
-from .rules import compile_rules, full_pattern, rules_from_xml
+from . import rule_tables
+from .rules import compile_rules, rules_from_xml
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -87,7 +88,7 @@ ELSE concat('2015 m. spalio ', p_size % 28 + 1, ' d. sprendimas.') END AS title,
 def judgment_titles(spark, sf_dir):
     """Titles without the court in four languages, and titles without notes on recasts and the EEA."""
     title = F.expr(_JUDGMENTS.format(k="p_partkey % 4", d="(p_size % 28 + 1)"))
-    own = [H.case_title(title, code) for code in ("EN", "DE", "DA", "LT")]
+    own = [titles.case_title(title, code) for code in ("EN", "DE", "DA", "LT")]
     shown = F.get(F.array(*own), (F.col("p_partkey") % 4).cast("int"))
     note = H.footnote_text(F.expr("concat('Directive ', p_size, ' on ', p_type, ' (recast) (Text with EEA relevance)(Neufassung) ( x )')"))
     return table(spark, sf_dir, "part").select("p_partkey", shown.alias("title"), note.alias("note"))
@@ -95,33 +96,78 @@ def judgment_titles(spark, sf_dir):
 
 # ---- rules
 
-_RULES = r"""<rules>
-  <rule name="digits"><pattern>(\d+)</pattern></rule>
-  <rule name="word_DE"><pattern>Artikel</pattern></rule>
-  <rule name="word"><pattern>Article  # the word
-  </pattern></rule>
-  <rule type="second" order="2" base-type="base" label="Two"><pattern>{{ word }}\s({{?: digits }})/({{ digits }})</pattern><view target="page" condition="$1">$1</view></rule>
-  <rule type="first" order="1"><pattern>x{{?= digits }}(?:a|b)(c)</pattern><guard-pattern>x</guard-pattern><view target="page">$0</view><view target="table">t</view></rule>
-  <rule type="broken" order="3"><pattern>{{ nothing }}</pattern><view target="page">$0</view></rule>
-  <rule type="helper" order="4" converter="1"><pattern>h</pattern><view target="page">$0</view></rule>
-  <rule type="special" order="5" forced="1"><pattern>s</pattern><view target="page">$0</view></rule>
-</rules>"""
-
-
-@query(r"""SELECT language, type, CAST(place AS INTEGER) AS place, guard, CAST(groups AS INTEGER) AS groups, CAST(views AS INTEGER) AS views, scanned, replace(pattern, 'WORD', CASE language WHEN 'DE' THEN 'Artikel' ELSE 'Article' END) AS pattern, titled
-FROM (VALUES ('EN'), ('DE')) l(language) CROSS JOIN (VALUES ('first', 1000, 'x', 1, 2, TRUE, 'x(?=(?:\d+))(?:a|b)(c)', ''), ('second', 2000, '', 3, 1, TRUE, 'WORD[ ]((?:(?:\d+)))/((\d+))', ''),
-('helper', 4000, '', 0, 1, FALSE, 'h', '(?:\[h\|[^\]\[|]+\]|(?:\[h\]|h))'), ('special', 5000, '', 0, 1, FALSE, 's', '(?:\[s\|[^\]\[|]+\]|\[s\])')) t(type, place, guard, groups, views, scanned, pattern, titled)""")
+
+_MACROS = {"digits": r"(\d+)", "word_DE": "Artikel", "word": "Article  # the word\n  ", "pair": "{{ digits }}/{{?: digits }}"}
+_RULE = r"CASE p_partkey % 5 WHEN 0 THEN concat('{{ word }}\\s({{?: digits }})/({{ digits }})x', p_size) WHEN 1 THEN concat('x{{?= digits }}(?:a|b)(c)', p_size) WHEN 2 THEN '{{ nothing }}' WHEN 3 THEN concat('(', p_size) ELSE concat('{{ pair }} #', p_size) END"
+
+
+@query(r"""SELECT language, p_partkey, replace(CASE p_partkey % 5 WHEN 0 THEN concat('WORD[ ]((?:(?:\d+)))/((\d+))x', p_size) WHEN 1 THEN concat('x(?=(?:\d+))(?:a|b)(c)', p_size) WHEN 4 THEN '(\d+)/(?:(?:\d+))' END, 'WORD', CASE language WHEN 'DE' THEN 'Artikel' ELSE 'Article' END) AS pattern,
+CAST(CASE p_partkey % 5 WHEN 0 THEN 3 WHEN 1 THEN 1 WHEN 4 THEN 1 END AS INTEGER) AS groups, CASE p_partkey % 5 WHEN 1 THEN concat('(?:\[x(?=(?:\d+))(?:a|b)(?:c)', p_size, '\|[^\]\[|]+\]|(?:\[x(?=(?:\d+))(?:a|b)(?:c)', p_size, '\]|x(?=(?:\d+))(?:a|b)(?:c)', p_size, '))') END AS titled,
+CASE p_partkey % 5 WHEN 2 THEN 'unknown pattern nothing' WHEN 3 THEN concat('unbalanced pattern (', p_size) END AS error FROM part CROSS JOIN (VALUES ('EN'), ('DE')) l(language)""")
 def rule_compilation(spark, sf_dir):
-    """Rules read from XML and compiled for two languages: macros by language and kind, comments gone, groups, orders, faulty rules left
-    out, the title form, and which rules a plain run scans for. The class of white space is shown as a space."""
-    out = []
-    for language in ("EN", "DE"):
-        made = compile_rules(rules_from_xml(_RULES), language)
-        chosen = {c.rule.type for c in made.scannable(Options(special_rules=False)).rules}
-        for c in made.rules:
-            titled = full_pattern(c, title_form=True) if c.rule.type in ("helper", "special") else ""
-            out.append((language, c.rule.type, c.rule.order, c.guard, c.groups, len(c.rule.views), c.rule.type in chosen, c.pattern.replace(SPACE, " "), titled))
-    return spark.createDataFrame(out, "language string, type string, place int, guard string, groups int, views int, scanned boolean, pattern string, titled string")
+    """A rule for each part, compiled for two languages: named patterns by language and kind, comments gone, groups, the title form, and
+    what is wrong with faulty rules. The class of white space is shown as a space."""
+    rows = table(spark, sf_dir, "part").selectExpr("p_partkey", f"{_RULE} AS pattern")
+    both = [rule_tables.compiled(rows, _MACROS, language).withColumn("language", F.lit(language)) for language in ("EN", "DE")]
+    shown = F.replace("compiled", F.lit(SPACE), F.lit(" "))
+    return both[0].unionByName(both[1]).select("language", "p_partkey", shown.alias("pattern"), "groups", F.when(F.col("p_partkey") % 5 == 1, F.col("titled")).alias("titled"), "error")
+
+
+#: Parts as views: a type for each brand, a target for each size, environments by the key.
+_VIEW_COLUMNS = {"type": "p_brand", "target": "concat(CASE p_size % 3 WHEN 0 THEN 'eurlex' WHEN 1 THEN 'curia' ELSE 'table' END, CASE WHEN p_size > 40 THEN '-old' ELSE '' END)", "environments": "CASE p_partkey % 4 WHEN 0 THEN {a}'*'{z} WHEN 1 THEN {a}'court', 'press'{z} WHEN 2 THEN {a}'archive'{z} ELSE {a}'court'{z} END"}
+
+
+def _views(spark, sf_dir):
+    columns = [f"{e.format(a='array(', z=')')} AS {c}" for c, e in _VIEW_COLUMNS.items()]
+    return table(spark, sf_dir, "part").selectExpr("p_partkey", *columns, "CASE WHEN p_size % 2 = 0 THEN p_type END AS base_type", "p_size = 7 AS common")
+
+
+_VIEW_ROWS = "views AS (SELECT p_partkey, " + ", ".join(f"{e.format(a='[', z=']')} AS {c}" for c, e in _VIEW_COLUMNS.items()) + ", CASE WHEN p_size % 2 = 0 THEN p_type END AS base_type, p_size = 7 AS common, p_size FROM part)"
+
+
+@query(f"WITH {_VIEW_ROWS} SELECT p_partkey, type, target FROM views WHERE list_has_any(environments, ['*', 'court']) AND target IN ('eurlex', 'curia', 'table')")
+def env_target_filter(spark, sf_dir):
+    return rule_tables.shown(_views(spark, sf_dir), Options(environments=frozenset({"court"}), targets=frozenset({"eurlex", "curia", "table"}))).select("p_partkey", "type", "target")
+
+
+@query(f"WITH {_VIEW_ROWS} SELECT p_partkey, type, target FROM views WHERE NOT contains(target, 'eurlex')")
+def exclude_target(spark, sf_dir):
+    return rule_tables.shown(_views(spark, sf_dir), Options(excluded_targets=("eurlex",))).select("p_partkey", "type", "target")
+
+
+@query(f"WITH {_VIEW_ROWS} SELECT type, list_sort(list(DISTINCT target)) AS targets, list_sort(list(DISTINCT e)) AS environments FROM (SELECT type, target, unnest(environments) AS e FROM views) GROUP BY type")
+def catalog_rollup(spark, sf_dir):
+    each = _views(spark, sf_dir).withColumn("environment", F.explode("environments")).withColumn("base_target", F.col("target"))
+    return nodes.catalogue(each).select("type", "targets", "environments")
+
+
+@query(f"WITH {_VIEW_ROWS} SELECT p_partkey, CAST(CASE target WHEN 'curia' THEN 1 WHEN 'eurlex' THEN 2 ELSE 3 + length(target) END AS BIGINT) AS place FROM views")
+def view_order(spark, sf_dir):
+    return _views(spark, sf_dir).select("p_partkey", nodes.view_order(F.col("target"), ["curia", "eurlex"], F.length("target")).cast("long").alias("place"))
+
+
+@query(f"""WITH {_VIEW_ROWS}, each AS (SELECT *, unnest(environments) AS e FROM views)
+SELECT 'environment' AS map, e AS key, list_sort(list(DISTINCT type)) AS types, list_sort(list(DISTINCT target)) AS targets FROM each GROUP BY e
+UNION ALL SELECT 'rule', type, [type], list_sort(list(DISTINCT target)) FROM views GROUP BY type
+UNION ALL SELECT 'base', coalesce(base_type, type), list_sort(list(DISTINCT type)), coalesce(list_sort(list(DISTINCT target) FILTER (NOT common)), []) FROM views GROUP BY coalesce(base_type, type)""")
+def filter_dependencies(spark, sf_dir):
+    """Which types and targets an environment has, which targets a type, which types and targets a base type."""
+    views = _views(spark, sf_dir)
+    named = lambda df, kind, key: df.select(F.lit(kind).alias("map"), F.col(key).alias("key"), "types", "targets")
+    rules = rule_tables.by_rule(views).withColumn("types", F.array("type"))
+    return named(rule_tables.by_environment(views), "environment", "environment").unionByName(named(rules, "rule", "type")).unionByName(named(rule_tables.by_base_type(views), "base", "base_type"))
+
+
+_REFERRING = "CASE WHEN p_partkey % 8 < 7 THEN concat('a{{?: p', p_partkey + 1, ' }}b', CASE WHEN p_partkey % 8 < 5 THEN concat('{{ p', p_partkey + 2, ' }}') ELSE '' END) ELSE 'c' END"
+
+
+@query(f"""WITH {_VIEW_ROWS}, used AS (SELECT DISTINCT unnest(environments) AS environment, p_partkey FROM views)
+SELECT DISTINCT environment, concat('p', p_partkey + i) AS name FROM used, (SELECT unnest(range(0, 8)) AS i) WHERE p_partkey % 8 + i < 8""")
+def rule_dependencies(spark, sf_dir):
+    """The rules of each environment's views and all named patterns that these need, directly or through others."""
+    rules = table(spark, sf_dir, "part").selectExpr("concat('t', p_partkey) AS type", "concat('p', p_partkey) AS name", f"{_REFERRING} AS pattern")
+    views = _views(spark, sf_dir).withColumn("type", F.concat(F.lit("t"), F.col("p_partkey")))
+    return rule_tables.needed_by_environment(rules, views)
 
 
 @query("""SELECT o_orderkey AS doc_id, CAST(4 AS INTEGER) AS position, concat('Article 5/', o_custkey) AS match, [concat('Article 5/', o_custkey), '5', concat('', o_custkey), concat('', o_custkey)] AS groups FROM orders
@@ -214,12 +260,14 @@ def bank_guidelines(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", resolve.ecb_guidelines(url).alias("celex"))
 
 
-@query("SELECT c_custkey AS key, concat('62001TO', lpad(concat('', c_custkey), 4, '0'), CASE WHEN c_custkey % 2 = 0 THEN '(02)' ELSE '' END) AS value FROM customer")
+@query("SELECT c_custkey AS key, concat('6', 2001 + c_custkey // 10000, 'TO', lpad(concat('', c_custkey % 10000), 4, '0'), CASE WHEN c_custkey % 2 = 0 THEN '(02)' ELSE '' END) AS value FROM customer")
 def case_orders(spark, sf_dir):
-    celex = "concat('62001TO', lpad(concat('', c_custkey), 4, '0'))"
-    mentions = _sql(spark, sf_dir, "customer", "c_custkey AS key", f"{celex} AS celex", "concat('Case T-', c_custkey, '/01') AS label").where("key < 10000")
-    plain = _sql(spark, sf_dir, "customer", f"{celex} AS celex", "concat('Order#A v B#Case T-', c_custkey, '/01', CASE WHEN c_custkey % 2 = 0 THEN ' R.' ELSE '.' END) AS title", "1 AS seq")
-    second = table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").selectExpr(f"concat({celex}, '(02)') AS celex", "concat('Order#Case T-', c_custkey, '/01.') AS title", "2 AS seq")
+    year = "2001 + CAST(floor(c_custkey / 10000) AS INT)"
+    celex = f"concat('6', {year}, 'TO', lpad(concat('', c_custkey % 10000), 4, '0'))"
+    case = f"concat('Case T-', c_custkey % 10000, '/', {year})"
+    mentions = _sql(spark, sf_dir, "customer", "c_custkey AS key", f"{celex} AS celex", f"{case} AS label")
+    plain = _sql(spark, sf_dir, "customer", f"{celex} AS celex", f"concat('Order#A v B#', {case}, CASE WHEN c_custkey % 2 = 0 THEN ' R.' ELSE '.' END) AS title", "1 AS seq")
+    second = table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").selectExpr(f"concat({celex}, '(02)') AS celex", f"concat('Order#', {case}, '.') AS title", "2 AS seq")
     return resolve.case_orders(mentions, plain.unionByName(second))
 
 
@@ -274,24 +322,20 @@ def _acts(spark, sf_dir) -> works.Catalogue:
     )
 
 
-@query("""SELECT concat('3', o_orderkey) AS celex, 'ok' AS status, CASE WHEN o_orderkey % 2 = 0 THEN concat('Loi ', o_orderkey) ELSE concat('Act ', o_orderkey, ' corrected') END AS base_title,
-concat(CASE WHEN o_orderkey % 2 = 0 THEN concat('Loi ', o_orderkey) ELSE concat('Act ', o_orderkey, ' corrected') END, CASE WHEN o_orderkey % 5 = 0 THEN concat(chr(10), 'ECLI identifier: ECLI:EU:', o_orderkey) ELSE '' END) AS title,
-concat('JO_', o_orderkey) AS oj_id, concat('OJ L ', o_orderkey) AS oj, concat('http://oj/', o_orderkey) AS oj_url, CAST(o_orderdate AS DATE) AS oj_date, CAST(o_orderdate AS DATE) + 30 AS date_validity,
-CASE WHEN CAST(o_orderdate AS DATE) + 10 < DATE '1997-01-01' THEN concat('0', o_orderkey) END AS consolidated,
-CASE WHEN o_orderkey % 10 < 8 THEN concat('3', o_orderkey + 1) END AS repeal, CASE WHEN o_orderkey % 10 < 8 THEN concat('3', o_orderkey // 10 * 10 + 8) END AS repealed_by,
-CASE WHEN o_orderkey % 10 < 8 AND o_orderkey + 1 IN (SELECT o_orderkey FROM orders) THEN concat('eli/reg/', o_orderkey + 1, '/oj') END AS repeal_eli,
-CASE WHEN o_orderkey % 10 < 8 AND o_orderkey // 10 * 10 + 8 IN (SELECT o_orderkey FROM orders) THEN concat('eli/reg/', o_orderkey // 10 * 10 + 8, '/oj') END AS last_repeal_eli,
-CASE WHEN o_orderkey % 2 = 0 THEN concat('P', o_custkey) END AS proc, CASE WHEN o_orderkey % 2 = 0 THEN concat('File ', o_orderkey) END AS dossier_title
-FROM orders o WHERE (o_orderkey % 10 >= 8 OR NOT EXISTS (SELECT 1 FROM range(0, 8) r(i) WHERE i > o.o_orderkey % 10 AND o.o_orderkey // 10 * 10 + i NOT IN (SELECT o_orderkey FROM orders)))
+@query("""WITH o AS (SELECT *, CAST(o_orderdate AS DATE) AS day, o_orderkey // 10 * 10 AS ten, o_orderkey % 10 < 8 AS gone FROM orders),
+ends AS (SELECT o.o_orderkey, min(o.ten + i) AS last FROM o CROSS JOIN (SELECT unnest(range(1, 9)) AS i) LEFT JOIN orders n ON n.o_orderkey = o.ten + i WHERE i > o.o_orderkey % 10 AND (i = 8 OR n.o_orderkey IS NULL) GROUP BY 1)
+SELECT concat('3', o.o_orderkey) AS celex, 'ok' AS status, CASE WHEN o.o_orderkey % 2 = 0 THEN concat('Loi ', o.o_orderkey) ELSE concat('Act ', o.o_orderkey, ' corrected') END AS base_title,
+concat(CASE WHEN o.o_orderkey % 2 = 0 THEN concat('Loi ', o.o_orderkey) ELSE concat('Act ', o.o_orderkey, ' corrected') END, CASE WHEN o.o_orderkey % 5 = 0 THEN concat(chr(10), 'ECLI identifier: ECLI:EU:', o.o_orderkey) ELSE '' END) AS title,
+concat('JO_', o.o_orderkey) AS oj_id, concat('OJ L ', o.o_orderkey) AS oj, concat('http://oj/', o.o_orderkey) AS oj_url, day AS oj_date, day + 30 AS date_validity,
+CASE WHEN day + 10 < DATE '1997-01-01' THEN concat('0', o.o_orderkey) END AS consolidated,
+CASE WHEN gone THEN concat('3', o.o_orderkey + 1) END AS repeal, CASE WHEN gone THEN concat('3', last) END AS repealed_by,
+CASE WHEN gone AND n.o_orderkey IS NOT NULL THEN concat('eli/reg/', n.o_orderkey, '/oj') END AS repeal_eli, CASE WHEN gone AND e.o_orderkey IS NOT NULL THEN concat('eli/reg/', e.o_orderkey, '/oj') END AS last_repeal_eli,
+CASE WHEN o.o_orderkey % 2 = 0 THEN concat('P', o.o_custkey) END AS proc, CASE WHEN o.o_orderkey % 2 = 0 THEN concat('File ', o.o_orderkey) END AS dossier_title
+FROM o LEFT JOIN ends USING (o_orderkey) LEFT JOIN orders n ON n.o_orderkey = o.o_orderkey + 1 LEFT JOIN orders e ON e.o_orderkey = last
 UNION ALL SELECT '3none', 'missing', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL""")
 def celex_metadata(spark, sf_dir):
-    """All columns of acts, in French where there is a French title; consolidations before a day. Acts whose chain of repeals has a gap
-    in the table are asked for in no place, as SQL would need a recursion for them."""
-    orders = table(spark, sf_dir, "orders")
-    keys = orders.select("o_orderkey")
-    gaps = orders.selectExpr("o_orderkey", "explode(filter(sequence(0, 7), i -> i > o_orderkey % 10)) AS i").selectExpr("o_orderkey", "floor(o_orderkey / 10) * 10 + i AS next").join(keys.withColumnRenamed("o_orderkey", "next"), "next", "left_anti")
-    whole = orders.where("o_orderkey % 10 >= 8").select("o_orderkey").unionByName(orders.where("o_orderkey % 10 < 8").join(gaps, "o_orderkey", "left_anti").select("o_orderkey"))
-    asked = whole.selectExpr("concat('3', o_orderkey) AS celex").unionByName(spark.range(1).selectExpr("'3none' AS celex"))
+    """All columns of all acts, in French where there is a French title; consolidations before a day; chains of repeals, gaps included."""
+    asked = table(spark, sf_dir, "orders").selectExpr("concat('3', o_orderkey) AS celex").unionByName(spark.range(1).selectExpr("'3none' AS celex"))
     got = works.celex_metadata(asked, _acts(spark, sf_dir), "FRA", "1997-01-01")
     return got.select("celex", "status", "base_title", "title", "oj_id", "oj", "oj_url", "oj_date", "date_validity", "consolidated", "repeal", "repealed_by", "repeal_eli", "last_repeal_eli", "proc", "dossier_title")
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ids
 from ..operators import alias, detect, lists, nodes, works
-from ..options import Aliases, Options
+from ..options import Aliases, Optimizer, Options
 from ..sources.readers import spread, table
 from ..streaming import extract
 from . import builtin, texts
@@ -132,6 +132,42 @@ def scan_email(spark, sf_dir):
     return _documents_scan(spark, sf_dir, _MAIL, "[^@]@[A-Za-z0-9.-]+")
 
 
+# ---- rules that guards close and probes rewrite, text by text
+
+_NARROWED = "concat('C-', o_custkey, '/10 and OJ C-', o_orderkey % 90 + 10, '/11', CASE o_orderkey % 3 WHEN 0 THEN ' of the Court' WHEN 1 THEN ' in the Journal' ELSE '' END)"
+
+
+@query(f"""WITH d AS (SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)licen[sc]es?([^\\p{{L}}]|$)') THEN regexp_extract_all(text, '{_IP}') ELSE [] END AS ips, regexp_extract_all(text, '{_MAIL}') AS mails FROM documents)
+SELECT 'orders' AS source, o_orderkey AS doc_id, m AS match, rule_type, CAST(1 AS BIGINT) AS n FROM (SELECT o_orderkey, unnest([concat('C-', o_custkey, '/10'), concat(CASE o_orderkey % 3 WHEN 1 THEN 'OJ ' ELSE '' END, 'C-', o_orderkey % 90 + 10, '/11')]) AS m,
+  unnest(['case', CASE o_orderkey % 3 WHEN 1 THEN 'journal' ELSE 'case' END]) AS rule_type FROM orders WHERE o_orderkey % 3 < 2)
+UNION ALL SELECT 'documents', doc_id, match, rule_type, count(*) FROM (SELECT doc_id, unnest(ips) AS match, 'ip' AS rule_type FROM d UNION ALL SELECT doc_id, unnest(mails), 'mail' FROM d) GROUP BY ALL""")
+def guard_narrowed(spark, sf_dir):
+    """A rule that its guard closes neither matches in a text nor shadows others: what looks like a journal is a case where no
+    journal is named, and addresses of machines count only beside a licence."""
+    view = (View("page", "$0"),)
+    journals = compile_rules([Rule(type="journal", pattern="(?:OJ )?C-[0-9]+/11", guard_pattern="Journal", order=1, views=view), Rule(type="case", pattern="C-[0-9]+/[0-9]+", guard_pattern="Court|Journal", order=2, views=view)])
+    hosts = compile_rules([Rule(type="ip", pattern=_IP, guard_pattern="licen[sc]es?", order=1, views=view), Rule(type="mail", pattern=_MAIL, order=2, views=view)])
+    orders = table(spark, sf_dir, "orders").selectExpr("'orders' AS source", "o_orderkey AS doc_id", f"{_NARROWED} AS text")
+    docs = table(spark, sf_dir, "documents").select(F.lit("documents").alias("source"), "doc_id", "text")
+    found = detect.scan(orders, journals).withColumn("rule_type", F.element_at(F.array(F.lit("journal"), F.lit("case")), F.col("rule") + 1))
+    found = found.unionByName(detect.scan(docs, hosts).withColumn("rule_type", F.element_at(F.array(F.lit("ip"), F.lit("mail")), F.col("rule") + 1)))
+    return found.groupBy("source", "doc_id", "match", "rule_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+_LABELS = "(?:[CTF]-|case number |affaire numéro |Rechtssache Nummer )"
+#: Long labels are looked for once a text; where there are none, the pattern has the short ones alone.
+SHORT_LABELS = ((Optimizer("number|numéro|Nummer", _LABELS, "[CTF]-"),),)
+_LABELLED = "concat('On ', CASE o_orderkey % 5 WHEN 0 THEN 'case number ' WHEN 1 THEN 'Rechtssache Nummer ' ELSE 'T-' END, o_custkey, '/09 and C-', o_orderkey % 900, '/10')"
+
+
+@query("""SELECT o_orderkey AS doc_id, CAST(position AS INTEGER) AS position, match FROM (SELECT o_orderkey, unnest([3, 3 + length(l) + 5]) AS position, unnest([l, concat('C-', o_orderkey % 900, '/10')]) AS match
+  FROM (SELECT o_orderkey, concat(CASE o_orderkey % 5 WHEN 0 THEN 'case number ' WHEN 1 THEN 'Rechtssache Nummer ' ELSE 'T-' END, o_custkey, '/09') AS l FROM orders))""")
+def pattern_optimised(spark, sf_dir):
+    """Parts of patterns replaced for texts in which a probe misses; the matches are the same."""
+    docs = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS doc_id", f"{_LABELLED} AS text")
+    return detect.scan(docs, simple(_LABELS + "[0-9]{1,6}/[0-9]{2}"), options=Options(optimizers=SHORT_LABELS)).select("doc_id", "position", "match")
+
+
 @query("SELECT doc_id, match, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?i)[^\\r\\n\\x0B\\f]*licen[sc]e[^\\r\\n\\x0B\\f]*')) AS match FROM documents) GROUP BY ALL")
 def scan_license_lines(spark, sf_dir):
     """Whole lines that name a licence, by the scan."""
@@ -180,41 +216,7 @@ def title_form(spark, sf_dir):
     return detect.scan(docs, only("case"), title_form=True).select("doc_id", "position", "match", "title")
 
 
-# ---- rules and views
-
-_VIEWS = [(r, t, e) for r in ("act", "case", "oj") for t, e in (("eurlex", "*"), ("curia", "court"), ("table", "court"), ("eurlex-old", "archive"))]
-_VIEW_SQL = "views(type, target, environment) AS (VALUES " + ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in _VIEWS) + ")"
-
-
-def _views(spark) -> DataFrame:
-    return spark.createDataFrame(_VIEWS, "type string, target string, environment string")
-
-
-def _left(spark, options: Options) -> DataFrame:
-    """The views that a run with these options scans for."""
-    rules = [Rule(type=r, pattern="x", views=tuple(View(t, "$0", environments=(e,)) for x, t, e in _VIEWS if x == r)) for r in ("act", "case", "oj")]
-    kept = compile_rules(rules).scannable(options)
-    return spark.createDataFrame([(c.rule.type, v.target, v.environments[0]) for c in kept.rules for v in c.rule.views], "type string, target string, environment string")
-
-
-@query(f"WITH {_VIEW_SQL} SELECT type, target, environment FROM views WHERE environment IN ('*', 'court') AND target IN ('eurlex', 'curia', 'table')")
-def env_target_filter(spark, sf_dir):
-    return _left(spark, Options(environments=frozenset({"court"}), targets=frozenset({"eurlex", "curia", "table"})))
-
-
-@query(f"WITH {_VIEW_SQL} SELECT type, target FROM views WHERE NOT contains(target, 'eurlex')")
-def exclude_target(spark, sf_dir):
-    return _left(spark, Options(excluded_targets=("eurlex",))).select("type", "target")
-
-
-@query(f"WITH {_VIEW_SQL} SELECT type, list_sort(list(DISTINCT target)) AS targets, list_sort(list(DISTINCT environment)) AS environments FROM views GROUP BY type")
-def catalog_rollup(spark, sf_dir):
-    return nodes.catalogue(_views(spark).withColumn("base_target", F.col("target"))).select("type", "targets", "environments")
-
-
-@query(f"WITH {_VIEW_SQL} SELECT type, target, CAST(CASE target WHEN 'curia' THEN 1 WHEN 'eurlex' THEN 2 ELSE 3 + length(target) END AS BIGINT) AS place FROM views")
-def view_order(spark, sf_dir):
-    return _views(spark).select("type", "target", nodes.view_order(F.col("target"), ["curia", "eurlex"], F.length("target")).cast("long").alias("place"))
+# ---- views
 
 
 @query(f"""WITH {_PARTS} SELECT doc_id, match, concat('3', regexp_extract(match, '([0-9]{{4}})/([0-9]+)', 1), 'R', lpad(regexp_extract(match, '([0-9]{{4}})/([0-9]+)', 2), 4, '0')) AS celex FROM placed WHERE rule_type = 'act'""")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from citemill.functions import converters as C
 from citemill.functions import helpers as H
-from citemill.functions import ids
+from citemill.functions import ids, titles
 from citemill.functions.regex import delimited, group_count, non_capturing, to_java
 from citemill.operators import alias
 
@@ -178,7 +178,7 @@ def test_attributes(spark):
     ],
 )
 def test_case_titles(spark, code, title, want):
-    assert spark.range(1).select(H.case_title(F.lit(title), code)).first()[0] == want
+    assert spark.range(1).select(titles.case_title(F.lit(title), code)).first()[0] == want
 
 
 def test_footnotes(spark):

@@ -63,13 +63,18 @@ def item(text, level1=None, level2=None, act=None, year=None, number=None, bare=
     return [text, level1, level2, act, year, number, bare]
 
 
-def test_lists():
-    got = lists.resolve([item("articles 101", "101"), item("102 of the TFEU", "102", act="TFEU")], ARTICLES)
+def completed(spark, found, slots):
+    df = spark.createDataFrame([(found,)], "groups array<array<string>>")
+    return lists.resolved(df, slots).first()[0]
+
+
+def test_lists(spark):
+    got = completed(spark, [item("articles 101", "101"), item("102 of the TFEU", "102", act="TFEU")], ARTICLES)
     assert [g[3] for g in got] == ["TFEU", "TFEU"]
     one = lists.Slots(prefix=(3,), shared=(4, 5), identifiers=(1, 2), core=(1,), variables=(2,))
-    got = lists.resolve([item("Article 25(6)", "25", "6"), item("(7)", None, "7"), item("(8) of Regulation (EU) 2018/1725", None, "8", "Regulation", "2018", "1725")], one)
+    got = completed(spark, [item("Article 25(6)", "25", "6"), item("(7)", None, "7"), item("(8) of Regulation (EU) 2018/1725", None, "8", "Regulation", "2018", "1725")], one)
     assert [(g[1], g[2], g[3], g[4], g[5]) for g in got] == [("25", n, "Regulation", "2018", "1725") for n in "678"]
-    assert lists.resolve([], one) == []
+    assert completed(spark, [], one) == [] and completed(spark, None, one) is None
 
 
 # whole text, article, paragraph or point, act, year, number, bare value, bare value in brackets
@@ -101,28 +106,37 @@ def nested(text):
         ("article 5 of Dir 1/2, 6 and 7", [("5", None), ("6", None), ("7", None)]),
     ],
 )
-def test_nested_lists(text, want):
-    got = lists.resolve(nested(text), NESTED)
+def test_nested_lists(spark, text, want):
+    got = completed(spark, nested(text), NESTED)
     assert [(g[1], g[2]) for g in got] == want
     assert len({(g[3], g[4], g[5]) for g in got}) == 1 and got[0][3]
 
 
-def test_list_levels_and_skips():
+def test_list_levels_and_skips(spark):
     """A skipped level goes to articles, not to points; a lone value finds the source's deeper level."""
     skip = lists.Slots(prefix=(3,), shared=(4, 5), identifiers=(1, 2, 6), core=(1,), variables=(6,), skip=(2,))
     blank = lambda text, **at: [text, *(at.get(f"g{i}") for i in range(1, 7))]
+    second = lambda source, to, slots: completed(spark, [source, to], slots)[1][1:3]
     source = blank("article 15(a)", g1="15", g2="a", g3="Dir")
-    assert lists.copy_levels(blank("(b)", g6="b"), source, skip)[1:3] == ["15", "b"]
-    assert lists.copy_levels(blank("16", g6="16"), source, skip)[1:3] == ["16", None]
+    assert second(source, blank("(b)", g6="b"), skip) == ["15", "b"]
+    assert second(source, blank("16", g6="16"), skip) == ["16", None]
     dotted = blank("32.4", g1="32", g2="4", g3="Dir")
-    assert lists.copy_levels(blank("33", g6="33"), dotted, skip)[1:3] == ["33", None]
+    assert second(dotted, blank("33", g6="33"), skip) == ["33", None]
     lettered = lists.Slots(prefix=(3,), identifiers=(1, 2, 6), variables=(6,))
-    assert lists.copy_levels(blank("7", g6="7"), blank("paragraph 5 point a", g1="5", g2="a"), lettered)[1:3] == ["7", None]
+    assert second(blank("paragraph 5 point a Dir", g1="5", g2="a", g3="Dir"), blank("7", g6="7"), lettered) == ["7", None]
+    assert second(blank("article 5 paragraph 6 Dir", g1="5", g2="6", g3="Dir"), blank("7", g6="7"), lettered) == ["5", "7"]
     # points 5 and 7 of article 2(3): the first point takes article and the level of the point from the last item
     points = lists.Slots(prefix=(3,), identifiers=(1, 2, 6), core=(1,), variables=(6,))
-    got = lists.resolve([blank("points 5", g6="5"), blank("7 of article 2 Dir", g1="2", g2="7", g3="Dir")], points)
+    got = completed(spark, [blank("points 5", g6="5"), blank("7 of article 2 Dir", g1="2", g2="7", g3="Dir")], points)
     assert [(g[1], g[2], g[3]) for g in got] == [("2", "5", "Dir"), ("2", "7", "Dir")]
-    assert lists.copy_core_levels(blank("5", g6="5"), blank("32.4 Dir", g1="32", g2="4", g3="Dir"), points) == blank("5", g6="5")
+    got = completed(spark, [blank("5", g6="5"), blank("32.4 Dir", g1="32", g2="4", g3="Dir")], points)
+    assert got[0] == blank("5", g3="Dir", g6="5")  # nothing of a source with a dot but the act
+
+
+def test_list_shapes(spark):
+    texts = ["articles 25(6)", "(4a)", "b)", "32.4", "15 (b)", "Annex IV", "5 of Dir"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(lists.shape(F.col("t"))).collect()
+    assert [r[0] for r in got] == ["~_#(#)", "(#@)", "@)", "#.#", "#_(@)", "^_^", "#_~_^"]
 
 
 def test_alias_positions(spark):
