@@ -16,7 +16,7 @@ from citemill.operators import detect, html, nodes, works
 from citemill.options import Options
 from citemill.plans import builtin
 from citemill.plans.rules import RuleSet, compile_rules, load_rules
-from citemill.sources import readers, sinks
+from citemill.sources import named, readers, sinks
 
 
 def parser() -> argparse.ArgumentParser:
@@ -116,7 +116,7 @@ def main(argv: list[str] | None = None) -> int:
         if not a.inputdir:
             raise SystemExit("--outputdir goes with --inputdir")
         names = docs.select(F.xxhash64(F.coalesce("path", F.lit(""))).alias("doc_id"), F.substring_index("path", "/", -1).alias("name"))
-        sinks.write_named(names.join(out.groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_list("value")), "\n").alias("value")), "doc_id", "left"), a.outputdir, a.format)
+        named.write_named(names.join(out.groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_list("value")), "\n").alias("value")), "doc_id", "left"), a.outputdir, a.format)
     elif a.output:
         sinks.write(out.select("value"), "text", a.output)
     else:

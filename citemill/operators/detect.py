@@ -175,6 +175,21 @@ class Narrowing:
         return F.when(self._open(variant, i), out).otherwise(f"({NOTHING})")
 
 
+@lru_cache(maxsize=1024)
+def _probe(pattern: str):
+    import regex
+
+    return regex.compile(pattern.replace(r"\z", r"\Z"), regex.IGNORECASE)
+
+
+def python_variant(narrowed: Narrowing, value: str) -> tuple[int, ...]:
+    """`Narrowing.variant` of a text that is at hand in Python."""
+    digits = [int(_probe(rf"(?:{guard})(?![\p{{L}}])").search(value) is not None) for guard, _ in narrowed.guards]
+    for group in narrowed.groups:
+        digits.append(next((i for i, o in enumerate(group, 1) if not _probe(o.probe).search(value)), 0))
+    return tuple(digits)
+
+
 def _occurs(c: Column, guard: str) -> Column:
     return text(c).rlike(rf"(?iu)(?:{guard})(?![\p{{L}}])")
 

@@ -126,6 +126,70 @@ def linked_html(df: DataFrame, key: str, column: str = "html", links: str = "lin
     return bounded(df.select(F.col(key).alias("k"), column, links)).mapInArrow(run, f"k {kind}, html string").withColumnRenamed("k", key)
 
 
+def _plain(raw: str) -> tuple[str, list[int]]:
+    """The text of a run of source, and the place in the source of each of its characters and of its end."""
+    out, places, at = [], [], 0
+    for m in re.finditer(r"&#?[A-Za-z0-9]+;?", raw):
+        read = unescape(m[0])
+        if read != m[0]:
+            out += [raw[at : m.start()], read]
+            places += [*range(at, m.start()), *[m.start()] * len(read)]
+            at = m.end()
+    return "".join([*out, raw[at:]]), [*places, *range(at, len(raw) + 1)]
+
+
+_LETTER_RUN = re.compile(r"[^\W_]+|.", re.S)
+#: What may not touch a context: a letter, a digit, a slash.
+_TOUCHING = re.compile(r"[^\W_]|/")
+
+
+def contexts_in(text: str, known: dict[str, list[str]]) -> list[tuple[int, str]]:
+    """Where contexts stand, the leftmost and there the longest first, touched by no letter, digit or slash. known: contexts by their
+    first run of letters or sign, the longest first."""
+    out, done = [], 0
+    for m in _LETTER_RUN.finditer(text):
+        if m.start() < done or m.start() and _TOUCHING.match(text[m.start() - 1]):
+            continue
+        for c in known.get(m[0], ()):
+            end = m.start() + len(c)
+            if text.startswith(c, m.start()) and not (end < len(text) and _TOUCHING.match(text[end])):
+                out.append((m.start(), c))
+                done = end
+                break
+    return out
+
+
+def with_contexts_of(source: str, by: dict[str, str]) -> str:
+    """Every occurrence of a context within a free run of text of the body replaced by its HTML; tags and attributes stay. The ends of a
+    run bound a context, whatever stands in the neighbouring element."""
+    body = re.search(r"<body[^>]*>", source, re.I)
+    known: dict[str, list[str]] = {}
+    for c in sorted(by, key=lambda c: (-len(c), c)):
+        if c.strip():
+            known.setdefault(_LETTER_RUN.match(c)[0], []).append(c)
+    out, done = [], 0
+    for at, raw, _, free in _Texts(source).nodes:
+        if not free or not raw.strip() or at < (body.end() if body else 0):
+            continue
+        text, places = _plain(raw) if "&" in raw else (raw, range(len(raw) + 1))
+        for start, c in contexts_in(text, known):
+            out += [source[done : at + places[start]], by[c]]
+            done = at + places[start + len(c)]
+    return "".join([*out, source[done:]])
+
+
+def with_contexts(df: DataFrame, key: str, column: str = "html", contexts: str = "contexts") -> DataFrame:
+    """key, html with every bounded occurrence of its contexts (array<struct<context, html>>) replaced; a page without any stays."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            done = [with_contexts_of(h or "", {x["context"]: x["html"] for x in reversed(cs or ()) if x["context"]}) for h, cs in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(done, pa.string())], names=["k", "html"])
+
+    kind = dict(df.dtypes)[key]
+    return bounded(df.select(F.col(key).alias("k"), column, contexts)).mapInArrow(run, f"k {kind}, html string").withColumnRenamed("k", key)
+
+
 def unlinked(c) -> Column:
     """A page with the links that were put in taken out again: an element that carries its first text in data-initial becomes that
     text, other links stay."""

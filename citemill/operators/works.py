@@ -68,29 +68,42 @@ def latest_by_anti_join(versions: DataFrame, key: str, by: str) -> DataFrame:
     return versions.join(older, [key, by], "left_anti")
 
 
-def as_of(requests: DataFrame, versions: DataFrame, key: str, at: str, by: str) -> DataFrame:
-    """requests with the version that holds at their date: the last not after it, else the newest one there is.
+def last_before(requests: DataFrame, versions: DataFrame, key: str, at: str, by: str) -> DataFrame:
+    """requests with ``fit`` (the last version not after their time, as a struct) and ``newest`` (the last one of all).
 
-    Versions are few per key: they are folded to one sorted array per key, so the join is an equi-join and no pair of request and
-    version is ever a row.
+    Requests and versions are one table in the order of key and time, cut into ranges of rows; so a key with very many versions spans
+    many tasks. In each range the last version so far is carried on from row to row; a small table (a row for each key and range) says
+    what earlier ranges end with. No version is ever held beside all others of its key, and no pair is a row.
     """
+    asked, own = F.struct(*[F.col(c) for c in requests.columns]), F.struct(F.col(by), *[F.col(c) for c in versions.columns if c not in (key, by)])
+    rows = versions.select(F.col(key).alias("k"), F.col(by).alias("t"), F.lit(0).alias("kind"), own.alias("v"), F.lit(None).alias("r"))
+    both = rows.unionByName(requests.select(F.col(key).alias("k"), F.col(at).alias("t"), F.lit(1).alias("kind"), F.lit(None).alias("v"), asked.alias("r")))
+    dealt = _settled(both.repartitionByRange("k", "t", "kind").withColumn("part", F.spark_partition_id()))
+    ends = dealt.groupBy("k", "part").agg(F.max(F.when(F.col("t").isNotNull(), F.col("v"))).alias("end"), F.max("v").alias("top"))
+    parts = Window.partitionBy("k").orderBy("part")
+    carried = ends.select("k", "part", F.last("end", ignorenulls=True).over(parts.rowsBetween(Window.unboundedPreceding, -1)).alias("before"), F.max("top").over(Window.partitionBy("k")).alias("newest"))
+    inside = Window.partitionBy("k", "part").orderBy("t", "kind", "v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    so_far = dealt.withColumn("own", F.last(F.when(F.col("t").isNotNull(), F.col("v")), ignorenulls=True).over(inside)).where("kind = 1")
+    found = so_far.join(_settled(carried.select(F.col("k").alias("_key"), F.col("part").alias("_part"), "before", "newest")), F.expr("k <=> _key AND part = _part"))
+    return found.select("r.*", F.coalesce("own", "before").alias("fit"), "newest")
+
+
+def as_of(requests: DataFrame, versions: DataFrame, key: str, at: str, by: str) -> DataFrame:
+    """requests with the version that holds at their date: the last not after it, else the newest one there is."""
     columns = [c for c in versions.columns if c != key]
-    per = versions.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(by, *[c for c in columns if c != by]))).alias("_v"))
-    both = requests.join(per, key)
-    fit = F.filter("_v", lambda v: v[by] <= F.col(at))
-    chosen = F.coalesce(F.try_element_at(fit, F.lit(-1)), F.element_at("_v", -1))
-    return both.withColumn("_c", chosen).select(*requests.columns, *[F.col(f"_c.{c}").alias(f"as_of_{c}") for c in columns])
+    found = last_before(requests.where(F.col(key).isNotNull()), versions.where(F.col(key).isNotNull()), key, at, by).where("newest IS NOT NULL")
+    held = F.coalesce("fit", "newest")
+    return found.select(*requests.columns, *[held[c].alias(f"as_of_{c}") for c in columns])
 
 
 def eli_as_of(requested: DataFrame, known: DataFrame, column: str = "eli") -> DataFrame:
     """requested ELIs and, as ``held``, the known one that their last segment (a date) asks for; ids of the official journal's form
     (/oj) take the newest."""
     root = lambda c: F.regexp_replace(c, "[^/]*$", "")
-    per = known.groupBy(root(F.col(column)).alias("_root")).agg(F.sort_array(F.collect_set(column)).alias("_k"))
-    both = requested.withColumn("_root", root(F.col(column))).join(per, "_root", "left")
-    newest = F.coalesce(F.try_element_at("_k", F.lit(-1)), F.col(column))
-    fit = F.try_element_at(F.filter("_k", lambda k: k <= F.col(column)), F.lit(-1))
-    return both.withColumn("held", F.when(F.col(column).endswith("/oj"), newest).otherwise(F.coalesce(fit, newest))).drop("_root", "_k")
+    versions = known.select(root(F.col(column)).alias("_root"), F.col(column).alias("_k")).where("_k IS NOT NULL").distinct()
+    found = last_before(requested.withColumn("_root", root(F.col(column))), versions, "_root", column, "_k")
+    newest = F.coalesce(F.col("newest._k"), F.col(column))
+    return found.withColumn("held", F.when(F.col(column).endswith("/oj"), newest).otherwise(F.coalesce("fit._k", newest))).select(*requested.columns, "held")
 
 
 def closure(edges: DataFrame, depth: int | None = None) -> DataFrame:
@@ -309,6 +322,54 @@ def based_on(c: Catalogue, celex: str, limit: int = CITATION_LIMIT) -> DataFrame
     return c.bases.where(F.col("basis") == celex).select("celex").distinct().orderBy("celex").limit(limit)
 
 
+#: Parts into which the rows of one id are dealt before the first of each part are taken.
+SALTS = 32
+
+
+def first_of_each(rows: DataFrame, key: str, order: list[str], limit: int) -> DataFrame:
+    """The first rows of each key by an order that has no ties. Each part of a key keeps its own first ones, before and after the
+    shuffle, and the key's first are among these; so a key with very many rows is dealt over many tasks."""
+    salt = F.pmod(F.xxhash64(*order), F.lit(SALTS))
+    place = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    part = rows.withColumn("_salt", salt).withColumn("_n", place(key, "_salt")).where(F.col("_n") <= limit)
+    return part.withColumn("_n", place(key)).where(F.col("_n") <= limit).drop("_salt", "_n")
+
+
+def cited_by_each(ids: DataFrame, c: Catalogue, search: str | None = None, sector: str | None = None, limit: int = CITATION_LIMIT) -> DataFrame:
+    """id, celex, from_part, to_part: for each of the ids (celex), the first acts that it cites."""
+    return _linked_each(ids, c, "source", "target", search, sector, limit, [])
+
+
+def citing_each(ids: DataFrame, c: Catalogue, search: str | None = None, sector: str | None = None, limit: int = CITATION_LIMIT) -> DataFrame:
+    """id, celex, from_part, to_part: for each of the ids (celex), the first acts that cite it."""
+    return _linked_each(ids, c, "target", "source", search, sector, limit, ["_SUM", "_INF"])
+
+
+def _linked_each(ids: DataFrame, c: Catalogue, own: str, other: str, search: str | None, sector: str | None, limit: int, without: list[str]) -> DataFrame:
+    found = c.citations.select(F.col(own).alias("id"), F.col(other).alias("celex"), fragment(F.col("fragment_source"), F.col("source")).alias("from_part"), fragment(F.col("fragment_target"), F.col("target")).alias("to_part"))
+    for x in without:
+        found = found.where(~F.col("celex").contains(x))
+    if sector:
+        found = found.where(F.col("celex").startswith(sector))
+    if search:
+        titles = c.expressions.where(F.lower("title").contains(search.lower())).select("celex").distinct()
+        found = found.join(titles, "celex", "left_semi")
+    asked = found.join(_wanted(ids, "celex").withColumnRenamed("celex", "id"), "id", "left_semi")
+    return first_of_each(asked.distinct(), "id", ["celex", "from_part", "to_part"], limit)
+
+
+def bases_of_each(ids: DataFrame, c: Catalogue, limit: int = CITATION_LIMIT) -> DataFrame:
+    """id, celex: for each of the ids (celex), the first of its legal bases."""
+    found = c.bases.select(F.col("celex").alias("id"), F.col("basis").alias("celex")).join(_wanted(ids, "celex").withColumnRenamed("celex", "id"), "id", "left_semi")
+    return first_of_each(found.distinct(), "id", ["celex"], limit)
+
+
+def based_on_each(ids: DataFrame, c: Catalogue, limit: int = CITATION_LIMIT) -> DataFrame:
+    """id, celex: for each of the ids (celex), the first acts that have it as a basis."""
+    found = c.bases.select(F.col("basis").alias("id"), "celex").join(_wanted(ids, "celex").withColumnRenamed("celex", "id"), "id", "left_semi")
+    return first_of_each(found.distinct(), "id", ["celex"], limit)
+
+
 def classifications(ids: DataFrame, c: Catalogue, language: str) -> DataFrame:
     """EuroVoc concepts times subject matters of each work."""
     own = c.subjects.where(F.lower("lang") == language.lower()).join(_wanted(ids, "celex"), "celex", "left_semi")

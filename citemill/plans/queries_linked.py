@@ -112,6 +112,31 @@ def bases_of(spark, sf_dir):
     return works.bases_of(_citations(spark, sf_dir), "12")
 
 
+@query("""WITH c AS (SELECT DISTINCT concat('3', l_orderkey % 50) AS id, concat('3', l_partkey) AS celex, concat('art. ', l_linenumber) AS from_part, concat('par. ', l_linenumber) AS to_part FROM lineitem)
+SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY id ORDER BY celex, from_part, to_part) <= 501""")
+def cited_by_each(spark, sf_dir):
+    """The first 501 citations of every act at once."""
+    c = _citations(spark, sf_dir)
+    return works.cited_by_each(c.citations.select(F.col("source").alias("celex")), c)
+
+
+@query("""WITH c AS (SELECT DISTINCT concat('3', l_partkey) AS id, concat('3', l_orderkey % 50) AS celex, concat('art. ', l_linenumber) AS from_part, concat('par. ', l_linenumber) AS to_part FROM lineitem)
+SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY id ORDER BY celex, from_part, to_part) <= 20""")
+def citing_each(spark, sf_dir):
+    """The first 20 acts that cite each act."""
+    c = _citations(spark, sf_dir)
+    return works.citing_each(c.citations.select(F.col("target").alias("celex")), c, limit=20)
+
+
+@query("""SELECT * FROM (SELECT 'bases' AS kind, concat('', l_orderkey) AS id, concat('', l_partkey) AS celex FROM lineitem UNION SELECT 'based', concat('', l_partkey), concat('', l_orderkey) FROM lineitem)
+QUALIFY row_number() OVER (PARTITION BY kind, id ORDER BY celex) <= CASE kind WHEN 'bases' THEN 3 ELSE 501 END""")
+def bases_of_each(spark, sf_dir):
+    """The first three bases of each act, and the first 501 acts on each basis."""
+    c = _citations(spark, sf_dir)
+    own = works.bases_of_each(c.bases.select("celex"), c, limit=3).withColumn("kind", F.lit("bases"))
+    return own.unionByName(works.based_on_each(c.bases.select(F.col("basis").alias("celex")), c).withColumn("kind", F.lit("based")))
+
+
 @query("SELECT concat('3', o_custkey) AS act, string_agg(concat('3', o_custkey, 'R(', o_orderkey, ')'), ',' ORDER BY concat('3', o_custkey, 'R(', o_orderkey, ')')) AS corrections FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer) GROUP BY o_custkey")
 def corrections_list(spark, sf_dir):
     rows = _sql(spark, sf_dir, "orders", "concat('3', o_custkey, 'R(', o_orderkey, ')') AS celex", "'ENG' AS published_lang")

@@ -249,6 +249,22 @@ def html_linked(spark, sf_dir):
     return html.linked_html(pages.join(links, "page_id", "left"), "page_id")
 
 
+_WORDS_OF = "list_distinct(regexp_extract_all(html, '<p>(\\p{L}+)', 1))"
+
+
+@query(_TEXT_NODES.rsplit("SELECT page_id", 1)[0].replace("(html, '(?is)<script", "(regexp_replace(html, '(?is)^.*?<body[^>]*>', ''), '(?is)<script") + f""", w AS (SELECT page_id, {_WORDS_OF} AS words FROM pages),
+o AS (SELECT page_id, unnest(regexp_extract_all(text, '[\\p{{L}}0-9/]+')) AS run FROM t)
+SELECT page_id, CAST(count(run) FILTER (list_contains(words, run)) AS BIGINT) AS n, TRUE AS restored FROM w LEFT JOIN o USING (page_id) GROUP BY page_id""")
+def html_contexts(spark, sf_dir):
+    """Every bounded occurrence of the words that paragraphs begin with is linked; without the links the page is as it was."""
+    words = F.array_distinct(F.regexp_extract_all("html", F.lit(r"<p>(\p{L}+)"), F.lit(1)))
+    by = lambda w: F.struct(w.alias("context"), F.concat(F.lit('<a data-initial="'), w, F.lit('" href="#">'), w, F.lit("</a>")).alias("html"))
+    pages = table(spark, sf_dir, "pages").select("page_id", "html", F.transform(words, by).alias("contexts"))
+    done = html.with_contexts(pages, "page_id").withColumnRenamed("html", "linked").join(pages.select("page_id", "html"), "page_id")
+    n = F.size(F.split("linked", '<a data-initial="')) - F.size(F.split("html", '<a data-initial="'))
+    return done.select("page_id", n.cast("long").alias("n"), (html.unlinked(F.col("linked")) == F.col("html")).alias("restored"))
+
+
 @query("SELECT page_id, length(regexp_extract(html, '(?is)^(.*?<body[^>]*>)', 1)) AS head FROM pages")
 def html_body(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.length(html.body_of(F.col("html"))["head"]).cast("long").alias("head"))

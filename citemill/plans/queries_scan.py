@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ids
-from ..operators import alias, detect, lists, nodes, works
+from ..operators import alias, alias_table, detect, lists, nodes, tables, works
 from ..options import Aliases, Optimizer, Options
 from ..sources.readers import spread, table
 from ..streaming import extract
@@ -216,6 +216,13 @@ def title_form(spark, sf_dir):
     return detect.scan(docs, only("case"), title_form=True).select("doc_id", "position", "match", "title")
 
 
+@query(f"WITH {_PARTS} SELECT doc_id, CAST(position AS INTEGER) AS position, match, rule_type FROM placed")
+def scan_lateral(spark, sf_dir):
+    """The scan as a table function in SQL text."""
+    tables.register_scan(spark, builtin.rule_set())
+    return spark.sql("SELECT d.doc_id, s.position, s.match, s.rule_type FROM {docs} d, LATERAL scan_rules(d.text) s", docs=order_texts(spark, sf_dir))
+
+
 # ---- views
 
 
@@ -295,6 +302,35 @@ def offsets_by_context(spark, sf_dir):
 
 # ---- aliases
 
+_NAMED_TEXT = "concat('see No ', o_orderkey % 5000, ' and  Item ', o_custkey, '-b, not Item', o_custkey, ' nor Item ', o_custkey, '-bc')"
+
+
+@query("""WITH a AS (SELECT concat('no ', p_partkey) AS alias, concat('<', min(p_name), '>') AS replacement FROM part GROUP BY p_partkey UNION ALL SELECT concat('item ', p_partkey, '-b'), concat('{', min(p_brand), '}') FROM part GROUP BY p_partkey UNION ALL SELECT concat('item ', p_partkey), concat('[', p_partkey, ']') FROM part)
+SELECT o_orderkey AS doc_id, concat('see ', coalesce(x.replacement, concat('No ', o_orderkey % 5000)), ' and  ', coalesce(y.replacement, concat('Item ', o_custkey, '-b')), ', not Item', o_custkey, ' nor ', CASE WHEN z.replacement IS NULL THEN concat('Item ', o_custkey) ELSE z.replacement END, '-bc') AS text
+FROM orders LEFT JOIN a x ON x.alias = concat('no ', o_orderkey % 5000) LEFT JOIN a y ON y.alias = concat('item ', o_custkey, '-b') LEFT JOIN a z ON z.alias = concat('item ', o_custkey)""")
+def alias_dictionary(spark, sf_dir):
+    """Three aliases for each part as a table: the longest counts, capitals and the kind of white space don't matter."""
+    known = _alias_rows(spark, sf_dir)
+    docs = spread(table(spark, sf_dir, "orders")).selectExpr("o_orderkey AS doc_id", f"{_NAMED_TEXT} AS text")
+    return alias_table.replaced(docs, known)
+
+
+def _alias_rows(spark, sf_dir) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    kinds = ("concat('No ', p_partkey) AS alias", "concat('<', p_name, '>') AS replacement"), ("concat('Item ', p_partkey, '-B') AS alias", "concat('{', p_brand, '}') AS replacement"), ("concat('item ', p_partkey) AS alias", "concat('[', p_partkey, ']') AS replacement")
+    return part.selectExpr(*kinds[0]).unionByName(part.selectExpr(*kinds[1])).unionByName(part.selectExpr(*kinds[2]))
+
+
+@query("""WITH a AS (SELECT DISTINCT p_partkey FROM part)
+SELECT o_orderkey AS doc_id, CAST(4 AS INTEGER) AS position, concat('No ', o_orderkey % 5000) AS source FROM orders WHERE o_orderkey % 5000 IN (FROM a)
+UNION ALL SELECT o_orderkey, CAST(12 + length(concat('', o_orderkey % 5000)) + 1 AS INTEGER), concat('Item ', o_custkey, '-b') FROM orders WHERE o_custkey IN (FROM a)
+UNION ALL SELECT o_orderkey, CAST(12 + length(concat('', o_orderkey % 5000)) + 1 + length(concat('Item ', o_custkey, '-b, not Item', o_custkey, ' nor ')) AS INTEGER), concat('Item ', o_custkey) FROM orders WHERE o_custkey IN (FROM a)""")
+def alias_dictionary_join(spark, sf_dir):
+    """The same aliases found by the join of runs of tokens, as beyond the size that is sent to all workers."""
+    docs = spread(table(spark, sf_dir, "orders")).selectExpr("o_orderkey AS doc_id", f"{_NAMED_TEXT} AS text")
+    return alias_table.found(docs, _alias_rows(spark, sf_dir), largest=0).select("doc_id", "position", "source")
+
+
 _ALIASES = Aliases().added("GDPR", "Regulation (EU) 2016/679").added("Data Act", "Regulation (EU) 2023/2854").added("Act", "Regulation (EU) 1/1")
 _ALIAS_TEXT = "concat('Article ', o_custkey % 9 + 1, ' of GDPR and the Data Act, case ', o_orderkey, ' GDPR')"
 

@@ -57,12 +57,6 @@ def decorated(attrs: Column, linked: Column) -> Column:
     return F.map_concat(attrs, F.transform_keys(linked, lambda k, v: F.concat(k, F.lit("-ld"))))
 
 
-def write_named(results: DataFrame, folder: str, extension: str) -> None:
-    """Writes results(name, value) to a folder, one partition directory per file name; each keeps the name of its input."""
-    named = results.select(F.concat("name", F.lit(f".{extension}")).alias("file"), F.coalesce("value", F.lit("")).alias("value"))
-    named.repartition("file").write.mode("errorifexists").partitionBy("file").text(folder)
-
-
 def write(df: DataFrame, form: str, path: str) -> None:
     """form: json (lines), text (one column), parquet."""
     getattr(df.write.mode("errorifexists"), form)(path)
