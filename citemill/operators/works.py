@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import itertools
 import tempfile
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -136,6 +137,11 @@ def shared_folder(spark: SparkSession) -> str:
     return folder or context.getCheckpointDir().get()
 
 
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A folder below the shared one that no other run uses."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def _settled(df: DataFrame) -> DataFrame:
     """Cuts the lineage by a reliable checkpoint in the shared folder."""
     shared_folder(df.sparkSession)

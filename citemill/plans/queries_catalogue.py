@@ -10,7 +10,7 @@ from ..functions import ids, titles
 from ..functions.regex import SPACE
 from ..operators import alias, detect, html, nodes, resolve, works
 from ..options import Aliases, Options
-from ..sources import readers, sinks
+from ..sources import named, readers, sinks
 from ..sources.readers import table
 from . import rule_tables
 from .rules import compile_rules, rules_from_xml
@@ -303,6 +303,19 @@ def inert_targets(spark, sf_dir):
     return rows.select("o_orderkey", F.size(resolve.without_inert(F.col("a"), False)).alias("n"), F.size(resolve.without_inert(F.col("a"), True)).alias("linked"))
 
 
+# ---- files
+
+
+@query("SELECT concat('set-', page_id % 7, '/page-', page_id, '.txt') AS name, concat(url, chr(10), length(html)) AS value FROM pages")
+def named_files(spark, sf_dir):
+    """A file for each page under its own name, written by a commit of all tasks, and read back."""
+    rows = table(spark, sf_dir, "pages").selectExpr("concat('set-', page_id % 7, '/page-', page_id) AS name", "concat(url, chr(10), length(html)) AS value")
+    folder = works.fresh_folder(spark, "named")
+    named.write_named(rows, folder, "txt")
+    back = spark.read.option("recursiveFileLookup", "true").text(folder, wholetext=True)
+    return back.select(F.regexp_extract("_metadata.file_path", r"(set-[0-9]+/[^/]+)$", 1).alias("name"), "value")
+
+
 # ---- metadata
 
 
