@@ -49,7 +49,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: Trained models, signatures and tokenizers are beyond SQL; tests compare the stages with brute force.
+#: Trained models, signatures and tokenizers are beyond SQL; a test compares each stage with brute force on its own input.
 ORACLE_SQL = None
 
 

@@ -897,6 +897,41 @@ def test_pipeline(spark, sf, texts):
     assert corpus_pipeline.run(spark, sf).count() == df.count()
 
 
+def test_pipeline_stages_by_brute_force(spark, sf, texts):
+    """Each stage on what its predecessor kept: classes over all pairs, windows by hand, and the library's own ids."""
+    df = spark.read.parquet(f"{sf}/documents.parquet")
+    model = language.train(df)
+    named = corpus_pipeline.identify_language(spark, df, sf).cache()
+    found = language.identify([t or "" for t in texts.values()], model)
+    kept = {i for i, lang, share in zip(texts, *found[:2], strict=True) if lang != language.UND and share >= corpus_pipeline.LEAST_SHARE}
+    one = {r.doc_id: r.text for r in named.collect() if r.doc_id is not None}
+    assert set(one) == kept and all(one[i] == texts[i] for i in one)
+
+    unique = corpus_pipeline.drop_near_duplicates(spark, named, sf).cache()
+    two = {r.doc_id: r.text for r in unique.collect() if r.doc_id is not None}
+    assert two == {i: one[i] for i, c in brute_classes(one).items() if i == c}
+
+    short = corpus_pipeline.drop_repeated_passages(spark, unique, sf).cache()
+    three = {r.doc_id: r.text for r in short.collect() if r.doc_id is not None}
+    cut = brute_substrings(two)
+    assert set(three) == {i for i, (n, gone, _) in cut.items() if gone < n or not gone}
+    assert all(hashlib.sha256(b" ".join(t.encode().split())).hexdigest() == cut[i][2] for i, t in three.items())
+
+    library, pieces, rooms = tokenizer("byte_bpe_50k.json"), defaultdict(list), defaultdict(list)
+    for r in corpus_pipeline.pack(spark, short, sf).collect():
+        pieces[r.doc_id].append((r.start, r.length, r.ids_crc32))
+        rooms[r.sequence_id].append((r.offset, r.length))
+    for i, t in three.items():
+        ids, at = np.array([*library.encode(t, add_special_tokens=False).ids, 2], "<u4"), 0
+        for start, length, crc in sorted(pieces[i]):
+            assert start == at and crc == zlib.crc32(ids[start : start + length].tobytes())
+            at += length
+        assert at == len(ids)
+    for held in rooms.values():
+        ends = [0, *np.cumsum([n for _, n in sorted(held)]).tolist()]
+        assert [a for a, _ in sorted(held)] == ends[:-1] and ends[-1] <= packing.CAPACITY
+
+
 def test_pipeline_leaves_clean_texts_alone(spark):
     rng = random.Random(2)
     rows = [(i, words(rng, 80).replace(" ", "\n", 9), "en", "s", 1) for i in range(30)]
