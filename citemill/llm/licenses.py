@@ -30,7 +30,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, stored, text_or_empty
+from .common import documents, settled, stored, text_or_empty
 
 LEAST = 0.6
 DIGITS = 6
@@ -295,12 +295,13 @@ def resolved(files: DataFrame, found: DataFrame, license_file: str = LICENSE_FIL
     license_of = F.regexp_replace(F.col("template"), "#[0-9a-z]+$", "")
     best = found.select("path", "template", "score").where(F.regexp_extract("path", "([^/]*)$", 1).rlike(license_file))
     given = best.select(directory(F.col("path")).alias("above"), F.struct((-F.col("score")).alias("s"), "path", license_of.alias("license")).alias("x"))
-    given = given.groupBy("above").agg(F.min("x")["license"].alias("license"))
+    # what directories give and get is stored, so that below both sides of a join are plain shuffles and Spark can split a hot one
+    given = settled(given.groupBy("above").agg(F.min("x")["license"].alias("license")))
     dirs = files.select(directory(F.col("path")).alias("dir")).distinct()
     parts = F.split("dir", "/")
     up = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
     ancestors = dirs.select("dir", F.posexplode(F.array_distinct(up)).alias("depth", "above"))
-    nearest = ancestors.join(given, "above").groupBy("dir").agg(F.max(F.struct("depth", "above", "license")).alias("x"))
+    nearest = settled(ancestors.join(given, "above").groupBy("dir").agg(F.max(F.struct("depth", "above", "license")).alias("x")))
     own = files.join(found.select(on, "line_no", "template", "score"), on, "left").withColumn("dir", directory(F.col("path"))).join(nearest, "dir", "left")
     by = F.when(F.col("template").isNotNull(), F.lit("file")).when(F.col("x").isNotNull(), F.concat(F.lit("directory "), F.col("x.above")))
     return own.select(*files.columns, "line_no", "template", "score", by.alias("licensed_by"), F.coalesce(license_of, F.col("x.license")).alias("license"))
