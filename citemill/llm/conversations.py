@@ -451,3 +451,48 @@ def repair_conversations(turns: DataFrame) -> DataFrame:
 
 def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_conversations(damaged(session(spark).read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
+#: The same by the shortest path itself: a recursion over the turns of a conversation with four states.
+OP13_SQL = r"""
+WITH RECURSIVE step AS (
+  SELECT list(list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY n) AS t FROM (SELECT unnest(range(256)) AS n)
+), named AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    list_transform(string_split(concat(coalesce(CAST(conv_id AS VARCHAR), ' '), ':', coalesce(CAST(turn AS VARCHAR), ' ')), ''), lambda x: CAST(ascii(x) AS BIGINT)) AS bytes FROM conversations
+), dealt AS (
+  SELECT * EXCLUDE (bytes, t), xor(list_reduce(list_prepend(4294967295, bytes), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS deal FROM named CROSS JOIN step
+), harmed AS (
+  SELECT conv_id, turn, CASE deal WHEN 4 THEN 'user' ELSE role END AS role, CASE deal WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE deal WHEN 3 THEN [0, 1] ELSE [0] END) AS copy FROM dealt WHERE deal <> 0
+), inked AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again,
+    rtrim(text, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))) AS ink FROM harmed
+), turns AS (
+  SELECT *, CASE WHEN ink = '' THEN 'blank' WHEN again THEN 'duplicate' WHEN right(ink, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault, substr(role, 1, 1) AS r,
+    lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM inked
+), counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (before IS NOT NULL AND before || r NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n FROM turns GROUP BY conv_id
+), goes(s, r, t) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+inserted(s, t, cost, letters, lines) AS (VALUES (0, 0, 0, '', []::VARCHAR[]), (1, 1, 0, '', []), (2, 2, 0, '', []), (3, 3, 0, '', []), (0, 2, 2, 'I', ['user:']), (0, 3, 4, 'II', ['user:', 'assistant:']),
+  (1, 2, 2, 'I', ['user:']), (1, 3, 4, 'II', ['user:', 'assistant:']), (2, 3, 2, 'I', ['assistant:']), (3, 2, 2, 'I', ['user:'])),
+edits AS (
+  SELECT conv_id, i, s, s AS t, 3 AS cost, 'D' AS letter, []::VARCHAR[] AS lines FROM turns CROSS JOIN (SELECT unnest(range(4)) AS s)
+  UNION ALL SELECT conv_id, i, s, t, CAST(fault = 'truncated' AS INTEGER), 'K', [role || ':' || text] FROM turns JOIN goes USING (r) WHERE fault NOT IN ('blank', 'duplicate')
+  UNION ALL SELECT conv_id, i, s, t, 2 + CAST(fault = 'truncated' AS INTEGER), 'R', [CASE g.r WHEN 'u' THEN 'user:' ELSE 'assistant:' END || text] FROM turns, goes g WHERE g.r <> 's' AND fault NOT IN ('blank', 'duplicate')
+), cheapest AS (
+  SELECT e.conv_id, e.i, v.s, e.t, min({'cost': v.cost + e.cost, 'audit': v.letters || e.letter, 'lines': list_concat(v.lines, e.lines)}) AS e FROM inserted v JOIN edits e ON e.s = v.t GROUP BY e.conv_id, e.i, v.s, e.t
+), path AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS i, 0 AS s, {'cost': 0, 'audit': '', 'lines': []::VARCHAR[]} AS p FROM counted
+  UNION ALL
+  SELECT c.conv_id, c.i, c.t, min({'cost': p.p.cost + c.e.cost, 'audit': p.p.audit || c.e.audit, 'lines': list_concat(p.p.lines, c.e.lines)})
+  FROM path p JOIN cheapest c ON c.conv_id IS NOT DISTINCT FROM p.conv_id AND c.i = p.i + 1 AND c.s = p.s GROUP BY c.conv_id, c.i, c.t
+), ended AS (
+  SELECT p.conv_id, min({'cost': p.p.cost + v.cost, 'audit': p.p.audit || v.letters, 'lines': list_concat(p.p.lines, v.lines)}) AS p
+  FROM path p JOIN counted n ON n.conv_id IS NOT DISTINCT FROM p.conv_id AND p.i = n.n JOIN inserted v ON v.s = p.s WHERE v.t IN (0, 3) GROUP BY p.conv_id
+)
+SELECT k.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(coalesce(e.p.cost, 0) AS BIGINT) AS cost, coalesce(e.p.audit, '') AS audit, sha256(coalesce(array_to_string(e.p.lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) k LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM k.conv_id LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM k.conv_id
+"""

@@ -29,4 +29,5 @@ ORACLE_SQL: dict[str, str] = {
     "op4_super_kmers": substrings.OP4_SQL,
     "op11_set_join": set_join.OP11_SQL,
     "op12_fill_middle": fill_middle.OP12_SQL,
+    "op13_structure_repair": conversations.OP13_SQL,
 }

@@ -170,4 +170,7 @@ def test_repaired_turns_read_as_they_should(spark):
 def test_whole_table(spark):
     folder = "/root/testdata/sf0.01"
     rows = duckdb.sql(f"SELECT conv_id, turn, role, text FROM '{folder}/conversations.parquet'").fetchall()
-    assert {r.conv_id: tuple(r)[1:] for r in conversations.op13_structure_repair(spark, folder).collect()} == by_hand(rows)
+    want = by_hand(rows)
+    assert {r.conv_id: tuple(r)[1:] for r in conversations.op13_structure_repair(spark, folder).collect()} == want
+    duckdb.sql(f"CREATE OR REPLACE VIEW conversations AS SELECT * FROM '{folder}/conversations.parquet'")
+    assert {r[0]: r[1:] for r in duckdb.sql(conversations.OP13_SQL).fetchall()} == want
