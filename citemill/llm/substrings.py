@@ -270,7 +270,7 @@ def covered_spans(keyed: DataFrame, window: int = WINDOW) -> DataFrame:
     """k, row, spans (first, last word) of the words that repeat an earlier document."""
     seen = occurrences(keyed, window)
     own = ["minimiser", "name"]  # a name is a hash of words and length: two super-k-mers are one only if their minimisers agree as well
-    names = seen.groupBy(*own).agg(F.min(F.struct("k", "row")).alias("x"), F.max("k").alias("top")).select(*own, "x.k", "x.row", "top")
+    names = seen.groupBy(*own).agg(F.min("k").alias("least"), F.min_by("row", "k").alias("row"), F.max("k").alias("top")).withColumnRenamed("least", "k")
     shared = names.groupBy("minimiser").agg(F.min("k").alias("lo"), F.max("top").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi")
     # by text, not by id alone: rows that share an id may be very many
     asked = names.join(shared, "minimiser").groupBy("k", "row").agg(F.collect_list(F.struct(*own, (F.col("n") > HOT).alias("hot"))).alias("names"))
@@ -295,9 +295,10 @@ def dedup_substrings(df: DataFrame, key: str = "doc_id", text: str = "text", win
     session(df.sparkSession)
     keep = keep or []
     base = df.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("k"), text_or_empty(text).alias("text"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(keep)])
-    keyed = base.select("k", F.xxhash64("text").alias("row"), "text")
     held = [f"_{i}" for i in range(len(keep))]
-    joined = base.withColumn("row", F.xxhash64("text")).join(covered_spans(keyed, window), ["k", "row"], "left").select("text", "spans", "k", *held)
+    rows = base.select("k", F.xxhash64("text").alias("row"), "text", *held)
+    keyed = rows.select("k", "row", "text")  # dealt in one way, so that Spark can use one shuffle for both joins
+    joined = rows.join(covered_spans(keyed, window), ["k", "row"], "left").select("text", "spans", "k", *held)
     fields = [("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
