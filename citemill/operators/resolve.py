@@ -99,8 +99,8 @@ def oj_elis(mentions: DataFrame, works: DataFrame) -> DataFrame:
 def ecb_elis(mentions: DataFrame, works: DataFrame) -> DataFrame:
     """By the bank's own reference, else by the year and number in the CELEX id; null if neither an ELI nor a journal url is known."""
     own = mentions.join(works.select(F.col("reference").alias("_r"), "eli", "oj_url", "celex", "seq"), F.col("reference") == F.col("_r")).withColumn("_way", F.lit(0)).drop("_r")
-    key = F.concat(F.lit("3"), F.col("year"), F.lit("O"), F.lpad(F.col("number"), 4, "0"))
-    other = mentions.withColumn("_c", key).join(works.select(F.regexp_extract("celex", r"^(3[0-9]{4}O[0-9]{4})", 1).alias("_c"), "eli", "oj_url", "celex", "seq"), "_c").withColumn("_way", F.lit(1)).drop("_c")
+    key = F.concat(F.lit("3"), F.col("year"), F.lit("O"), F.when(F.length("number") < 4, F.lpad(F.col("number"), 4, "0")).otherwise(F.col("number")))
+    other = mentions.withColumn("_c", key).join(works.select(F.regexp_extract("celex", r"^(3[0-9]{4}O[0-9]{4,})", 1).alias("_c"), "eli", "oj_url", "celex", "seq"), "_c").withColumn("_way", F.lit(1)).drop("_c")
     both = own.unionByName(other)
     return best(both, ["key"], F.col("_way") == 0, F.col("seq"), last=False).select("key", F.coalesce("eli", "oj_url").alias("value"))
 

@@ -40,3 +40,11 @@ def test_closure_is_the_shortest_way(spark, depth):
             want |= {(a, b, n) for b in front}
     got = works.closure(spark.createDataFrame(edges, "src long, dst long"), depth).collect()
     assert len(got) == len(want) and set(map(tuple, got)) == want
+
+
+def test_bank_acts_with_numbers_of_more_than_four_digits(spark):
+    from citemill.operators import resolve
+
+    mentions = spark.createDataFrame([(n, "none", "2011", str(n)) for n in (7, 1234, 12345, 12349, 123456)], "key long, reference string, year string, number string")
+    rows = spark.createDataFrame([("x", f"eli/{n}", None, f"32011O{n:04}", 1) for n in (123456, 12349, 12345, 1234, 7)], "reference string, eli string, oj_url string, celex string, seq int")
+    assert {r.key: r.value for r in resolve.ecb_elis(mentions, rows).collect()} == {n: f"eli/{n}" for n in (7, 1234, 12345, 12349, 123456)}
