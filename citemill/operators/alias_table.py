@@ -123,8 +123,9 @@ def _by_join(cut: DataFrame, known: DataFrame, key: str) -> DataFrame:
     fitting = F.flatten(F.array(F.array().cast(kind), *[F.when(F.size("k") >= n, runs(n).cast(kind)).otherwise(F.array().cast(kind)) for n in lengths]))
     each = cut.select(key, F.explode(fitting).alias("s")).select(key, "s.i", "s.n", "s.h")
     names = known.select(hashed(F.col("keys")).alias("h"), "keys", "replacement")
-    hit = each.join(names, "h").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("i", (-F.col("n")).alias("m"), "keys", "replacement"))).alias("hits"))
-    both = cut.join(hit, key)
+    # A dictionary of this size is never sent to the driver and all workers, however small its rows are guessed to be.
+    hit = each.join(names.hint("merge"), "h").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("i", (-F.col("n")).alias("m"), "keys", "replacement"))).alias("hits"))
+    both = cut.join(hit.hint("merge"), key)
     state = f"struct<at:int,out:{_HIT}>"
     start = F.struct(F.lit(0).alias("at"), F.array().cast(_HIT).alias("out")).cast(state)
     ends = F.transform("t", lambda x, i: F.aggregate(F.slice("t", 1, i), F.lit(0), lambda s, y: s + F.length(y)))
@@ -144,7 +145,7 @@ def _by_join(cut: DataFrame, known: DataFrame, key: str) -> DataFrame:
 def replaced(df: DataFrame, aliases: DataFrame, key: str = "doc_id", column: str = "text", largest: int = LARGEST) -> DataFrame:
     """df with every alias of the column replaced."""
     hits = found(df, aliases, key, column, largest).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("position", "source", "replacement"))).alias("_h"))
-    both = df.join(hits, key, "left")
+    both = df.join(hits.hint("merge"), key, "left")
     c = F.translate(F.replace(text(F.col(column)), F.lit("&amp;"), F.lit("&")), "‘’ʼ", "'''")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     step = lambda s, h: F.struct((h["position"] + F.length(h["source"])).cast("int").alias("at"), F.concat(s["out"], F.substring(c, s["at"] + 1, h["position"] - s["at"]), h["replacement"]).alias("out"))

@@ -58,3 +58,12 @@ def test_references_without_a_semicolon(spark):
     assert [t for _, t, _ in html.text_nodes_of(page)] == ["a & b", "c &©A&nosuch; d&"]
     rows = html.text_nodes(spark.createDataFrame([(1, page)], "id int, html string"), "id", closed=True)
     assert sorted(r.text for r in rows.collect()) == ["a &amp b", "c &©A&nosuch; d&amp"]
+
+
+def test_large_alias_table_is_not_broadcast(spark):
+    from citemill.plans import catalog
+
+    for name in ("alias_dictionary_join",):
+        df = catalog.QUERIES[name](spark, "/root/testdata/sf0.01")
+        assert df.count()
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
