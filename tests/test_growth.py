@@ -67,3 +67,20 @@ def test_large_alias_table_is_not_broadcast(spark):
         df = catalog.QUERIES[name](spark, "/root/testdata/sf0.01")
         assert df.count()
         assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lists_of_a_hot_act_are_dealt_over_tasks(spark):
+    import re
+
+    least = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    rows = spark.range(40_000).selectExpr("if(id % 2 = 0, 'hot', concat('a', id % 100)) AS source", "concat('3', id % 15000) AS target", "'A1' AS fragment_source", "'P1' AS fragment_target")
+    c = works.Catalogue(citations=rows, bases=rows.selectExpr("source AS celex", "target AS basis"))
+    try:
+        for got, own in ((works.cited_by_each(rows.selectExpr("source AS celex"), c), ["hot"]), (works.bases_of_each(rows.selectExpr("source AS celex").where("source = 'hot'"), c), ["hot"])):
+            plan = got._jdf.queryExecution().executedPlan().toString()
+            assert re.search(r"hashpartitioning\(id#\d+, _salt#\d+", plan), plan
+            want = sorted({f"3{i % 15000}" for i in range(0, 40_000, 2)})[:501]
+            assert sorted(r.celex for r in got.collect() if r.id in own) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
