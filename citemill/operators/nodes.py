@@ -52,8 +52,9 @@ def local_positions(mentions: DataFrame, key: str = "doc_id") -> DataFrame:
     w = Window.partitionBy(key).orderBy("position", "match")
     before, at = F.lag("context").over(w), F.lag("position").over(w)
     same = (before == F.col("context")) & (F.col("position") - at <= F.length("context"))
-    run = mentions.withColumn("_new", F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1)).withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return run.withColumn("local_position", F.col("position") - F.min("position").over(Window.partitionBy(key, "_run"))).drop("_new", "_run")
+    start = F.when(~F.coalesce(same, F.lit(False)), F.col("position"))
+    run = mentions.withColumn("_start", start).withColumn("_start", F.last("_start", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return run.withColumn("local_position", F.col("position") - F.col("_start")).drop("_start")
 
 
 def merged(a: DataFrame, b: DataFrame, key: str = "doc_id") -> DataFrame:

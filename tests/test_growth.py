@@ -84,3 +84,12 @@ def test_lists_of_a_hot_act_are_dealt_over_tasks(spark):
             assert sorted(r.celex for r in got.collect() if r.id in own) == want
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
+
+
+def test_local_positions_sort_once(spark):
+    from citemill.operators import nodes
+
+    rows = [("d", None, "x", "a"), ("d", None, "x", "b"), ("d", 5, "x", "c"), ("d", 6, "x", "d"), ("d", 7, "x", "d"), ("d", 9, "yyyy", "e"), ("d", 11, "yyyy", "f"), ("d", 30, "yyyy", "g"), ("e", 4, None, "a"), ("e", 5, None, "b")]
+    got = nodes.local_positions(spark.createDataFrame(rows, "doc_id string, position int, context string, match string"))
+    assert got._jdf.queryExecution().executedPlan().toString().count("Sort [") == 1
+    assert {(r.doc_id, r.position, r.match): r.local_position for r in got.collect()} == {("d", None, "a"): None, ("d", None, "b"): None, ("d", 5, "c"): 0, ("d", 6, "d"): 1, ("d", 7, "d"): 2, ("d", 9, "e"): 0, ("d", 11, "f"): 2, ("d", 30, "g"): 0, ("e", 4, "a"): 0, ("e", 5, "b"): 0}
