@@ -93,3 +93,11 @@ def test_local_positions_sort_once(spark):
     got = nodes.local_positions(spark.createDataFrame(rows, "doc_id string, position int, context string, match string"))
     assert got._jdf.queryExecution().executedPlan().toString().count("Sort [") == 1
     assert {(r.doc_id, r.position, r.match): r.local_position for r in got.collect()} == {("d", None, "a"): None, ("d", None, "b"): None, ("d", 5, "c"): 0, ("d", 6, "d"): 1, ("d", 7, "d"): 2, ("d", 9, "e"): 0, ("d", 11, "f"): 2, ("d", 30, "g"): 0, ("e", 4, "a"): 0, ("e", 5, "b"): 0}
+
+
+def test_costly_rows_of_one_file_are_dealt_out(spark):
+    """A small file is read by one task; parts of acts and titles are made in as many as there are cores."""
+    from citemill.plans import catalog
+
+    for name in ("act_parts", "judgment_titles"):
+        assert catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString().count("RoundRobinPartitioning(4)") >= 1
