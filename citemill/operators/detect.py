@@ -329,17 +329,17 @@ def all_captures(rules: RuleSet, rule: Column, match: Column) -> Column:
     return out
 
 
-def rendered(rules: RuleSet, rule: Column, groups: Column) -> Column:
+def rendered(rules: RuleSet, rule: Column, groups: Column, attrs: bool = True) -> Column:
     """The alternatives of a match: its rule's views, in order, whose conditions hold and whose text isn't empty. Attributes that
-    a view renders can be named by those after it.
+    a view renders can be named by those after it. Without attrs the field of that name is left out.
 
     All views of all rules are one expression. It is evaluated as the body of a lambda function, outside the generated code of the
     stage, which would grow beyond what the JVM compiles and take the whole stage with it."""
-    one = F.transform(F.array(F.struct(rule.alias("rule"), groups.alias("groups"))), lambda x: _rendered(rules, x["rule"], x["groups"]))
+    one = F.transform(F.array(F.struct(rule.alias("rule"), groups.alias("groups"))), lambda x: _rendered(rules, x["rule"], x["groups"], attrs))
     return F.element_at(one, 1)
 
 
-def _rendered(rules: RuleSet, rule: Column, groups: Column) -> Column:
+def _rendered(rules: RuleSet, rule: Column, groups: Column, attrs: bool) -> Column:
     out = F.array().cast("array<struct<target:string,base_target:string,order:int,common:boolean,group_target:string,title:string,view:string>>")
     for k, c in reversed(list(enumerate(rules.rules))):
         before, views = F.lit(""), []
@@ -351,7 +351,8 @@ def _rendered(rules: RuleSet, rule: Column, groups: Column) -> Column:
             before = F.concat(before, F.lit(" "), view)
         if views:
             out = F.when(rule == k, F.array(*views)).otherwise(out)
-    return F.transform(F.filter(out, lambda x: x["view"] != ""), lambda x: x.withField("attrs", ids.attributes(x["view"])))
+    shown = F.filter(out, lambda x: x["view"] != "")
+    return F.transform(shown, lambda x: x.withField("attrs", ids.attributes(x["view"]))) if attrs else shown
 
 
 def any_view(rules: RuleSet, rule: Column, groups: Column) -> Column:
@@ -373,8 +374,9 @@ def _any_view(rules: RuleSet, rule: Column, groups: Column) -> Column:
     return out
 
 
-def mentions(df: DataFrame, rules: RuleSet, key: str = "doc_id", column: str = "text", options: Options | None = None, title_form: bool = False) -> DataFrame:
-    """key, seq, rule_type, base_type, rule_label, match, context, position, alternatives; matches without any view are dropped."""
+def mentions(df: DataFrame, rules: RuleSet, key: str = "doc_id", column: str = "text", options: Options | None = None, title_form: bool = False, attrs: bool = True) -> DataFrame:
+    """key, seq, rule_type, base_type, rule_label, match, context, position, alternatives; matches without any view are dropped.
+    attrs: whether the alternatives carry their attributes, which cost more than their views."""
     o = options or Options()
     chosen = rules.scannable(o)
     found = scan(df.select(key, column), rules, column, o, title_form)
@@ -382,7 +384,7 @@ def mentions(df: DataFrame, rules: RuleSet, key: str = "doc_id", column: str = "
     caught = found.withColumn("groups", all_captures(chosen, F.col("rule"), F.col("match")))
     # asked of the conditions, not of what is rendered: a filter on that would render everything twice
     shown = caught.where(any_view(chosen, F.col("rule"), F.col("groups")))
-    out = shown.withColumn("alternatives", rendered(chosen, F.col("rule"), F.col("groups")))
+    out = shown.withColumn("alternatives", rendered(chosen, F.col("rule"), F.col("groups"), attrs))
     return out.select(key, label("type").alias("rule_type"), label("base_type").alias("base_type"), label("label").alias("rule_label"), F.when(F.col("title") != "", F.col("title")).otherwise(F.col("match")).alias("match"), F.col("match").alias("context"), "position", "alternatives")
 
 

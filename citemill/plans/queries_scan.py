@@ -42,8 +42,8 @@ def simple(pattern: str, type_: str = "x", **more) -> RuleSet:
     return compile_rules([Rule(type=type_, pattern=pattern, views=(View("page", "$0", is_default=True),), **more)])
 
 
-def order_mentions(spark: SparkSession, sf_dir: str, *types: str) -> DataFrame:
-    found = detect.mentions(order_texts(spark, sf_dir), only(*types) if types else builtin.rule_set())
+def order_mentions(spark: SparkSession, sf_dir: str, *types: str, attrs: bool = False) -> DataFrame:
+    found = detect.mentions(order_texts(spark, sf_dir), only(*types) if types else builtin.rule_set(), attrs=attrs)
     return found.withColumn("urls", F.flatten(F.transform("alternatives", lambda a: ids.urls(a["view"]))))
 
 
@@ -228,14 +228,14 @@ def scan_lateral(spark, sf_dir):
 
 @query(f"""WITH {_PARTS} SELECT doc_id, match, concat('3', regexp_extract(match, '([0-9]{{4}})/([0-9]+)', 1), 'R', lpad(regexp_extract(match, '([0-9]{{4}})/([0-9]+)', 2), 4, '0')) AS celex FROM placed WHERE rule_type = 'act'""")
 def view_rendering(spark, sf_dir):
-    found = order_mentions(spark, sf_dir, "act")
+    found = order_mentions(spark, sf_dir, "act", attrs=True)
     return found.select("doc_id", "match", ids.primary_id(ids.normalised(F.col("alternatives")[0]["attrs"])).alias("celex"))
 
 
 @query(f"""WITH {_PARTS}, r AS (SELECT doc_id, rule_type, match FROM placed WHERE rule_type = 'case')
 SELECT doc_id, match, concat('6', CASE WHEN CAST(right(match, 2) AS INTEGER) <= 57 THEN '20' ELSE '19' END, right(match, 2), left(match, 1), 'J', lpad(regexp_extract(match, '-([0-9]+)/', 1), 4, '0')) AS celex FROM r""")
 def case_celex(spark, sf_dir):
-    found = order_mentions(spark, sf_dir, "case")
+    found = order_mentions(spark, sf_dir, "case", attrs=True)
     return found.select("doc_id", "match", ids.primary_id(ids.normalised(F.col("alternatives")[0]["attrs"])).alias("celex"))
 
 

@@ -101,3 +101,10 @@ def test_costly_rows_of_one_file_are_dealt_out(spark):
 
     for name in ("act_parts", "judgment_titles"):
         assert catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString().count("RoundRobinPartitioning(4)") >= 1
+
+
+def test_nodes_do_not_work_out_attributes(spark):
+    from citemill.plans import queries_scan
+
+    found = queries_scan.order_mentions(spark, "/root/testdata/sf0.001")
+    assert "attrs" not in found.schema["alternatives"].dataType.elementType.names and found.where("size(urls) = 0").count() == 0
