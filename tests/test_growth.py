@@ -108,3 +108,13 @@ def test_nodes_do_not_work_out_attributes(spark):
 
     found = queries_scan.order_mentions(spark, "/root/testdata/sf0.001")
     assert "attrs" not in found.schema["alternatives"].dataType.elementType.names and found.where("size(urls) = 0").count() == 0
+
+
+def test_runs_that_are_no_alias_do_not_travel(spark):
+    from citemill.operators import alias_table
+
+    docs = spark.range(2000).selectExpr("id AS doc_id", "concat('a b c d e f g h i j k l m n o p q r s t Item ', id % 500, ' u v w') AS text")
+    known = spark.range(500).selectExpr("concat('item ', id) AS alias", "concat('<', id, '>') AS replacement")
+    got = alias_table.replaced(docs, known, largest=0)
+    assert shuffled(spark, got) < 5 * 2000
+    assert {r.doc_id: r.text for r in got.collect()} == {i: f"a b c d e f g h i j k l m n o p q r s t <{i % 500}> u v w" for i in range(2000)}
