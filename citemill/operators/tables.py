@@ -34,7 +34,7 @@ def scan_function(rules: RuleSet, options: Options | None = None, title_form: bo
             for position, match, k, title in scan_text(text, left, o.strict, title_form, o.reference_limit) if left else ():
                 yield position, match, numbers[k], left[k].rule.type, title
 
-    return F.udtf(Scan, returnType=RETURNS, useArrow=True)
+    return F.udtf(Scan, returnType=RETURNS, useArrow=False)
 
 
 def register_scan(spark: SparkSession, rules: RuleSet, name: str = "scan_rules", options: Options | None = None, title_form: bool = False) -> None:
