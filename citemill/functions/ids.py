@@ -76,20 +76,23 @@ def _allowed(kind: str, modes: set[str] | None) -> bool:
 
 
 def primary_id(attrs: Column, modes: set[str] | None = None) -> Column:
-    return F.coalesce(*[_value(attrs, k) for k in PICK if _allowed(k, modes)])
+    return _let(attrs, lambda a: F.coalesce(*[_value(a, k) for k in PICK if _allowed(k, modes)]))
 
 
 def id_type(attrs: Column, modes: set[str] | None = None) -> Column:
-    out = F.lit(None).cast("string")
-    for k in reversed(KIND):
-        if _allowed(k, modes):
-            out = F.when(_value(attrs, k).isNotNull(), k).otherwise(out)
-    return out
+    def kind(a: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for k in reversed(KIND):
+            if _allowed(k, modes):
+                out = F.when(_value(a, k).isNotNull(), k).otherwise(out)
+        return out
+
+    return _let(attrs, kind)
 
 
 def id_list(attrs: Column) -> Column:
     """All identifiers of all kinds, distinct."""
-    return F.array_distinct(F.concat(celex_ids(attrs), F.array_compact(F.array(*[_value(attrs, k) for k in PICK[1:]]))))
+    return _let(attrs, lambda a: F.array_distinct(F.concat(celex_ids(a), F.array_compact(F.array(*[_value(a, k) for k in PICK[1:]])))))
 
 
 def marked(attrs: Column, marks: Column) -> Column:

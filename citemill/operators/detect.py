@@ -71,13 +71,15 @@ def _placed(parts: Column) -> Column:
     start = F.struct(F.length(F.element_at(parts, 1)).cast("int").alias("at"), F.array().cast(HIT).alias("out"))
 
     def step(a: Column, piece: Column) -> Column:
-        groups = F.split(F.substring_index(piece, STOP, 1), NEXT, -1)
-        match = F.array_join(groups, "")
-        rule = F.array_position(F.transform(groups, lambda g: g != ""), F.lit(True)).cast("int") - 1
-        hit = F.struct(a["at"].alias("position"), match.alias("match"), rule.alias("rule"))
-        # the sentinel between match and rest isn't part of the text, nor those between groups
-        width = F.length(match) + F.length(piece) - F.length(F.substring_index(piece, STOP, 1)) - 1
-        return F.struct((a["at"] + width).cast("int").alias("at"), F.concat(a["out"], F.array(hit)).alias("out"))
+        # one group holds the match; as many signs stand before it as rules do
+        def put(head: Column) -> Column:
+            match, rule = F.trim(head, F.lit(NEXT)), F.length(head) - F.length(F.ltrim(head, F.lit(NEXT)))
+            hit = F.struct(a["at"].alias("position"), match.alias("match"), rule.alias("rule"))
+            # the sentinel between match and rest isn't part of the text, nor those between groups
+            width = F.length(match) + F.length(piece) - F.length(head) - 1
+            return F.struct((a["at"] + width).cast("int").alias("at"), F.concat(a["out"], F.array(hit)).alias("out"))
+
+        return let(F.substring_index(piece, STOP, 1), put)
 
     return F.aggregate(F.slice(parts, 2, F.size(parts)), start, step, lambda a: a["out"])
 
@@ -312,19 +314,27 @@ def _cursor_scan(df: DataFrame, narrowed: Narrowing, column: str, keep: list[str
 
 
 def captures(match: Column, pattern: str, groups: int) -> Column:
-    """[whole, $1, ...]: null where a group took no part."""
+    """[whole, $1, ...]: null where a group took no part. Several groups are had by one replacement of the whole text by them, but for
+    a text that holds the sign between them."""
     p = f"(?iu){pattern}"
-    return F.array(match, *[F.nullif(F.regexp_extract(match, p, i), F.lit("")) for i in range(1, groups + 1)])
+    each = lambda of: F.array(match, *[F.nullif(of(i), F.lit("")) for i in range(1, groups + 1)])
+    by_one = each(lambda i: F.regexp_extract(match, p, i))
+    if groups < 2:
+        return by_one
+    listed = F.regexp_replace(match, rf"(?iu)\A(?s:.*?)(?:{pattern})(?s:.*)\z", "".join(f"{NEXT}${i}" for i in range(1, groups + 1)))
+    return F.when(F.contains(match, F.lit(NEXT)), by_one).otherwise(let(F.split(listed, NEXT, -1), lambda parts: each(lambda i: F.get(parts, F.lit(i)))))
 
 
 #: A template that names an attribute of an earlier view.
 NAMED = re.compile(r"\$[A-Za-z]")
 
 
-def all_captures(rules: RuleSet, rule: Column, match: Column) -> Column:
-    """The captures of a match by its own rule."""
+def all_captures(rules: RuleSet, rule: Column, match: Column, asked: bool = False) -> Column:
+    """The captures of a match by its own rule; with asked, of those rules alone whose conditions must be asked whether they show a view."""
     out = F.array().cast("array<string>")
     for k, c in reversed(list(enumerate(rules.rules))):
+        if asked and _sure(c):
+            continue
         out = F.when(rule == k, captures(match, c.pattern, c.groups)).otherwise(out)
     return out
 
@@ -361,11 +371,15 @@ def any_view(rules: RuleSet, rule: Column, groups: Column) -> Column:
     return F.element_at(one, 1)
 
 
+def _sure(c: Compiled) -> bool:
+    """Whether some view of the rule is shown whatever the match is."""
+    return any(not v.condition and re.sub(r"\{\{.*?\}\}|\$\d+", "", v.template, flags=re.S).strip() for v in c.rule.views)
+
+
 def _any_view(rules: RuleSet, rule: Column, groups: Column) -> Column:
     out = F.lit(True)
     for k, c in enumerate(rules.rules):
-        sure = any(not v.condition and re.sub(r"\{\{.*?\}\}|\$\d+", "", v.template, flags=re.S).strip() for v in c.rule.views)
-        if not sure:
+        if not _sure(c):
             shown = F.lit(False)
             for v in c.rule.views:
                 scope = Scope(groups, ids.normalised(ids.attributes(F.lit(""))))
@@ -381,10 +395,9 @@ def mentions(df: DataFrame, rules: RuleSet, key: str = "doc_id", column: str = "
     chosen = rules.scannable(o)
     found = scan(df.select(key, column), rules, column, o, title_form)
     label = lambda name: F.element_at(F.array(*[F.lit(getattr(c.rule, name)) for c in chosen.rules]), F.col("rule") + 1)
-    caught = found.withColumn("groups", all_captures(chosen, F.col("rule"), F.col("match")))
     # asked of the conditions, not of what is rendered: a filter on that would render everything twice
-    shown = caught.where(any_view(chosen, F.col("rule"), F.col("groups")))
-    out = shown.withColumn("alternatives", rendered(chosen, F.col("rule"), F.col("groups"), attrs))
+    shown = found if all(map(_sure, chosen.rules)) else found.where(any_view(chosen, F.col("rule"), all_captures(chosen, F.col("rule"), F.col("match"), asked=True)))
+    out = shown.withColumn("groups", all_captures(chosen, F.col("rule"), F.col("match"))).withColumn("alternatives", rendered(chosen, F.col("rule"), F.col("groups"), attrs))
     return out.select(key, label("type").alias("rule_type"), label("base_type").alias("base_type"), label("label").alias("rule_label"), F.when(F.col("title") != "", F.col("title")).otherwise(F.col("match")).alias("match"), F.col("match").alias("context"), "position", "alternatives")
 
 

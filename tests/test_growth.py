@@ -118,3 +118,65 @@ def test_runs_that_are_no_alias_do_not_travel(spark):
     got = alias_table.replaced(docs, known, largest=0)
     assert shuffled(spark, got) < 5 * 2000
     assert {r.doc_id: r.text for r in got.collect()} == {i: f"a b c d e f g h i j k l m n o p q r s t <{i % 500}> u v w" for i in range(2000)}
+
+
+def test_parts_of_a_table_are_of_bounded_size(spark):
+    from citemill.sources.readers import spread
+
+    one = spark.range(0, 1000, 1, 1)
+    assert spread(one, rows=10).rdd.getNumPartitions() == 100 and spread(one).rdd.getNumPartitions() == 4
+    uneven = spark.range(0, 1000, 1, 200).where("id < 500")
+    assert max(spread(uneven, rows=100).rdd.mapPartitions(lambda x: [sum(1 for _ in x)]).collect()) < 150
+
+
+def test_captures_are_made_once_and_where_asked(spark):
+    from citemill.operators import detect
+    from citemill.plans import builtin
+
+    rules = builtin.rule_set()
+    df = spark.createDataFrame([("C-12/09", 0), ("Regulation (EU) 2016/679", 2), ("a\x03C-12/09", 0), ("none", 0)], "match string, rule int")
+    plain = [detect.captures(F.col("match"), c.pattern, c.groups) for c in (rules.rules[0], rules.rules[2])]
+    assert [tuple(r) for r in df.select(*plain).collect()] == [
+        (["C-12/09", "C", "12", "09"], ["C-12/09", None, None, None]), (["Regulation (EU) 2016/679", None, None, None], ["Regulation (EU) 2016/679", "Regulation", "2016", "679"]),
+        (["a\x03C-12/09", "C", "12", "09"], ["a\x03C-12/09", None, None, None]), (["none", None, None, None], ["none", None, None, None]),
+    ]
+    assert [len(r.g) for r in df.select(detect.all_captures(rules, F.col("rule"), F.col("match"), asked=True).alias("g")).collect()] == [0, 4, 0, 0]
+
+
+def test_primary_id_works_out_attributes_once(spark):
+    from citemill.functions import ids
+
+    df = spark.createDataFrame([("<a data-celex-1=\"x\" data-oj=\"y\">",)], "v string").select(ids.primary_id(ids.normalised(ids.attributes(F.col("v")))).alias("id"))
+    assert df._jdf.queryExecution().analyzed().toString().count("transform_keys") == 1 and df.first().id == "x"
+
+
+def test_equal_lists_are_read_once(spark):
+    from citemill.operators import lists
+
+    rows = spark.range(1000).selectExpr("id AS doc_id", "concat('articles 1, 2 and ', id % 3, ' of Act 9') AS match").unionByName(spark.sql("SELECT 1000L AS doc_id, 'none' AS match"))
+    slots = lists.Slots(prefix=(2,), shared=(3,), identifiers=(1,), core=(1,), variables=(1,))
+    item = "(?:articles )?([0-9]+)(?: of (Act) ([0-9]+))?"
+    got = lists.read(rows, item, 3, slots)
+    assert shuffled(spark, got) < 3 * 1000
+    each = lists.items(rows.withColumn("position", F.lit(0)), item, 3).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("item", "groups"))).alias("l"))
+    want = {r.doc_id: r.groups for r in lists.resolved(each.select("doc_id", F.transform("l", lambda x: x["groups"]).alias("groups")), slots).collect()}
+    assert {r.doc_id: r.groups for r in got.collect()} == want | {1000: []}
+
+
+def test_long_chains_shrink_before_they_are_jumped_over(spark):
+    """Chains, forks, a cycle and nulls give the same as by jumps alone, and move fewer rows."""
+    edges = [(f"a{i}", f"a{i + 1}") for i in range(300)] + [(f"b{i}", f"b{i + 1}") for i in range(40)] + [("a7", "b9"), ("b40", "c"), ("a100", "x0"), ("x0", "x1"), ("x1", "x0"), ("x5", "x5"), ("y", None), ("z", "y"), (None, "b3")]
+    df = spark.createDataFrame(edges, "celex string, repealed_by string")
+    at = df.distinct().join(df.select(F.col("celex").alias("repealed_by"), F.lit(True).alias("o")).distinct(), "repealed_by", "left").select("celex", "repealed_by", F.col("o").isNotNull().alias("open"))
+    want = sorted(map(repr, works._jumped(at).collect()))
+    assert sorted(map(repr, works.last_repealing(df, few=10).collect())) == want and len(want) > 340
+
+
+def test_table_function_gives_rows_without_arrow(spark):
+    """With Arrow each text's few matches are a batch of their own."""
+    from pyspark.util import PythonEvalType
+
+    from citemill.operators import tables
+    from citemill.plans import builtin
+
+    assert tables.scan_function(builtin.rule_set()).evalType == PythonEvalType.SQL_TABLE_UDF
