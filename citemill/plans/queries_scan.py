@@ -284,12 +284,11 @@ e AS (SELECT *, unnest(CASE WHEN form < 2 THEN [0, 1, 2] ELSE [0, 1] END) AS ite
 SELECT doc_id, CAST(item AS INTEGER) AS item, concat('Directive 2015/', no, ' article ', CASE WHEN form IN (0, 2) THEN n + item ELSE n END,
   CASE form WHEN 0 THEN '' WHEN 1 THEN concat('(', item + 1, ')') WHEN 2 THEN CASE item WHEN 0 THEN '(12)' ELSE '' END ELSE CASE item WHEN 0 THEN '(a)' ELSE '(b)' END END) AS reference FROM e""")
 def list_resolved(spark, sf_dir):
-    """Articles, paragraphs and points in brackets: lists folded to one row each, completed, and unfolded."""
+    """Articles, paragraphs and points in brackets: items of a list in one row, completed, and unfolded."""
     rows = spread(table(spark, sf_dir, "orders")).selectExpr("o_orderkey AS doc_id", "0 AS position", "o_custkey", "o_orderkey", "o_custkey % 7 + 1 AS n").selectExpr("doc_id", "position", f"{_NESTED} AS match")
     slots = lists.Slots(prefix=(5,), shared=(6, 7), identifiers=(1, 2, 3, 4), core=(1,), variables=(3, 4))
-    per = lists.items(rows, _NESTED_ITEM, 7).groupBy("doc_id", "parent").agg(F.sort_array(F.collect_list(F.struct("item", "groups"))).alias("l"))
-    done = lists.resolved(per.select("doc_id", "parent", F.transform("l", lambda x: x["groups"]).alias("groups")), slots)
-    each = done.select("doc_id", F.posexplode("groups").alias("item", "g"))
+    # a plain posexplode would have the size asked first, for which all is worked out once more
+    each = lists.read(rows, _NESTED_ITEM, 7, slots).select("doc_id", F.posexplode_outer("groups").alias("item", "g")).where("item IS NOT NULL")
     level = F.coalesce(F.concat(F.lit("("), F.get("g", F.lit(2)), F.lit(")")), F.lit(""))
     return each.select("doc_id", "item", F.concat(F.col("g")[5], F.lit(" "), F.col("g")[6], F.lit("/"), F.col("g")[7], F.lit(" article "), F.col("g")[1], level).alias("reference"))
 
